@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import identify, train
 from .mixing import mix
 from .packing import pack
 from .rules import POLICIES, apply_policy, build_ledger
+from .shared import crc_mod
 from .tokens import count_tokens
 from .topk import segment_topk
 from .urls import UrlRule, judge_urls
@@ -29,6 +31,13 @@ def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    model = train(docs.where(~held_out))
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def vocabulary(name: str) -> str:
     """The file of a public tokenizer; the operators take any path."""
     import public_tokenizers
@@ -53,7 +62,7 @@ def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_ledger, op4_systematic_mix, op7_nnls_pack, op8_token_count, op9_url_trie, op10_segment_topk)}
+QUERIES = {f.__name__: f for f in (op2_rule_ledger, op4_systematic_mix, op5_script_viterbi, op7_nnls_pack, op8_token_count, op9_url_trie, op10_segment_topk)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
