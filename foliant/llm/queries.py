@@ -9,6 +9,7 @@ from .langid import identify, train
 from .mixing import mix
 from .packing import pack
 from .rules import POLICIES, apply_policy, build_ledger
+from .setsketch import near_duplicates
 from .shared import crc_mod
 from .tokens import count_tokens
 from .topk import segment_topk
@@ -27,6 +28,10 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept", "fail_bits")
 
 
+def op3_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -62,7 +67,7 @@ def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_ledger, op4_systematic_mix, op5_script_viterbi, op7_nnls_pack, op8_token_count, op9_url_trie, op10_segment_topk)}
+QUERIES = {f.__name__: f for f in (op2_rule_ledger, op3_setsketch_dedup, op4_systematic_mix, op5_script_viterbi, op7_nnls_pack, op8_token_count, op9_url_trie, op10_segment_topk)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -113,4 +118,15 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20
 """
 
-ORACLE_SQL = {"op2_rule_ledger": OP2, "op4_systematic_mix": OP4, "op9_url_trie": OP9, "op10_segment_topk": OP10}
+OP3 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 4)) AS h FROM d, unnest(range(1, greatest(2, len(w) - 3))) AS t(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n na ON x = na.doc_id JOIN n nb ON y = nb.doc_id WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+u AS MATERIALIZED (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)
+SELECT r.x AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.y) AS component_id, r.x = min(r.y) AS kept FROM r LEFT JOIN n ON r.x = n.doc_id GROUP BY r.x
+"""
+
+ORACLE_SQL = {"op3_setsketch_dedup": OP3, "op2_rule_ledger": OP2, "op4_systematic_mix": OP4, "op9_url_trie": OP9, "op10_segment_topk": OP10}
