@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .langid import identify, train
 from .mixing import mix
 from .packing import pack
+from . import ppm
 from .rules import POLICIES, apply_policy, build_ledger
 from .setsketch import near_duplicates
 from .shared import crc_mod
@@ -43,6 +44,14 @@ def op5_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    model = ppm.train(docs, ~held_out)
+    scored = ppm.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def vocabulary(name: str) -> str:
     """The file of a public tokenizer; the operators take any path."""
     import public_tokenizers
@@ -67,7 +76,7 @@ def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_ledger, op3_setsketch_dedup, op4_systematic_mix, op5_script_viterbi, op7_nnls_pack, op8_token_count, op9_url_trie, op10_segment_topk)}
+QUERIES = {f.__name__: f for f in (op2_rule_ledger, op3_setsketch_dedup, op4_systematic_mix, op5_script_viterbi, op6_ppm_score, op7_nnls_pack, op8_token_count, op9_url_trie, op10_segment_topk)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
