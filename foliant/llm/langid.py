@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import id_and_text
+from .shared import annotated, id_and_text
 
 BUCKETS, SWITCH, MAX_LANGUAGES = 1 << 17, 6.0, 64
 #: A language uses a script if so much of its letters are in it.
@@ -167,29 +168,40 @@ def _labelled(texts: list[str], model: LanguageModel, switch: float) -> tuple[_B
     return block, _best_path(scores, block.doc_words[:-1], np.diff(block.doc_words), switch), known
 
 
-def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score."""
-    source = id_and_text(docs, id_col, text_col)
+FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+
+
+def _predictor(docs: DataFrame, model: LanguageModel, switch: float):
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+    def predict(raw: list[bytes | None]) -> list[pa.Array]:
+        model, whole = sent.value, [None if t is None else t.decode() for t in raw]
         n = len(model.languages)
-        for batch in batches:
-            found: list[str] = ["und"] * batch.num_rows
-            scores = [0.0] * batch.num_rows
-            for rows, texts in _blocks(batch.column(1).to_pylist()) if n else ():
-                block, labels, known = _labelled(texts, model, switch)
-                of = np.repeat(np.arange(len(texts)), np.diff(block.doc_words))
-                share = np.bincount(of * n + labels, weights=block.lengths * known, minlength=len(texts) * n).reshape(-1, n)
-                for i, (row, text) in enumerate(zip(rows, texts, strict=True)):
-                    if _has_letter(text):
-                        total = share[i].sum()
-                        best = int(share[i].argmax()) if total else model.usual
-                        found[row], scores[row] = model.languages[best], float(share[i, best] / total) if total else 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["_id", "lang_pred", "score"])
-
-    return source.mapInArrow(label, f"_id {dict(source.dtypes)['_id']}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+        found, scores = ["und"] * len(whole), [0.0] * len(whole)
+        for rows, texts in _blocks(whole) if n else ():
+            block, labels, known = _labelled(texts, model, switch)
+            of = np.repeat(np.arange(len(texts)), np.diff(block.doc_words))
+            share = np.bincount(of * n + labels, weights=block.lengths * known, minlength=len(texts) * n).reshape(-1, n)
+            for i, (row, text) in enumerate(zip(rows, texts, strict=True)):
+                if _has_letter(text):
+                    total = share[i].sum()
+                    best = int(share[i].argmax()) if total else model.usual
+                    found[row], scores[row] = model.languages[best], float(share[i, best] / total) if total else 0.0
+        return [pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+
+    return predict
+
+
+def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred, score."""
+    found, _ = annotated(id_and_text(docs, id_col, text_col), "_text", FIELDS, _predictor(docs, model, switch))
+    return found.select(F.col("_c0").alias(id_col), "lang_pred", "score")
+
+
+def in_known_language(docs: DataFrame, model: LanguageModel, least: float = 0.5, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that have a language and a score of at least `least`."""
+    found, own = annotated(docs, text_col, FIELDS, _predictor(docs, model, switch))
+    return own(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)))
 
 
 def language_spans(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ from .shared import crc_mod
 from .tokens import count_tokens
 from .topk import segment_topk
 from .urls import UrlRule, judge_urls
+from .weaklabel import weak_quality
 
 URL_RULES = (UrlRule("block", "com", "/en/"), UrlRule("allow", "example.com", "/en/7"), UrlRule("allow", "net", "/de/"), UrlRule("block", "example.net", "/de/8"), UrlRule("block", "org", "/es/"))
 
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality(table(spark, sf_dir, "documents"))
+
+
 def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = build_ledger(table(spark, sf_dir, "documents"))
     decided = apply_policy(apply_policy(ledger, POLICIES["base"], "_base"), POLICIES["v2"])
@@ -76,7 +81,7 @@ def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_ledger, op3_setsketch_dedup, op4_systematic_mix, op5_script_viterbi, op6_ppm_score, op7_nnls_pack, op8_token_count, op9_url_trie, op10_segment_topk)}
+QUERIES = {f.__name__: f for f in (op1_weak_quality, op2_rule_ledger, op3_setsketch_dedup, op4_systematic_mix, op5_script_viterbi, op6_ppm_score, op7_nnls_pack, op8_token_count, op9_url_trie, op10_segment_topk)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

@@ -11,19 +11,22 @@ each; an empty table gives an empty ledger; columns of the input other than the
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import id_and_text, texts_of
+from .shared import annotated, id_and_text
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower")
 
 
+FIELDS = [T.StructField(m, T.LongType()) for m in MEASURES]
+
+
 @dataclass(frozen=True)
 class Rule:
     """A document fails where `fails`, an SQL condition over MEASURES, holds."""
@@ -82,23 +85,24 @@ def _measure(text: bytes | None) -> tuple[int, ...]:
     )
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [_measure(t) for t in texts_of(batch.column(1))]
-        columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_id", *MEASURES])
+def measures_of(texts: list[bytes | None]) -> list[pa.Array]:
+    rows = [_measure(t) for t in texts]
+    return [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))]
 
 
-def build_ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the id, MEASURES, and `fail_bits` with bit i set where rule i fails."""
+def _bits(rules: Sequence[Rule]) -> Column:
     if len(rules) > 62:
         raise ValueError("a ledger holds at most 62 rules")
-    source = id_and_text(docs, id_col, text_col)
-    schema = T.StructType([T.StructField("_id", source.schema["_id"].dataType), *(T.StructField(m, T.LongType()) for m in MEASURES)])
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return source.mapInArrow(_measured, schema).withColumn("fail_bits", bits).withColumnRenamed("_id", id_col)
+    return bits
+
+
+def build_ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: the id, MEASURES, and `fail_bits` with bit i set where rule i fails."""
+    found, _ = annotated(id_and_text(docs, id_col, text_col), "_text", FIELDS, measures_of)
+    return found.withColumn("fail_bits", _bits(rules)).select(F.col("_c0").alias(id_col), *MEASURES, "fail_bits")
 
 
 def mask_of(policy: Sequence[str], rules: Sequence[Rule] = RULES) -> int:
@@ -111,6 +115,12 @@ def apply_policy(ledger: DataFrame, policy: Sequence[str], column: str = "kept",
     return ledger.withColumn(column, F.col("fail_bits").bitwiseAND(F.lit(mask_of(policy, rules)).cast("long")) == 0)
 
 
+def passing(docs: DataFrame, policy: Sequence[str], rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
+    """The documents that fail no rule of the policy, with all their columns."""
+    found, own = annotated(docs, text_col, FIELDS, measures_of)
+    return own(apply_policy(found.withColumn("fail_bits", _bits(rules)), policy, rules=rules).where("kept"))
+
+
 def ablate(ledger: DataFrame, policies: Mapping[str, Sequence[str]] | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Per policy and rule of it: documents, rejected, failed (by this rule), sole (by it alone), kept_without (kept if it went)."""
     spark = ledger.sparkSession

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of anything but the six ASCII white-space characters. bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,20 +39,6 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The batch in consecutive pieces whose texts come to about max_bytes each; a longer text is a piece of its own."""
-    sizes = batch.column(column).cast(pa.large_binary()).to_pylist()
-    start, held = 0, 0
-    for i, text in enumerate(sizes):
-        n = len(text or b"")
-        if i > start and held + n > max_bytes:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns, named apart from anything else in docs."""
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -60,3 +47,20 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def crc_mod(id_column, modulus: int):
     """crc32 of the id as text, modulo modulus."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def annotated(docs: DataFrame, text_col: str, added: list[T.StructField], work: Callable[[list[bytes | None]], list[pa.Array]]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns worked out from its texts, one pass and no join; and what gives a result docs' own columns back.
+
+    While both stand side by side, docs' columns go by their places (`_c0`, ...), so names can't clash.
+    """
+    placed = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = work(texts_of(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *(f.name for f in added)])
+
+    out = placed.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in placed.schema), *added]))
+    return out, lambda df: df.select(*placed.columns).toDF(*docs.columns)
