@@ -142,7 +142,7 @@ ORACLE_SQL = {
     "j8_missing_ids": "SELECT range AS doc_id FROM range(1200) WHERE range NOT IN (SELECT doc_id FROM labels)",
     "j9_evidence_overlap": f"WITH {_P} SELECT event_id, list_has_all(f, g) AS covered, len(list_filter(f, lambda x: NOT list_contains(g, x)))::INT AS non_gold FROM k",
     "j10_grounding": """WITH r AS (SELECT row_number() OVER () AS g, l_orderkey AS s, l_suppkey % 3 AS p, l_partkey % 50 AS x, l_suppkey % 50 AS y, l_linenumber AS n, l_returnflag AS f FROM lineitem),
- i AS (SELECT a.g, a.s, greatest(least(a.x, b.x) + 20 - greatest(a.x, b.x), 0) * greatest(least(a.y, b.y) + 30 - greatest(a.y, b.y), 0) AS bb FROM r a LEFT JOIN r b ON a.s = b.s AND a.p = b.p AND b.n <> 1 AND b.f <> 'R' AND b.p <> 2 WHERE a.n = 1),
+ i AS (SELECT a.g, a.s, CASE WHEN b.s IS NOT NULL THEN greatest(least(a.x, b.x) + 20 - greatest(a.x, b.x), 0) * greatest(least(a.y, b.y) + 30 - greatest(a.y, b.y), 0) END AS bb FROM r a LEFT JOIN r b ON a.s = b.s AND a.p = b.p AND b.n <> 1 AND b.f <> 'R' AND b.p <> 2 WHERE a.n = 1),
  m AS (SELECT s, g, coalesce(max(bb / (1200 - bb)), 0) AS best FROM i GROUP BY 1, 2), v AS (SELECT s, avg(best) AS v FROM m GROUP BY 1)
  SELECT DISTINCT r.s AS sample, round(coalesce(v, 0), 6) AS grounding FROM r LEFT JOIN v ON r.s = v.s""",
     "j12_route": "SELECT s_nationkey AS corpus, s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey",
