@@ -346,3 +346,29 @@ def top_up(removed: DataFrame, pool: DataFrame, stratum: str, order: Sequence[Co
 def preview(df: DataFrame, n: int, seed: str, text: str) -> DataFrame:
     """The first n rows of a seeded shuffle by text."""
     return df.orderBy(seeded(seed, text), text).limit(n)
+
+
+def dedup_two_keys(df: DataFrame, first: Sequence[str], second: Sequence[str], order: str, target: int | None = None) -> DataFrame:
+    """In order, a row is kept if no kept row has its first or its second key; then the first `target` rows.
+
+    Each round keeps the rows that come first among the undecided of both their keys and drops those that share a key
+    with them; keys with a null don't count. Rounds are written, so the plan doesn't grow.
+    """
+    keys = {"_k1": first, "_k2": second}
+    whole = lambda cols: F.when(F.lit(True) if not cols else ~F.greatest(*(F.col(c).isNull().cast("int") for c in cols), F.lit(0)).cast("boolean"), F.to_json(F.struct(*cols)))
+    left = written(df.withColumns({name: F.coalesce(whole(list(cols)), F.concat(F.lit(f"{name}-"), F.col(order).cast("string"))) for name, cols in keys.items()}))
+    kept: DataFrame | None = None
+    while True:
+        firsts = left
+        for name in keys:
+            firsts = firsts.withColumn(f"_m{name}", F.min(order).over(Window.partitionBy(name)))
+        now = written(firsts.where((F.col(order) == F.col("_m_k1")) & (F.col(order) == F.col("_m_k2"))).select(*left.columns))
+        kept = now if kept is None else kept.unionByName(now)
+        rest = left
+        for name in keys:
+            rest = rest.join(now.select(name), name, "left_anti")
+        left = written(rest.select(*left.columns))
+        if left.isEmpty():
+            break
+    out = kept.drop(*keys)
+    return out if target is None else out.orderBy(order).limit(target)

@@ -296,3 +296,28 @@ def group_sizes(steps: DataFrame, *keys: str) -> DataFrame:
 def balance_report(rows: DataFrame, part: str, cost: str) -> DataFrame:
     """Smallest, largest and mean cost of a part."""
     return rows.groupBy(part).agg(F.sum(cost).alias("_c")).agg(F.min("_c").alias("low"), F.max("_c").alias("high"), F.avg("_c").alias("mean"))
+
+
+def similar_groups(steps: DataFrame, uid: str, order: str, text: str, least: float = 0.95) -> DataFrame:
+    """Within a question, in order, a step joins the first group whose first text is at least so similar, else opens one.
+
+    The rule depends on the order, so a question's steps are one group; they are a few dozen. Equal texts are compared once.
+    """
+    kind = dict(steps.dtypes)
+
+    def group(rows):
+        from difflib import SequenceMatcher
+
+        import pandas as pd
+
+        heads, seen, out = [], {}, []
+        for value in rows.sort_values(order)[text]:
+            if value not in seen:
+                seen[value] = next((i for i, h in enumerate(heads) if SequenceMatcher(None, h, value).ratio() >= least), len(heads))
+                if seen[value] == len(heads):
+                    heads.append(value)
+            out.append(seen[value])
+        done = rows.sort_values(order)[[uid, order]].copy()
+        return pd.DataFrame(done.assign(group=out))
+
+    return steps.groupBy(uid).applyInPandas(group, f"{uid} {kind[uid]}, {order} {kind[order]}, group int")

@@ -8,11 +8,10 @@ from foliant.operators import curate as C
 
 from .tables import table
 
-_K = F.get_json_object("props", "$.k").cast("long")
 
 
 def _steps(spark, sf):
-    return table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value", _K.alias("k"))
+    return table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 def _docs(spark, sf):

@@ -8,12 +8,11 @@ from foliant.functions import labels as P
 
 from .tables import table
 
-_K = F.get_json_object("props", "$.k").cast("int")
 _join = lambda c: F.array_join(c, ",")
 
 
 def _events(spark, sf):
-    return table(spark, sf, "events").withColumn("k", _K)
+    return table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def p1_first_present(spark, sf):
