@@ -7,11 +7,13 @@ two sets agree on a register about as often as their Jaccard similarity.
 1. One pass gives each document its set size, a 128-bit fingerprint of the set and its registers. Documents with equal
    sets form a class at once; from here on one row stands for a class, so exact copies cost nothing.
 2. Registers are banded; classes that agree on a band share a bucket. Every class of a bucket is paired with the bucket's
-   smallest class only, so a large group gives as many pairs as it has members.
+   hub only, the class that meets most others over all bands, so a large group gives as many pairs as it has members.
 3. A pair goes on if sizes allow the similarity and the joint likelihood of its registers' orders (larger, smaller,
    equal) does not rule it out; then the full sets decide.
-4. Links are folded into components. Buckets that still hold several components give every pair across components,
-   which go through step 3 as well: nothing that shares a bucket is left untested unless it is connected already.
+4. Links are folded into components, and buckets that still hold several are tested across components: nothing that
+   shares a bucket is left untested unless it is connected already. Buckets of up to SMALL classes give their pairs, which
+   go through step 3. Larger ones with the same hub make one group, whose members outside the hub's component meet all
+   members in blocks of bounded size; a task works out all intersections of two blocks at once and gives links only.
 
 No bucket or candidate list is capped. With 36 bands of 4 registers a pair at the threshold 0.75 shares no bucket with
 probability (1 - 0.75^4)^36, about one in a million.
@@ -39,6 +41,10 @@ BASE, SHIFT, TOP = 1.0005, 16000, 65535
 MARGIN = 0.2
 #: Shingles whose registers are taken at a time, and word hashes a worker remembers.
 BLOCK, REMEMBERED = 1 << 17, 300_000
+#: Classes of a bucket whose pairs are written out, and of a block of a larger one.
+SMALL, MEMBERS = 32, 256
+#: Shingles per matrix product, and documents whose full sets are held at a time.
+COLUMNS, SETS = 4096, 256
 
 _random = np.random.default_rng(20240131)
 _WORD_FACTORS = _random.integers(0, 1 << 63, 16, np.uint64) * 2 + 1
@@ -156,7 +162,7 @@ def _sketched(size: int):
 
 def _full_sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, SETS) for whole in batches for i in range(0, whole.num_rows, SETS)):
             found = [shingle_hashes(t, size) for t in texts_of(batch.column(0))]
             prints = [[_mixed(s, salt).sum().astype(np.uint64).view(np.int64).item() if len(s) else 0 for s in found] for salt in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in found], pa.int64()), *(pa.array(p, pa.int64()) for p in prints), pa.array([s.tobytes() for s in found], pa.binary())], ["_n", "_f1", "_f2", "_set"])
@@ -190,6 +196,48 @@ def _linked(percent: int):
     return linked
 
 
+def block_links(percent: int):
+    """For two blocks of sets: the pairs in different components that are similar enough.
+
+    Shingles that a sixteenth of the sets have are counted by one matrix product, the others where they occur.
+    """
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = []
+        if left.num_rows and right.num_rows:
+            sets = [[np.frombuffer(x, np.uint64) for x in t.column("_set").to_pylist()] for t in (left, right)]
+            sizes = [np.array([len(x) for x in side]) for side in sets]
+            _, ids, times = np.unique(np.concatenate([*sets[0], *sets[1]]), return_inverse=True, return_counts=True)
+            common = times * 16 > left.num_rows + right.num_rows
+            place = np.cumsum(common) - 1
+            n = sizes[0].sum()
+            rare, often = [], []
+            for part, size in zip((ids[:n], ids[n:]), sizes, strict=True):
+                row, is_common = np.repeat(np.arange(len(size)), size), common[part]
+                often.append((row[is_common], place[part[is_common]]))
+                order = np.argsort(part[~is_common], kind="stable")
+                rare.append((part[~is_common][order], row[~is_common][order]))
+            counts = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+            for start in range(0, int(common.sum()), COLUMNS):
+                matrices = []
+                for (row, column), size in zip(often, sizes, strict=True):
+                    matrix = np.zeros((len(size), COLUMNS), np.float32)
+                    here = (column >= start) & (column < start + COLUMNS)
+                    matrix[row[here], column[here] - start] = 1
+                    matrices.append(matrix)
+                counts += matrices[0] @ matrices[1].T
+            for i in np.intersect1d(rare[0][0], rare[1][0]):
+                rows = [r[slice(*np.searchsorted(x, (i, i + 1)))] for x, r in rare]
+                counts[np.ix_(*rows)] += 1
+            roots = [t.column("_root").to_numpy() for t in (left, right)]
+            linked = ((100 + percent) * counts.astype(np.int64) >= percent * (sizes[0][:, None] + sizes[1])) & (roots[0][:, None] != roots[1])
+            sides = [t.column("_node").to_numpy()[at] for t, at in zip((left, right), np.nonzero(linked), strict=True)]
+        a, b = sides or ([], [])
+        return pa.table({"_a": pa.array(np.minimum(a, b) if len(a) else [], pa.int64()), "_b": pa.array(np.maximum(a, b) if len(a) else [], pa.int64())})
+
+    return both
+
+
 def components(links: DataFrame) -> DataFrame:
     """_node, _root (the smallest node reachable) of all nodes that links (_a, _b) name: rounds of smallest neighbour and shortcut."""
     both = settle(links.select(F.col("_a").alias("_x"), F.col("_b").alias("_y")).union(links.select("_b", "_a")))
@@ -216,8 +264,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("_band")
     banded = classes.select("_node", "_n", "_registers", band).select("_node", "_n", F.xxhash64("_band", F.expr(f"substring(_registers, {2 * ROWS} * _band + 1, {2 * ROWS})")).alias("_bucket"))
-    shared = banded.groupBy("_bucket").agg(F.min(F.struct("_node", "_n")).alias("_hub"), F.count("*").alias("_many")).where("_many > 1")
-    members = settle(banded.join(shared.select("_bucket", "_hub"), "_bucket").select("_bucket", "_node", "_n", "_hub"))
+    many = banded.groupBy("_bucket").agg(F.count("*").alias("_many")).where("_many > 1")
+    shared = settle(banded.join(many, "_bucket").select("_bucket", "_node", "_n", "_many"))
+    meets = shared.groupBy("_node").agg(F.sum("_many").alias("_meets"))
+    hubs = shared.join(meets, "_node").groupBy("_bucket").agg(F.max(F.struct("_meets", "_node", "_n")).alias("_hub"))
+    members = settle(shared.join(hubs, "_bucket").select("_bucket", "_node", "_n", "_many", F.struct("_hub._node", "_hub._n").alias("_hub")))
     fits = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
     first = F.col("_hub._node")
     stars = members.where((F.col("_node") != first) & fits(F.col("_n"), F.col("_hub._n"))).select(F.least("_node", first).alias("_a"), F.greatest("_node", first).alias("_b")).distinct()
@@ -225,26 +276,43 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     def side(name: str) -> DataFrame:
         return classes.select(F.col("_node").alias(f"_{name}"), F.col("_n").alias(f"_n{name}"), F.col("_registers").alias(f"_r{name}"))
 
+    def full_sets(nodes: DataFrame) -> DataFrame:
+        ids = classes.join(nodes.select("_node").distinct(), "_node", "left_semi").select("_first")
+        texts = source.join(ids, source["_id"] == ids["_first"], "left_semi").select("_text")
+        sets = texts.mapInArrow(_full_sets(shingle), "_n long, _f1 long, _f2 long, _set binary").select(node.alias("_node"), "_set")
+        return settle(sets.dropDuplicates(["_node"]))
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         likely = settle(pairs.join(side("a"), "_a").join(side("b"), "_b").mapInArrow(_likely(threshold), "_a long, _b long"))
-        asked = likely.select(F.col("_a").alias("_node")).union(likely.select("_b")).distinct()
-        ids = classes.join(asked, "_node", "left_semi").select("_first")
-        texts = source.join(ids, source["_id"] == ids["_first"], "left_semi").select("_text")
-        sets = texts.mapInArrow(_full_sets(shingle), "_n long, _f1 long, _f2 long, _set binary").select(node.alias("_node"), "_set")
-        sets = settle(sets.dropDuplicates(["_node"]))
+        sets = full_sets(likely.select(F.col("_a").alias("_node")).union(likely.select("_b")))
         a, b = (sets.select(F.col("_node").alias(f"_{x}"), F.col("_set").alias(f"_s{x}")) for x in "ab")
         return settle(likely.join(a, "_a").join(b, "_b").mapInArrow(_linked(percent), "_a long, _b long"))
 
+    def linked_in_blocks(large: DataFrame) -> DataFrame:
+        """large: _group (its hub), _node, _root: links of members outside the hub's component with all members."""
+        held = large.join(full_sets(large), "_node")
+        hub_roots = large.where("_group = _node").select("_group", F.col("_root").alias("_hub_root"))
+        sizes = large.groupBy("_group").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_blocks"))
+        held = settle(held.join(sizes.join(hub_roots, "_group"), "_group").withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")))
+        every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+        left = held.where("_root <> _hub_root").select("_group", F.col("_block").alias("_l"), every.alias("_r"), "_node", "_root", "_set")
+        right = held.select("_group", every.alias("_l"), F.col("_block").alias("_r"), "_node", "_root", "_set")
+        keys = ("_group", "_l", "_r")
+        return settle(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block_links(percent), "_a long, _b long").distinct())
+
     links = linked(stars)
     labels = components(links)
-    placed = members.join(labels, "_node", "left").select("_bucket", "_node", "_n", F.coalesce("_root", "_node").alias("_root"))
+    placed = members.join(labels, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     mixed = placed.groupBy("_bucket").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high").select("_bucket")
     placed = settle(placed.join(mixed, "_bucket", "left_semi"))
-    other = placed.select("_bucket", F.col("_node").alias("_node2"), F.col("_n").alias("_n2"), F.col("_root").alias("_root2"))
-    across = placed.join(other, "_bucket").where((F.col("_root") < F.col("_root2")) & fits(F.col("_n"), F.col("_n2")))
+    few = placed.where(F.col("_many") <= SMALL)
+    other = few.select("_bucket", F.col("_node").alias("_node2"), F.col("_n").alias("_n2"), F.col("_root").alias("_root2"))
+    across = few.join(other, "_bucket").where((F.col("_root") < F.col("_root2")) & fits(F.col("_n"), F.col("_n2")))
     across = across.select(F.least("_node", "_node2").alias("_a"), F.greatest("_node", "_node2").alias("_b")).distinct()
     more = linked(across.join(stars, ["_a", "_b"], "left_anti"))
+    large = placed.where(F.col("_many") > SMALL).select(F.col("_hub._node").alias("_group"), "_node", "_root").distinct()
+    more = more.union(linked_in_blocks(settle(large)))
     if not more.isEmpty():
         labels = components(links.union(more))
 

@@ -70,6 +70,19 @@ def test_components_against_all_pairs(spark, awkward, awkward_rows):
     assert sorted(r.doc_id for r in kept) == sorted({i for i, c in want.items() if i == c})
 
 
+def test_large_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "SMALL", 4)
+    monkeypatch.setattr(setsketch, "MEMBERS", 8)
+    rnd, base, rows = random.Random(9), prose(77, 110).split(), []
+    for i in range(90):  # copies of one text, some of which are like each other but not like it
+        w = list(base)
+        for _ in range(rnd.randrange(9)):
+            w[rnd.randrange(len(w))] = f"z{rnd.randrange(9999)}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:105]))]
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute.components(rows)
+
+
 def test_registers_merge_and_estimate():
     rnd = np.random.default_rng(1)
     whole = rnd.integers(0, 1 << 63, 900, np.uint64)
