@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Scorer = Callable[[str, str, str, str], float]
 
@@ -62,7 +63,7 @@ def reduce_groups(df: DataFrame, keys: list[str], value: str, names: list[str])
 
 def embed(df: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
     """Df with a vector per text by the caller's batch function."""
-    fields = df.schema.add("vector", "array<float>")
+    fields = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

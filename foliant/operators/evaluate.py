@@ -90,6 +90,12 @@ def summary_v1(trajs: DataFrame, iterations: str, decision: str, classes: Sequen
     return listed.join(per, "decision", "left").fillna(0, ["n"]).crossJoin(F.broadcast(whole))
 
 
+def summary_baseline(steps: DataFrame, traj: str, kinds: Mapping[str, Column]) -> DataFrame:
+    """Trajectories, mean steps, and per kind of step how many there are and how many a trajectory has."""
+    per = steps.groupBy(traj).agg(F.count("*").alias("_n"), *(F.count(F.when(c, 1)).alias(n) for n, c in kinds.items()))
+    return per.agg(F.count("*").alias("trajectories"), F.avg("_n").alias("mean_steps"), *(F.sum(n).alias(f"{n}_total") for n in kinds), *(F.avg(n).alias(f"{n}_mean") for n in kinds))
+
+
 def corpus_stats(qa: DataFrame, split: str, deck: str, n_evidence: str, arithmetic: str) -> DataFrame:
     """Per split: questions, decks, multi-hop questions, those with arithmetic (not null, empty or "None"), evidence histogram."""
     hist = qa.groupBy(split, n_evidence).agg(F.count("*").alias("_n")).groupBy(split).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(n_evidence, "_n")))).alias("evidence_sizes"))

@@ -74,6 +74,11 @@ def a12_summary_v1(spark, sf):
     return _r(A.summary_v1(_preds(spark, sf), "n_chars", "ended", ["answer", "limit", "error"]), "mean_iterations")
 
 
+def a13_summary_baseline(spark, sf):
+    out = A.summary_baseline(_steps(spark, sf), "user_id", {"search": F.col("event_type") == "view", "summarise": F.col("event_type") == "click"})
+    return _r(out, "mean_steps", "search_mean", "summarise_mean")
+
+
 def a14_corpus_stats(spark, sf):
     p = _preds(spark, sf).withColumn("n_ev", F.col("doc_id") % 4 + 1).withColumn("arith", F.when(F.col("doc_id") % 3 == 0, "None").when(F.col("doc_id") % 3 == 1, "a+b"))
     return A.corpus_stats(p, "lang", "source", "n_ev", "arith").withColumn("evidence_sizes", F.to_json("evidence_sizes"))
@@ -144,6 +149,7 @@ ORACLE_SQL = {
     "a10_top_errors": f"{_S} SELECT event_type, 'm' || k % 30 AS message, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, 'm' || k % 30)::INT AS rank FROM s GROUP BY 1, 2 QUALIFY rank <= 10",
     "a11_examples": f"{_P} SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS rank FROM p QUALIFY rank <= 3",
     "a12_summary_v1": f"{_P} SELECT d.decision, (SELECT count(*) FROM p WHERE ended = d.decision) AS n, (SELECT round(avg(n_chars), 9) FROM p) AS mean_iterations, (SELECT median(n_chars) FROM p) AS median_iterations FROM (VALUES ('answer'), ('limit'), ('error')) AS d(decision)",
+    "a13_summary_baseline": f"{_S}, p AS (SELECT count(*) AS n, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c FROM s GROUP BY user_id) SELECT count(*) AS trajectories, round(avg(n), 9) AS mean_steps, sum(v)::BIGINT AS search_total, sum(c)::BIGINT AS summarise_total, round(avg(v), 9) AS search_mean, round(avg(c), 9) AS summarise_mean FROM p",
     "a14_corpus_stats": f"{_P} SELECT lang, count(*) AS questions, count(DISTINCT source) AS decks, count(*) FILTER (doc_id % 4 > 0) AS multi, count(*) FILTER (doc_id % 3 = 1) AS arithmetic, '{{' || (SELECT string_agg('\"' || e || '\":' || n, ',' ORDER BY e) FROM (SELECT doc_id % 4 + 1 AS e, count(*) AS n FROM p q WHERE q.lang = p.lang GROUP BY 1)) || '}}' AS evidence_sizes FROM p GROUP BY lang",
     "a15_upper_median": f"{_P} SELECT lang, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS upper_median FROM p GROUP BY lang",
     "a17_run_totals": f"""{_P}, k AS (SELECT *, coalesce(ok, false) AS kept FROM p), x AS (SELECT 'processed' AS kind, 'all' AS name FROM k UNION ALL SELECT 'kept', 'all' FROM k WHERE kept UNION ALL SELECT 'kept_hop', lang FROM k WHERE kept UNION ALL SELECT 'reason', 'judge' FROM k WHERE ok IS NULL UNION ALL SELECT 'reason', 'short' FROM k WHERE NOT kept AND n_chars < 500 UNION ALL SELECT 'tag', 'crop' FROM k WHERE kept AND doc_id % 2 > 0 UNION ALL SELECT 'tag', 'revisit' FROM k WHERE kept AND doc_id % 3 > 0) SELECT kind, name, count(*) AS n FROM x GROUP BY 1, 2""",

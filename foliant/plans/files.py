@@ -52,6 +52,24 @@ def s4_unpivot_pages(spark, sf):
     return io.unpivot_pages(c.unionByName(c), "conv_id").select("conv_id", "page", F.length("bytes").alias("size"))
 
 
+def _page_files(spark, sf):
+    """One small file per page, in a folder of its deck."""
+    path = _new(spark)
+    p = table(spark, sf, "pages").select((F.col("page_id") % 5).alias("deck"), (F.col("page_id") % 7).alias("n"), "url").distinct()
+    p.groupBy("deck", "n").agg(F.count("*").cast("string").alias("value")).repartition("deck", "n").write.partitionBy("deck", "n").text(path)
+    return path
+
+
+def s5_scan_page_files(spark, sf):
+    files = io.scan_page_files(spark, _page_files(spark, sf), ["txt"])
+    return files.select(F.regexp_extract("path", r"(deck=\d+/n=\d+)/", 1).alias("place")).distinct()
+
+
+def s6_parse_page_files(spark, sf):
+    files = io.scan_page_files(spark, _page_files(spark, sf), ["txt"]).select(F.regexp_replace("path", r"^.*deck=(\d+)/n=(\d+)/.*$", "/x/$1_$2.jpg").alias("path")).distinct()
+    return io.parse_page_files(files, "path", r"^(\d+)_(\d+)\.jpg$", 0).select("deck", "page", "label")
+
+
 def s7_read_index_entries(spark, sf):
     path = _new(spark)
     p = table(spark, sf, "pages").select(F.col("page_id"), F.concat(F.lit("img/page_"), F.col("page_id"), F.lit(".png")).alias("f"))
@@ -128,6 +146,28 @@ def x6_latest_snapshot(spark, sf):
     return spark.read.parquet(f"{out}/0").select("sample_id", "t", "answer")
 
 
+def x1_stream_predictions(spark, sf):
+    out = _new(spark)
+    stream = jobs.stream_predictions(spark, _prediction_files(spark, sf), _SCHEMA, 2)
+    stream.where("bad IS NULL").select("sample_id", "t", "answer").writeStream.format("parquet").option("checkpointLocation", _new(spark)).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("sample_id long, t long, answer string").parquet(out)
+
+
+def x8_stream_memory(spark, sf):
+    """Turns arrive in three closed files; the last one of each user answers."""
+    from .nested import _tree_turns
+
+    turns, path, out = _tree_turns(spark, sf), _new(spark), _new(spark)
+    last = turns.groupBy(F.col("user_id").alias("_u")).agg(F.max("event_id").alias("_m"))
+    turns = turns.join(last, F.col("user_id") == F.col("_u")).withColumn("op", F.when(F.col("event_id") == F.col("_m"), "answer").otherwise(F.col("op"))).drop("_u", "_m")
+    top = turns.agg(F.max("event_id")).first()[0] or 0
+    for i in range(3):
+        turns.where(F.floor(F.col("event_id") * 3 / (top + 1)) == i).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.stream_memory(spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(path), "user_id", "event_id")
+    stream.select("user_id", F.size("nodes").alias("n_nodes"), "active").writeStream.format("parquet").option("checkpointLocation", _new(spark)).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("user_id long, n_nodes int, active string").parquet(out)
+
+
 def x4_pending(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id"), F.when(F.col("doc_id") % 4 == 0, True).alias("verdict"))
     side = table(spark, sf, "events").select(F.pmod("event_id", F.lit(1500)).alias("doc_id"), F.when(F.col("event_type") == "click", True).alias("verdict")).where("verdict IS NULL OR doc_id % 2 = 0")
@@ -142,6 +182,8 @@ ORACLE_SQL = {
     "s2_read_jsonl_lenient": """SELECT CASE WHEN doc_id % 9 = 0 THEN substr('{"doc_id":' || doc_id || ',"quality":', 1, 14) ELSE doc_id::VARCHAR END AS x, CASE WHEN doc_id % 9 = 0 THEN 'bad' ELSE 'good' END AS side FROM labels""",
     "s3_read_qa_parquet": "SELECT doc_id, lang FROM documents",
     "s4_unpivot_pages": "SELECT conv_id, (turn + 1)::INT AS page, strlen(text)::INT AS size FROM conversations WHERE turn < 5",
+    "s5_scan_page_files": "SELECT DISTINCT 'deck=' || page_id % 5 || '/n=' || page_id % 7 AS place FROM pages",
+    "s6_parse_page_files": "SELECT DISTINCT (page_id % 5)::VARCHAR AS deck, (page_id % 7 + 1)::INT AS page, page_id % 5 || '/page_0' || page_id % 7 + 1 AS label FROM pages",
     "s7_read_index_entries": "SELECT 'img/page_' || page_id || '.png' AS image_path, CASE WHEN page_id % 2 = 1 AND page_id % 3 = 0 THEN 'named' ELSE 'page_' || page_id END AS page_label FROM pages",
     "s8_append_new": "SELECT doc_id AS sample_id, CASE WHEN doc_id % 3 = 0 THEN quality ELSE 9 END AS quality, toxic FROM labels",
     "s9_write_verified": "SELECT doc_id::VARCHAR AS doc_id, quality::BIGINT AS quality FROM labels",
@@ -149,6 +191,7 @@ ORACLE_SQL = {
     "s11_verify_manifest": "SELECT * FROM (VALUES ('part=0', 'missing'), ('part=1', 'size'), ('part=2', 'sha256')) AS t(part, error)",
     "s13_dump_generations": "SELECT (doc_id % 5)::INT AS step, count(*) AS n FROM labels GROUP BY 1",
     "s14_fanout": "SELECT 'all' AS outcome, count(*) AS n FROM labels UNION ALL SELECT CASE quality WHEN 1 THEN 'kept' ELSE 'rejected' END, count(*) FROM labels GROUP BY 1",
+    "x1_stream_predictions": f"{_E} SELECT sample_id, t, answer FROM e",
     "x2_commit_scored": f"{_E} SELECT sample_id, v OR answer = 'click' AS verdict, NULL::VARCHAR AS judge_error FROM e WHERE t < 700",
     "x3_stream_totals": f"{_E} SELECT answer, count(*) AS seen, count(*) FILTER (v) AS judged, nullif(count(*) FILTER (v), 0) AS correct FROM e GROUP BY 1",
     "x6_latest_snapshot": f"{_E} SELECT sample_id::VARCHAR AS sample_id, max(t) AS t, arg_max(answer, t) AS answer FROM e GROUP BY 1",

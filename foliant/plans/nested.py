@@ -66,6 +66,15 @@ def _nodes(spark, sf):
     return _steps(spark, sf).select("event_id", nodes.alias("nodes"))
 
 
+def n4_flatten_memory(spark, sf):
+    facts = F.array(F.struct(F.concat(F.lit("P"), F.col("k") % 3).alias("page"), F.lit(1).alias("n"), F.col("k").cast("string").alias("text")))
+    memory = _nodes(spark, sf).join(_steps(spark, sf).select("event_id", facts.alias("facts")), "event_id")
+    parts = N.flatten_memory(memory, "event_id")
+    nodes, links, held = parts["nodes"], parts["links"], parts["facts"]
+    per = lambda df, kind, what: df.groupBy(F.lit(kind).alias("kind"), F.col(what).alias("what")).agg(F.count("*").alias("n"))
+    return per(nodes, "node", "status").unionByName(per(links, "link", "page")).unionByName(per(held, "fact", "page"))
+
+
 def n5_evidence_pages(spark, sf):
     labels = F.create_map(*(F.lit(x) for i in range(3) for x in (f"P{i}", f"d/page_0{i}")))
     return _nodes(spark, sf).select("event_id", F.array_join(N.evidence_pages(F.col("nodes"), labels), ",").alias("pages"))
@@ -188,6 +197,21 @@ def u4_reduce_groups(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
+def u5_embed(spark, sf):
+    def letters(texts):
+        return [[float(t.count(c)) for c in "abc"] for t in texts]
+
+    out = U.embed(table(spark, sf, "benchmark").select("item_id", "text"), "text", letters, 16)
+    return out.select("item_id", *(F.get("vector", F.lit(i)).cast("long").alias(c) for i, c in enumerate("abc")))
+
+
+def u6_row_generators(spark, sf):
+    """Several rows from one by plain functions: tasks per page and steps per trace."""
+    tasks = N.page_tasks(_traces(spark, sf).select("user_id", F.transform("trace", lambda t: t["k"]).alias("pages")), "user_id", "pages", 1, 9)
+    steps = N.explode_trace(_traces(spark, sf), "trace").groupBy("user_id").agg(F.count("event_id").alias("steps"))
+    return tasks.groupBy("user_id").agg(F.count("*").alias("tasks")).join(steps, "user_id")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "fnmdwu" and k[1].isdigit()}
 
 _S = "WITH s AS (SELECT event_id, user_id, event_type, value, (props->>'$.k')::INT AS k FROM events)"
@@ -199,6 +223,7 @@ ORACLE_SQL = {
     "n1_explode_trace": f"{_S} SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS step, event_id, event_type, k FROM s",
     "n2_build_sft_rows": "SELECT conv_id || ':turn:' || turn AS id, 2 AS n, CASE role WHEN 'user' THEN 'human' ELSE 'gpt' END AS speaker FROM conversations WHERE role <> 'system' AND turn % 3 > 0",
     "n3_pack_trajectories": f"{_S} SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS texts, string_agg(CASE k % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'a,b' END, ',' ORDER BY event_id) AS images FROM s WHERE k % 25 = 0 GROUP BY 1 HAVING count(*) FILTER (k % 3 > 0) > 0",
+    "n4_flatten_memory": f"{_S}, x AS (SELECT 'node' AS kind, unnest(['resolved', 'open']) AS what FROM s UNION ALL SELECT 'link', unnest(['P' || k % 3, 'P1', 'P' || (k + 1) % 3, 'P1']) FROM s UNION ALL SELECT 'fact', 'P' || k % 3 FROM s) SELECT kind, what, count(*) AS n FROM x GROUP BY 1, 2",
     "n5_evidence_pages": f"{_S} SELECT event_id, CASE k % 3 WHEN 0 THEN 'd/page_00,d/page_01' WHEN 1 THEN 'd/page_01,d/page_02' ELSE 'd/page_02,d/page_01,d/page_00' END AS pages FROM s",
     "n6_linked": f"{_S} SELECT event_id, CASE k % 3 WHEN 2 THEN 'N0' WHEN 1 THEN 'N1' ELSE '' END AS nodes FROM s",
     "n7_render_notes": f"{_S} SELECT event_id, 'N0 q' || CASE WHEN k % 2 = 0 THEN ' = a [P' || k % 3 || ', P1]' ELSE ' (open)' END || chr(10) || 'N1 q' || CASE WHEN k % 2 = 1 THEN ' = a [P' || (k + 1) % 3 || ', P1]' ELSE ' (open)' END AS notes FROM s",
@@ -216,5 +241,7 @@ ORACLE_SQL = {
     "u1_exact_match": f"{_S} SELECT event_id, CASE WHEN k % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS score FROM s",
     "u2_supported_match": f"{_S} SELECT event_id, k % 2 = 0 AS correct, event_type IN ('click', 'view') AS support, event_type = 'view' AS support_gold FROM s",
     "u3_plugged_scorer": f"{_S}, t AS (SELECT event_id, CASE WHEN k % 3 = 0 THEN '' ELSE event_type END AS a, CASE WHEN k % 2 = 0 THEN '' ELSE event_type END AS b FROM s) SELECT event_id, round(CASE WHEN a = b THEN CASE WHEN b = '' THEN -1 ELSE 1 / length(b) END ELSE length(a) - length(b) END, 6)::DOUBLE AS score, CASE WHEN a = b AND b = '' THEN 'ZeroDivisionError' END AS error FROM t",
+    "u5_embed": "SELECT item_id, " + ", ".join(f"length(text) - length(replace(text, '{c}', '')) AS {c}" for c in "abc") + " FROM benchmark",
+    "u6_row_generators": f"{_S} SELECT user_id, count(DISTINCT k) FILTER (k BETWEEN 1 AND 9) AS tasks, count(*) AS steps FROM s GROUP BY 1",
     "u4_reduce_groups": "SELECT event_type, round(avg(value), 6) AS mean, max(value) AS max, min(value) AS min, round(stddev_pop(value), 6) AS std, median(value) AS median FROM events GROUP BY 1",
 }

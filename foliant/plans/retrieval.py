@@ -85,6 +85,14 @@ def r8_recall_report(spark, sf):
     return reports[0].unionByName(reports[1])
 
 
+def j11_score_pairs(spark, sf):
+    pages = _pages(spark, sf)
+    flat = R.score_pairs(_queries(pages).drop("deck", "qv"), pages.select("label", "deck"))
+    deck = R.score_pairs(_queries(pages).drop("qv"), pages.select("label", "deck"), ["deck"])
+    count = lambda df, scope: df.groupBy("query").agg(F.count("*").alias("pages"), F.sum("label").alias("labels")).withColumn("scope", F.lit(scope))
+    return count(flat, "flat").unionByName(count(deck, "deck"))
+
+
 def r9_index_stats(spark, sf):
     return R.index_stats(_multi(spark, sf))
 
@@ -106,7 +114,7 @@ def r12_gold_rank(spark, sf):
     return R.gold_rank(ranked.where("label <> query"), _gold(pages))
 
 
-QUERIES = {f.__name__: f for f in (r1_l2_normalize, r2_mean_pool, r3_dense_topk, r4_deck_topk, r5_maxsim_topk, r5_maxsim_long, r6_existing_topk, r7_first_unseen, r8_recall_report, r9_index_stats, r10_augment_index, r11_check_index, r12_gold_rank)}
+QUERIES = {f.__name__: f for f in (r1_l2_normalize, r2_mean_pool, r3_dense_topk, r4_deck_topk, r5_maxsim_topk, r5_maxsim_long, r6_existing_topk, r7_first_unseen, r8_recall_report, j11_score_pairs, r9_index_stats, r10_augment_index, r11_check_index, r12_gold_rank)}
 
 _E = """
 e AS (SELECT vec_id AS label, label AS deck, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -137,6 +145,7 @@ ORACLE_SQL = {
     "r6_existing_topk": f"WITH {_E} SELECT query, label, score, {_TOP} FROM s WHERE label IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) QUALIFY rank <= 5",
     "r7_first_unseen": f"WITH {_E}, t AS (SELECT query, label, {_TOP} FROM s QUALIFY rank <= 3) SELECT q.label AS episode, (SELECT arg_min(t.label, t.rank) FROM t WHERE t.query = q.label AND t.rank > q.label % 4) AS label FROM e q WHERE q.label < 20",
     "r8_recall_report": f"WITH {_E}, {_FLAT}, {_GOLD} {_REPORT.format(scope='flat', ranked='flat')} UNION ALL {_REPORT.format(scope='deck', ranked='decks')}",
+    "j11_score_pairs": "SELECT q.vec_id AS query, count(*) AS pages, sum(p.vec_id)::BIGINT AS labels, 'flat' AS scope FROM embeddings q, embeddings p WHERE q.vec_id < 20 GROUP BY 1 UNION ALL SELECT q.vec_id, count(*), sum(p.vec_id)::BIGINT, 'deck' FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id < 20 GROUP BY 1",
     "r9_index_stats": "SELECT count(*) AS pages, avg(n) AS mean_tokens, min(n) AS min_tokens, max(n) AS max_tokens FROM (SELECT vec_id // 4, count(*) AS n FROM embeddings GROUP BY 1)",
     "r10_augment_index": f"WITH {_E} SELECT label, CASE WHEN label % 3 <> 0 THEN 0 ELSE 1 END AS part, round(list_sum(v), 6) AS total FROM u WHERE label % 3 <> 0 OR label % 2 = 0",
     "r11_check_index": "SELECT label AS deck, count(*) FILTER (vec_id % 7 <> 0) AS entries, count(*) FILTER (vec_id % 5 <> 0) AS vectors, count(*) FILTER ((vec_id % 7 <> 0) <> (vec_id % 5 <> 0)) AS unmatched FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 5 <> 0 GROUP BY 1",

@@ -68,6 +68,19 @@ def test_fold_of_all_users(spark, sf):
         assert x.evidence == ",".join(dict.fromkeys(p for n in nodes for p in n[2]))
 
 
+def test_streamed_memories_are_the_folded_ones(spark, sf):
+    from pyspark.sql import functions as F
+
+    from foliant.plans import files
+
+    turns = nested._tree_turns(spark, sf)
+    last = {r.user_id: r.m for r in turns.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
+    ends = spark.createDataFrame(list(last.items()), "user_id long, m long")
+    turns = turns.join(ends, "user_id").withColumn("op", F.when(F.col("event_id") == F.col("m"), "answer").otherwise(F.col("op"))).drop("m")
+    want = {r.user_id: (len(r.nodes), r.active) for r in memory.fold_memory(turns, "user_id", "event_id").collect()}
+    assert {r.user_id: (r.n_nodes, r.active) for r in files.x8_stream_memory(spark, sf).collect()} == want
+
+
 def test_two_keys(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.choice([None, *range(12)]), rnd.randrange(15)) for i in range(120)]
