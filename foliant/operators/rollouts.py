@@ -184,7 +184,7 @@ def action_penalty(rows: DataFrame, rewards: str, mask: str, valid: str, coef: f
 
 
 def kl_rewards(rewards: Column, logp: Column, ref: Column, mask: Column, beta: float, kind: str = "k1") -> tuple[Column, Column]:
-    """Per token reward - beta * KL estimate * mask, and the masked mean of the estimate."""
+    """Per token reward - beta * KL estimate * mask, and the masked mean of the estimate (null where nothing is masked in)."""
     def estimate(d: Column) -> Column:
         if kind == "k1":
             return d
@@ -196,7 +196,7 @@ def kl_rewards(rewards: Column, logp: Column, ref: Column, mask: Column, beta: f
         return F.least(F.greatest(F.exp(back) - back - 1, F.lit(-10.0)), F.lit(10.0))
 
     kl = F.zip_with(F.zip_with(logp, ref, lambda a, b: estimate(a - b)), mask, lambda k, m: k * m)
-    mean = F.aggregate(kl, F.lit(0.0), lambda s, x: s + x) / F.aggregate(mask, F.lit(0.0), lambda s, x: s + x)
+    mean = F.try_divide(F.aggregate(kl, F.lit(0.0), lambda s, x: s + x), F.aggregate(mask, F.lit(0.0), lambda s, x: s + x))
     return F.zip_with(rewards, kl, lambda r, k: r - beta * k), mean
 
 

@@ -48,7 +48,7 @@ def s3_read_qa_parquet(spark, sf):
 
 
 def s4_unpivot_pages(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == k - 1, F.struct(F.col("text").cast("binary").alias("bytes")))).alias(f"page_{k}") for k in range(1, 6)))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == k - 1, F.struct(F.col("text").cast("binary").alias("bytes")))).alias(f"page_{k}") for k in range(1, 21)))
     return io.unpivot_pages(c.unionByName(c), "conv_id").select("conv_id", "page", F.length("bytes").alias("size"))
 
 
@@ -125,10 +125,10 @@ def _prediction_files(spark, sf):
 
 
 def x2_commit_scored(spark, sf):
-    """Every committed sample is scored once, by its first row here."""
+    """Every row is a sample here; each is scored and committed once."""
     path, out = _prediction_files(spark, sf), _new(spark)
     stream = jobs.stream_predictions(spark, path, _SCHEMA)
-    jobs.commit_scored(stream.where("t < 700"), out, _new(spark), "sample_id", exact_match(F.col("answer"), F.lit("click")) == 1).awaitTermination()
+    jobs.commit_scored(stream.withColumn("sample_id", F.col("t")), out, _new(spark), "sample_id", exact_match(F.col("answer"), F.lit("click")) == 1).awaitTermination()
     return spark.read.parquet(out).select("sample_id", "verdict", "judge_error")
 
 
@@ -181,7 +181,7 @@ ORACLE_SQL = {
     "s1_read_jsonl": "SELECT quality, count(*) AS n FROM (SELECT *, row_number() OVER () AS i FROM labels) WHERE i > 1 AND doc_id % 10 <> 0 GROUP BY 1",
     "s2_read_jsonl_lenient": """SELECT CASE WHEN doc_id % 9 = 0 THEN substr('{"doc_id":' || doc_id || ',"quality":', 1, 14) ELSE doc_id::VARCHAR END AS x, CASE WHEN doc_id % 9 = 0 THEN 'bad' ELSE 'good' END AS side FROM labels""",
     "s3_read_qa_parquet": "SELECT doc_id, lang FROM documents",
-    "s4_unpivot_pages": "SELECT conv_id, (turn + 1)::INT AS page, strlen(text)::INT AS size FROM conversations WHERE turn < 5",
+    "s4_unpivot_pages": "SELECT conv_id, (turn + 1)::INT AS page, strlen(text)::INT AS size FROM conversations WHERE turn < 20",
     "s5_scan_page_files": "SELECT DISTINCT 'deck=' || page_id % 5 || '/n=' || page_id % 7 AS place FROM pages",
     "s6_parse_page_files": "SELECT DISTINCT (page_id % 5)::VARCHAR AS deck, (page_id % 7 + 1)::INT AS page, page_id % 5 || '/page_0' || page_id % 7 + 1 AS label FROM pages",
     "s7_read_index_entries": "SELECT 'img/page_' || page_id || '.png' AS image_path, CASE WHEN page_id % 2 = 1 AND page_id % 3 = 0 THEN 'named' ELSE 'page_' || page_id END AS page_label FROM pages",
@@ -192,7 +192,7 @@ ORACLE_SQL = {
     "s13_dump_generations": "SELECT (doc_id % 5)::INT AS step, count(*) AS n FROM labels GROUP BY 1",
     "s14_fanout": "SELECT 'all' AS outcome, count(*) AS n FROM labels UNION ALL SELECT CASE quality WHEN 1 THEN 'kept' ELSE 'rejected' END, count(*) FROM labels GROUP BY 1",
     "x1_stream_predictions": f"{_E} SELECT sample_id, t, answer FROM e",
-    "x2_commit_scored": f"{_E} SELECT sample_id, v OR answer = 'click' AS verdict, NULL::VARCHAR AS judge_error FROM e WHERE t < 700",
+    "x2_commit_scored": f"{_E} SELECT t AS sample_id, v OR answer = 'click' AS verdict, NULL::VARCHAR AS judge_error FROM e",
     "x3_stream_totals": f"{_E} SELECT answer, count(*) AS seen, count(*) FILTER (v) AS judged, nullif(count(*) FILTER (v), 0) AS correct FROM e GROUP BY 1",
     "x6_latest_snapshot": f"{_E} SELECT sample_id::VARCHAR AS sample_id, max(t) AS t, arg_max(answer, t) AS answer FROM e GROUP BY 1",
     "x4_pending": "WITH s AS (SELECT event_id % 1500 AS d, event_type = 'click' AS v FROM events WHERE event_type <> 'click' OR event_id % 1500 % 2 = 0), n AS (SELECT d, count(*) AS n, count(*) FILTER (v) AS v FROM s GROUP BY 1) SELECT doc_id FROM documents LEFT JOIN n ON d = doc_id WHERE doc_id % 4 <> 0 AND coalesce(n, 0) < 6 AND coalesce(v, 0) = 0",

@@ -56,7 +56,7 @@ def n2_build_sft_rows(spark, sf):
 
 
 def n3_pack_trajectories(spark, sf):
-    s = _steps(spark, sf).withColumn("images", F.expr("slice(array('a', 'b'), 1, k % 3)")).where("k % 25 = 0")
+    s = _steps(spark, sf).withColumn("images", F.expr("slice(array('a', 'b'), 1, if(user_id % 3 = 0, 0, k % 3))"))
     out = N.pack_trajectories(s, "user_id", "event_id", "event_type", "images")
     return out.select("user_id", F.array_join("texts", ",").alias("texts"), F.array_join("images", ",").alias("images"))
 
@@ -222,7 +222,7 @@ ORACLE_SQL = {
     "f8_check_rules": f"{_S}, t AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'none' WHEN k % 5 = 0 THEN 'zoom' ELSE 'page' END AS view FROM s WHERE k % 7 IN (0, 4, 5)) SELECT event_id, CASE WHEN k % 11 = 0 AND k % 7 <> 5 THEN 'budget' WHEN view = 'none' AND k % 3 = 0 THEN 'page edit without page' WHEN view = 'none' AND k % 7 = 4 THEN 'crop without page' WHEN view = 'zoom' AND k % 7 = 4 THEN 'second crop' END AS rule FROM t",
     "n1_explode_trace": f"{_S} SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS step, event_id, event_type, k FROM s",
     "n2_build_sft_rows": "SELECT conv_id || ':turn:' || turn AS id, 2 AS n, CASE role WHEN 'user' THEN 'human' ELSE 'gpt' END AS speaker FROM conversations WHERE role <> 'system' AND turn % 3 > 0",
-    "n3_pack_trajectories": f"{_S} SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS texts, string_agg(CASE k % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'a,b' END, ',' ORDER BY event_id) AS images FROM s WHERE k % 25 = 0 GROUP BY 1 HAVING count(*) FILTER (k % 3 > 0) > 0",
+    "n3_pack_trajectories": f"{_S} SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS texts, string_agg(CASE k % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'a,b' END, ',' ORDER BY event_id) AS images FROM s WHERE user_id % 3 > 0 GROUP BY 1 HAVING count(*) FILTER (k % 3 > 0) > 0",
     "n4_flatten_memory": f"{_S}, x AS (SELECT 'node' AS kind, unnest(['resolved', 'open']) AS what FROM s UNION ALL SELECT 'link', unnest(['P' || k % 3, 'P1', 'P' || (k + 1) % 3, 'P1']) FROM s UNION ALL SELECT 'fact', 'P' || k % 3 FROM s) SELECT kind, what, count(*) AS n FROM x GROUP BY 1, 2",
     "n5_evidence_pages": f"{_S} SELECT event_id, CASE k % 3 WHEN 0 THEN 'd/page_00,d/page_01' WHEN 1 THEN 'd/page_01,d/page_02' ELSE 'd/page_02,d/page_01,d/page_00' END AS pages FROM s",
     "n6_linked": f"{_S} SELECT event_id, CASE k % 3 WHEN 2 THEN 'N0' WHEN 1 THEN 'N1' ELSE '' END AS nodes FROM s",

@@ -1,4 +1,4 @@
-"""Retrieval over `embeddings`: a page is a vector, its deck is `label`, the queries are the vectors below 20."""
+"""Retrieval over `embeddings`: a page is a vector, its deck is `label`; queries are the rows whose id is divisible by EVERY."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from foliant.operators import retrieve as R
 
 from .tables import table
 
-N_QUERIES = 20
+EVERY = 100
 
 
 def _pages(spark, sf):
@@ -16,7 +16,7 @@ def _pages(spark, sf):
 
 
 def _queries(pages):
-    return pages.where(f"label < {N_QUERIES}").select(F.col("label").alias("query"), "deck", F.col("v").alias("qv"))
+    return pages.where(f"label % {EVERY} = 0").select(F.col("label").alias("query"), "deck", F.col("v").alias("qv"))
 
 
 def r1_l2_normalize(spark, sf):
@@ -46,13 +46,13 @@ def _multi(spark, sf):
 
 def r5_maxsim_topk(spark, sf):
     pages = _multi(spark, sf)
-    queries = pages.where("label < 5").select(F.col("label").alias("query"), F.col("v").alias("qv"))
+    queries = pages.where(f"label % {EVERY} = 0").select(F.col("label").alias("query"), F.col("v").alias("qv"))
     return R.maxsim_topk(queries, pages, 8).select("query", "label", "score", "rank")
 
 
 def r5_maxsim_long(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.expr("vec_id div 4").alias("label"), F.col("vec_id").alias("tok"), F.col("embedding").alias("v"))
-    queries = rows.where("label < 5").select(F.col("label").alias("query"), F.col("tok").alias("qtok"), F.col("v").alias("qv"))
+    queries = rows.where(f"label % {EVERY} = 0").select(F.col("label").alias("query"), F.col("tok").alias("qtok"), F.col("v").alias("qv"))
     scored = R.maxsim_long(queries, rows)
     return R.top_k(scored, "query", "score", "label", 8)
 
@@ -71,7 +71,7 @@ def r7_first_unseen(spark, sf):
 
 
 def _gold(pages):
-    q = pages.where(f"label < {N_QUERIES}").select(F.col("label").alias("query"), "deck")
+    q = pages.where(f"label % {EVERY} = 0").select(F.col("label").alias("query"), "deck")
     return q.join(pages.select("label", "deck"), "deck").select("query", "label", F.when(F.col("deck") < 5, "single").otherwise("multi").alias("hop"))
 
 
@@ -119,11 +119,11 @@ QUERIES = {f.__name__: f for f in (r1_l2_normalize, r2_mean_pool, r3_dense_topk,
 _E = """
 e AS (SELECT vec_id AS label, label AS deck, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 u AS (SELECT label, deck, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS v FROM e),
-s AS (SELECT q.label AS query, q.deck AS qdeck, p.label, p.deck, round(list_inner_product(q.v, p.v), 6) AS score FROM u q JOIN u p ON q.label < 20)
+s AS (SELECT q.label AS query, q.deck AS qdeck, p.label, p.deck, round(list_inner_product(q.v, p.v), 6) AS score FROM u q JOIN u p ON q.label % 100 = 0)
 """
 _TOP = "row_number() OVER (PARTITION BY query ORDER BY score DESC, label)::INT AS rank"
 _FLAT = f"flat AS (SELECT query, label, score, {_TOP} FROM s QUALIFY rank <= 20), decks AS (SELECT query, label, score, {_TOP} FROM s WHERE deck = qdeck QUALIFY rank <= 20)"
-_GOLD = "gold AS (SELECT q.label AS query, p.label, CASE WHEN q.deck < 5 THEN 'single' ELSE 'multi' END AS hop FROM e q JOIN e p ON q.deck = p.deck AND q.label < 20)"
+_GOLD = "gold AS (SELECT q.label AS query, p.label, CASE WHEN q.deck < 5 THEN 'single' ELSE 'multi' END AS hop FROM e q JOIN e p ON q.deck = p.deck AND q.label % 100 = 0)"
 _REPORT = """
 SELECT '{scope}' AS scope, slice, k, round(avg(hits / gold), 4) AS recall, round(avg((hits = gold)::INT::DOUBLE), 4) AS all_gold, round(avg((hits > 0)::INT::DOUBLE), 4) AS any_gold, count(*) AS n
 FROM (SELECT g.query, k, unnest(['all', hop]) AS slice, count(DISTINCT g.label) AS gold, count(DISTINCT r.label) AS hits FROM gold g CROSS JOIN (VALUES (1), (5), (20)) AS t(k)
@@ -131,7 +131,7 @@ FROM (SELECT g.query, k, unnest(['all', hop]) AS slice, count(DISTINCT g.label)
 """
 _MULTI = """
 m AS (SELECT vec_id // 4 AS label, list_transform(embedding, lambda x: x::DOUBLE) AS v, vec_id AS tok FROM embeddings),
-best AS (SELECT q.label AS query, p.label, q.tok, max(list_inner_product(q.v, p.v)) AS b FROM m q JOIN m p ON q.label < 5 GROUP BY 1, 2, 3),
+best AS (SELECT q.label AS query, p.label, q.tok, max(list_inner_product(q.v, p.v)) AS b FROM m q JOIN m p ON q.label % 100 = 0 GROUP BY 1, 2, 3),
 s AS (SELECT query, label, round(sum(b), 6) AS score FROM best GROUP BY 1, 2)
 """
 _R5 = f"WITH {_MULTI} SELECT query, label, score, {_TOP} FROM s QUALIFY rank <= 8"
@@ -143,9 +143,9 @@ ORACLE_SQL = {
     "r5_maxsim_topk": _R5,
     "r5_maxsim_long": _R5,
     "r6_existing_topk": f"WITH {_E} SELECT query, label, score, {_TOP} FROM s WHERE label IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) QUALIFY rank <= 5",
-    "r7_first_unseen": f"WITH {_E}, t AS (SELECT query, label, {_TOP} FROM s QUALIFY rank <= 3) SELECT q.label AS episode, (SELECT arg_min(t.label, t.rank) FROM t WHERE t.query = q.label AND t.rank > q.label % 4) AS label FROM e q WHERE q.label < 20",
+    "r7_first_unseen": f"WITH {_E}, t AS (SELECT query, label, {_TOP} FROM s QUALIFY rank <= 3) SELECT q.label AS episode, (SELECT arg_min(t.label, t.rank) FROM t WHERE t.query = q.label AND t.rank > q.label % 4) AS label FROM e q WHERE q.label % 100 = 0",
     "r8_recall_report": f"WITH {_E}, {_FLAT}, {_GOLD} {_REPORT.format(scope='flat', ranked='flat')} UNION ALL {_REPORT.format(scope='deck', ranked='decks')}",
-    "j11_score_pairs": "SELECT q.vec_id AS query, count(*) AS pages, sum(p.vec_id)::BIGINT AS labels, 'flat' AS scope FROM embeddings q, embeddings p WHERE q.vec_id < 20 GROUP BY 1 UNION ALL SELECT q.vec_id, count(*), sum(p.vec_id)::BIGINT, 'deck' FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id < 20 GROUP BY 1",
+    "j11_score_pairs": "SELECT q.vec_id AS query, count(*) AS pages, sum(p.vec_id)::BIGINT AS labels, 'flat' AS scope FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0 GROUP BY 1 UNION ALL SELECT q.vec_id, count(*), sum(p.vec_id)::BIGINT, 'deck' FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id % 100 = 0 GROUP BY 1",
     "r9_index_stats": "SELECT count(*) AS pages, avg(n) AS mean_tokens, min(n) AS min_tokens, max(n) AS max_tokens FROM (SELECT vec_id // 4, count(*) AS n FROM embeddings GROUP BY 1)",
     "r10_augment_index": f"WITH {_E} SELECT label, CASE WHEN label % 3 <> 0 THEN 0 ELSE 1 END AS part, round(list_sum(v), 6) AS total FROM u WHERE label % 3 <> 0 OR label % 2 = 0",
     "r11_check_index": "SELECT label AS deck, count(*) FILTER (vec_id % 7 <> 0) AS entries, count(*) FILTER (vec_id % 5 <> 0) AS vectors, count(*) FILTER ((vec_id % 7 <> 0) <> (vec_id % 5 <> 0)) AS unmatched FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 5 <> 0 GROUP BY 1",

@@ -133,7 +133,7 @@ def w17_action_penalty(spark, sf):
 
 
 def w18_kl_rewards(spark, sf):
-    rows = _rows(spark, sf).where("array_max(mask) = 1")
+    rows = _rows(spark, sf)
     out = rows
     for kind in ("k1", "abs", "k2", "k3"):
         r, kl = W.kl_rewards(F.col("x"), F.col("y"), F.col("x"), F.col("mask"), 0.1, kind)
@@ -235,7 +235,7 @@ ORACLE_SQL = {
     "w15_terminal_reward": f"WITH {_OR} SELECT traj, round((status = 'F')::INT + 0.5 * (traj % 3) / 2 + 0.2 * (traj % 3 = 2)::INT + 0.1 * (traj % 3 = 2)::INT / (1 + traj % 4) + 0.3 * (traj % 5) / 5 - 0.1 * (traj % 8) / 8 + 0.05 * pow(0.5, traj % 6), 6)::DOUBLE AS reward FROM o",
     "w16_step_rewards": f"WITH {_EV} SELECT event_id, CASE WHEN action = 'error' OR page >= 90 THEN -1.0 WHEN page % 11 = 0 THEN -0.1 ELSE 0.0 END::DOUBLE AS reward, action = 'error' OR page >= 90 AS ends FROM e",
     "w17_action_penalty": f"WITH {_RW} SELECT traj, round(sum(x) - CASE WHEN traj % 4 = 0 AND max(m) = 1 THEN 0.5 ELSE 0 END, 6) + 0 AS total FROM l GROUP BY traj",
-    "w18_kl_rewards": f"WITH {_RW} SELECT traj, " + ", ".join(f"round(sum(x - 0.1 * {v} * m), 9) + 0 AS {k}_reward, round(sum({v} * m) / sum(m), 9) + 0 AS {k}_kl" for k, v in _KL.items()) + " FROM l GROUP BY traj HAVING max(m) = 1",
+    "w18_kl_rewards": f"WITH {_RW} SELECT traj, " + ", ".join(f"round(sum(x - 0.1 * {v} * m), 9) + 0 AS {k}_reward, round(sum({v} * m) / nullif(sum(m), 0), 9) + 0 AS {k}_kl" for k, v in _KL.items()) + " FROM l GROUP BY traj",
     "w19_traj_log_ratio": f"WITH {_RW} SELECT traj % 100 AS uid, round(sum((x - y) * m) / sum(m), 6) AS log_ratio FROM l GROUP BY 1",
     "w20_expected_update": f"WITH {_EV}, f AS (SELECT *, (page % 10 = 0 AND row_number() OVER (PARTITION BY traj, page ORDER BY ts, event_id) = 1)::INT AS fresh FROM e) SELECT event_id, CASE WHEN page % 10 <> 0 THEN 'reject' WHEN sum(fresh) OVER (PARTITION BY traj ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) < 3 THEN 'expand' ELSE 'accept' END AS expected FROM f",
     "a20_batch_metrics": "SELECT " + ", ".join(f"round({f}({m}), 9) AS {m}_{n}" for m in ("l_discount", "l_tax") for n, f in (("mean", "avg"), ("max", "max"), ("min", "min"))) + ", round(avg(l_quantity), 9) AS length_mean, round(avg((l_quantity >= 50)::INT), 9) AS clip_ratio, count(DISTINCT l_orderkey) AS episodes, round(count(*) / count(DISTINCT l_orderkey), 9) AS episode_length FROM lineitem",
