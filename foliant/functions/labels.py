@@ -84,16 +84,16 @@ def question_from_turns(turns: DataFrame, conv: str, order: str, role: str, text
     return said.select(conv, F.nullif(F.trim(F.regexp_extract("_t", marker, 1)), F.lit("")).alias("question"))
 
 
-#: The markers that may stand before a final answer, in order of trial.
-ANSWER_MARKERS = ("Final answer:", "Answer:", "最终答案：", "答案：")
+#: The markers that may stand before a final answer, in order.
+ANSWER_MARKERS = ("Final answer:", "Answer:", "答案：", "答案:")
 
 
 def extract_final_answer(text: Column) -> Column:
-    """What follows the last occurrence of the first marker that occurs, without backticks around it."""
-    cut = text
-    for marker in reversed(ANSWER_MARKERS):
-        cut = F.when(F.instr(text, marker) > 0, F.substring_index(text, marker, -1)).otherwise(cut)
-    return F.trim(F.regexp_replace(F.trim(cut), r"^`+|`+$", ""))
+    """For each marker in turn, what follows its last occurrence; then without backticks around it."""
+    cut = F.trim(F.coalesce(text, F.lit("")))
+    for marker in ANSWER_MARKERS:
+        cut = F.trim(F.substring_index(cut, marker, -1))
+    return F.regexp_replace(cut, r"^`+|`+$", "")
 
 
 def extract_json(text: Column) -> Column:
@@ -144,13 +144,16 @@ def compact_error(text: Column, most: int = 220) -> Column:
 
 
 #: What marks an error of the service rather than of the answer.
-API_MARKERS = ("APIError", "APIConnectionError", "RateLimitError", "InternalServerError", "Timeout", "timed out", "Connection")
+API_MARKERS = (
+    "api ", "quota", "balance", "rate limit", "rate_limit", "too many requests", "billing",
+    "invalid api key", "model not found", "no permission", "access denied", "forbidden", "http 5",
+)
 
 
 def api_error(errors: Column, judge_error: Column, markers: Sequence[str] = API_MARKERS) -> Column:
-    """P20: the first trace error, else the judge's, if it holds a marker."""
-    first = F.coalesce(F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0)), judge_error)
-    return F.when(first.rlike("|".join(markers)), first)
+    """P20: the first trace error that isn't empty, else the judge's, if it holds a marker in any case."""
+    first = F.coalesce(F.get(F.filter(errors, lambda e: e.isNotNull() & (e != "")), F.lit(0)), judge_error)
+    return F.when(F.lower(first).rlike("|".join(markers)), first)
 
 
 def scrub(text: Column, patterns: Sequence[str]) -> Column:
@@ -185,19 +188,35 @@ def rewrite_prefix(path: Column, prefixes: Sequence[str], root: str) -> Column:
     return out
 
 
-def shown_size(w: Column, h: Column, grid: int = 28, budget: int = 700_000) -> Column:
-    """P25: a page's size as shown: within the pixel budget, both sides whole multiples of the grid, one at least."""
-    scale = F.least(F.lit(1.0), F.sqrt(F.lit(float(budget)) / (w * h)))
-    snap = lambda x: F.greatest(F.floor(x * scale / grid), F.lit(1)) * grid
-    return F.struct(snap(w).alias("w"), snap(h).alias("h"))
+#: A shown image's grid, least and most pixels; the least side of a box as shown.
+GRID, LEAST_PIXELS, MOST_PIXELS, LEAST_SIDE = 28, 256 * 28 * 28, 512 * 28 * 28, 4
 
 
-def unit_box(box: Column, w: Column, h: Column) -> Column:
-    """P25: a box of pixels in a frame as parts of it, clamped; null where a number is missing or a side is none."""
-    part = lambda i, size: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.get(box, F.lit(i)).cast("double") / size))
+def shown_size(w: Column, h: Column, grid: int = GRID, least: int = LEAST_PIXELS, most: int = MOST_PIXELS) -> Column:
+    """P25: a page's size as shown: whole multiples of the grid, nearest (halves to even) if that keeps the pixel budget,
+    else scaled down and floored or scaled up and ceiled.
+    """
+    near = lambda x: F.greatest(F.bround(x / grid) * grid, F.lit(float(grid)))
+    down = F.sqrt(w * h / most)
+    up = F.sqrt(F.lit(float(least)) / (w * h))
+    pixels = near(w) * near(h)
+    side = lambda x: F.when(pixels > most, F.greatest(F.floor(x / down / grid) * grid, F.lit(grid))).when(pixels < least, F.ceil(x * up / grid) * grid).otherwise(near(x)).cast("long")
+    return F.struct(side(w).alias("w"), side(h).alias("h"))
+
+
+def unit_box(box: Column, w: Column, h: Column, per_mille: bool = False) -> Column:
+    """P25: a box on an image shown at w x h, in its pixels or in thousandths, as clamped parts of it.
+
+    Null where a number is missing or less than LEAST_SIDE shown pixels are left either way.
+    """
+    def part(i: int, size: Column) -> Column:
+        scale = F.lit(1000.0) if per_mille else size.cast("double")
+        return F.greatest(F.lit(0.0), F.least(scale, F.get(box, F.lit(i)).cast("double"))) / scale
+
     unit = F.array(part(0, w), part(1, h), part(2, w), part(3, h))
-    sound = (F.size(box) == 4) & ~F.exists(box, lambda x: x.isNull() | F.isnan(x.cast("double"))) & (unit[2] > unit[0]) & (unit[3] > unit[1])
-    return F.when(sound, unit)
+    wide = ((unit[2] - unit[0]) * w >= LEAST_SIDE) & ((unit[3] - unit[1]) * h >= LEAST_SIDE)
+    sound = (F.size(box) == 4) & ~F.exists(box, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return F.when(sound & wide, unit)
 
 
 def page_box(unit: Column, w: Column, h: Column) -> Column:

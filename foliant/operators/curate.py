@@ -132,7 +132,7 @@ def drop_constant_groups(rollouts: DataFrame, uid: str, reward: str, target: int
 
 
 #: Words that mark hedging.
-HEDGES = ("maybe", "perhaps", "possibly", "might", "not sure", "unclear", "wait")
+HEDGES = ("maybe", "perhaps", "might be", "probably", "i guess", "not sure", "actually", "wait", "hmm", "alternatively")
 
 
 def think_quality(turns: DataFrame, traj: str, think: str, action: str, long: int = 1500, most_turns: int = 7) -> DataFrame:

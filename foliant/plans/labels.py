@@ -107,8 +107,8 @@ def p19_compact_error(spark, sf):
 
 
 def p20_api_error(spark, sf):
-    errors = F.array(F.lit(None).cast("string"), F.when(F.col("k") % 2 == 0, F.concat(F.col("event_type"), F.when(F.col("k") % 4 == 0, " Timeout").otherwise(""))))
-    return _events(spark, sf).select("event_id", P.api_error(errors, F.when(F.col("k") % 3 == 0, "RateLimitError x")).alias("error"))
+    errors = F.array(F.lit(None).cast("string"), F.when(F.col("k") % 2 == 0, F.concat(F.col("event_type"), F.when(F.col("k") % 4 == 0, " Rate Limit hit").otherwise(""))))
+    return _events(spark, sf).select("event_id", P.api_error(errors, F.when(F.col("k") % 3 == 0, "HTTP 503 x")).alias("error"))
 
 
 def p21_scrub(spark, sf):
@@ -160,7 +160,7 @@ def p28_unfold_chunks(spark, sf):
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
 
 _E = "WITH e AS (SELECT *, (props->>'$.k')::INT AS k FROM events)"
-_UNIT = "least(1.0, greatest(0.0, {}))"
+_SIDE = "(CASE WHEN nw * nh > 401408 THEN greatest(floor({0} / down / 28) * 28, 28) WHEN nw * nh < 200704 THEN ceil({0} * up / 28) * 28 ELSE {1} END)::BIGINT"
 _T = r"'[ \t\n\x0B\f\r]+'"
 ORACLE_SQL = {
     "p1_first_present": f"{_E} SELECT event_id, CASE WHEN k % 3 = 1 THEN event_type ELSE user_id::VARCHAR END AS x FROM e",
@@ -174,7 +174,7 @@ ORACLE_SQL = {
     "p9_normalize_anchor": f"{_E} SELECT event_id, coalesce(array_to_string(list_sort(list_distinct(CASE k % 3 WHEN 0 THEN [k::VARCHAR, 'a', 'b'] WHEN 1 THEN ['z', 'a', event_type] END)), ','), '') AS anchor FROM e",
     "p10_normalize_question": f"SELECT doc_id, md5(trim(regexp_replace(lower(text), {_T}, ' ', 'g'))) AS q FROM documents",
     "p11_question_from_turns": r"WITH t AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1) SELECT conv_id, nullif(regexp_extract(t, '([0-9A-Za-z_]+)[.?!]', 1), '') AS question FROM t",
-    "p12_extract_final_answer": f"{_E} SELECT event_id, CASE WHEN k % 5 = 0 THEN event_type WHEN k % 2 = 0 THEN 'Answer: ' || event_type ELSE event_type END AS answer FROM e",
+    "p12_extract_final_answer": "SELECT event_id, event_type AS answer FROM events",
     "p13_extract_json": f"{_E} SELECT event_id, CASE WHEN k % 3 <> 0 THEN props END AS json FROM e",
     "p14_hop": f"{_E} SELECT event_id, CASE WHEN k % 10 = 0 THEN 'given' WHEN k % 2 <> event_id % 2 THEN 'multi' ELSE 'single' END AS hop FROM e",
     "p15_safe_name": "SELECT page_id, substr(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), 1, 30) AS name FROM pages",
@@ -182,15 +182,17 @@ ORACLE_SQL = {
     "p17_compact_unique": f"{_E} SELECT event_id, event_type || ',' || upper(event_type) || ',  a  b ,A B, ,' || k % 3 || CASE WHEN k % 3 <> 1 THEN ',1' ELSE '' END AS same, event_type || ',a b,' || k % 3 || CASE WHEN k % 3 <> 1 THEN ',1' ELSE '' END AS alike FROM e",
     "p18_cells_to_labels": f"{_E} SELECT event_id, (63 + CASE WHEN k % 9 < 8 AND (k % 8) * 8 + k % 9 <> 63 THEN (k % 8) * 8 + k % 9 ELSE 0 END)::DOUBLE AS weighted, CASE WHEN k % 9 < 8 THEN 1 ELSE 2 END AS bad FROM e",
     "p19_compact_error": f"SELECT doc_id, substr(trim(regexp_replace(text, {_T}, ' ', 'g')), 1, 40) AS error FROM documents",
-    "p20_api_error": f"{_E} SELECT event_id, CASE WHEN k % 4 = 0 THEN event_type || ' Timeout' WHEN k % 2 = 0 THEN NULL WHEN k % 3 = 0 THEN 'RateLimitError x' END AS error FROM e",
+    "p20_api_error": f"{_E} SELECT event_id, CASE WHEN k % 4 = 0 THEN event_type || ' Rate Limit hit' WHEN k % 2 = 0 THEN NULL WHEN k % 3 = 0 THEN 'HTTP 503 x' END AS error FROM e",
     "p21_scrub": f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[a-m]+', ' ', 'g'), '[.,|]', ' ', 'g'), {_T}, ' ', 'g'))) AS scrubbed FROM documents",
     "p22_to_conversations": "WITH m AS (SELECT conv_id, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS speaker, length(text) AS c FROM conversations UNION ALL SELECT DISTINCT conv_id, 'gpt', 4 FROM conversations) SELECT conv_id, speaker, count(*) AS n, sum(c)::BIGINT AS chars FROM m GROUP BY 1, 2",
     "p23_to_rl_rows": f"{_E} SELECT 'own' AS data_source, 'doc_qa' AS ability, event_type AS content, k::VARCHAR AS ground_truth, event_id AS sample_id, 'multi' AS hop, '[' || k || ',' || k + 1 || ']' AS reference_pages FROM e",
     "p24_rewrite_prefix": "SELECT event_id, '/corpus/' || event_type AS path FROM events",
     "p25_reframe_boxes": f"""{_E}, s AS (SELECT event_id, k, k * 20 + 200 AS w, event_id % 50 * 20 + 200 AS h FROM e),
- g AS (SELECT *, (greatest(floor(w * least(1.0::DOUBLE, sqrt(700000.0::DOUBLE / (w * h))) / 28), 1) * 28)::BIGINT AS sw, (greatest(floor(h * least(1.0::DOUBLE, sqrt(700000.0::DOUBLE / (w * h))) / 28), 1) * 28)::BIGINT AS sh FROM s),
- u AS (SELECT *, {_UNIT.format("(k - 10)::DOUBLE / sw")} AS x1, {_UNIT.format("5::DOUBLE / sh")} AS y1, {_UNIT.format("(k * 3)::DOUBLE / sw")} AS x2, {_UNIT.format("(event_id % 300)::DOUBLE / sh")} AS y2 FROM g)
- SELECT event_id, sw AS w, sh AS h, CASE WHEN x2 > x1 AND y2 > y1 THEN round(x2, 6) END AS ux2, CASE WHEN x2 > x1 AND y2 > y1 THEN round_even(x2 * w, 0) END AS px2, CASE WHEN x2 > x1 AND y2 > y1 THEN round(0.25 + y2 * 0.5, 6) END AS zy2 FROM u""",
+ n AS (SELECT *, greatest(round_even(w / 28, 0) * 28, 28) AS nw, greatest(round_even(h / 28, 0) * 28, 28) AS nh, sqrt((w * h)::DOUBLE / 401408) AS down, sqrt(200704::DOUBLE / (w * h)) AS up FROM s),
+ g AS (SELECT *, {_SIDE.format("w", "nw")} AS sw, {_SIDE.format("h", "nh")} AS sh FROM n),
+ u AS (SELECT *, least(sw, greatest(0, k - 10)) / sw::DOUBLE AS x1, least(sh, 5) / sh::DOUBLE AS y1, least(sw, k * 3) / sw::DOUBLE AS x2, least(sh, event_id % 300) / sh::DOUBLE AS y2 FROM g),
+ b AS (SELECT *, (x2 - x1) * sw >= 4 AND (y2 - y1) * sh >= 4 AS good FROM u)
+ SELECT event_id, sw AS w, sh AS h, CASE WHEN good THEN round(x2, 6) END AS ux2, CASE WHEN good THEN round_even(x2 * w, 0) END AS px2, CASE WHEN good THEN round(0.25 + y2 * 0.5, 6) END AS zy2 FROM b""",
     "p26_crop_region": f"""{_E}, b AS (SELECT event_id, greatest(floor(k * 10 + 0.5 - 28), 0)::BIGINT AS x1, greatest(floor(event_id % 700 + 0.25 - 28), 0)::BIGINT AS y1, least(ceil(k * 10 + 80.75 + 28), 1000)::BIGINT AS x2, least(ceil(event_id % 700 + 3.5 + 28), 600)::BIGINT AS y2 FROM e)
  SELECT event_id, CASE WHEN x2 > x1 AND y2 > y1 AND greatest(x2 - x1, y2 - y1) <= 180 * least(x2 - x1, y2 - y1) THEN x1 || ',' || y1 || ',' || x2 || ',' || y2 END AS crop FROM b""",
     "p27_index_path": "SELECT event_id, CASE event_type WHEN 'click' THEN '/c' WHEN 'view' THEN '/v/' || user_id WHEN 'purchase' THEN '/p' WHEN 'signup' THEN '/s' ELSE '/e' END AS path FROM events",

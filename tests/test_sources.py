@@ -21,7 +21,12 @@ def test_labels(spark):
     for label, want in (("d1/page_03", ("d1", 3)), ("d1/page_3", ("d1", 3)), ("page_03", ("", 3)), ("d1/cover", None)):
         got = one(spark, labels.page_key(F.col("v")), v=label)
         assert (tuple(got) if got else None) == want
-    assert one(spark, labels.shown_size(F.col("w"), F.col("h")), w=300, h=120) is not None
+    for w, h, grid, want in ((1024, 768, 28, (728, 532)), (800, 600, 28, (728, 532)), (300, 120, 28, (728, 308)), (728, 532, 28, (728, 532)), (800, 600, 32, (704, 544))):
+        assert tuple(one(spark, labels.shown_size(F.col("w"), F.col("h"), grid), w=w, h=h)) == want
+    box = lambda *v, m=False: one(spark, labels.unit_box(F.array(*map(F.lit, v)), F.lit(728), F.lit(532), m))
+    assert box(0, 0, 500, 1000, m=True) == [0, 0, 0.5, 1] and box(10, 10, 16, 50, m=True)[2] == 0.016
+    assert not any((box(100, 100, 50, 200), box(800, 0, 900, 10), box(10, 10, 13, 50), box(10, 10, 15, 50, m=True)))
+    assert one(spark, labels.extract_final_answer(F.col("v")), v="a Answer: x Final answer: b Answer: `42`") == "42"
     assert one(spark, labels.crop_region(F.array(*map(F.lit, (100.0, 100.0, 200.0, 200.0))), F.lit(1000), F.lit(500))) == [72, 72, 228, 228]
     assert one(spark, labels.crop_region(F.array(*map(F.lit, (0.5, 480.2, 50.0, 500.0))), F.lit(1000), F.lit(500))) == [0, 452, 78, 500]
     assert one(spark, labels.unit_box(F.array(*map(F.lit, (-10, 0, 364, 532))), F.lit(728), F.lit(532))) == [0, 0, 0.5, 1]
