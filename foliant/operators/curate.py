@@ -245,9 +245,16 @@ def stratified_sample(df: DataFrame, cls: str, first: str, n_first: int, n: int,
     return a.unionByName(df.where(F.col(cls) != first).orderBy(seeded(seed, key), key).limit(max(0, n - a.count())))
 
 
-def weighted_resample(rows: DataFrame, score: str, key: str, n: int, seed: str, power: float = 1.0) -> DataFrame:
-    """N draws with replacement, chances by |score| ** power + 1e-8: draws meet cumulative weights in buckets of the unit interval."""
-    weighed = ranked(rows.withColumn("_w", F.pow(F.abs(score), F.lit(power)) + 1e-8), [F.col(key)], "_i")
+def weighted_resample(rows: DataFrame, score: str, key: str, n: int, seed: str, method: str = "pow", power: float = 2.0) -> DataFrame:
+    """N draws with replacement; draws meet cumulative weights in buckets of the unit interval.
+
+    Weights, all + 1e-8: |score| ** power; 1 for the extremes and 0 for others ("max_min"); 0.4 for the largest and 0.1 for
+    others ("max_random").
+    """
+    ends = F.broadcast(rows.agg(F.max(score).alias("_top"), F.min(score).alias("_bottom")))  # one row
+    top = F.col(score) == F.col("_top")
+    forms = {"pow": F.pow(F.abs(score), F.lit(power)), "max_min": (top | (F.col(score) == F.col("_bottom"))).cast("double"), "max_random": F.when(top, 0.4).otherwise(0.1)}
+    weighed = ranked(rows.crossJoin(ends).withColumn("_w", forms[method] + 1e-8).drop("_top", "_bottom"), [F.col(key)], "_i")
     block = weighed.withColumn("_b", F.floor(F.col("_i") / 1000))
     sums = block.groupBy("_b").agg(F.sum("_w").alias("_s")).withColumn("_base", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_all", F.sum("_s").over(Window.partitionBy()))
     placed = block.join(sums.drop("_s"), "_b").withColumn("_hi", F.col("_base") + F.sum("_w").over(Window.partitionBy("_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)))

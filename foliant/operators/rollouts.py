@@ -106,20 +106,29 @@ def gigpo_steps(steps: DataFrame, uid: str, anchor: str, score: str, by_std: boo
     return steps.withColumn("step_advantage", F.when(F.count("*").over(w) == 1, 0.0).otherwise(value))
 
 
-def ra_steps(steps: DataFrame, uid: str, traj: str, order: str, anchor: str, action: str, page: str, reward: str, gamma_weight: float = 1.0, min_group: int = 2) -> DataFrame:
-    """A search scores +1 if the next anchor strictly contains the anchor, else -1; other steps their reward times a weight.
-
-    Only the first visit per (trajectory, anchor, action, page) votes; groups below min_group give 0; population deviation.
+def ra_steps(
+    steps: DataFrame, uid: str, traj: str, order: str, anchor: str, action: str, kind: str, page: str, env_reward: str, judged_reward: str,
+    gamma: float = 0.0, weight: float = 1.0, min_group: int = 2, by_std: bool = True,
+) -> DataFrame:
+    """A search scores +1 if the next anchor strictly contains the anchor, else -1; an analysed update its reward times a
+    weight; the environment's reward is added. What counts is the discounted return of that.
+
+    Searches and analysed updates vote, once per (trajectory, anchor, action, page for updates). They are compared with the
+    votes of their question that have the same anchor, action and page for updates, by population deviation; groups below
+    min_group and all other steps get 0.
     """
-    along = Window.partitionBy(traj).orderBy(order)
-    after = F.lead(anchor).over(along)
+    after = F.lead(anchor).over(Window.partitionBy(traj).orderBy(order))
     grows = (F.size(F.array_except(F.col(anchor), after)) == 0) & (F.size(after) > F.size(anchor))
-    local = F.when(F.col(action) == "search", F.when(F.coalesce(grows, F.lit(False)), 1.0).otherwise(-1.0)).otherwise(F.col(reward) * gamma_weight)
-    first = F.row_number().over(Window.partitionBy(traj, anchor, action, page).orderBy(order)) == 1
-    scored = steps.withColumn("local_score", local).withColumn("_first", first)
-    votes = Window.partitionBy(uid, anchor, action, "_first")
-    value = (F.col("local_score") - F.avg("local_score").over(votes)) / (F.stddev_pop("local_score").over(votes) + EPS)
-    return scored.withColumn("step_advantage", F.when(F.col("_first") & (F.count("*").over(votes) >= min_group), value).otherwise(0.0)).drop("_first")
+    search, update = F.col(action) == "search", (F.col(action) == "update_graph") & (F.col(kind) == "analyse")
+    local = F.when(search, F.when(F.coalesce(grows, F.lit(False)), 1.0).otherwise(-1.0)).otherwise(0.0) + F.when(F.col(kind) == "analyse", F.col(judged_reward) * weight).otherwise(0.0) + F.col(env_reward)
+    scored = discounted_returns(steps.withColumn("local_score", local), traj, [order], "local_score", gamma)
+    scored = scored.withColumn("_seen", F.when(F.col(action) == "update_graph", F.col(page).cast("string")).otherwise("")).withColumn("_active", F.coalesce(search | update, F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy(traj, anchor, action, "_seen", "_active").orderBy(order))
+    scored = scored.withColumn("_votes", F.col("_active") & (nth == 1))
+    group = Window.partitionBy(uid, anchor, action, "_seen", "_votes")
+    centred = F.col("return") - F.avg("return").over(group)
+    value = centred / (F.stddev_pop("return").over(group) + EPS) if by_std else centred
+    return scored.withColumn("step_advantage", F.when(F.col("_votes") & (F.count("*").over(group) >= min_group), value).otherwise(0.0)).drop("_seen", "_active", "_votes", "return")
 
 
 def scatter_spans(spans: DataFrame, rows: DataFrame, traj: str) -> DataFrame:
@@ -158,14 +167,20 @@ def warned_searches(steps: DataFrame, traj: str, order: Sequence[str], is_search
     return flagged.groupBy(traj).agg(F.count(F.when(is_search, 1)).alias("searches"), F.count(F.when(F.col("_w"), 1)).alias("warned"))
 
 
-def terminal_reward(correct: Column, coverage: Column, non_gold: Column, grounding: Column, turns: Column, late: Column, w: dict[str, float]) -> Column:
-    """Correct + coverage + full coverage + precision (at full coverage only) + grounding - cost + decay ** late searches."""
-    full = (coverage >= 1).cast("double")
-    precision = full / (1 + non_gold)
+def terminal_reward(correct: Column, hit: Column, n_gold: Column, n_final: Column, grounding: Column, accesses: Column, late: Column, seen_all: Column, w: dict[str, float], all_or_none: bool = False) -> Column:
+    """Correct + coverage + full coverage + precision at full coverage + grounding - cost of accesses + decay ** late searches.
+
+    The last term needs a right answer, full coverage and that all gold pages were shown; weights that w lacks are 0.
+    """
+    weight = lambda name: w.get(name, 0.0)
+    right = correct.cast("double")
+    full = F.coalesce((n_gold > 0) & (hit == n_gold), F.lit(False))
+    coverage = full.cast("double") if all_or_none else F.when(n_gold > 0, hit / n_gold).otherwise(0.0)
+    precision = F.when(full & (n_final > 0), hit / n_final).otherwise(0.0)
+    timely = F.when(correct & full & seen_all, F.pow(F.lit(w.get("decay", 1.0)), late)).otherwise(0.0)
     return (
-        correct.cast("double") + w.get("coverage", 0.0) * coverage + w.get("full", 0.0) * full + w.get("precision", 0.0) * precision
-        + w.get("grounding", 0.0) * grounding - w.get("cost", 0.0) * turns / w.get("max_turns", 1.0)
-        + (w["late"] * F.pow(F.lit(w["decay"]), late) if "late" in w else F.lit(0.0))
+        right + weight("coverage") * coverage + weight("full") * full.cast("double") + weight("precision") * precision + weight("grounding") * grounding
+        - weight("cost") * accesses / max(1.0, w.get("max_turns", 1.0)) + weight("late") * timely
     )
 
 

@@ -82,8 +82,9 @@ def w7_gigpo_steps(spark, sf):
 
 def w9_ra_steps(spark, sf):
     e = _events(spark, sf).withColumn("uid", F.col("traj") % 10).withColumn("anchor", F.array_sort(F.array_distinct(F.array(F.col("page") % 3, F.col("event_id") % 2))))
-    e = e.withColumn("action", F.when(F.col("action") == "view", "search").otherwise(F.col("action")))
-    out = W.ra_steps(e, "uid", "traj", "event_id", "anchor", "action", "page", "value")
+    e = e.withColumn("action", F.when(F.col("action") == "view", "search").when(F.col("action") == "click", "update_graph").otherwise("answer")).withColumn("kind", F.when(F.col("page") % 4 > 0, "analyse").otherwise("decide"))
+    e = e.withColumn("env", F.col("value") / 1000).withColumn("judged", F.when(F.col("action") == "update_graph", (F.col("page") % 3) / 2).otherwise(0.0))
+    out = W.ra_steps(e, "uid", "traj", "event_id", "anchor", "action", "kind", "page", "env", "judged", weight=0.5)
     return _six(out.select("event_id", "local_score", "step_advantage"), "local_score", "step_advantage")
 
 
@@ -117,7 +118,8 @@ def w14_warned_searches(spark, sf):
 def w15_terminal_reward(spark, sf):
     o = _orders(spark, sf)
     weights = {"coverage": 0.5, "full": 0.2, "precision": 0.1, "grounding": 0.3, "cost": 0.1, "max_turns": 8.0, "late": 0.05, "decay": 0.5}
-    r = W.terminal_reward(F.col("status") == "F", (F.col("traj") % 3) / 2, F.col("traj") % 4, (F.col("traj") % 5) / 5, F.col("traj") % 8, F.col("traj") % 6, weights)
+    t = F.col("traj")
+    r = W.terminal_reward(F.col("status") == "F", t % 3, F.lit(2), t % 4 + 2, (t % 5) / 5, t % 8, t % 6, t % 7 > 0, weights)
     return o.select("traj", F.round(r, 6).alias("reward"))
 
 
@@ -226,13 +228,16 @@ ORACLE_SQL = {
     "w6_gae": f"WITH RECURSIVE {_RW}, d AS (SELECT traj, i, x + 0.99::DOUBLE * coalesce(lead(y) OVER (PARTITION BY traj ORDER BY i), 0) - y AS d FROM l), r AS (SELECT traj, i, d AS adv FROM d WHERE (traj, i) IN (SELECT traj, max(i) FROM l GROUP BY traj) UNION ALL SELECT d.traj, d.i, d.d + 0.99::DOUBLE * 0.95::DOUBLE * r.adv FROM r JOIN d ON d.traj = r.traj AND d.i = r.i - 1) SELECT traj, i, round(adv, 6) AS adv FROM r",
     "w6_remax": f"WITH {_RW}, r AS (SELECT *, sum(x * m) OVER (PARTITION BY traj ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ret, first_value(y) OVER (PARTITION BY traj ORDER BY i) AS b FROM l) SELECT traj, i, round(ret, 6) AS ret, round(ret - b * m, 6) + 0 AS adv FROM r",
     "w7_gigpo_steps": f"WITH {_EV} SELECT event_id, round(CASE WHEN count(*) OVER w = 1 THEN 0 ELSE (value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-6) END, 6) AS step_advantage FROM e WINDOW w AS (PARTITION BY traj, page)",
-    "w9_ra_steps": f"WITH {_EV}, a AS (SELECT event_id, traj, traj % 10 AS uid, page, value, CASE WHEN action = 'view' THEN 'search' ELSE action END AS action, list_sort(list_distinct([page % 3, event_id % 2])) AS anchor FROM e), n AS (SELECT *, lead(anchor) OVER (PARTITION BY traj ORDER BY event_id) AS nxt FROM a), s AS (SELECT *, CASE WHEN action = 'search' THEN CASE WHEN nxt IS NOT NULL AND list_has_all(nxt, anchor) AND len(nxt) > len(anchor) THEN 1.0 ELSE -1.0 END::DOUBLE ELSE value END AS ls, row_number() OVER (PARTITION BY traj, anchor, action, page ORDER BY event_id) = 1 AS f FROM n) SELECT event_id, round(ls, 6) AS local_score, round(CASE WHEN f AND count(*) OVER w >= 2 THEN (ls - avg(ls) OVER w) / (stddev_pop(ls) OVER w + 1e-6) ELSE 0 END, 6) AS step_advantage FROM s WINDOW w AS (PARTITION BY uid, anchor, action, f)",
+    "w9_ra_steps": f"""WITH {_EV}, a AS (SELECT event_id, traj, traj % 10 AS uid, page, value / 1000 AS env, CASE action WHEN 'view' THEN 'search' WHEN 'click' THEN 'update_graph' ELSE 'answer' END AS action, page % 4 > 0 AS an, list_sort(list_distinct([page % 3, event_id % 2])) AS anchor FROM e),
+ n AS (SELECT *, lead(anchor) OVER (PARTITION BY traj ORDER BY event_id) AS nxt, CASE WHEN action = 'update_graph' THEN page ELSE -1 END AS seen, action = 'search' OR (action = 'update_graph' AND an) AS act FROM a),
+ s AS (SELECT *, CASE WHEN action = 'search' THEN CASE WHEN nxt IS NOT NULL AND list_has_all(nxt, anchor) AND len(nxt) > len(anchor) THEN 1 ELSE -1 END ELSE 0 END + CASE WHEN action = 'update_graph' AND an THEN 0.5::DOUBLE * (page % 3) / 2 ELSE 0 END + env AS ls, act AND row_number() OVER (PARTITION BY traj, anchor, action, seen, act ORDER BY event_id) = 1 AS f FROM n)
+ SELECT event_id, round(ls, 6) + 0 AS local_score, round(CASE WHEN f AND count(*) OVER w >= 2 THEN (ls - avg(ls) OVER w) / (stddev_pop(ls) OVER w + 1e-6) ELSE 0 END, 6) + 0 AS step_advantage FROM s WINDOW w AS (PARTITION BY uid, anchor, action, seen, f)""",
     "w10_scatter_spans": f"WITH {_RW}, s AS (SELECT DISTINCT l_orderkey AS traj, l_partkey AS span, l_suppkey % 3 AS lo, l_suppkey % 3 + l_partkey % 4 AS hi FROM lineitem) SELECT l.traj, l.i AS place, round(coalesce((SELECT max(span) / 100 FROM s WHERE s.traj = l.traj AND s.lo <= l.i AND l.i < s.hi), 0) * m, 6) AS advantage FROM l",
     "w11_judgement_reward": f"WITH {_EV} SELECT event_id, CASE WHEN page % 2 = 0 THEN [1.0::DOUBLE, 0.5, -1.0][event_id % 3 + 1] ELSE [-1.0::DOUBLE, -0.5, 1.0][event_id % 3 + 1] END AS reward FROM e",
     "w12_lookahead_reward": f"WITH {_EV}, k AS (SELECT event_id, page, lead(event_id % 3 = 0) OVER (PARTITION BY traj ORDER BY ts, event_id) AS nxt FROM e) SELECT event_id, CASE WHEN page % 2 <> 0 THEN 0.0 WHEN nxt THEN 1.0 ELSE 0.5 END::DOUBLE AS raised FROM k",
     "w13_post_gold": f"WITH {_EV}, g AS (SELECT traj, page, min(event_id) AS t FROM e WHERE page % 5 = traj % 5 GROUP BY 1, 2), d AS (SELECT traj, max(t) AS gold_turn FROM g GROUP BY 1) SELECT traj, gold_turn, (SELECT count(*) FROM e WHERE e.traj = d.traj AND action = 'click' AND event_id > gold_turn) AS late_searches FROM d",
     "w14_warned_searches": f"WITH {_EV}, k AS (SELECT *, coalesce(sum((page % 7 = 0)::INT) OVER (PARTITION BY traj ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS w FROM e) SELECT traj, count(*) FILTER (action = 'click') AS searches, count(*) FILTER (action = 'click' AND w) AS warned FROM k GROUP BY traj",
-    "w15_terminal_reward": f"WITH {_OR} SELECT traj, round((status = 'F')::INT + 0.5 * (traj % 3) / 2 + 0.2 * (traj % 3 = 2)::INT + 0.1 * (traj % 3 = 2)::INT / (1 + traj % 4) + 0.3 * (traj % 5) / 5 - 0.1 * (traj % 8) / 8 + 0.05 * pow(0.5, traj % 6), 6)::DOUBLE AS reward FROM o",
+    "w15_terminal_reward": f"WITH {_OR} SELECT traj, round((status = 'F')::INT + 0.5::DOUBLE * (traj % 3) / 2 + 0.2 * (traj % 3 = 2)::INT + CASE WHEN traj % 3 = 2 THEN 0.1::DOUBLE * 2 / (traj % 4 + 2) ELSE 0 END + 0.3 * (traj % 5) / 5 - 0.1 * (traj % 8) / 8 + CASE WHEN status = 'F' AND traj % 3 = 2 AND traj % 7 > 0 THEN 0.05 * pow(0.5, traj % 6) ELSE 0 END, 6)::DOUBLE AS reward FROM o",
     "w16_step_rewards": f"WITH {_EV} SELECT event_id, CASE WHEN action = 'error' OR page >= 90 THEN -1.0 WHEN page % 11 = 0 THEN -0.1 ELSE 0.0 END::DOUBLE AS reward, action = 'error' OR page >= 90 AS ends FROM e",
     "w17_action_penalty": f"WITH {_RW} SELECT traj, round(sum(x) - CASE WHEN traj % 4 = 0 AND max(m) = 1 THEN 0.5 ELSE 0 END, 6) + 0 AS total FROM l GROUP BY traj",
     "w18_kl_rewards": f"WITH {_RW} SELECT traj, " + ", ".join(f"round(sum(x - 0.1 * {v} * m), 9) + 0 AS {k}_reward, round(sum({v} * m) / nullif(sum(m), 0), 9) + 0 AS {k}_kl" for k, v in _KL.items()) + " FROM l GROUP BY traj",

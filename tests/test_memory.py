@@ -118,5 +118,6 @@ def test_group_of_one(spark):
 
 def test_resampling_follows_weights(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(1, 5)], "id2 int, w double")
-    n = {r.id2: r["count"] for r in curate.weighted_resample(df, "w", "id2", 4000, "s").groupBy("id2").count().collect()}
+    n = {r.id2: r["count"] for r in curate.weighted_resample(df, "w", "id2", 4000, "s", power=1.0).groupBy("id2").count().collect()}
     assert sum(n.values()) == 4000 and all(abs(n[i] - 400 * i) < 150 for i in range(1, 5))
+    assert {r.id2 for r in curate.weighted_resample(df, "w", "id2", 200, "s", "max_min").collect()} == {1, 4}

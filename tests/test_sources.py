@@ -163,3 +163,11 @@ def test_accuracy_and_coverage(spark):
     assert {r.hop: (r.judged, r.correct, r.accuracy) for r in evaluate.accuracy_by(preds, "hop", "ok").collect()} == {"single": (2, 1, 0.5), "multi": (1, 1, 1.0), "None": (1, 1, 1.0)}
     pairs = spark.createDataFrame([(["d1/page_01"], ["d1/page_1", "d2/page_04"]), (["d1/page_02"], ["d9/page_02"])], "g array<string>, f array<string>")
     assert [(r.covered, r.non_gold) for r in joins.evidence_overlap(pairs, "g", "f").collect()] == [(True, 1), (False, 1)]
+
+
+def test_terminal_rewards(spark):
+    from foliant.operators.rollouts import terminal_reward
+
+    w = {"coverage": 0.5, "full": 0.0, "precision": 0.2, "cost": 0.1, "max_turns": 8.0}
+    reward = lambda hit, gold, final, steps: one(spark, terminal_reward(F.lit(True), F.lit(hit), F.lit(gold), F.lit(final), F.lit(0.0), F.lit(steps), F.lit(0), F.lit(True), w), v=1)
+    assert reward(1, 1, 1, 1) == pytest.approx(1.7 - 0.1 / 8) and reward(2, 2, 2, 2) == pytest.approx(1.7 - 0.2 / 8) and reward(1, 2, 2, 2) == pytest.approx(1.25 - 0.2 / 8)
