@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it. Rows that share an id take that id's copies in turn."""
     key = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("null"))
-    drawn = mix(docs, id_col=id_col, **how).withColumn("_key", key).groupBy("_key").agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    out = docs.withColumn("_key", key).join(drawn, "_key").withColumn("_n", F.element_at("_copies", turn)).where("_n > 0")
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    drawn = mix(docs, id_col=id_col, **how).withColumn("__key", key).groupBy("__key").agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
+    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    out = docs.withColumn("__key", key).join(drawn, "__key").withColumn("__times", F.element_at("__copies", turn)).where("__times > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
