@@ -32,7 +32,7 @@ BUCKETS, SWITCH, MAX_LANGUAGES = 1 << 17, 6.0, 64
 #: A language uses a script if so much of its letters are in it.
 USES = 0.005
 #: Bytes of text that are worked on at a time, about; a longer text is worked on alone.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 
 #: Script by lead byte: 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian and Hebrew, 5 Arabic and neighbours, 6 Indic to Georgian, 7 kana, 8 Han, 9 Hangul, 10 beyond.
 SCRIPTS = 11

@@ -19,7 +19,8 @@ No bucket or candidate list is capped. With 36 bands of 4 registers a pair at th
 probability (1 - 0.75^4)^36, about one in a million.
 
 Defined cases: texts that are null or have no word have the size 0 and are linked with nothing; texts with fewer words
-than a shingle are one shingle; repeated rows fall in one class; an empty table gives an empty result.
+than a shingle are one shingle; repeated rows fall in one class; rows without an id have a null component; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ BASE, SHIFT, TOP = 1.0005, 16000, 65535
 #: A pair is dropped unread if its most likely similarity is further below the threshold: over five standard errors.
 MARGIN = 0.2
 #: Shingles whose registers are taken at a time, and word hashes a worker remembers.
-BLOCK, REMEMBERED = 1 << 17, 300_000
+BLOCK, REMEMBERED = 1 << 17, 150_000
 #: Classes of a bucket whose pairs are written out, and of a block of a larger one.
 SMALL, MEMBERS = 32, 256
 #: Shingles per matrix product, and documents whose full sets are held at a time.
@@ -66,16 +67,14 @@ class _WordHashes(dict):
         return h
 
 
-_HASHES = _WordHashes()
-
-
-def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
-    """The document's set as sorted 64-bit hashes; A-Z count as a-z."""
+def shingle_hashes(text: bytes | None, size: int = SHINGLE, known: _WordHashes | None = None) -> np.ndarray:
+    """The document's set as sorted 64-bit hashes; A-Z count as a-z. known: word hashes that a task remembers."""
+    known = _WordHashes() if known is None else known
     words = (text or b"").lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
     if n < size:
         return _mixed(np.array([(h * _WORD_FACTORS[:n]).sum() + np.uint64(n)], np.uint64), n)
     sums = np.zeros(n - size + 1, np.uint64)
@@ -127,6 +126,7 @@ def _sketched(size: int):
         return np.add.reduceat(_mixed(joined, 1), starts), np.add.reduceat(_mixed(joined, 2), starts), registers(joined, starts)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
         for batch in batches:
             n, f1, f2, regs = [], [], [], []
             held: list[np.ndarray] = []
@@ -143,7 +143,7 @@ def _sketched(size: int):
 
             at = []
             for text in texts_of(batch.column(1)):
-                hashes = shingle_hashes(text, size)
+                hashes = shingle_hashes(text, size, known)
                 n.append(len(hashes))
                 if len(hashes):
                     at.append(len(n) - 1)
@@ -162,8 +162,9 @@ def _sketched(size: int):
 
 def _full_sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
         for batch in (whole.slice(i, SETS) for whole in batches for i in range(0, whole.num_rows, SETS)):
-            found = [shingle_hashes(t, size) for t in texts_of(batch.column(0))]
+            found = [shingle_hashes(t, size, known) for t in texts_of(batch.column(0))]
             prints = [[_mixed(s, salt).sum().astype(np.uint64).view(np.int64).item() if len(s) else 0 for s in found] for salt in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in found], pa.int64()), *(pa.array(p, pa.int64()) for p in prints), pa.array([s.tobytes() for s in found], pa.binary())], ["_n", "_f1", "_f2", "_set"])
 
@@ -319,11 +320,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     rooted = classes.select("_node", "_first").join(labels, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     smallest = rooted.groupBy("_root").agg(F.min("_first").alias("_component"))
     named = rooted.join(smallest, "_root").select("_node", "_component")
-    component = F.coalesce("_component", "_id")
+    component = F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id"))
     return sketches.select("_id", "_n", "_node").join(named, "_node", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents with one of each group: the smallest id, and one row of those that share it."""
-    kept = near_duplicates(docs, id_col=id_col, **how).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents with one of each group: the smallest id, and one row of those that share it.
+
+    Rows without an id are in no group with others; of those, one row of each text stays.
+    """
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
+    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    return out.withColumn("__no_id", F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).dropDuplicates([id_col, "__no_id"]).select(*docs.columns)

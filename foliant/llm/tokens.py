@@ -34,7 +34,7 @@ from .shared import id_and_text, settle
 
 CHUNK, OVERLAP, LIMIT, MARGIN = 32768, 256, 65536, 24
 #: Pieces whose ids a worker remembers, at most.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 _LOW = [chr(i) for i in range(0x250)]
 _L = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "L")

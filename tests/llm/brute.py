@@ -60,7 +60,7 @@ def measures(text):
 
 
 def remainder(doc_id, m):
-    return zlib.crc32(str(doc_id).encode()) % m
+    return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % m
 
 
 def ppm_scores(docs, held_out, order=5):

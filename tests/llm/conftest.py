@@ -23,6 +23,7 @@ def awkward_rows():
         (10, "x" * 5000, None, "a", 1), (11, prose(3, 20000), "en", "a", 1), (12, "Schöne Grüße über Straßen und Bäume " * 12, "de", "b", 1),
         (13, "der die und nicht mit von zu eine Häuser schön ist auch noch weiter gehen wir heute", "de", "b", 1), (13, "der die und nicht mit von zu eine Häuser schön ist auch noch weiter gehen wir heute", "de", "b", 1),
         (14, "тест на русском языке", "ru", "c", 1), (15, "### $$$ *** 123 456", "en", "c", 1), (16, "line a b\nline a b\nline a b\n", "en", "c", 1),
+        (None, prose(31, 80), "en", "b", 1), (None, prose(31, 80), "en", "b", 1), (None, prose(32, 80), "en", "b", 1),
         (17, "a<|endoftext|>b  c\u2003d 's don't\r\n\r\n", "en", None, 1), (18, prose(4, 600, ["ab", "cd"]), "en", "b", 1),
     ]
     return [(*r, 7, 0.5, None, "other") for r in rows]

@@ -7,6 +7,7 @@ from .test_documents import check_packing
 def test_stages(spark, awkward, nothing, sf):
     import corpus_pipeline as pipeline
 
+    awkward = awkward.where("doc_id IS NOT NULL")
     docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(awkward.select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", awkward.doc_id + 10_000))
     for k, (name, stage) in enumerate(pipeline.STAGES):
         out = stage(spark, docs, sf).cache()
