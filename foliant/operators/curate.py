@@ -338,9 +338,18 @@ def round_robin(df: DataFrame, deck: str, n: int, seed: str, key: str) -> DataFr
     return turn.orderBy("round", seeded(seed, deck), key).limit(n)
 
 
+def _mixed(key: str) -> list[Column]:
+    return [F.coalesce(F.col(key).try_cast("long"), F.lit(10**9)), F.col(key)]
+
+
 def sort_samples(df: DataFrame, key: str) -> DataFrame:
     """Numeric ids by value, others last."""
-    return df.orderBy(F.coalesce(F.col(key).try_cast("long"), F.lit(10**9)), key)
+    return df.orderBy(*_mixed(key))
+
+
+def place_samples(df: DataFrame, key: str) -> DataFrame:
+    """D20 as a column: every row with its place from 1 in that order."""
+    return ranked(df, _mixed(key))
 
 
 def top_up(removed: DataFrame, pool: DataFrame, stratum: str, order: Sequence[Column], key: str) -> DataFrame:

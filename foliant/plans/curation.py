@@ -193,9 +193,17 @@ def d19_round_robin(spark, sf):
     return C.round_robin(_docs(spark, sf), "source", 130, "s", "doc_id").select("doc_id", "source", "round")
 
 
+def _mixed_ids(spark, sf):
+    return _docs(spark, sf).select(F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("x"), "doc_id")).otherwise(F.col("doc_id").cast("string")).alias("id"))
+
+
 def d20_sort_samples(spark, sf):
-    d = _docs(spark, sf).select(F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("x"), "doc_id")).otherwise(F.col("doc_id").cast("string")).alias("id"))
-    return C.sort_samples(d, "id").limit(40)
+    return C.sort_samples(_mixed_ids(spark, sf), "id").limit(40)
+
+
+def d20_place_samples(spark, sf):
+    """All ids with their place in the order."""
+    return C.place_samples(_mixed_ids(spark, sf), "id")
 
 
 def d21_top_up(spark, sf):
@@ -252,6 +260,7 @@ ORACLE_SQL = {
     "d18_waterfill_quota": f"{_D}, z AS (SELECT lang || '/' || doc_id % 7 AS stratum, count(*) AS size FROM d GROUP BY 1), l AS (SELECT size, (400 - coalesce((SELECT sum(size) FROM z b WHERE b.size < a.size), 0)) / (SELECT sum(sqrt(size)) FROM z b WHERE b.size >= a.size) AS level FROM z a) SELECT stratum, size, round(least(size, coalesce((SELECT arg_min(level, size) FROM l WHERE level <= sqrt(size)), 1e18) * sqrt(size)), 6)::DOUBLE AS quota FROM z",
     "d19_round_robin": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_SEED.format('doc_id')}, doc_id)::INT AS round FROM d) SELECT doc_id, source, round FROM r ORDER BY round, {_SEED.format('source')}, doc_id LIMIT 130",
     "d20_sort_samples": "SELECT CASE WHEN doc_id % 10 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id FROM documents ORDER BY CASE WHEN doc_id % 10 = 0 THEN 1000000000 ELSE doc_id END, id LIMIT 40",
+    "d20_place_samples": "WITH i AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id, doc_id FROM documents) SELECT id, row_number() OVER (ORDER BY CASE WHEN doc_id % 10 = 0 THEN 1000000000 ELSE doc_id END, id) AS place FROM i",
     "d21_top_up": f"{_D}, r AS (SELECT doc_id AS replaced, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM d WHERE doc_id % 20 = 0), p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS i FROM d WHERE doc_id % 20 > 9) SELECT replaced, doc_id, r.lang FROM r JOIN p ON r.lang = p.lang AND r.i = p.i",
     "d22_preview": f"SELECT item_id FROM benchmark ORDER BY {_SEED.format('text')}, text LIMIT 20",
 }

@@ -13,3 +13,9 @@ def test_missing_ids_and_progress_follow_the_documents(spark, tmp_path):
     q = plans.queries()
     assert sorted(r.doc_id for r in q["j8_missing_ids_all"](spark, str(tmp_path)).collect()) == [i for i in range(3000) if i % 3]
     assert tuple(q["a34_progress_of_documents"](spark, str(tmp_path)).first()) == (1000, 2997, 33.333333333)
+
+
+def test_all_mixed_ids_have_their_place(spark, tmp_path):
+    put(spark, tmp_path, "documents", [(i, "en", "s", 1) for i in range(300)], "doc_id long, lang string, source string, n_chars long")
+    got = [r.id for r in plans.queries()["d20_place_samples"](spark, str(tmp_path)).orderBy("place").collect()]
+    assert got == [str(i) for i in range(300) if i % 10] + sorted(f"x{i}" for i in range(0, 300, 10))
