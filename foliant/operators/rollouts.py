@@ -250,17 +250,46 @@ def validation_metrics(samples: DataFrame, source: str, prompt: str, value: str)
     return per.groupBy(source).agg(F.avg("_m").alias("mean_at_n"), F.avg("_s").alias("std_at_n"), F.count("*").alias("prompts"), F.sum("_n").alias("samples"))
 
 
-def bootstrap_extremes(samples: DataFrame, group: str, value: str, n: int, draws: int, seed: str) -> DataFrame:
+def bootstrap_extremes(samples: DataFrame, group: str, value: str, n: int | None, draws: int, seed: str) -> DataFrame:
     """Mean and population deviation of the largest and smallest of n values drawn with replacement, over `draws` draws.
 
-    The draw numbers are folded over the group's array of values; rows are never multiplied.
+    Without n, a row for each size of a group: powers of two below its number of values, then that number; none for one value.
+    Draws are made over the group's array of values, a block of them at a time; rows are never multiplied.
     """
     values = samples.groupBy(group).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_v"))
-    pick = lambda i, j: F.get(F.col("_v"), (F.pmod(F.xxhash64(F.lit(seed), F.col(group), i, j), F.size("_v"))).cast("int"))
-    inner = lambda i: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: pick(i, j))
-    drawn = values.withColumn("_d", F.transform(F.sequence(F.lit(1), F.lit(draws)), inner))
-    long = drawn.select(group, F.explode("_d").alias("_x")).select(group, F.array_max("_x").alias("_b"), F.array_min("_x").alias("_w"))
-    return long.groupBy(group).agg(F.avg("_b").alias("best_mean"), F.stddev_pop("_b").alias("best_std"), F.avg("_w").alias("worst_mean"), F.stddev_pop("_w").alias("worst_std"))
+    kind, block = dict(values.dtypes)[group], 1 << 20
+
+    def sizes(many):
+        if n is not None:
+            return [n] if many else []
+        return [*(1 << k for k in range(1, many.bit_length()) if 1 << k < many), many] if many > 1 else []
+
+    def draw(batches):
+        from hashlib import md5
+
+        import numpy as np
+        import pandas as pd
+
+        for rows in batches:
+            out = []
+            for name, held in zip(rows[group], rows["_v"]):
+                held = np.asarray(held, dtype="float64")
+                for size in sizes(len(held)):
+                    rng = np.random.default_rng(int.from_bytes(md5(f"{seed}-{name}-{size}".encode()).digest(), "big"))
+                    best, worst, step = np.empty(draws), np.empty(draws), max(1, block // size)
+                    for at in range(0, draws, step):
+                        stop = min(draws, at + step)
+                        low, high = np.full(stop - at, np.inf), np.full(stop - at, -np.inf)
+                        for start in range(0, size, block):
+                            x = held[rng.integers(0, len(held), (stop - at, min(block, size - start)))]
+                            np.minimum(low, x.min(1), out=low)
+                            np.maximum(high, x.max(1), out=high)
+                        best[at:stop], worst[at:stop] = high, low
+                    out.append((name, size, best.mean(), best.std(), worst.mean(), worst.std()))
+            yield pd.DataFrame(out, columns=[group, "n", "best_mean", "best_std", "worst_mean", "worst_std"])
+
+    drawn = values.mapInPandas(draw, f"`{group}` {kind}, n int, best_mean double, best_std double, worst_mean double, worst_std double")
+    return drawn if n is None else drawn.drop("n")
 
 
 def expected_extremes(samples: DataFrame, group: str, value: str, n: int) -> DataFrame:

@@ -169,8 +169,8 @@ def a22_validation_metrics(spark, sf):
 
 
 def a23_bootstrap(spark, sf):
-    """Whole-group draws; held against a23_expected_extremes in the tests."""
-    return W.bootstrap_extremes(_orders(spark, sf), "uid", "score", 4, 200, "boot")
+    """1,000 draws at every size of a group; held against a23_expected_extremes in the tests."""
+    return W.bootstrap_extremes(_orders(spark, sf), "uid", "score", None, 1000, "boot")
 
 
 def a23_expected_extremes(spark, sf):

@@ -1,6 +1,7 @@
 """Whole jobs: results that must grow with the tables, on tables written here."""
 
 from foliant import plans
+from foliant.operators import rollouts
 
 
 def put(spark, path, name, rows, schema):
@@ -19,3 +20,17 @@ def test_all_mixed_ids_have_their_place(spark, tmp_path):
     put(spark, tmp_path, "documents", [(i, "en", "s", 1) for i in range(300)], "doc_id long, lang string, source string, n_chars long")
     got = [r.id for r in plans.queries()["d20_place_samples"](spark, str(tmp_path)).orderBy("place").collect()]
     assert got == [str(i) for i in range(300) if i % 10] + sorted(f"x{i}" for i in range(0, 300, 10))
+
+
+def test_bootstrap_takes_every_size(spark, tmp_path):
+    sizes = {1: [], 2: [2], 3: [2, 3], 4: [2, 4], 9: [2, 4, 8, 9], 25: [2, 4, 8, 16, 25]}
+    rows = [(g, g * 100 + i, 1000.0 * i, "F", "1") for g in sizes for i in range(g)]
+    put(spark, tmp_path, "orders", rows, "o_custkey long, o_orderkey long, o_totalprice double, o_orderstatus string, o_orderpriority string")
+    got = plans.queries()["a23_bootstrap"](spark, str(tmp_path)).collect()
+    assert sorted((r.uid, r.n) for r in got) == [(g, n) for g in sizes for n in sizes[g]]
+    held = spark.createDataFrame([(g, float(i)) for g in sizes for i in range(g)], "g long, v double")
+    true = {(r.g, n): r for n in (2, 3, 4, 8, 9, 16, 25) for r in rollouts.expected_extremes(held, "g", "v", n).collect()}
+    for r in got:
+        t = true[r.uid, r.n]
+        assert abs(r.best_mean - t.best_mean) <= 5 * r.best_std / 1000**0.5 and abs(r.worst_mean - t.worst_mean) <= 5 * r.worst_std / 1000**0.5
+        assert round(r.best_mean * 1000, 6) % 1 == 0  # a mean over 1,000 draws of whole values
