@@ -1,5 +1,7 @@
 """Whole jobs: results that must grow with the tables, on tables written here."""
 
+import math
+
 from foliant import plans
 from foliant.operators import rollouts
 
@@ -34,3 +36,10 @@ def test_bootstrap_takes_every_size(spark, tmp_path):
         t = true[r.uid, r.n]
         assert abs(r.best_mean - t.best_mean) <= 5 * r.best_std / 1000**0.5 and abs(r.worst_mean - t.worst_mean) <= 5 * r.worst_std / 1000**0.5
         assert round(r.best_mean * 1000, 6) % 1 == 0  # a mean over 1,000 draws of whole values
+
+
+def test_first_unseen_skips_seen_pages(spark, tmp_path):
+    rows = [(i, 0, [math.cos(i * 0.003), math.sin(i * 0.003)]) for i in range(500)]
+    put(spark, tmp_path, "embeddings", rows, "vec_id long, label long, embedding array<float>")
+    got = {r.episode: r.label for r in plans.queries()["r7_first_unseen_some"](spark, str(tmp_path)).collect()}
+    assert got[100] in (99, 101) and got[200] in (199, 201) and (got[0], got[300], got[400]) == (0, None, 400)
