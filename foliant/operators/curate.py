@@ -308,17 +308,21 @@ def micro_batches(rows: DataFrame, cost: str, key: str, budget: int) -> DataFram
         many += max(1, many // 8)
 
 
-def sqrt_quota_sample(df: DataFrame, stratum: str, deck: str, n: int, cap: int, seed: str, key: str) -> DataFrame:
-    """Quotas by the square root of stratum sizes (largest remainders), at most cap rows of a deck in a stratum."""
+def sqrt_quota_sample(df: DataFrame, stratum: str, deck: str, n: int, cap: int, seed: str, key: str, rare: Column | None = None) -> DataFrame:
+    """Quotas by the square root of stratum sizes (largest remainders), at first cap rows of a deck in a stratum.
+
+    Where a stratum's quota isn't met, its cap rises by one until it is or no rows are left. Rows with the `rare` behaviour
+    come first in their deck and among the rows of a step.
+    """
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
     whole = Window.partitionBy()
     share = F.lit(float(n)) * F.sqrt("_n") / F.sum(F.sqrt("_n")).over(whole)
     quota = sizes.withColumn("_share", share).withColumn("_q", F.floor("_share"))
     quota = quota.withColumn("_rest", F.lit(n) - F.sum("_q").over(whole)).withColumn("_o", F.row_number().over(Window.orderBy(F.desc(F.col("_share") - F.col("_q")), stratum)))
     quota = quota.select(stratum, (F.col("_q") + (F.col("_o") <= F.col("_rest")).cast("int")).alias("_q"))
-    by = seeded(seed, key)
-    capped = df.withColumn("_d", F.row_number().over(Window.partitionBy(stratum, deck).orderBy(by, key))).where(F.col("_d") <= cap)
-    placed = capped.withColumn("_i", F.row_number().over(Window.partitionBy(stratum).orderBy(by, key)))
+    by = [*([] if rare is None else [F.coalesce(~rare, F.lit(True))]), seeded(seed, key), F.col(key)]
+    steps = df.withColumn("_d", F.greatest(F.row_number().over(Window.partitionBy(stratum, deck).orderBy(*by)), F.lit(cap)))
+    placed = steps.withColumn("_i", F.row_number().over(Window.partitionBy(stratum).orderBy("_d", *by))).where(F.col("_i") <= n)  # no quota is above n
     return placed.join(quota, stratum).where(F.col("_i") <= F.col("_q")).drop("_d", "_i", "_q")
 
 

@@ -184,6 +184,11 @@ def d17_sqrt_quota_sample(spark, sf):
     return C.sqrt_quota_sample(_docs(spark, sf), "lang", "source", 120, 4, "s", "doc_id").select("doc_id", "lang")
 
 
+def d17_sqrt_quota_steps(spark, sf):
+    """From a cap of 1, multi-hop questions first."""
+    return C.sqrt_quota_sample(_docs(spark, sf), "lang", "source", 120, 1, "s", "doc_id", F.col("hop") == "multi").select("doc_id", "lang")
+
+
 def d18_waterfill_quota(spark, sf):
     sizes = _docs(spark, sf).groupBy(F.concat_ws("/", "lang", F.col("doc_id") % 7).alias("stratum")).agg(F.count("*").alias("size"))
     return C.waterfill_quota(sizes, "size", 400).select("stratum", "size", F.round("quota", 6).alias("quota"))
@@ -257,6 +262,7 @@ ORACLE_SQL = {
     "d15_balance_ranks": "WITH p AS (SELECT doc_id, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) % 16 AS m FROM documents) SELECT doc_id, (CASE WHEN m < 8 THEN m ELSE 15 - m END)::INT AS rank FROM p",
     "d16_micro_batches": "SELECT true AS fits",
     "d17_sqrt_quota_sample": f"{_D}, z AS (SELECT lang, 120.0::DOUBLE * sqrt(count(*)) / sum(sqrt(count(*))) OVER () AS share FROM d GROUP BY 1), q AS (SELECT lang, floor(share) + (row_number() OVER (ORDER BY share - floor(share) DESC, lang) <= 120 - sum(floor(share)) OVER ())::INT AS q FROM z), c AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {_SEED.format('doc_id')}, doc_id) <= 4), i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_SEED.format('doc_id')}, doc_id) AS i FROM c) SELECT doc_id, i.lang FROM i JOIN q ON i.lang = q.lang WHERE i <= q",
+    "d17_sqrt_quota_steps": f"{_D}, z AS (SELECT lang, 120.0::DOUBLE * sqrt(count(*)) / sum(sqrt(count(*))) OVER () AS share FROM d GROUP BY 1), q AS (SELECT lang, floor(share) + (row_number() OVER (ORDER BY share - floor(share) DESC, lang) <= 120 - sum(floor(share)) OVER ())::INT AS q FROM z), c AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS c FROM d), i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c, hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS i FROM c) SELECT doc_id, i.lang FROM i JOIN q ON i.lang = q.lang WHERE i <= q",
     "d18_waterfill_quota": f"{_D}, z AS (SELECT lang || '/' || doc_id % 7 AS stratum, count(*) AS size FROM d GROUP BY 1), l AS (SELECT size, (400 - coalesce((SELECT sum(size) FROM z b WHERE b.size < a.size), 0)) / (SELECT sum(sqrt(size)) FROM z b WHERE b.size >= a.size) AS level FROM z a) SELECT stratum, size, round(least(size, coalesce((SELECT arg_min(level, size) FROM l WHERE level <= sqrt(size)), 1e18) * sqrt(size)), 6)::DOUBLE AS quota FROM z",
     "d19_round_robin": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_SEED.format('doc_id')}, doc_id)::INT AS round FROM d) SELECT doc_id, source, round FROM r ORDER BY round, {_SEED.format('source')}, doc_id LIMIT 130",
     "d20_sort_samples": "SELECT CASE WHEN doc_id % 10 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id FROM documents ORDER BY CASE WHEN doc_id % 10 = 0 THEN 1000000000 ELSE doc_id END, id LIMIT 40",

@@ -2,8 +2,10 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 from foliant import plans
-from foliant.operators import rollouts
+from foliant.operators import curate, rollouts
 
 
 def put(spark, path, name, rows, schema):
@@ -43,3 +45,14 @@ def test_first_unseen_skips_seen_pages(spark, tmp_path):
     put(spark, tmp_path, "embeddings", rows, "vec_id long, label long, embedding array<float>")
     got = {r.episode: r.label for r in plans.queries()["r7_first_unseen_some"](spark, str(tmp_path)).collect()}
     assert got[100] in (99, 101) and got[200] in (199, 201) and (got[0], got[300], got[400]) == (0, None, 400)
+
+
+def test_deck_cap_rises_until_the_quota_is_met(spark):
+    rows = [(i, "one", "a", i % 10 == 0) for i in range(100)] + [(100 + i, "many", f"d{i % 50}", False) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, s string, deck string, rare boolean")
+    for cap in (1, 4):
+        got = curate.sqrt_quota_sample(df, "s", "deck", 40, cap, "x", "id", F.col("rare")).collect()
+        assert sorted(r.s for r in got) == ["many"] * 20 + ["one"] * 20
+        assert sum(r.rare for r in got) == 10
+        decks = [r.deck for r in got if r.s == "many"]
+        assert cap > 1 or len(decks) == len(set(decks))
