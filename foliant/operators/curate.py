@@ -136,14 +136,20 @@ HEDGES = ("maybe", "perhaps", "might be", "probably", "i guess", "not sure", "ac
 
 
 def think_quality(turns: DataFrame, traj: str, think: str, action: str, long: int = 1500, most_turns: int = 7) -> DataFrame:
-    """F16: per trajectory: any turn that repeats a sentence of 25 or more characters, any with 5 or more hedges, overlong."""
+    """F16: per trajectory: any turn that repeats a sentence of 25 or more characters, any with 5 or more hedges, overlong, and any
+    whose last sentence announces another action (let me, I'll, I should; crop or zoom, search, revisit) than the one taken.
+    """
     sentences = F.filter(F.transform(F.split(think, r"[.!?\n]"), lambda x: F.trim(x)), lambda s: F.length(s) >= 25)
     hedges = F.size(F.regexp_extract_all(F.lower(think), F.lit(r"\b(" + "|".join(HEDGES) + r")\b"), 1))
+    last = F.try_element_at(F.filter(F.transform(F.split(F.lower(think), r"[.!?\n]"), lambda x: F.trim(x)), lambda s: s != ""), F.lit(-1))
+    verb = F.regexp_extract(F.coalesce(last, F.lit("")), r"\b(?:let me|i['’]ll|i should)\b.*?\b(crop|zoom|search|revisit)\b", 1)
+    plain = lambda c: F.when(c == "zoom", "crop").otherwise(c)
+    other = (verb != "") & (plain(verb) != F.coalesce(plain(F.lower(action)), F.lit("")))
     per = turns.groupBy(traj).agg(
-        F.bool_or(F.size(F.array_distinct(sentences)) < F.size(sentences)).alias("repeats"), F.bool_or(hedges >= 5).alias("hedges"),
+        F.bool_or(other).alias("mismatch"), F.bool_or(F.size(F.array_distinct(sentences)) < F.size(sentences)).alias("repeats"), F.bool_or(hedges >= 5).alias("hedges"),
         F.max(F.length(think)).alias("_l"), F.count(F.when(F.col(action) != "crop", 1)).alias("_t"),
     )
-    return per.select(traj, "repeats", "hedges", ((F.col("_l") > long) | (F.col("_t") >= most_turns)).alias("overlong"))
+    return per.select(traj, "repeats", "hedges", ((F.col("_l") > long) | (F.col("_t") >= most_turns)).alias("overlong"), "mismatch")
 
 
 def grounded_filter(traj: DataFrame, answer: Column, gold_facts: Column, final: Column, gold: Column, most_words: int = 12) -> DataFrame:
@@ -285,6 +291,23 @@ def pad_to_multiple(df: DataFrame, m: int, order: Sequence[str], flag: str = "pa
     return out.unionByName(more.withColumn(flag, F.lit(True)))
 
 
+def drop_padding(df: DataFrame, flag: str = "padding") -> DataFrame:
+    """What pad_to_multiple was given."""
+    return df.where(~F.col(flag)).drop(flag)
+
+
+def fit_to_multiple(df: DataFrame, m: int, mode: str, seed: str, key: str) -> DataFrame:
+    """A seeded remainder copied (mode "copy") or deleted ("delete") so that the count is a multiple of m."""
+    n = df.count()
+    shuffled = lambda k: df.orderBy(seeded(seed, key), key).limit(k)
+    if mode == "delete":
+        return df.join(shuffled(n % m).select(key), key, "left_anti").select(*df.columns)
+    out = df
+    for _ in range(-n % m // n if n else 0):
+        out = out.unionByName(df)
+    return out.unionByName(shuffled(-n % m % n)) if n else out
+
+
 def question_minibatches(rollouts: DataFrame, uid: str, key: str) -> DataFrame:
     """The i-th rollout of each question is in batch i."""
     return rollouts.withColumn("batch", F.row_number().over(Window.partitionBy(uid).orderBy(key)) - 1)

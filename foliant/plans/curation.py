@@ -90,7 +90,15 @@ def f15_drop_constant_groups(spark, sf):
 
 
 def f16_think_quality(spark, sf):
-    return C.think_quality(table(spark, sf, "conversations"), "conv_id", "text", "role", 900, 6)
+    return C.think_quality(table(spark, sf, "conversations"), "conv_id", "text", "role", 900, 6).drop("mismatch")
+
+
+def f16_think_rules(spark, sf):
+    """All rules at the stated thresholds, over turns that announce an action and take one."""
+    c = table(spark, sf, "conversations")
+    said = F.element_at(F.array(*map(F.lit, ("Let me crop it.", "I'll zoom in.", "I should search again.", "Let me revisit it.", "Done."))), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    act = F.element_at(F.array(*map(F.lit, ("crop", "search", "revisit", "answer"))), (F.col("turn") % 4 + 1).cast("int"))
+    return C.think_quality(c.select("conv_id", F.concat_ws("\n", "text", said).alias("think"), act.alias("act")), "conv_id", "think", "act")
 
 
 def f17_grounded_filter(spark, sf):
@@ -242,6 +250,7 @@ ORACLE_SQL = {
     "f14_check_traj_advantage": f"{_S}, v AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN value ELSE user_id + k * 1e-9::DOUBLE END AS v FROM s) SELECT user_id, max(v) - min(v) <= 1e-6 + 1e-5 * abs(min(v)) AS same FROM v GROUP BY 1",
     "f15_drop_constant_groups": f"{_O} SELECT uid, traj FROM o WHERE uid IN (SELECT uid FROM o GROUP BY uid HAVING count(DISTINCT ok) > 1 ORDER BY uid LIMIT 500)",
     "f16_think_quality": r"WITH t AS (SELECT conv_id, role, text, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda x: trim(x)), lambda x: length(x) >= 25) AS s, len(regexp_extract_all(lower(text), '\b(maybe|perhaps|might be|probably|i guess|not sure|actually|wait|hmm|alternatively)\b')) AS h FROM conversations) SELECT conv_id, bool_or(len(list_distinct(s)) < len(s)) AS repeats, bool_or(h >= 5) AS hedges, max(length(text)) > 900 OR count(*) FILTER (role <> 'crop') >= 6 AS overlong FROM t GROUP BY 1",
+    "f16_think_rules": r"WITH c AS (SELECT conv_id, text || chr(10) || ['Let me crop it.', 'I''ll zoom in.', 'I should search again.', 'Let me revisit it.', 'Done.'][(conv_id + turn) % 5 + 1] AS text, ['crop', 'search', 'revisit', 'answer'][turn % 4 + 1] AS role, ['crop', 'crop', 'search', 'revisit'][(conv_id + turn) % 5 + 1] AS v FROM conversations), t AS (SELECT conv_id, role, text, v, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda x: trim(x)), lambda x: length(x) >= 25) AS s, len(regexp_extract_all(lower(text), '\b(maybe|perhaps|might be|probably|i guess|not sure|actually|wait|hmm|alternatively)\b')) AS h FROM c) SELECT conv_id, bool_or(len(list_distinct(s)) < len(s)) AS repeats, bool_or(h >= 5) AS hedges, max(length(text)) > 1500 OR count(*) FILTER (role <> 'crop') >= 7 AS overlong, bool_or(coalesce(v <> role, false)) AS mismatch FROM t GROUP BY 1",
     "f17_grounded_filter": "SELECT p_partkey, p_partkey % 3 = p_partkey % 2 AS grounded FROM part",
     "f18_rl_gate": f"{_O}, a AS (SELECT uid, answer, count(*) AS n, sum(ok::INT) AS c, sum((ok AND traj % 3 > 0)::INT) AS t FROM o GROUP BY 1, 2) SELECT uid, sum(c)::BIGINT AS k FROM a GROUP BY uid HAVING sum(c) BETWEEN 1 AND 6 AND sum(t) >= 1 AND 2 * sum(t) >= sum(c) AND uid % 10 <> 0 AND NOT bool_or(c > 0 AND c < n) AND uid % 12 <= 8",
     "f19_crop_label": f"""{_O}, t AS (SELECT uid, count(*) FILTER (traj % 2 = 0 AND ok) AS cc, count(*) FILTER (traj % 2 = 0 AND NOT ok) AS cw, count(*) FILTER (traj % 2 = 1 AND ok) AS nc, count(*) FILTER (traj % 2 = 1 AND NOT ok) AS nw FROM o GROUP BY 1)

@@ -56,3 +56,17 @@ def test_deck_cap_rises_until_the_quota_is_met(spark):
         assert sum(r.rare for r in got) == 10
         decks = [r.deck for r in got if r.s == "many"]
         assert cap > 1 or len(decks) == len(set(decks))
+
+
+def test_announced_actions_are_held_against_the_taken_ones(spark):
+    said = {1: ("Fine. Let me zoom in on it.", "crop"), 2: ("Fine. Let me zoom in on it.", "search"), 3: ("I'll search. The page shows it.", "crop"), 4: ("I should revisit page 2", "answer"), 5: ("", "crop"), 6: (None, None)}
+    df = spark.createDataFrame([(i, *v) for i, v in said.items()], "i long, think string, act string")
+    assert {r.i for r in curate.think_quality(df, "i", "think", "act").collect() if r.mismatch} == {2, 4}
+
+
+def test_a_remainder_is_copied_or_deleted(spark):
+    df = spark.range(10).withColumnRenamed("id", "i")
+    ids = lambda d: sorted(r.i for r in d.collect())
+    assert ids(curate.drop_padding(curate.pad_to_multiple(df, 8, ["i"]))) == list(range(10))
+    less, more = ids(curate.fit_to_multiple(df, 4, "delete", "s", "i")), ids(curate.fit_to_multiple(df, 32, "copy", "s", "i"))
+    assert len(less) == len(set(less)) == 8 and len(more) == 32 and min(map(more.count, range(10))) == 3
