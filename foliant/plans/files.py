@@ -60,6 +60,24 @@ def _page_files(spark, sf):
     return path
 
 
+def _page_tree(spark, sf):
+    """One file per page, fifty in a folder of its deck."""
+    path = _new(spark)
+    p = table(spark, sf, "pages").select(F.expr("page_id div 50").alias("deck"), (F.col("page_id") % 50).alias("n"), F.col("url").alias("value"))
+    p.repartition("deck").write.partitionBy("deck", "n").text(path)
+    return path
+
+
+def s5_scan_page_tree(spark, sf):
+    files = io.scan_page_files(spark, _page_tree(spark, sf), ["txt"])
+    return files.select(F.regexp_extract("path", r"(deck=\d+/n=\d+)/", 1).alias("place"))
+
+
+def s6_parse_page_tree(spark, sf):
+    files = io.scan_page_files(spark, _page_tree(spark, sf), ["txt"]).select(F.regexp_replace("path", r"^.*deck=(\d+)/n=(\d+)/.*$", "/x/$1_$2.jpg").alias("path"))
+    return io.parse_page_files(files, "path", r"^(\d+)_(\d+)\.jpg$", 0).select("deck", "page", "label")
+
+
 def s5_scan_page_files(spark, sf):
     files = io.scan_page_files(spark, _page_files(spark, sf), ["txt"])
     return files.select(F.regexp_extract("path", r"(deck=\d+/n=\d+)/", 1).alias("place")).distinct()
@@ -102,6 +120,16 @@ def s11_verify_manifest(spark, sf):
     return io.verify_manifest(found, off).select(F.substring("path", 1, 6).alias("part"), "error")
 
 
+def s11_verify_tree(spark, sf):
+    """One file for fifty ids; of each four files one is missing, one of a wrong size, one with a wrong checksum."""
+    path = _new(spark)
+    _labels(spark, sf).withColumn("part", F.expr("doc_id div 50")).repartition("part").write.partitionBy("part").json(path)
+    found = io.manifest(spark, path).where("path LIKE 'part=%'")
+    kind = F.regexp_extract("path", r"^part=(\d+)/", 1).cast("long") % 4
+    off = found.where(kind != 0).withColumn("bytes", F.when(kind == 1, 0).otherwise(F.col("bytes"))).withColumn("sha256", F.when(kind == 2, "x").otherwise(F.col("sha256")))
+    return io.verify_manifest(found, off).select(F.regexp_extract("path", r"^(part=\d+)/", 1).alias("part"), "error")
+
+
 def s13_dump_generations(spark, sf):
     path = _new(spark)
     io.dump_generations(_labels(spark, sf).withColumn("step", F.col("doc_id") % 5), path)
@@ -184,6 +212,9 @@ ORACLE_SQL = {
     "s4_unpivot_pages": "SELECT conv_id, (turn + 1)::INT AS page, strlen(text)::INT AS size FROM conversations WHERE turn < 20",
     "s5_scan_page_files": "SELECT DISTINCT 'deck=' || page_id % 5 || '/n=' || page_id % 7 AS place FROM pages",
     "s6_parse_page_files": "SELECT DISTINCT (page_id % 5)::VARCHAR AS deck, (page_id % 7 + 1)::INT AS page, page_id % 5 || '/page_0' || page_id % 7 + 1 AS label FROM pages",
+    "s5_scan_page_tree": "SELECT 'deck=' || page_id // 50 || '/n=' || page_id % 50 AS place FROM pages",
+    "s6_parse_page_tree": "SELECT (page_id // 50)::VARCHAR AS deck, (page_id % 50 + 1)::INT AS page, page_id // 50 || '/page_' || lpad((page_id % 50 + 1)::VARCHAR, 2, '0') AS label FROM pages",
+    "s11_verify_tree": "SELECT DISTINCT 'part=' || doc_id // 50 AS part, ['missing', 'size', 'sha256'][doc_id // 50 % 4 + 1] AS error FROM labels WHERE doc_id // 50 % 4 < 3",
     "s7_read_index_entries": "SELECT 'img/page_' || page_id || '.png' AS image_path, CASE WHEN page_id % 2 = 1 AND page_id % 3 = 0 THEN 'named' ELSE 'page_' || page_id END AS page_label FROM pages",
     "s8_append_new": "SELECT doc_id AS sample_id, CASE WHEN doc_id % 3 = 0 THEN quality ELSE 9 END AS quality, toxic FROM labels",
     "s9_write_verified": "SELECT doc_id::VARCHAR AS doc_id, quality::BIGINT AS quality FROM labels",

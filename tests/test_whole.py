@@ -70,3 +70,12 @@ def test_a_remainder_is_copied_or_deleted(spark):
     assert ids(curate.drop_padding(curate.pad_to_multiple(df, 8, ["i"]))) == list(range(10))
     less, more = ids(curate.fit_to_multiple(df, 4, "delete", "s", "i")), ids(curate.fit_to_multiple(df, 32, "copy", "s", "i"))
     assert len(less) == len(set(less)) == 8 and len(more) == 32 and min(map(more.count, range(10))) == 3
+
+
+def test_files_grow_with_the_pages(spark, tmp_path):
+    put(spark, tmp_path, "pages", [(i, f"u{i}") for i in range(120)], "page_id long, url string")
+    put(spark, tmp_path, "labels", [(i, 1, 0) for i in range(0, 500, 2)], "doc_id long, quality int, toxic int")
+    q = plans.queries()
+    assert q["s5_scan_page_tree"](spark, str(tmp_path)).distinct().count() == q["s6_parse_page_tree"](spark, str(tmp_path)).distinct().count() == 120
+    errors = [("missing", "size", "sha256", None)[k % 4] for k in range(10)]
+    assert sorted((r.part, r.error) for r in q["s11_verify_tree"](spark, str(tmp_path)).collect()) == sorted((f"part={k}", x) for k, x in enumerate(errors) if x)
