@@ -122,12 +122,12 @@ def plan_patterns(histogram: dict[int, int], window_bins: int, min_fill: float)
     return out
 
 
-def _pieces(path: str, window: int, separator: int):
+def _pieces(path: str, by_rank: bool, window: int, separator: int):
     names = ["_id", "_hash", "start", "length", "ids_crc32", "doc_tokens"]
     end = int(separator).to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, by_rank)
         for batch in batches:
             rows, starts, lengths, crcs, totals = [], [], [], [], []
             for row, text in enumerate(batch.column(2)):
@@ -145,12 +145,12 @@ def _pieces(path: str, window: int, separator: int):
     return pieces
 
 
-def _recut(path: str, separator: int):
+def _recut(path: str, by_rank: bool, separator: int):
     names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "_place"]
     end = int(separator).to_bytes(4, "little")
 
     def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, by_rank)
         for batch in batches:
             out: list[list[int]] = [[] for _ in range(6)]
             for row, (text, start, length, first, place) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "start", "length", "_first", "_place")), strict=True)):
@@ -170,8 +170,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, separator: int = 0, g
     spark, bins = docs.sparkSession, window // grain
     source = id_and_text(docs, id_col, text_col).withColumn("_text", F.coalesce("_text", F.lit("")))
     source = source.select("_id", F.xxhash64("_text").alias("_hash"), "_text")
-    kind = dict(source.dtypes)["_id"]
-    pieces = settle(source.mapInArrow(_pieces(path, window, separator), f"_id {kind}, _hash long, start long, length long, ids_crc32 long, doc_tokens long"))
+    kind, by_rank = dict(source.dtypes)["_id"], encoder(path).merges_by_rank()
+    pieces = settle(source.mapInArrow(_pieces(path, by_rank, window, separator), f"_id {kind}, _hash long, start long, length long, ids_crc32 long, doc_tokens long"))
     pieces = pieces.withColumn("_bin", F.ceil(F.col("length") / grain).cast("int"))
 
     counts = {r["_bin"]: r["n"] for r in pieces.groupBy("_bin").agg(F.count("*").alias("n")).collect()}  # at most window / grain rows
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, separator: int = 0, g
     cut = loose.where(is_cut).withColumnRenamed("_id", "_cid").withColumnRenamed("_hash", "_chash").drop("ids_crc32", "doc_tokens")
     texts = source.join(cut.select("_cid", "_chash").distinct(), F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")), "left_semi").dropDuplicates(["_id", "_hash"])
     parts = cut.join(texts, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash"))).select("_id", "_text", "start", "length", "_first", "_place")
-    parts = parts.mapInArrow(_recut(path, separator), f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, _place long")
+    parts = parts.mapInArrow(_recut(path, by_rank, separator), f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, _place long")
     end_to_end = loose.where(~is_cut).select(*parts.columns).unionByName(parts)
     end_to_end = end_to_end.withColumn("sequence_id", F.lit(base) + F.floor(F.col("_place") / window))
 

@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from .shared import id_and_text, settle
 
 CHUNK, OVERLAP, LIMIT, MARGIN = 32768, 256, 65536, 24
-#: Pieces whose ids a worker remembers, at most.
-REMEMBERED = 100_000
+#: Pieces whose ids a worker remembers in each of two generations, at most, and characters it encodes at a time, about.
+REMEMBERED, AT_ONCE = 50_000, 1 << 20
 
 _LOW = [chr(i) for i in range(0x250)]
 _L = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "L")
@@ -43,47 +43,44 @@ _S = "\t-\r \x85\xa0"
 #: The byte-level pre-tokenizer's pattern, for texts whose characters are all below U+0250.
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _HIGH = re.compile("[ɐ-\U0010ffff]")
+_CUT = re.compile("[A-Za-z] (?=[A-Za-z])")
 
 
-class _NotAlone(Exception):
-    """A part whose pieces depend on its neighbours."""
-
-
-class _Parts(dict):
-    """Ids of what stands between two spaces, with the space before it."""
-
-    def __init__(self, encoder: Encoder, before: str):
-        self.encoder, self.before = encoder, before
-
-    def __missing__(self, part: str) -> bytes:
-        if not part or part[-1].isspace() or self.before and part[0].isspace():
-            raise _NotAlone
-        ids = self.encoder.by_pieces(self.before + part)
-        if len(self) < REMEMBERED:
-            self[part] = ids
-        return ids
+def _slices(text: str) -> Iterator[str]:
+    """The text in parts of about AT_ONCE characters, cut where a space stands between two letters: a piece starts there in any case."""
+    start = 0
+    while len(text) - start > AT_ONCE and (cut := _CUT.search(text, start + AT_ONCE // 2)):
+        yield text[start : cut.start() + 1]
+        start = cut.start() + 1
+    yield text[start:]
 
 
 class _Pieces(dict):
+    """Ids by piece. Two generations: when the younger is full the older one goes, so pieces that keep coming stay."""
+
     def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.merged(piece)
-        if len(self) < REMEMBERED:
-            self[piece] = ids
+        if (ids := self.older.get(piece)) is None:
+            ids = self.encoder.merged(piece)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers, by tokenizers (.json) or sentencepiece (.model).
 
-    For byte-level BPE the library's merges are asked for once per distinct piece and remembered.
+    For byte-level BPE, texts are matched by pieces here and each piece is merged apart. Where `merges_by_rank` holds for
+    the file, the merging is left to tiktoken, which gives the same ids in less time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_rank: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.by_part = False
+        self.by_part, self.texts, self.alone = False, None, None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -106,25 +103,50 @@ class Encoder:
             return
         self.specials = {t["content"]: self.pack([t["id"]]) for t in about["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
+        self.spaced = any(" " in t for t in self.specials)
         self.model, self.split = self.library.model, self.library.pre_tokenizer
         plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {}  # what the library writes for each byte
         for text in map(chr, (*range(0x100), *range(0x100, 0x800, 0x40), *range(0x800, 0x10000, 0x800), 0x10000, 0x40000, 0x80000, 0xC0000, 0x100000)):
             if not 0xD800 <= ord(text) < 0xE000:
                 self.letters |= zip(text.encode(), plain.pre_tokenize_str(text)[0][0], strict=True)
-        self.firsts, self.rests, self.known = _Parts(self, ""), _Parts(self, " "), _Pieces(self)
+        self.known = _Pieces(self)
+        if by_rank:
+            import tiktoken
+
+            written = {letter: byte for byte, letter in self.letters.items()}
+            ranks = {bytes(map(written.__getitem__, token)): i for token, i in model["vocab"].items() if all(c in written for c in token)}
+            self.texts, self.alone = (tiktoken.Encoding(path, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (_PIECE.pattern, r"[\s\S]+"))
+
+    def merges_by_rank(self) -> bool:
+        """Whether merging the pair whose union has the smallest id gives what the library's list of merges gives, on any text.
+
+        It does if ids rise along the list and every token, taken as a text, is encoded as itself. For let t be the
+        shortest union that one rule makes of a pair (x, y) and the list does not have so. What happens inside t does not
+        depend on its surroundings, and all earlier merges in it are the list's, so the library is left with x, y on t alone.
+        """
+        model = json.loads(self.library.to_str())["model"] if self.by_part else {}
+        plain = ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+        if not self.by_part or any(model.get(key) for key in plain) or not all(letter in model["vocab"] for letter in self.letters.values()):
+            return False
+        made = [model["vocab"]["".join(pair.split(" ") if isinstance(pair, str) else pair)] for pair in model["merges"]]
+        return made == sorted(set(made)) and all([t.id for t in self.model.tokenize(token)] == [i] for token, i in model["vocab"].items())
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def merged(self, piece: str) -> bytes:
+        if self.alone:
+            return self.pack(self.alone.encode_ordinary(piece))
         written = piece.encode().decode("latin-1").translate(self.letters)
         return self.pack([t.id for t in self.model.tokenize(written)])
 
     def by_pieces(self, text: str) -> bytes:
         if not text.isascii() and _HIGH.search(text):
             return b"".join([self.known[text[a:b]] for _, (a, b) in self.split.pre_tokenize_str(text)])
+        if self.texts:
+            return self.pack(self.texts.encode_ordinary(text))
         return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
 
     def ids(self, text: str) -> bytes:
@@ -132,13 +154,12 @@ class Encoder:
             return b""
         if not self.by_part:
             return self.whole(text)
+        return b"".join(map(self._ids, [text] if self.spaced else _slices(text)))
+
+    def _ids(self, text: str) -> bytes:
         if self.special and self.special.search(text):
             return b"".join(self.specials[x] if i % 2 else self.by_pieces(x) for i, x in enumerate(self.special.split(text)))
-        first, *rest = text.split(" ")
-        try:
-            return self.firsts[first] + b"".join(map(self.rests.__getitem__, rest))
-        except _NotAlone:
-            return self.by_pieces(text)
+        return self.by_pieces(text)
 
     def boundaries(self, text: str) -> list[tuple[int, int]]:
         """(place of each piece's start, tokens before it), and the text's end."""
@@ -157,14 +178,14 @@ class Encoder:
         return [*out, (place, tokens)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, by_rank: bool = False) -> Encoder:
     """One per worker process and path."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, by_rank) not in _ENCODERS:
+        _ENCODERS[path, by_rank] = Encoder(path, by_rank)
+    return _ENCODERS[path, by_rank]
 
 
 def _cut(chunk: int, overlap: int):
@@ -188,11 +209,11 @@ def _cut(chunk: int, overlap: int):
 _MARKS = T.ArrayType(T.StructType([T.StructField("p", T.LongType()), T.StructField("n", T.LongType())]))
 
 
-def _encode_chunks(path: str, chunk: int, overlap: int):
+def _encode_chunks(path: str, by_rank: bool, chunk: int, overlap: int):
     kind = pa.list_(pa.struct([("p", pa.int64()), ("n", pa.int64())]))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, by_rank)
         for batch in batches:
             totals, heads, tails = [], [], []
             for start, piece in zip(batch.column("_start").to_pylist(), batch.column("_piece").to_pylist(), strict=True):
@@ -205,12 +226,12 @@ def _encode_chunks(path: str, chunk: int, overlap: int):
     return encode
 
 
-def _spliced(huge: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+def _spliced(huge: DataFrame, path: str, by_rank: bool, chunk: int, overlap: int) -> DataFrame:
     """_id, _hash, _times (equal rows), _tokens (null where a pair of chunks has no common stable boundary)."""
     fields = dict(huge.dtypes)
     cut = huge.mapInArrow(_cut(chunk, overlap), f"_id {fields['_id']}, _hash long, _k long, _chunks long, _start long, _piece string")
     schema = T.StructType([*cut.schema.fields[:4], T.StructField("_total", T.LongType()), T.StructField("_head", _MARKS), T.StructField("_tail", _MARKS)])
-    marks = cut.repartition("_id", "_hash", "_k").mapInArrow(_encode_chunks(path, chunk, overlap), schema)
+    marks = cut.repartition("_id", "_hash", "_k").mapInArrow(_encode_chunks(path, by_rank, chunk, overlap), schema)
     chunks = marks.groupBy("_id", "_hash", "_k").agg(F.count("*").alias("_times"), *(F.first(c).alias(c) for c in ("_chunks", "_total", "_head", "_tail")))
     order = Window.partitionBy("_id", "_hash").orderBy("_k")
     places = lambda c: F.transform(c, lambda m: m["p"])
@@ -229,22 +250,23 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CH
         raise ValueError("MARGIN < overlap <= chunk < limit is needed")
     source = id_and_text(docs, id_col, text_col).withColumn("_text", F.coalesce("_text", F.lit("")))
     kind = dict(source.dtypes)["_id"]
+    by_rank = encoder(path).merges_by_rank()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, by_rank)
         for batch in batches:
             tokens = [len(enc.ids(t.as_py())) // 4 for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], ["_id", "n_bytes", "n_tokens"])
 
     with_bytes = source.withColumn("n_bytes", F.octet_length("_text").cast("long"))
     as_counts = lambda df: df.mapInArrow(whole, f"_id {kind}, n_bytes long, n_tokens long")
-    if not Encoder(path).by_part:
+    if not encoder(path).by_part:
         return as_counts(with_bytes).withColumnRenamed("_id", id_col)
     out = as_counts(with_bytes.where(F.length("_text") <= limit))
     huge = source.where(F.length("_text") > limit).select("_id", F.xxhash64("_text").alias("_hash"), "_text")
     left = huge
     while True:
-        done = settle(_spliced(left, path, chunk, overlap))
+        done = settle(_spliced(left, path, by_rank, chunk, overlap))
         failed = done.where("_tokens IS NULL")
         whole_bytes = huge.select("_id", "_hash", F.octet_length("_text").cast("long").alias("n_bytes")).distinct()
         good = done.where("_tokens IS NOT NULL").join(whole_bytes, (done["_id"].eqNullSafe(whole_bytes["_id"])) & (done["_hash"] == whole_bytes["_hash"]))
