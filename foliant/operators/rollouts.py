@@ -13,31 +13,50 @@ from pyspark.sql import functions as F
 EPS = 1e-6
 
 
+#: Steps that are folded in one array.
+SEGMENT = 64
+
+
 def discounted_returns(steps: DataFrame, traj: str, order: Sequence[str], reward: str, gamma: float) -> DataFrame:
     """Reward + gamma * the next step's return, backwards within a trajectory; order must be total.
 
-    A gamma of 0 or 1 needs no fold. Otherwise a trajectory's rewards are folded once in one array.
+    A gamma of 0 or 1 needs no fold. Otherwise segments of a trajectory are folded, and what a segment's returns lack is
+    the return at the start of the next one, which the later segments' first returns and lengths tell.
     """
     window = Window.partitionBy(traj).orderBy(*order)
+    value = F.col(reward).cast("double")
     if gamma == 0:
-        return steps.withColumn("return", F.col(reward).cast("double"))
+        return steps.withColumn("return", value)
     if gamma == 1:
-        return steps.withColumn("return", F.sum(F.col(reward).cast("double")).over(window.rowsBetween(0, Window.unboundedFollowing)))
-    placed = steps.withColumn("_i", F.row_number().over(window))
-    rewards = F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(reward).cast("double").alias("r")))), lambda s: s["r"])
-    fold = F.aggregate(F.reverse(rewards), F.array().cast("array<double>"), lambda acc, r: F.array_prepend(acc, r + F.lit(gamma) * F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0))))
-    folded = placed.groupBy(traj).agg(fold.alias("_all")).select(traj, F.posexplode("_all").alias("_p", "return")).withColumn("_i", F.col("_p") + 1).drop("_p")
-    return placed.join(folded, [traj, "_i"]).drop("_i")
-
-
-def grpo(rollouts: DataFrame, uid: str, score: str, by_std: bool = True) -> DataFrame:
-    """(score - mean) / (sample deviation + eps) in the question group; a lone score has mean 0 and deviation 1."""
+        return steps.withColumn("return", F.sum(value).over(window.rowsBetween(0, Window.unboundedFollowing)))
+    placed = steps.select(F.col(traj).alias("_traj"), (F.row_number().over(window) - 1).alias("_i"), value.alias("_r"), F.struct(*map(F.col, steps.columns)).alias("_row"))
+    held = placed.groupBy("_traj", F.floor(F.col("_i") / SEGMENT).alias("_seg")).agg(F.collect_list(F.struct("_i", "_r", "_row")).alias("_held"))
+    held = held.withColumn("_held", F.array_sort("_held", lambda x, y: x["_i"] - y["_i"]))
+    held = held.withColumn("_own", _folded_back(F.transform("_held", lambda x: x["_r"]), lambda run, x: x + F.lit(gamma) * run))
+    later = Window.partitionBy("_traj").orderBy(F.desc("_seg")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.collect_list(F.struct(F.get("_own", F.lit(0)).alias("first"), F.pow(F.lit(float(gamma)), F.size("_own")).alias("fade"))).over(later)
+    held = held.withColumn("_next", F.aggregate(ahead, F.lit(0.0), lambda run, x: x["first"] + x["fade"] * run))
+    both = F.arrays_zip("_held", "_own")
+    each = held.select("_next", F.size("_own").alias("_n"), F.posexplode(both).alias("_p", "_x"))
+    returned = F.col("_x._own") + F.pow(F.lit(float(gamma)), F.col("_n") - F.col("_p")) * F.col("_next")
+    return each.select("_x._held._row.*", returned.alias("return"))
+
+
+def grpo(rollouts: DataFrame, uid: str, score: str, by_std: bool = True, traj: str | None = None, order: str | None = None) -> DataFrame:
+    """(score - mean) / (sample deviation + eps) in the question group; a lone score has mean 0 and deviation 1.
+
+    Every row (step) has a vote in mean and deviation, or, where traj is named, the first row of each trajectory by order.
+    """
     w = Window.partitionBy(uid)
-    lone = F.count("*").over(w) == 1
-    mean = F.when(lone, 0.0).otherwise(F.avg(score).over(w))
-    std = F.when(lone, 1.0).otherwise(F.stddev_samp(score).over(w))
+    votes = F.col(score)
+    if traj is not None:
+        votes = F.when(F.row_number().over(Window.partitionBy(uid, traj).orderBy(order)) == 1, F.col(score))
+    held = rollouts.withColumn("_vote", votes)
+    lone = F.count("_vote").over(w) == 1
+    mean = F.when(lone, 0.0).otherwise(F.avg("_vote").over(w))
+    std = F.when(lone, 1.0).otherwise(F.stddev_samp("_vote").over(w))
     centred = F.col(score) - mean
-    return rollouts.withColumn("advantage", centred / (std + EPS) if by_std else centred)
+    return held.withColumn("advantage", centred / (std + EPS) if by_std else centred).drop("_vote")
 
 
 def grpo_passk(rollouts: DataFrame, uid: str, score: str, tie: str, by_std: bool = True) -> DataFrame:
@@ -98,6 +117,23 @@ def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     return _folded_back(deltas, lambda run, d: d + F.lit(gamma * lam) * run)
 
 
+def whitened_tokens(rows: DataFrame, key: str, values: Column, mask: str, masked: bool) -> DataFrame:
+    """Key, i, advantage: token values whitened over the masked tokens of the whole table, and zeroed elsewhere if asked."""
+    tokens = rows.select(key, F.posexplode(F.arrays_zip(values.alias("v"), F.col(mask).alias("m"))).alias("i", "_x"))
+    white = masked_whiten(tokens.select(key, "i", "_x.v", "_x.m"), F.col("v"), F.col("m"), "advantage")
+    return white.select(key, "i", (F.col("advantage") * F.col("m") if masked else F.col("advantage")).alias("advantage"))
+
+
+def reinforce_advantages(rows: DataFrame, key: str, rewards: str, mask: str, gamma: float) -> DataFrame:
+    """REINFORCE++: discounted returns, whitened over the masked tokens, 0 elsewhere."""
+    return whitened_tokens(rows, key, reinforce_returns(F.col(rewards), F.col(mask), gamma), mask, True)
+
+
+def gae_advantages(rows: DataFrame, key: str, rewards: str, values: str, mask: str, gamma: float, lam: float) -> DataFrame:
+    """Generalised advantage estimates, whitened over the masked tokens."""
+    return whitened_tokens(rows, key, gae(F.col(rewards), F.col(values), gamma, lam), mask, False)
+
+
 def gigpo_steps(steps: DataFrame, uid: str, anchor: str, score: str, by_std: bool = True) -> DataFrame:
     """Steps of a question with the same anchor form a group; a lone step has the advantage 0."""
     w = Window.partitionBy(uid, anchor)
@@ -106,6 +142,29 @@ def gigpo_steps(steps: DataFrame, uid: str, anchor: str, score: str, by_std: boo
     return steps.withColumn("step_advantage", F.when(F.count("*").over(w) == 1, 0.0).otherwise(value))
 
 
+def gigpo(steps: DataFrame, uid: str, anchor: str, episode: str, score: str, weight: float = 1.0, by_std: bool = False) -> DataFrame:
+    """W7 whole: the episode's advantage in its question group plus weight times the step's among equal anchors."""
+    both = gigpo_steps(grpo(steps, uid, episode, by_std), uid, anchor, score, by_std)
+    return both.withColumn("advantage", F.col("advantage") + F.lit(float(weight)) * F.col("step_advantage"))
+
+
+def ra_search_steps(steps: DataFrame, uid: str, traj: str, order: Sequence[str], anchor: str, after: str, is_search: Column, min_group: int = 2, by_std: bool = True) -> DataFrame:
+    """W9, the older form: only searches count, 1 if the next anchor strictly contains the anchor, else 0. The first visit of
+    each (trajectory, anchor) is compared with those of its question at the same anchor, by population deviation.
+
+    Anchors are sets given as arrays; all other steps and groups below min_group get 0.
+    """
+    grows = (F.size(F.array_except(anchor, after)) == 0) & (F.size(F.array_distinct(after)) > F.size(F.array_distinct(anchor)))
+    held = steps.withColumn("_at", F.array_sort(F.array_distinct(anchor))).withColumn("_up", F.coalesce(grows, F.lit(False)).cast("double")).withColumn("_search", F.coalesce(is_search, F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy(traj, "_at", "_search").orderBy(*order))
+    held = held.withColumn("_votes", F.col("_search") & (nth == 1))
+    group = Window.partitionBy(uid, "_at", "_votes")
+    centred = F.col("_up") - F.avg("_up").over(group)
+    value = centred / (F.stddev_pop("_up").over(group) + EPS) if by_std else centred
+    counted = F.col("_votes") & (F.count("*").over(group) >= min_group)
+    return held.withColumn("step_advantage", F.when(counted, value).otherwise(0.0)).drop("_at", "_up", "_search", "_votes")
+
+
 def ra_steps(
     steps: DataFrame, uid: str, traj: str, order: str, anchor: str, action: str, kind: str, page: str, env_reward: str, judged_reward: str,
     gamma: float = 0.0, weight: float = 1.0, min_group: int = 2, by_std: bool = True,
@@ -345,7 +404,8 @@ def balance_report(rows: DataFrame, part: str, cost: str) -> DataFrame:
 def similar_groups(steps: DataFrame, uid: str, order: str, text: str, least: float = 0.95) -> DataFrame:
     """Within a question, in order, a step joins the first group whose first text is at least so similar, else opens one.
 
-    The rule depends on the order, so a question's steps are one group; they are a few dozen. Equal texts are compared once.
+    The rule depends on the order, so a question's different texts are one group; they are a few dozen, however many steps
+    have them.
     """
     kind = dict(steps.dtypes)
 
@@ -354,14 +414,14 @@ def similar_groups(steps: DataFrame, uid: str, order: str, text: str, least: flo
 
         import pandas as pd
 
-        heads, seen, out = [], {}, []
-        for value in rows.sort_values(order)[text]:
-            if value not in seen:
-                seen[value] = next((i for i, h in enumerate(heads) if SequenceMatcher(None, h, value).ratio() >= least), len(heads))
-                if seen[value] == len(heads):
-                    heads.append(value)
-            out.append(seen[value])
-        done = rows.sort_values(order)[[uid, order]].copy()
-        return pd.DataFrame(done.assign(group=out))
-
-    return steps.groupBy(uid).applyInPandas(group, f"{uid} {kind[uid]}, {order} {kind[order]}, group int")
+        heads, out = [], []
+        for value in rows.sort_values("_first")[text]:
+            at = next((i for i, head in enumerate(heads) if SequenceMatcher(None, head, value).ratio() >= least), len(heads))
+            if at == len(heads):
+                heads.append(value)
+            out.append(at)
+        return pd.DataFrame(rows.sort_values("_first")[[uid, text]].assign(group=out))
+
+    texts = steps.groupBy(uid, text).agg(F.min(order).alias("_first"))
+    grouped = texts.groupBy(uid).applyInPandas(group, f"{uid} {kind[uid]}, {text} {kind[text]}, group int")
+    return steps.join(grouped, [uid, text]).select(uid, order, "group")

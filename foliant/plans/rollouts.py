@@ -44,6 +44,14 @@ def w2_grpo(spark, sf):
     return _six(W.grpo(_orders(spark, sf), "uid", "score").select("traj", "advantage"), "advantage")
 
 
+def w2_grpo_trajectory_votes(spark, sf):
+    """One vote per trajectory (an order) of a customer, whose steps are line items."""
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    steps = line.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").withColumn("first", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    out = W.grpo(steps, "o_custkey", "l_extendedprice", traj="o_orderkey", order="first")
+    return _six(out.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "advantage"), "advantage")
+
+
 def w3_grpo_passk(spark, sf):
     o = _orders(spark, sf)
     many = o.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid")
@@ -69,6 +77,14 @@ def w6_gae(spark, sf):
     return _six(rows.select("traj", F.posexplode("a").alias("i", "adv")), "adv")
 
 
+def w6_reinforce_whitened(spark, sf):
+    return _six(W.reinforce_advantages(_rows(spark, sf), "traj", "x", "mask", 0.95), "advantage")
+
+
+def w6_gae_whitened(spark, sf):
+    return _six(W.gae_advantages(_rows(spark, sf), "traj", "x", "y", "mask", 0.99, 0.95), "advantage")
+
+
 def w6_remax(spark, sf):
     returns, advantage = W.remax_returns(F.col("x"), F.col("mask"), F.element_at("y", 1))
     rows = _rows(spark, sf).withColumn("p", F.arrays_zip(returns.alias("ret"), advantage.alias("adv")))
@@ -80,6 +96,19 @@ def w7_gigpo_steps(spark, sf):
     return _six(out.select("event_id", "step_advantage"), "step_advantage")
 
 
+def w7_gigpo(spark, sf):
+    """Episode scores are a user's clicks; both parts by deviation."""
+    e = _events(spark, sf).withColumn("uid", F.col("traj") % 10).withColumn("episode", (F.col("traj") % 7).cast("double"))
+    return _six(W.gigpo(e, "uid", "page", "episode", "value", 0.5, True).select("event_id", "advantage"), "advantage")
+
+
+def w9_ra_search_steps(spark, sf):
+    e = _events(spark, sf).withColumn("uid", F.col("traj") % 10)
+    e = e.withColumn("anchor", F.array(F.col("page") % 3, F.col("event_id") % 2)).withColumn("after", F.array(F.col("page") % 3, F.col("event_id") % 2, F.col("page") % 5))
+    search = (F.col("action") == "view") & (F.col("page") % 4 > 0)
+    return _six(W.ra_search_steps(e, "uid", "traj", ["ts", "event_id"], "anchor", "after", search).select("event_id", "step_advantage"), "step_advantage")
+
+
 def w9_ra_steps(spark, sf):
     e = _events(spark, sf).withColumn("uid", F.col("traj") % 10).withColumn("anchor", F.array_sort(F.array_distinct(F.array(F.col("page") % 3, F.col("event_id") % 2))))
     e = e.withColumn("action", F.when(F.col("action") == "view", "search").when(F.col("action") == "click", "update_graph").otherwise("answer")).withColumn("kind", F.when(F.col("page") % 4 > 0, "analyse").otherwise("decide"))
@@ -216,18 +245,24 @@ _EV = "e AS (SELECT user_id AS traj, ts, event_id, event_type AS action, value,
 _OR = "o AS (SELECT o_custkey AS uid, o_orderkey AS traj, o_totalprice / 1000 AS score, o_orderstatus AS status, o_orderpriority AS priority FROM orders)"
 _RW = """l AS (SELECT l_orderkey AS traj, l_discount AS x, l_tax AS y, (l_quantity > 10)::INT::DOUBLE AS m,
  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)::INT - 1 AS i FROM lineitem)"""
+_WHITE = "s AS (SELECT sum({0} * m) / (sum(m) + 1e-8) AS mean, sum(m) AS n FROM {1}), v AS (SELECT any_value(mean) AS mean, sum(({0} - mean) * ({0} - mean) * m) / (sum(m) + 1e-8) * any_value(n) / (any_value(n) - 1) AS var FROM {1}, s)"
 _KL = {"k1": "(y - x)", "abs": "abs(y - x)", "k2": "0.5 * (y - x) * (y - x)", "k3": "(exp(x - y) - (x - y) - 1)"}
 ORACLE_SQL = {
     "w1_discounted_returns": f"WITH RECURSIVE {_EV}, p AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY ts DESC, event_id DESC) AS i FROM e), r AS (SELECT traj, i, event_id, value::DOUBLE AS ret FROM p WHERE i = 1 UNION ALL SELECT p.traj, p.i, p.event_id, p.value + 0.9::DOUBLE * r.ret FROM r JOIN p ON p.traj = r.traj AND p.i = r.i + 1) SELECT event_id, round(ret, 6) AS ret FROM r",
     "w1_returns_undiscounted": f"WITH {_EV} SELECT event_id, round(sum(value) OVER (PARTITION BY traj ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS ret FROM e",
     "w2_grpo": f"WITH {_OR} SELECT traj, round((score - CASE WHEN count(*) OVER w = 1 THEN 0 ELSE avg(score) OVER w END) / (CASE WHEN count(*) OVER w = 1 THEN 1 ELSE stddev_samp(score) OVER w END + 1e-6), 6) AS advantage FROM o WINDOW w AS (PARTITION BY uid)",
+    "w2_grpo_trajectory_votes": "WITH k AS (SELECT l_orderkey AS o_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey AS uid, l_extendedprice AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1 AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey), g AS (SELECT uid, count(*) AS n, avg(x) AS m, stddev_samp(x) AS s FROM k WHERE f GROUP BY uid) SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, round((x - CASE WHEN n = 1 THEN 0 ELSE m END) / (CASE WHEN n = 1 THEN 1 ELSE s END + 1e-6), 6) AS advantage FROM k JOIN g USING (uid)",
     "w3_grpo_passk": f"WITH {_OR}, k AS (SELECT *, row_number() OVER s AS rn, lead(score) OVER s AS nxt, stddev_samp(score) OVER w AS sd, count(*) OVER w AS n FROM o WINDOW s AS (PARTITION BY uid ORDER BY score DESC, traj), w AS (PARTITION BY uid)) SELECT traj, CASE WHEN rn = 1 THEN round((score - nxt) / (sd + 1e-6), 6) ELSE 0 END AS advantage FROM k WHERE n > 1",
     "w4_rloo": f"WITH {_OR}, k AS (SELECT *, count(*) OVER w AS n, avg(score) OVER w AS m FROM o WINDOW w AS (PARTITION BY uid)) SELECT traj, round(CASE WHEN n = 1 THEN score ELSE (score - m) * n / (n - 1) END, 6) AS advantage FROM k",
     "w5_rfpp_baseline": f"WITH {_OR}, k AS (SELECT traj, (status <> 'P')::INT AS m, score - CASE WHEN count(*) OVER w = 1 THEN 0 ELSE avg(score) OVER w END AS c FROM o WINDOW w AS (PARTITION BY uid)), s AS (SELECT sum(c * m) / (sum(m) + 1e-8) AS mean, sum(m) AS n FROM k), v AS (SELECT any_value(mean) AS mean, sum((c - mean) * (c - mean) * m) / (sum(m) + 1e-8) * any_value(n) / (any_value(n) - 1) AS var FROM k, s) SELECT traj, round((c - mean) / sqrt(var + 1e-8), 6) AS advantage FROM k, v",
     "w6_reinforce_returns": f"WITH RECURSIVE {_RW}, r AS (SELECT traj, i, x * m AS ret FROM l WHERE (traj, i) IN (SELECT traj, max(i) FROM l GROUP BY traj) UNION ALL SELECT l.traj, l.i, (l.x + 0.95::DOUBLE * r.ret) * l.m FROM r JOIN l ON l.traj = r.traj AND l.i = r.i - 1) SELECT traj, i, round(ret, 12) + 0 AS ret FROM r",
     "w6_gae": f"WITH RECURSIVE {_RW}, d AS (SELECT traj, i, x + 0.99::DOUBLE * coalesce(lead(y) OVER (PARTITION BY traj ORDER BY i), 0) - y AS d FROM l), r AS (SELECT traj, i, d AS adv FROM d WHERE (traj, i) IN (SELECT traj, max(i) FROM l GROUP BY traj) UNION ALL SELECT d.traj, d.i, d.d + 0.99::DOUBLE * 0.95::DOUBLE * r.adv FROM r JOIN d ON d.traj = r.traj AND d.i = r.i - 1) SELECT traj, i, round(adv, 6) AS adv FROM r",
+    "w6_reinforce_whitened": f"WITH RECURSIVE {_RW}, r AS (SELECT traj, i, m, x AS ret, x * m AS run FROM l WHERE (traj, i) IN (SELECT traj, max(i) FROM l GROUP BY traj) UNION ALL SELECT l.traj, l.i, l.m, l.x + 0.95::DOUBLE * r.run, (l.x + 0.95::DOUBLE * r.run) * l.m FROM r JOIN l ON l.traj = r.traj AND l.i = r.i - 1), {_WHITE.format('ret', 'r')} SELECT traj, i, round((ret - mean) / sqrt(var + 1e-8) * m, 6) + 0 AS advantage FROM r, v",
+    "w6_gae_whitened": f"WITH RECURSIVE {_RW}, d AS (SELECT traj, i, m, x + 0.99::DOUBLE * coalesce(lead(y) OVER (PARTITION BY traj ORDER BY i), 0) - y AS d FROM l), r AS (SELECT traj, i, m, d AS adv FROM d WHERE (traj, i) IN (SELECT traj, max(i) FROM l GROUP BY traj) UNION ALL SELECT d.traj, d.i, d.m, d.d + 0.99::DOUBLE * 0.95::DOUBLE * r.adv FROM r JOIN d ON d.traj = r.traj AND d.i = r.i - 1), {_WHITE.format('adv', 'r')} SELECT traj, i, round((adv - mean) / sqrt(var + 1e-8), 6) AS advantage FROM r, v",
     "w6_remax": f"WITH {_RW}, r AS (SELECT *, sum(x * m) OVER (PARTITION BY traj ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ret, first_value(y) OVER (PARTITION BY traj ORDER BY i) AS b FROM l) SELECT traj, i, round(ret, 6) AS ret, round(ret - b * m, 6) + 0 AS adv FROM r",
     "w7_gigpo_steps": f"WITH {_EV} SELECT event_id, round(CASE WHEN count(*) OVER w = 1 THEN 0 ELSE (value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-6) END, 6) AS step_advantage FROM e WINDOW w AS (PARTITION BY traj, page)",
+    "w7_gigpo": f"WITH {_EV}, k AS (SELECT *, traj % 10 AS uid, (traj % 7)::DOUBLE AS ep FROM e) SELECT event_id, round((ep - CASE WHEN count(*) OVER q = 1 THEN 0 ELSE avg(ep) OVER q END) / (CASE WHEN count(*) OVER q = 1 THEN 1 ELSE stddev_samp(ep) OVER q END + 1e-6) + 0.5::DOUBLE * CASE WHEN count(*) OVER w = 1 THEN 0 ELSE (value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-6) END, 6) AS advantage FROM k WINDOW q AS (PARTITION BY uid), w AS (PARTITION BY uid, page)",
+    "w9_ra_search_steps": f"WITH {_EV}, a AS (SELECT event_id, ts, traj, traj % 10 AS uid, action = 'view' AND page % 4 > 0 AS s, list_sort(list_distinct([page % 3, event_id % 2])) AS anchor, (NOT list_contains([page % 3, event_id % 2], page % 5))::INT::DOUBLE AS up FROM e), f AS (SELECT *, s AND row_number() OVER (PARTITION BY traj, anchor, s ORDER BY ts, event_id) = 1 AS f FROM a) SELECT event_id, round(CASE WHEN f AND count(*) OVER w >= 2 THEN (up - avg(up) OVER w) / (stddev_pop(up) OVER w + 1e-6) ELSE 0 END, 6) + 0 AS step_advantage FROM f WINDOW w AS (PARTITION BY uid, anchor, f)",
     "w9_ra_steps": f"""WITH {_EV}, a AS (SELECT event_id, traj, traj % 10 AS uid, page, value / 1000 AS env, CASE action WHEN 'view' THEN 'search' WHEN 'click' THEN 'update_graph' ELSE 'answer' END AS action, page % 4 > 0 AS an, list_sort(list_distinct([page % 3, event_id % 2])) AS anchor FROM e),
  n AS (SELECT *, lead(anchor) OVER (PARTITION BY traj ORDER BY event_id) AS nxt, CASE WHEN action = 'update_graph' THEN page ELSE -1 END AS seen, action = 'search' OR (action = 'update_graph' AND an) AS act FROM a),
  s AS (SELECT *, CASE WHEN action = 'search' THEN CASE WHEN nxt IS NOT NULL AND list_has_all(nxt, anchor) AND len(nxt) > len(anchor) THEN 1 ELSE -1 END ELSE 0 END + CASE WHEN action = 'update_graph' AND an THEN 0.5::DOUBLE * (page % 3) / 2 ELSE 0 END + env AS ls, act AND row_number() OVER (PARTITION BY traj, anchor, action, seen, act ORDER BY event_id) = 1 AS f FROM n)
