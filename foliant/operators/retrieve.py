@@ -1,18 +1,24 @@
 """Page retrieval: vectors, dense and late-interaction ranking, recall.
 
-Rankings are partitioned by query and cut with row_number, which Spark plans as a group limit before the shuffle.
-A flat search pairs every query with every page by contract; queries are a stated set, pages stay where they are.
+A flat search pairs every query with every page by contract; queries are a stated set. Both are dealt into blocks of bounded
+size, a task scores two blocks by matrix products and hands k pages per query on, which are then ranked by query. A search
+inside a deck is a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a flat search are broadcast up to this many rows; more are dealt in blocks.
-MAX_BROADCAST_QUERIES = 10_000
+#: Queries that are paired with all pages are broadcast up to so many bytes, about; more are dealt in blocks of that size.
+MAX_BROADCAST_BYTES = 16 << 20
+#: Numbers of the vectors in a block, about.
+BLOCK_NUMBERS = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,16 +41,92 @@ def mean_pool(tokens: DataFrame, key: str, vector: str, mask: str | None = None)
     return pooled.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["_v"]).alias(vector))
 
 
+def _bytes(df: DataFrame) -> int:
+    """About how many bytes the rows hold: numbers as eight, strings as they are, arrays by their members."""
+    def width(column: Column, kind: str) -> Column:
+        if kind.startswith("array<array"):
+            return 8 * F.size(F.flatten(column))
+        if kind.startswith("array"):
+            return 8 * F.size(column)
+        return F.octet_length(column) if kind in ("string", "binary") else F.lit(16)
+
+    row = sum((F.coalesce(width(F.col(f"`{c}`"), kind), F.lit(0)) for c, kind in df.dtypes), F.lit(16))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
 def score_pairs(queries: DataFrame, pages: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Queries with the pages they search: all of them, or those with the same scope columns (an equi join)."""
     if scope:
         return queries.join(pages, list(scope))
-    few = queries.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
-    if few:
+    blocks = -(-_bytes(queries) // MAX_BROADCAST_BYTES)
+    if blocks <= 1:
         return pages.crossJoin(F.broadcast(queries))
-    blocks = F.lit(64)
-    left = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), blocks))
-    return pages.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).join(left, "_block").drop("_block")
+    left = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    return pages.withColumn("_block", every).join(left, "_block").drop("_block")
+
+
+def _blocks(df: DataFrame, key: str, numbers: Column, least: int = 1) -> tuple[Column, int]:
+    """In which block a row is, and how many there are."""
+    total = df.agg(F.sum(numbers)).first()[0] or 0
+    many = max(1, min(least, -(-total // 65536)), -(-total // BLOCK_NUMBERS))
+    return F.pmod(F.xxhash64(key), F.lit(many)).cast("int"), many
+
+
+def blocked_topk(queries: DataFrame, pages: DataFrame, k: int, length: Column, numbers: Column, score: Callable[[pa.Array, pa.Array], np.ndarray]) -> DataFrame:
+    """query, label, score, rank from queries (query, v) and pages (label, v): the k pages with the largest scores, rounded to
+    six digits, ties to the smaller label. score gives a matrix for the vectors of two blocks; only vectors of the same length meet.
+    """
+    kinds = {**dict(queries.dtypes), **dict(pages.dtypes)}
+    ready = [df.where(length > 0) for df in (queries, pages)]
+    (q_block, n_blocks), (p_block, n_groups) = _blocks(ready[0], "query", numbers), _blocks(ready[1], "label", numbers, queries.sparkSession.sparkContext.defaultParallelism)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = ready[0].select("query", "v", length.alias("_d"), q_block.alias("_block"), every(n_groups).alias("_group"))
+    right = ready[1].select("label", "v", length.alias("_d"), every(n_blocks).alias("_block"), p_block.alias("_group"))
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        rows, places, values = (np.zeros(0, t) for t in (np.int64, np.int64, float))
+        if asked.num_rows and held.num_rows:
+            values = np.rint(score(asked.column("v").combine_chunks(), held.column("v").combine_chunks()) * 1e6) / 1e6
+            labels = held.column("label").combine_chunks()
+            order = pc.rank(labels, sort_keys="ascending", tiebreaker="dense").to_numpy()
+            many = min(k, values.shape[1])
+            least = np.partition(values, values.shape[1] - many, axis=1)[:, values.shape[1] - many]
+            rows, places = np.nonzero(values >= least[:, None])
+            by = np.lexsort((order[places], -values[rows, places], rows))
+            rows, places = rows[by], places[by]
+            taken = np.arange(len(rows)) - np.searchsorted(rows, rows) < many
+            rows, places = rows[taken], places[taken]
+            values = values[rows, places]
+        taken_from = lambda t, name, at: t.column(name).take(pa.array(at, pa.int64()))
+        return pa.table({"query": taken_from(asked, "query", rows), "label": taken_from(held, "label", places), "score": pa.array(values, pa.float64())})
+
+    keys = ("_block", "_group", "_d")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"query {kinds['query']}, label {kinds['label']}, score double")
+    return top_k(found, "query", "score", "label", k).select("query", "label", "score", "rank")
+
+
+def _numbers(vectors: pa.Array) -> np.ndarray:
+    """The numbers of (nested) lists, end to end."""
+    while pa.types.is_list(vectors.type) or pa.types.is_large_list(vectors.type):
+        vectors = vectors.flatten()
+    return vectors.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _cosines(asked: pa.Array, held: pa.Array) -> np.ndarray:
+    q, p = (_numbers(v).reshape(len(v), -1) for v in (asked, held))
+    return (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)) @ (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)).T
+
+
+def _late_interactions(asked: pa.Array, held: pa.Array) -> np.ndarray:
+    """Per query and page: each query token's best product over the page's tokens, summed."""
+    width = len(asked[0][0])
+    q, p = (_numbers(v).reshape(-1, width) for v in (asked, held))
+    q_starts, p_starts = (np.append(0, np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))[:-1]).astype(np.int64) for v in (asked, held))
+    out = np.zeros((len(asked), len(held)))
+    for i, (a, b) in enumerate(zip(q_starts, np.append(q_starts[1:], len(q)), strict=True)):
+        out[i] = np.maximum.reduceat(q[a:b] @ p.T, p_starts, axis=1).sum(axis=0)
+    return out
 
 
 def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int, rank: str = "rank") -> DataFrame:
@@ -55,10 +137,12 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int, rank: str
 def dense_topk(queries: DataFrame, pages: DataFrame, k: int, scope: Sequence[str] = (), existing: DataFrame | None = None) -> DataFrame:
     """Cosine ranking. queries: query, qv and scope; pages: label, v and scope; existing keeps only its labels.
 
-    Ties go to the smaller label. An unknown scope value finds nothing.
+    Ties go to the smaller label. An unknown scope value finds nothing. Without a scope the result is query, label, score, rank.
     """
     if existing is not None:
         pages = pages.join(existing.select("label"), "label", "left_semi")
+    if not scope:
+        return blocked_topk(queries.select("query", F.col("qv").alias("v")), pages.select("label", "v"), k, F.size("v"), F.size("v"), _cosines)
     ready = pages.withColumn("v", l2_normalize(F.col("v")))
     asked = queries.withColumn("qv", l2_normalize(F.col("qv")))
     scored = score_pairs(asked, ready, scope).withColumn("score", F.round(dot(F.col("qv"), F.col("v")), 6))
@@ -76,13 +160,16 @@ def maxsim_topk(queries: DataFrame, pages: DataFrame, k: int, scope: Sequence[st
         missing = queries.join(pages.select(*scope).distinct(), list(scope), "left_anti").limit(1).count()
         if missing:
             raise ValueError("a query names a deck that has no page")
+    else:
+        width, numbers = F.size(F.get("v", F.lit(0))), F.size(F.flatten("v"))
+        return blocked_topk(queries.select("query", F.col("qv").alias("v")), pages.select("label", "v"), k, width, numbers, _late_interactions)
     scored = score_pairs(queries, pages, scope).withColumn("score", F.round(maxsim(F.col("qv"), F.col("v")), 6))
     return top_k(scored.drop("qv", "v"), "query", "score", "label", k)
 
 
 def maxsim_long(query_tokens: DataFrame, page_tokens: DataFrame) -> DataFrame:
     """R5 over exploded tokens: query_tokens (query, qtok, qv), page_tokens (label, tok, v) -> query, label, score."""
-    pairs = page_tokens.crossJoin(F.broadcast(query_tokens)).withColumn("_s", dot(F.col("qv"), F.col("v")))
+    pairs = score_pairs(query_tokens, page_tokens).withColumn("_s", dot(F.col("qv"), F.col("v")))
     best = pairs.groupBy("query", "label", "qtok").agg(F.max("_s").alias("_m"))
     return best.groupBy("query", "label").agg(F.round(F.sum("_m"), 6).alias("score"))
 

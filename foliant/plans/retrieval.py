@@ -63,19 +63,12 @@ def r6_existing_topk(spark, sf):
     return R.dense_topk(_queries(pages).drop("deck"), pages.drop("deck"), 5, existing=there).select("query", "label", "score", "rank")
 
 
-def _first_unseen(spark, sf, seen):
-    pages = _pages(spark, sf)
-    ranked = R.dense_topk(_queries(pages).drop("deck"), pages.drop("deck"), 3).withColumnRenamed("query", "episode")
-    return R.first_unseen(ranked, ranked.where(seen).select("episode", "label"), _queries(pages).select(F.col("query").alias("episode")))
-
-
 def r7_first_unseen(spark, sf):
-    return _first_unseen(spark, sf, "rank <= episode % 4")
-
-
-def r7_first_unseen_some(spark, sf):
     """Episodes that have seen none, one, two or all three of their pages."""
-    return _first_unseen(spark, sf, f"rank <= episode div {EVERY} % 4")
+    pages = _pages(spark, sf)
+    ranked = R.dense_topk(_queries(pages).drop("deck"), pages.drop("deck"), 3).withColumnRenamed("query", "episode")
+    seen = ranked.where(f"rank <= episode div {EVERY} % 4").select("episode", "label")
+    return R.first_unseen(ranked, seen, _queries(pages).select(F.col("query").alias("episode")))
 
 
 def _gold(pages):
@@ -122,7 +115,7 @@ def r12_gold_rank(spark, sf):
     return R.gold_rank(ranked.where("label <> query"), _gold(pages))
 
 
-QUERIES = {f.__name__: f for f in (r1_l2_normalize, r2_mean_pool, r3_dense_topk, r4_deck_topk, r5_maxsim_topk, r5_maxsim_long, r6_existing_topk, r7_first_unseen, r7_first_unseen_some, r8_recall_report, j11_score_pairs, r9_index_stats, r10_augment_index, r11_check_index, r12_gold_rank)}
+QUERIES = {f.__name__: f for f in (r1_l2_normalize, r2_mean_pool, r3_dense_topk, r4_deck_topk, r5_maxsim_topk, r5_maxsim_long, r6_existing_topk, r7_first_unseen, r8_recall_report, j11_score_pairs, r9_index_stats, r10_augment_index, r11_check_index, r12_gold_rank)}
 
 _E = """
 e AS (SELECT vec_id AS label, label AS deck, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -151,8 +144,7 @@ ORACLE_SQL = {
     "r5_maxsim_topk": _R5,
     "r5_maxsim_long": _R5,
     "r6_existing_topk": f"WITH {_E} SELECT query, label, score, {_TOP} FROM s WHERE label IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) QUALIFY rank <= 5",
-    "r7_first_unseen": f"WITH {_E}, t AS (SELECT query, label, {_TOP} FROM s QUALIFY rank <= 3) SELECT q.label AS episode, (SELECT arg_min(t.label, t.rank) FROM t WHERE t.query = q.label AND t.rank > q.label % 4) AS label FROM e q WHERE q.label % 100 = 0",
-    "r7_first_unseen_some": f"WITH {_E}, t AS (SELECT query, label, {_TOP} FROM s QUALIFY rank <= 3) SELECT q.label AS episode, (SELECT arg_min(t.label, t.rank) FROM t WHERE t.query = q.label AND t.rank > q.label // 100 % 4) AS label FROM e q WHERE q.label % 100 = 0",
+    "r7_first_unseen": f"WITH {_E}, t AS (SELECT query, label, {_TOP} FROM s QUALIFY rank <= 3) SELECT q.label AS episode, (SELECT arg_min(t.label, t.rank) FROM t WHERE t.query = q.label AND t.rank > q.label // 100 % 4) AS label FROM e q WHERE q.label % 100 = 0",
     "r8_recall_report": f"WITH {_E}, {_FLAT}, {_GOLD} {_REPORT.format(scope='flat', ranked='flat')} UNION ALL {_REPORT.format(scope='deck', ranked='decks')}",
     "j11_score_pairs": "SELECT q.vec_id AS query, count(*) AS pages, sum(p.vec_id)::BIGINT AS labels, 'flat' AS scope FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0 GROUP BY 1 UNION ALL SELECT q.vec_id, count(*), sum(p.vec_id)::BIGINT, 'deck' FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id % 100 = 0 GROUP BY 1",
     "r9_index_stats": "SELECT count(*) AS pages, avg(n) AS mean_tokens, min(n) AS min_tokens, max(n) AS max_tokens FROM (SELECT vec_id // 4, count(*) AS n FROM embeddings GROUP BY 1)",
