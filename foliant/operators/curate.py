@@ -19,11 +19,11 @@ def seeded(seed: str, *cols: str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(seed), *(F.col(c).cast("string") for c in cols)).cast("binary"))
 
 
-def ranked(df: DataFrame, order: Sequence[Column], name: str = "place", partitions: int = 64) -> DataFrame:
-    """Places from 1 over the whole table in an order: sorted ranges are written with a number inside each, and the counts of
-    the ranges are summed. Rows never meet in one task.
+def ranked(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Places from 1 over the whole table in an order: sorted ranges (spark.sql.shuffle.partitions of them, or fewer by size)
+    are written with a number inside each, and the counts of the ranges are summed. Rows never meet in one task.
     """
-    ranges = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
     sorted_ = written(ranges.withColumn("_rk_part", F.spark_partition_id()).withColumn("_rk_id", F.monotonically_increasing_id()))
     base = sorted_.groupBy("_rk_part").agg(F.count("*").alias("_rk_n"), F.min("_rk_id").alias("_rk_low"))
     before = F.coalesce(F.sum("_rk_n").over(Window.orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -32,6 +32,18 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "place", partitio
     return placed.select(*df.columns, F.col("_rk_place").alias(name))
 
 
+#: Rows that Spark's own top-n may gather in one task.
+FEW = 100_000
+
+
+def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first n rows in an order."""
+    if n <= FEW:
+        return df.orderBy(*order).limit(n)
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    return ranked(df, cols, "_first").where(F.col("_first") <= n).drop("_first")
+
+
 # checks
 
 
@@ -127,7 +139,7 @@ def drop_constant_groups(rollouts: DataFrame, uid: str, reward: str, target: int
     """rollouts of question groups whose rewards differ; with a target, of the first so many groups by id."""
     groups = rollouts.groupBy(uid).agg(F.min(reward).alias("_lo"), F.max(reward).alias("_hi")).where("_lo <> _hi").select(uid)
     if target is not None:
-        groups = groups.orderBy(uid).limit(target)
+        groups = first_rows(groups, [uid], target)
     return rollouts.join(groups, uid, "left_semi")
 
 
@@ -193,7 +205,9 @@ def clean_verdicts(raw: DataFrame, reply: str) -> DataFrame:
 def balanced_split(cands: DataFrame, cls: str, sizes: Mapping[str, tuple[int, int]], seed: str, key: str) -> DataFrame:
     """Per class the first n rows of a seeded shuffle to train, the next m to val."""
     goal = cands.sparkSession.createDataFrame([(c, n, m) for c, (n, m) in sizes.items()], f"{cls} string, _n long, _m long")
+    most = max((n + m for n, m in sizes.values()), default=0)
     placed = cands.join(F.broadcast(goal), cls).withColumn("_p", F.row_number().over(Window.partitionBy(cls).orderBy(seeded(seed, key), key)))
+    placed = placed.where(F.col("_p") <= most)  # a number, so that Spark trims before it shuffles
     split = F.when(F.col("_p") <= F.col("_n"), "train").when(F.col("_p") <= F.col("_n") + F.col("_m"), "val")
     return placed.withColumn("split", split).where("split IS NOT NULL").drop("_n", "_m", "_p")
 
@@ -202,9 +216,9 @@ def packed_select(cands: DataFrame, deck: str, hop: str, key: str, n_multi: int,
     """Multi-hop questions from decks in order (most multi, most single, name) until n_multi; singles from those decks first."""
     counts = cands.groupBy(deck).agg(F.count(F.when(F.col(hop) == "multi", 1)).alias("_m"), F.count(F.when(F.col(hop) != "multi", 1)).alias("_s"))
     keyed = cands.join(counts, deck)
-    multi = keyed.where(F.col(hop) == "multi").orderBy(F.desc("_m"), F.desc("_s"), deck, key).limit(n_multi)
+    multi = first_rows(keyed.where(F.col(hop) == "multi"), [F.desc("_m"), F.desc("_s"), deck, key], n_multi)
     chosen = multi.select(deck).distinct().withColumn("_in", F.lit(0))
-    single = keyed.where(F.col(hop) != "multi").join(chosen, deck, "left").orderBy(F.coalesce("_in", F.lit(1)), F.desc("_s"), deck, key).limit(n_single)
+    single = first_rows(keyed.where(F.col(hop) != "multi").join(chosen, deck, "left"), [F.coalesce("_in", F.lit(1)), F.desc("_s"), deck, key], n_single)
     return multi.select(*cands.columns).unionByName(single.select(*cands.columns))
 
 
@@ -222,8 +236,8 @@ def interleave(a: DataFrame, b: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def shortest_select(rows: DataFrame, hop: str, keys: Sequence[str], n_multi: int, n: int) -> DataFrame:
     """The n_multi shortest multi-hop rows, and the shortest others up to n in all."""
-    multi = rows.where(F.col(hop) == "multi").orderBy(*keys).limit(n_multi)
-    rest = rows.where(F.col(hop) != "multi").orderBy(*keys).limit(max(0, n - multi.count()))
+    multi = first_rows(rows.where(F.col(hop) == "multi"), keys, n_multi)
+    rest = first_rows(rows.where(F.col(hop) != "multi"), keys, max(0, n - multi.count()))
     return multi.unionByName(rest)
 
 
@@ -247,12 +261,12 @@ def merge_shards(shards: DataFrame, dataset: DataFrame, key: str, ordinal: str)
 
 def stratified_sample(df: DataFrame, cls: str, first: str, n_first: int, n: int, seed: str, key: str) -> DataFrame:
     """Up to n_first rows of one class, the rest from the others to make n."""
-    a = df.where(F.col(cls) == first).orderBy(seeded(seed, key), key).limit(n_first)
-    return a.unionByName(df.where(F.col(cls) != first).orderBy(seeded(seed, key), key).limit(max(0, n - a.count())))
+    a = first_rows(df.where(F.col(cls) == first), [seeded(seed, key), key], n_first)
+    return a.unionByName(first_rows(df.where(F.col(cls) != first), [seeded(seed, key), key], max(0, n - a.count())))
 
 
 def weighted_resample(rows: DataFrame, score: str, key: str, n: int, seed: str, method: str = "pow", power: float = 2.0) -> DataFrame:
-    """N draws with replacement; draws meet cumulative weights in buckets of the unit interval.
+    """N draws with replacement; draws meet cumulative weights in cells of the unit interval, as many as the table needs.
 
     Weights, all + 1e-8: |score| ** power; 1 for the extremes and 0 for others ("max_min"); 0.4 for the largest and 0.1 for
     others ("max_random").
@@ -261,11 +275,16 @@ def weighted_resample(rows: DataFrame, score: str, key: str, n: int, seed: str,
     top = F.col(score) == F.col("_top")
     forms = {"pow": F.pow(F.abs(score), F.lit(power)), "max_min": (top | (F.col(score) == F.col("_bottom"))).cast("double"), "max_random": F.when(top, 0.4).otherwise(0.1)}
     weighed = ranked(rows.crossJoin(ends).withColumn("_w", forms[method] + 1e-8).drop("_top", "_bottom"), [F.col(key)], "_i")
-    block = weighed.withColumn("_b", F.floor(F.col("_i") / 1000))
-    sums = block.groupBy("_b").agg(F.sum("_w").alias("_s")).withColumn("_base", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_all", F.sum("_s").over(Window.partitionBy()))
-    placed = block.join(sums.drop("_s"), "_b").withColumn("_hi", F.col("_base") + F.sum("_w").over(Window.partitionBy("_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.withColumn("_hi", F.col("_hi") / F.col("_all")).withColumn("_lo", F.col("_hi") - F.col("_w") / F.col("_all"))
-    cells = 4096
+    block = weighed.withColumn("_b", F.floor((F.col("_i") - 1) / 1000))
+    along = Window.orderBy("_b")  # one row for a thousand
+    sums = block.groupBy("_b").agg(F.sum("_w").alias("_s")).withColumn("_end", F.sum("_s").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = sums.withColumn("_base", F.coalesce(F.lag("_end").over(along), F.lit(0.0))).withColumn("_all", F.max("_end").over(Window.partitionBy()))
+    in_block = Window.partitionBy("_b").orderBy("_i")
+    upto = F.least(F.col("_base") + F.sum("_w").over(in_block.rowsBetween(Window.unboundedPreceding, 0)), F.col("_end"))
+    placed = block.join(sums.drop("_s"), "_b").withColumn("_hi", F.when(F.lead("_i").over(in_block).isNull(), F.col("_end")).otherwise(upto))
+    # a row's share begins where the one before ends, so every number below 1 is in one share
+    placed = placed.withColumn("_lo", F.coalesce(F.lag("_hi").over(in_block), F.col("_base")) / F.col("_all")).withColumn("_hi", F.col("_hi") / F.col("_all"))
+    cells = 1 << max(12, (max(weighed.count(), n) // 256).bit_length())  # some hundred draws or rows each, whatever the table's size
     spans = placed.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * cells), F.least(F.floor(F.col("_hi") * cells), F.lit(cells - 1).cast("long")))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / float(16**12)
     draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), draw.alias("_u")).withColumn("_cell", F.floor(F.col("_u") * cells))
@@ -285,9 +304,9 @@ def pad_to_multiple(df: DataFrame, m: int, order: Sequence[str], flag: str = "pa
     out = df.withColumn(flag, F.lit(False))
     if not short:
         return out
-    head = df.orderBy(*order).limit(short)
+    head = first_rows(df, order, short)
     turns = F.explode(F.sequence(F.lit(0), F.lit(-(-short // n) - 1))).alias("_turn")
-    more = head.select("*", turns).orderBy("_turn", *order).limit(short).drop("_turn")
+    more = first_rows(head.select("*", turns), ["_turn", *order], short).drop("_turn")
     return out.unionByName(more.withColumn(flag, F.lit(True)))
 
 
@@ -299,7 +318,7 @@ def drop_padding(df: DataFrame, flag: str = "padding") -> DataFrame:
 def fit_to_multiple(df: DataFrame, m: int, mode: str, seed: str, key: str) -> DataFrame:
     """A seeded remainder copied (mode "copy") or deleted ("delete") so that the count is a multiple of m."""
     n = df.count()
-    shuffled = lambda k: df.orderBy(seeded(seed, key), key).limit(k)
+    shuffled = lambda k: first_rows(df, [seeded(seed, key), key], k)
     if mode == "delete":
         return df.join(shuffled(n % m).select(key), key, "left_anti").select(*df.columns)
     out = df
@@ -313,21 +332,27 @@ def question_minibatches(rollouts: DataFrame, uid: str, key: str) -> DataFrame:
     return rollouts.withColumn("batch", F.row_number().over(Window.partitionBy(uid).orderBy(key)) - 1)
 
 
+def _serpentine(place: Column, n: int) -> Column:
+    """0 .. n - 1, n - 1 .. 0, and so on along places from 1."""
+    turn = F.pmod(place - 1, F.lit(2 * n))
+    return F.when(turn < n, turn).otherwise(2 * n - 1 - turn).cast("int")
+
+
 def balance_ranks(traj: DataFrame, cost: str, key: str, n: int) -> DataFrame:
     """Equal counts by a serpentine over costs, largest first."""
-    placed = ranked(traj, [F.desc(cost), F.col(key)], "_i").withColumn("_m", F.pmod(F.col("_i") - 1, F.lit(2 * n)))
-    return placed.withColumn("rank", F.when(F.col("_m") < n, F.col("_m")).otherwise(2 * n - 1 - F.col("_m")).cast("int")).drop("_i", "_m")
+    return ranked(traj, [F.desc(cost), F.col(key)], "_i").withColumn("rank", _serpentine(F.col("_i"), n)).drop("_i")
 
 
 def micro_batches(rows: DataFrame, cost: str, key: str, budget: int) -> DataFrame:
-    """ceil(total / budget) batches, balanced; a batch over the budget gets more batches."""
-    total, n = rows.agg(F.sum(cost), F.count("*")).first()
+    """ceil(total / budget) batches, balanced; a batch over the budget gets more batches. Rows are sorted once."""
+    placed = written(ranked(rows, [F.desc(cost), F.col(key)], "_i"))
+    total, n = placed.agg(F.sum(cost), F.count("*")).first()
     many = max(1, -(-(total or 0) // budget))
     while True:
-        out = balance_ranks(rows, cost, key, min(many, max(1, n)))
+        out = placed.withColumn("rank", _serpentine(F.col("_i"), min(many, max(1, n))))
         top = out.groupBy("rank").agg(F.sum(cost).alias("s")).agg(F.max("s")).first()[0] or 0
         if top <= budget or many >= n:
-            return out
+            return out.drop("_i")
         many += max(1, many // 8)
 
 
@@ -362,21 +387,18 @@ def waterfill_quota(sizes: DataFrame, size: str, n: float) -> DataFrame:
 def round_robin(df: DataFrame, deck: str, n: int, seed: str, key: str) -> DataFrame:
     """Rounds that take one row per deck, in a seeded order, until n."""
     turn = df.withColumn("round", F.row_number().over(Window.partitionBy(deck).orderBy(seeded(seed, key), key)))
-    return turn.orderBy("round", seeded(seed, deck), key).limit(n)
+    turn = turn.where(F.col("round") <= n)  # no deck gives more, and Spark trims before it shuffles
+    return first_rows(turn, ["round", seeded(seed, deck), key], n)
 
 
 def _mixed(key: str) -> list[Column]:
-    return [F.coalesce(F.col(key).try_cast("long"), F.lit(10**9)), F.col(key)]
-
-
-def sort_samples(df: DataFrame, key: str) -> DataFrame:
-    """Numeric ids by value, others last."""
-    return df.orderBy(*_mixed(key))
+    number = F.col(key).try_cast("long")
+    return [number.isNull(), number, F.col(key)]
 
 
-def place_samples(df: DataFrame, key: str) -> DataFrame:
-    """D20 as a column: every row with its place from 1 in that order."""
-    return ranked(df, _mixed(key))
+def sort_samples(df: DataFrame, key: str, place: str = "place") -> DataFrame:
+    """Every row with its place from 1: numeric ids by value, others last."""
+    return ranked(df, _mixed(key), place)
 
 
 def top_up(removed: DataFrame, pool: DataFrame, stratum: str, order: Sequence[Column], key: str) -> DataFrame:
@@ -388,7 +410,7 @@ def top_up(removed: DataFrame, pool: DataFrame, stratum: str, order: Sequence[Co
 
 def preview(df: DataFrame, n: int, seed: str, text: str) -> DataFrame:
     """The first n rows of a seeded shuffle by text."""
-    return df.orderBy(seeded(seed, text), text).limit(n)
+    return first_rows(df, [seeded(seed, text), text], n)
 
 
 def dedup_two_keys(df: DataFrame, first: Sequence[str], second: Sequence[str], order: str, target: int | None = None) -> DataFrame:
@@ -404,7 +426,7 @@ def dedup_two_keys(df: DataFrame, first: Sequence[str], second: Sequence[str], o
     while True:
         firsts = left
         for name in keys:
-            firsts = firsts.withColumn(f"_m{name}", F.min(order).over(Window.partitionBy(name)))
+            firsts = firsts.join(left.groupBy(name).agg(F.min(order).alias(f"_m{name}")), name)
         now = written(firsts.where((F.col(order) == F.col("_m_k1")) & (F.col(order) == F.col("_m_k2"))).select(*left.columns))
         kept = now if kept is None else kept.unionByName(now)
         rest = left
@@ -414,4 +436,15 @@ def dedup_two_keys(df: DataFrame, first: Sequence[str], second: Sequence[str], o
         if left.isEmpty():
             break
     out = kept.drop(*keys)
-    return out if target is None else out.orderBy(order).limit(target)
+    return out if target is None else first_rows(out, [order], target)
+
+
+def skip_reasons(df: DataFrame, kept: DataFrame, first: Sequence[str], second: Sequence[str], order: str) -> DataFrame:
+    """Rows that were not kept, with `reasons`: which of their keys an earlier kept row has, else "beyond the target"."""
+    out = df.join(kept.select(order), order, "left_anti")
+    for name, cols in (("_r1", first), ("_r2", second)):
+        had = kept.dropna(subset=list(cols)).groupBy(*cols).agg(F.min(order).alias(name))
+        out = out.join(had, list(cols), "left")
+    reasons = F.array_compact(F.array(F.when(F.col("_r1") < F.col(order), "first key"), F.when(F.col("_r2") < F.col(order), "second key")))
+    out = out.withColumn("reasons", F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("beyond the target"))))
+    return out.select(*df.columns, "reasons")

@@ -90,10 +90,6 @@ def f15_drop_constant_groups(spark, sf):
 
 
 def f16_think_quality(spark, sf):
-    return C.think_quality(table(spark, sf, "conversations"), "conv_id", "text", "role", 900, 6).drop("mismatch")
-
-
-def f16_think_rules(spark, sf):
     """All rules at the stated thresholds, over turns that announce an action and take one."""
     c = table(spark, sf, "conversations")
     said = F.element_at(F.array(*map(F.lit, ("Let me crop it.", "I'll zoom in.", "I should search again.", "Let me revisit it.", "Done."))), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
@@ -163,8 +159,9 @@ def d10_stratified_sample(spark, sf):
 
 
 def d11_weighted_resample(spark, sf):
-    out = C.weighted_resample(_docs(spark, sf), "n_chars", "doc_id", 3000, "s")
-    return out.select("draw", "doc_id")
+    """Three draws for each document."""
+    docs = _docs(spark, sf)
+    return C.weighted_resample(docs, "n_chars", "doc_id", 3 * docs.count(), "s").select("draw", "doc_id")
 
 
 def d12_repeat_rows(spark, sf):
@@ -189,10 +186,6 @@ def d16_micro_batches(spark, sf):
 
 
 def d17_sqrt_quota_sample(spark, sf):
-    return C.sqrt_quota_sample(_docs(spark, sf), "lang", "source", 120, 4, "s", "doc_id").select("doc_id", "lang")
-
-
-def d17_sqrt_quota_steps(spark, sf):
     """From a cap of 1, multi-hop questions first."""
     return C.sqrt_quota_sample(_docs(spark, sf), "lang", "source", 120, 1, "s", "doc_id", F.col("hop") == "multi").select("doc_id", "lang")
 
@@ -211,12 +204,7 @@ def _mixed_ids(spark, sf):
 
 
 def d20_sort_samples(spark, sf):
-    return C.sort_samples(_mixed_ids(spark, sf), "id").limit(40)
-
-
-def d20_place_samples(spark, sf):
-    """All ids with their place in the order."""
-    return C.place_samples(_mixed_ids(spark, sf), "id")
+    return C.sort_samples(_mixed_ids(spark, sf), "id")
 
 
 def d21_top_up(spark, sf):
@@ -249,8 +237,7 @@ ORACLE_SQL = {
     "f13_check_trajectories": "SELECT conv_id, count(*) AS steps, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS complete, arg_max(role = 'assistant', turn) AS ends FROM conversations GROUP BY 1",
     "f14_check_traj_advantage": f"{_S}, v AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN value ELSE user_id + k * 1e-9::DOUBLE END AS v FROM s) SELECT user_id, max(v) - min(v) <= 1e-6 + 1e-5 * abs(min(v)) AS same FROM v GROUP BY 1",
     "f15_drop_constant_groups": f"{_O} SELECT uid, traj FROM o WHERE uid IN (SELECT uid FROM o GROUP BY uid HAVING count(DISTINCT ok) > 1 ORDER BY uid LIMIT 500)",
-    "f16_think_quality": r"WITH t AS (SELECT conv_id, role, text, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda x: trim(x)), lambda x: length(x) >= 25) AS s, len(regexp_extract_all(lower(text), '\b(maybe|perhaps|might be|probably|i guess|not sure|actually|wait|hmm|alternatively)\b')) AS h FROM conversations) SELECT conv_id, bool_or(len(list_distinct(s)) < len(s)) AS repeats, bool_or(h >= 5) AS hedges, max(length(text)) > 900 OR count(*) FILTER (role <> 'crop') >= 6 AS overlong FROM t GROUP BY 1",
-    "f16_think_rules": r"WITH c AS (SELECT conv_id, text || chr(10) || ['Let me crop it.', 'I''ll zoom in.', 'I should search again.', 'Let me revisit it.', 'Done.'][(conv_id + turn) % 5 + 1] AS text, ['crop', 'search', 'revisit', 'answer'][turn % 4 + 1] AS role, ['crop', 'crop', 'search', 'revisit'][(conv_id + turn) % 5 + 1] AS v FROM conversations), t AS (SELECT conv_id, role, text, v, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda x: trim(x)), lambda x: length(x) >= 25) AS s, len(regexp_extract_all(lower(text), '\b(maybe|perhaps|might be|probably|i guess|not sure|actually|wait|hmm|alternatively)\b')) AS h FROM c) SELECT conv_id, bool_or(len(list_distinct(s)) < len(s)) AS repeats, bool_or(h >= 5) AS hedges, max(length(text)) > 1500 OR count(*) FILTER (role <> 'crop') >= 7 AS overlong, bool_or(coalesce(v <> role, false)) AS mismatch FROM t GROUP BY 1",
+    "f16_think_quality": r"WITH c AS (SELECT conv_id, text || chr(10) || ['Let me crop it.', 'I''ll zoom in.', 'I should search again.', 'Let me revisit it.', 'Done.'][(conv_id + turn) % 5 + 1] AS text, ['crop', 'search', 'revisit', 'answer'][turn % 4 + 1] AS role, ['crop', 'crop', 'search', 'revisit'][(conv_id + turn) % 5 + 1] AS v FROM conversations), t AS (SELECT conv_id, role, text, v, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda x: trim(x)), lambda x: length(x) >= 25) AS s, len(regexp_extract_all(lower(text), '\b(maybe|perhaps|might be|probably|i guess|not sure|actually|wait|hmm|alternatively)\b')) AS h FROM c) SELECT conv_id, bool_or(len(list_distinct(s)) < len(s)) AS repeats, bool_or(h >= 5) AS hedges, max(length(text)) > 1500 OR count(*) FILTER (role <> 'crop') >= 7 AS overlong, bool_or(coalesce(v <> role, false)) AS mismatch FROM t GROUP BY 1",
     "f17_grounded_filter": "SELECT p_partkey, p_partkey % 3 = p_partkey % 2 AS grounded FROM part",
     "f18_rl_gate": f"{_O}, a AS (SELECT uid, answer, count(*) AS n, sum(ok::INT) AS c, sum((ok AND traj % 3 > 0)::INT) AS t FROM o GROUP BY 1, 2) SELECT uid, sum(c)::BIGINT AS k FROM a GROUP BY uid HAVING sum(c) BETWEEN 1 AND 6 AND sum(t) >= 1 AND 2 * sum(t) >= sum(c) AND uid % 10 <> 0 AND NOT bool_or(c > 0 AND c < n) AND uid % 12 <= 8",
     "f19_crop_label": f"""{_O}, t AS (SELECT uid, count(*) FILTER (traj % 2 = 0 AND ok) AS cc, count(*) FILTER (traj % 2 = 0 AND NOT ok) AS cw, count(*) FILTER (traj % 2 = 1 AND ok) AS nc, count(*) FILTER (traj % 2 = 1 AND NOT ok) AS nw FROM o GROUP BY 1)
@@ -265,17 +252,16 @@ ORACLE_SQL = {
     "d7_dedup_latest": f"{_S}, x AS (SELECT *, CASE WHEN k % 50 > 0 THEN user_id || '-' || k % 10 ELSE '__missing_' || event_id END AS key FROM s) SELECT key, event_id FROM x QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC, event_id DESC) = 1",
     "d9_merge_shards": "SELECT doc_id, lang, doc_id * 2 AS ordinal FROM documents",
     "d10_stratified_sample": f"{_D}, a AS (SELECT doc_id, lang FROM d WHERE lang = 'de' ORDER BY {_SEED.format('doc_id')}, doc_id LIMIT 10) SELECT * FROM a UNION ALL (SELECT doc_id, lang FROM d WHERE lang <> 'de' ORDER BY {_SEED.format('doc_id')}, doc_id LIMIT 20)",
+    "d11_weighted_resample": "WITH p AS (SELECT doc_id, coalesce(sum(w) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER () AS lo FROM (SELECT doc_id, pow(abs(n_chars), 2) + 1e-8 AS w FROM documents)), u AS (SELECT draw, ('0x' || substr(md5('s-' || draw), 1, 12))::BIGINT / pow(16, 12) AS u FROM (SELECT unnest(range(3 * count(*))) AS draw FROM documents)) SELECT draw, doc_id FROM u ASOF JOIN p ON u.u >= p.lo",
     "d12_repeat_rows": f"{_S} SELECT event_id, c::INT AS copy FROM s, unnest(range(1, k % 3 + 1)) AS t(c)",
     "d13_pad_to_multiple": "WITH n AS (SELECT count(*) AS n, (-count(*) % 768 + 768) % 768 AS short FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents) SELECT doc_id, false AS padding FROM documents UNION ALL SELECT doc_id, true FROM r, n, unnest(range(1 + short // n)) AS t(x) WHERE i + x * n <= short",
     "d14_question_minibatches": "SELECT o_orderkey AS traj, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS batch FROM orders",
     "d15_balance_ranks": "WITH p AS (SELECT doc_id, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) % 16 AS m FROM documents) SELECT doc_id, (CASE WHEN m < 8 THEN m ELSE 15 - m END)::INT AS rank FROM p",
     "d16_micro_batches": "SELECT true AS fits",
-    "d17_sqrt_quota_sample": f"{_D}, z AS (SELECT lang, 120.0::DOUBLE * sqrt(count(*)) / sum(sqrt(count(*))) OVER () AS share FROM d GROUP BY 1), q AS (SELECT lang, floor(share) + (row_number() OVER (ORDER BY share - floor(share) DESC, lang) <= 120 - sum(floor(share)) OVER ())::INT AS q FROM z), c AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {_SEED.format('doc_id')}, doc_id) <= 4), i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_SEED.format('doc_id')}, doc_id) AS i FROM c) SELECT doc_id, i.lang FROM i JOIN q ON i.lang = q.lang WHERE i <= q",
-    "d17_sqrt_quota_steps": f"{_D}, z AS (SELECT lang, 120.0::DOUBLE * sqrt(count(*)) / sum(sqrt(count(*))) OVER () AS share FROM d GROUP BY 1), q AS (SELECT lang, floor(share) + (row_number() OVER (ORDER BY share - floor(share) DESC, lang) <= 120 - sum(floor(share)) OVER ())::INT AS q FROM z), c AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS c FROM d), i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c, hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS i FROM c) SELECT doc_id, i.lang FROM i JOIN q ON i.lang = q.lang WHERE i <= q",
+    "d17_sqrt_quota_sample": f"{_D}, z AS (SELECT lang, 120.0::DOUBLE * sqrt(count(*)) / sum(sqrt(count(*))) OVER () AS share FROM d GROUP BY 1), q AS (SELECT lang, floor(share) + (row_number() OVER (ORDER BY share - floor(share) DESC, lang) <= 120 - sum(floor(share)) OVER ())::INT AS q FROM z), c AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS c FROM d), i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c, hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS i FROM c) SELECT doc_id, i.lang FROM i JOIN q ON i.lang = q.lang WHERE i <= q",
     "d18_waterfill_quota": f"{_D}, z AS (SELECT lang || '/' || doc_id % 7 AS stratum, count(*) AS size FROM d GROUP BY 1), l AS (SELECT size, (400 - coalesce((SELECT sum(size) FROM z b WHERE b.size < a.size), 0)) / (SELECT sum(sqrt(size)) FROM z b WHERE b.size >= a.size) AS level FROM z a) SELECT stratum, size, round(least(size, coalesce((SELECT arg_min(level, size) FROM l WHERE level <= sqrt(size)), 1e18) * sqrt(size)), 6)::DOUBLE AS quota FROM z",
     "d19_round_robin": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_SEED.format('doc_id')}, doc_id)::INT AS round FROM d) SELECT doc_id, source, round FROM r ORDER BY round, {_SEED.format('source')}, doc_id LIMIT 130",
-    "d20_sort_samples": "SELECT CASE WHEN doc_id % 10 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id FROM documents ORDER BY CASE WHEN doc_id % 10 = 0 THEN 1000000000 ELSE doc_id END, id LIMIT 40",
-    "d20_place_samples": "WITH i AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id, doc_id FROM documents) SELECT id, row_number() OVER (ORDER BY CASE WHEN doc_id % 10 = 0 THEN 1000000000 ELSE doc_id END, id) AS place FROM i",
+    "d20_sort_samples": "WITH i AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id, doc_id FROM documents) SELECT id, row_number() OVER (ORDER BY doc_id % 10 = 0, CASE WHEN doc_id % 10 > 0 THEN doc_id END, id) AS place FROM i",
     "d21_top_up": f"{_D}, r AS (SELECT doc_id AS replaced, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM d WHERE doc_id % 20 = 0), p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS i FROM d WHERE doc_id % 20 > 9) SELECT replaced, doc_id, r.lang FROM r JOIN p ON r.lang = p.lang AND r.i = p.i",
     "d22_preview": f"SELECT item_id FROM benchmark ORDER BY {_SEED.format('text')}, text LIMIT 20",
 }
