@@ -21,15 +21,16 @@ def page_aliases(visits: DataFrame, sample: str, turn: str, label: str) -> DataF
     return first.withColumn("alias", F.concat(F.lit("P"), place.cast("string")))
 
 
-def fact_versions(events: DataFrame, fact: str, turn: str, text: str) -> DataFrame:
-    """M2: per fact its current text, the number of revisions, and the earlier texts in order."""
-    held = events.groupBy(fact).agg(F.array_sort(F.collect_list(F.struct(turn, text))).alias("_h"))
-    texts = F.transform("_h", lambda h: h[text])
-    return held.select(fact, F.element_at(texts, -1).alias("text"), (F.size("_h") - 1).alias("revision"), F.slice(texts, 1, F.size("_h") - 1).alias("history"))
+def fact_versions(events: DataFrame, fact: str, turn: str, *values: str) -> DataFrame:
+    """M2: per fact its current values (text, box, source, ...), the number of revisions, and the earlier ones in order."""
+    held = events.groupBy(fact).agg(F.array_sort(F.collect_list(F.struct(turn, *values))).alias("_h"))
+    now = F.element_at("_h", -1)
+    earlier = F.transform(F.slice("_h", 1, F.size("_h") - 1), lambda h: F.struct(*(h[v].alias(v) for v in values)) if len(values) > 1 else h[values[0]])
+    return held.select(fact, *(now[v].alias(v) for v in values), (F.size("_h") - 1).alias("revision"), earlier.alias("history"))
 
 
 @dataclass
-class _Memory:
+class Memory:
     """One sample's question tree and facts. Nodes are [id, question, status, answer, pages]; facts are kept by page."""
 
     nodes: list[list] = field(default_factory=lambda: [["N0", "", "open", None, []]])
@@ -79,7 +80,7 @@ def _plain(row) -> dict:
     }
 
 
-def _folded(memory: _Memory, errors: list[int]) -> dict:
+def folded(memory: Memory, errors: list[int]) -> dict:
     names = ("id", "question", "status", "answer", "pages")
     return {
         "nodes": [dict(zip(names, n, strict=True)) for n in memory.nodes], "active": memory.nodes[memory.active()][0], "errors": errors,
@@ -96,46 +97,103 @@ def fold_memory(turns: DataFrame, sample: str, turn: str) -> DataFrame:
     kind = dict(turns.dtypes)[sample]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        memory, errors = _Memory(), []
+        memory, errors = Memory(), []
         for row in rows.sort_values(turn).itertuples(index=False):
             if not memory.step(_plain(row)):
                 errors.append(int(getattr(row, turn)))
-        return pd.DataFrame([{sample: rows[sample].iloc[0], **_folded(memory, errors)}])
+        return pd.DataFrame([{sample: rows[sample].iloc[0], **folded(memory, errors)}])
 
     return turns.groupBy(sample).applyInPandas(fold, f"{sample} {kind}, {MEMORY}")
 
 
+class ClueGraph:
+    """The older memory: a tree of questions. Facts are [text, box or None, superseded]; ids are never used again."""
+
+    def __init__(self):
+        self.nodes: dict[int, dict] = {}
+        self.fresh, self.active, self.target = 0, 0, None
+        self._add(None, "")
+
+    def _add(self, parent: int | None, question: str) -> dict:
+        self.nodes[self.fresh] = {"id": self.fresh, "parent": parent, "question": question, "answer": None, "open": True, "facts": [], "refs": []}
+        self.fresh += 1
+        return self.nodes[self.fresh - 1]
+
+    def _children(self, node: dict) -> list[dict]:
+        return [n for n in self.nodes.values() if n["parent"] == node["id"]]
+
+    @staticmethod
+    def _more(node: dict, facts: list, refs: list) -> None:
+        for fact in facts:
+            if fact[0] not in [known[0] for known in node["facts"]]:
+                node["facts"].append(list(fact))
+        node["refs"] += [r for r in dict.fromkeys(refs) if r not in node["refs"]]
+
+    def _absorb(self, node: dict, child: dict) -> None:
+        for below in self._children(child):
+            self._absorb(node, below)
+        self._more(node, child["facts"], child["refs"])
+        del self.nodes[child["id"]]
+
+    def step(self, kind: str, answer: str | None, facts: list, refs: list, answered: str | None, remaining: str | None, region: list | None) -> bool:
+        """Applies one decision; False if it lacks what its kind needs."""
+        node = self.nodes[self.active]
+        if kind == "REJECT":
+            self.target = None
+        elif kind == "ACCEPT" and answer:
+            node["answer"], node["open"] = answer, False
+            self.target = node["id"]
+            if node["id"] == 0 or len(self._children(node)) >= 2:  # a synthesis takes the place of what was known
+                node["facts"] = []
+                facts = facts or [[answer, None, False]]
+            self._more(node, facts, refs)
+            self.active = node["id"] if node["parent"] is None else node["parent"]
+        elif kind == "EXPAND" and answer and answered and remaining:
+            for child in self._children(node):
+                self._absorb(node, child)
+            self._more(node, [], refs)
+            done = self._add(node["id"], answered)
+            done["answer"], done["open"] = answer, False
+            self._more(done, facts or [[answer, None, False]], refs)
+            self.target, self.active = done["id"], self._add(node["id"], remaining)["id"]
+        elif kind.startswith("CROP_") and self.target in self.nodes:
+            return kind == "CROP_REJECT" or self._crop(self.nodes[self.target], answer, facts, refs, region)
+        else:
+            return False
+        return True
+
+    def _crop(self, node: dict, answer: str | None, facts: list, refs: list, region: list | None, slack: float = 10.0) -> bool:
+        """What a closer look says goes to the node that the page's facts went to, and earlier facts inside the region are superseded."""
+        for fact in node["facts"] if region else ():
+            if fact[1] and all(fact[1][i] >= region[i] - slack and fact[1][i + 2] <= region[i + 2] + slack for i in (0, 1)):
+                fact[2] = True
+        self._more(node, facts or ([[answer, None, False]] if answer else []), refs)
+        node["answer"] = (answer or "").strip() or node["answer"]
+        return True
+
+
 def fold_graph(decisions: DataFrame, sample: str, order: str) -> DataFrame:
-    """M4: the older clue graph per sample: ACCEPT adds facts to the active node and closes it (the root's are overwritten),
-    REJECT leaves it, EXPAND replaces its open children by new ones whose ids are never used again.
+    """M4: the older clue graph per sample after its decisions in order, the next free id and how many decisions were refused.
 
-    decisions: decision, facts (texts), children (questions). Gives nodes (id, parent, question, facts, open) and the next id.
+    decisions: decision (ACCEPT, REJECT, EXPAND, or CROP_ before one of them), answer, facts (text, box), refs, answered,
+    remaining, region. ACCEPT closes the active node and goes up; the root and nodes that were expanded have their facts
+    overwritten, others more of them. EXPAND first takes in what older children knew, drops them, and opens an answered and
+    a remaining question. A crop's facts go to the node that the last page's facts went to and supersede those inside it.
     """
     kind = dict(decisions.dtypes)[sample]
+    node = "struct<id:int,parent:int,question:string,answer:string,open:boolean,facts:array<struct<text:string,box:array<double>,superseded:boolean>>,refs:array<string>>"
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes: dict[int, dict] = {0: {"id": 0, "parent": None, "question": "", "facts": [], "open": True}}
-        fresh = 1
+        graph, refused = ClueGraph(), 0
+        as_list = lambda x: [] if x is None else list(x)
         for row in rows.sort_values(order).itertuples(index=False):
-            at = next((n for n in nodes.values() if n["id"] and n["open"]), nodes[0])
-            facts, children = list(row.facts if row.facts is not None else []), list(row.children if row.children is not None else [])
-            if row.decision == "ACCEPT":
-                at["facts"] = facts if at["id"] == 0 else at["facts"] + facts
-                at["open"] = False
-            elif row.decision == "EXPAND":
-                gone = {at["id"]}
-                for n in list(nodes.values()):
-                    if n["parent"] in gone:
-                        gone.add(n["id"])
-                        at["facts"] = at["facts"] + n["facts"]
-                        del nodes[n["id"]]
-                at["open"] = at["id"] == 0
-                for q in children:
-                    nodes[fresh] = {"id": fresh, "parent": at["id"], "question": q, "facts": [], "open": True}
-                    fresh += 1
-        return pd.DataFrame([{sample: rows[sample].iloc[0], "nodes": list(nodes.values()), "next_id": fresh}])
-
-    return decisions.groupBy(sample).applyInPandas(fold, f"{sample} {kind}, nodes array<struct<id:int,parent:int,question:string,facts:array<string>,open:boolean>>, next_id int")
+            facts = [[f["text"], None if f["box"] is None else list(f["box"]), False] for f in as_list(row.facts)]
+            refused += not graph.step(row.decision, row.answer, facts, as_list(row.refs), row.answered, row.remaining, None if row.region is None else list(row.region))
+        names = ("text", "box", "superseded")
+        nodes = [{**n, "facts": [dict(zip(names, f, strict=True)) for f in n["facts"]]} for n in graph.nodes.values()]
+        return pd.DataFrame([{sample: rows[sample].iloc[0], "nodes": nodes, "next_id": graph.fresh, "refused": int(refused)}])
+
+    return decisions.groupBy(sample).applyInPandas(fold, f"{sample} {kind}, nodes array<{node}>, next_id int, refused int")
 
 
 def fold_findings(steps: DataFrame, sample: str, order: str, kind: str, text: str) -> DataFrame:
@@ -165,12 +223,14 @@ def replay_check(folded: DataFrame, stored: DataFrame, sample: str, columns: lis
     return both.select(*folded.columns)
 
 
-def memory_rows(batches: Iterator[pd.DataFrame], memory: _Memory, turn: str) -> tuple[_Memory, list[int], bool]:
-    """Applies batches of one sample's turns to a memory: the memory, refused turns, whether an answer came."""
-    errors, done = [], False
-    for batch in batches:
-        for row in batch.sort_values(turn).itertuples(index=False):
-            if not memory.step(_plain(row)):
-                errors.append(int(getattr(row, turn)))
-            done = done or row.op == "answer"
-    return memory, errors, done
+def memory_rows(batches: Iterator[pd.DataFrame], memory: Memory, turn: str) -> tuple[Memory, list[int], str | None]:
+    """Applies batches of one sample's turns to a memory, up to an answer or an error: the memory, refused turns, and what ended it."""
+    errors: list[int] = []
+    for row in (row for batch in batches for row in batch.sort_values(turn).itertuples(index=False)):
+        if row.op == "error":
+            return memory, errors, "error"
+        if not memory.step(_plain(row)):
+            errors.append(int(getattr(row, turn)))
+        if row.op == "answer":
+            return memory, errors, "answer"
+    return memory, errors, None

@@ -19,20 +19,26 @@ def _new(spark):
     return f"{shared_folder(spark)}/foliant/{uuid.uuid4().hex}"
 
 
-def _as_lines(spark, df, parts=1):
-    path = _new(spark)
-    df.coalesce(parts).write.json(path)
-    return path
-
-
 def _labels(spark, sf):
     return table(spark, sf, "labels").select("doc_id", "quality", "toxic")
 
 
 def s1_read_jsonl(spark, sf):
+    """Files that begin with an empty line, which the start skips, and hold others."""
+    path = _new(spark)
+    line = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.to_json(F.struct("doc_id", "quality")))
+    rows = _labels(spark, sf).select((F.col("doc_id") % 8).alias("part"), F.lit(1).alias("first"), line.alias("value"))
+    heads = rows.select("part", F.lit(0).alias("first"), F.lit("").alias("value")).distinct()
+    rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "first").select("part", "value").write.partitionBy("part").text(path)
+    return io.read_jsonl(spark, f"{path}/part=*", "doc_id long, quality int", start=1).groupBy("quality").agg(F.count("*").alias("n"))
+
+
+def s1_read_jsonl_limit(spark, sf):
+    """The first hundred rows of each file, in the order in which it holds them."""
     path = _new(spark)
-    _labels(spark, sf).select(F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.to_json(F.struct("doc_id", "quality"))).alias("value")).coalesce(1).write.text(path)
-    return io.read_jsonl(spark, path, "doc_id long, quality int", start=1, limit=1_000_000_000).groupBy("quality").agg(F.count("*").alias("n"))
+    rows = _labels(spark, sf).select((F.col("doc_id") % 8).alias("part"), "doc_id", F.to_json(F.struct("doc_id", "quality")).alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    return io.read_jsonl(spark, f"{path}/part=*", "doc_id long, quality int", limit=100)
 
 
 def s2_read_jsonl_lenient(spark, sf):
@@ -48,16 +54,11 @@ def s3_read_qa_parquet(spark, sf):
 
 
 def s4_unpivot_pages(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == k - 1, F.struct(F.col("text").cast("binary").alias("bytes")))).alias(f"page_{k}") for k in range(1, 21)))
-    return io.unpivot_pages(c.unionByName(c), "conv_id").select("conv_id", "page", F.length("bytes").alias("size"))
-
-
-def _page_files(spark, sf):
-    """One small file per page, in a folder of its deck."""
-    path = _new(spark)
-    p = table(spark, sf, "pages").select((F.col("page_id") % 5).alias("deck"), (F.col("page_id") % 7).alias("n"), "url").distinct()
-    p.groupBy("deck", "n").agg(F.count("*").cast("string").alias("value")).repartition("deck", "n").write.partitionBy("deck", "n").text(path)
-    return path
+    """As many page columns as the longest conversation has turns."""
+    c = table(spark, sf, "conversations")
+    turns = (c.agg(F.max("turn")).first()[0] or 0) + 1
+    wide = c.groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == k, F.struct(F.col("text").cast("binary").alias("bytes")))).alias(f"page_{k + 1}") for k in range(turns)))
+    return io.unpivot_pages(wide.unionByName(wide), "conv_id").select("conv_id", "page", F.length("bytes").alias("size"))
 
 
 def _page_tree(spark, sf):
@@ -68,23 +69,13 @@ def _page_tree(spark, sf):
     return path
 
 
-def s5_scan_page_tree(spark, sf):
+def s5_scan_page_files(spark, sf):
     files = io.scan_page_files(spark, _page_tree(spark, sf), ["txt"])
     return files.select(F.regexp_extract("path", r"(deck=\d+/n=\d+)/", 1).alias("place"))
 
 
-def s6_parse_page_tree(spark, sf):
-    files = io.scan_page_files(spark, _page_tree(spark, sf), ["txt"]).select(F.regexp_replace("path", r"^.*deck=(\d+)/n=(\d+)/.*$", "/x/$1_$2.jpg").alias("path"))
-    return io.parse_page_files(files, "path", r"^(\d+)_(\d+)\.jpg$", 0).select("deck", "page", "label")
-
-
-def s5_scan_page_files(spark, sf):
-    files = io.scan_page_files(spark, _page_files(spark, sf), ["txt"])
-    return files.select(F.regexp_extract("path", r"(deck=\d+/n=\d+)/", 1).alias("place")).distinct()
-
-
 def s6_parse_page_files(spark, sf):
-    files = io.scan_page_files(spark, _page_files(spark, sf), ["txt"]).select(F.regexp_replace("path", r"^.*deck=(\d+)/n=(\d+)/.*$", "/x/$1_$2.jpg").alias("path")).distinct()
+    files = io.scan_page_files(spark, _page_tree(spark, sf), ["txt"]).select(F.regexp_replace("path", r"^.*deck=(\d+)/n=(\d+)/.*$", "/x/$1_$2.jpg").alias("path"))
     return io.parse_page_files(files, "path", r"^(\d+)_(\d+)\.jpg$", 0).select("deck", "page", "label")
 
 
@@ -103,7 +94,7 @@ def s8_append_new(spark, sf):
 
 def s9_write_verified(spark, sf):
     schema = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("quality", T.LongType())])
-    return io.write_verified(_labels(spark, sf), _new(spark), schema, "doc_id")
+    return io.write_verified(_labels(spark, sf), _new(spark), schema, "doc_id", ["quality", "doc_id"])
 
 
 def s10_write_summary(spark, sf):
@@ -113,14 +104,6 @@ def s10_write_summary(spark, sf):
 
 
 def s11_verify_manifest(spark, sf):
-    path = _new(spark)
-    _labels(spark, sf).withColumn("part", F.col("doc_id") % 4).repartition(1).write.partitionBy("part").json(path)
-    found = io.manifest(spark, path).where("path LIKE 'part=%'")
-    off = found.where("path NOT LIKE 'part=0%'").withColumn("bytes", F.when(F.col("path").like("part=1%"), 0).otherwise(F.col("bytes"))).withColumn("sha256", F.when(F.col("path").like("part=2%"), "x").otherwise(F.col("sha256")))
-    return io.verify_manifest(found, off).select(F.substring("path", 1, 6).alias("part"), "error")
-
-
-def s11_verify_tree(spark, sf):
     """One file for fifty ids; of each four files one is missing, one of a wrong size, one with a wrong checksum."""
     path = _new(spark)
     _labels(spark, sf).withColumn("part", F.expr("doc_id div 50")).repartition("part").write.partitionBy("part").json(path)
@@ -130,6 +113,15 @@ def s11_verify_tree(spark, sf):
     return io.verify_manifest(found, off).select(F.regexp_extract("path", r"^(part=\d+)/", 1).alias("part"), "error")
 
 
+def s12_discover_runs(spark, sf):
+    """A run per user and kind of event, in folders of their users; those of every fourth user are merged ones and left out."""
+    path = _new(spark)
+    e = table(spark, sf, "events").select(F.concat(F.when(F.col("user_id") % 4 == 0, "merged_").otherwise("eval_"), F.col("user_id")).alias("owner"), F.col("event_type").alias("run"), F.to_json(F.struct("event_id", "value")).alias("value"))
+    e.groupBy("owner", "run").agg(F.max("value").alias("value")).repartition("owner", "run").selectExpr("owner", "run", "value").write.partitionBy("owner", "run").text(path)
+    tidied = io.discover_runs(spark, path, "*.txt").where(~F.col("path").rlike("/owner=merged_[^/]*/"))
+    return tidied.groupBy(F.regexp_extract("parent", r"owner=(\w+)$", 1).alias("owner")).agg(F.count_distinct("run").alias("runs"), F.count(F.when(F.col("newest"), 1)).alias("newest"))
+
+
 def s13_dump_generations(spark, sf):
     path = _new(spark)
     io.dump_generations(_labels(spark, sf).withColumn("step", F.col("doc_id") % 5), path)
@@ -171,8 +163,43 @@ def x6_latest_snapshot(spark, sf):
     path, out = _prediction_files(spark, sf), _new(spark)
     stream = jobs.stream_predictions(spark, path, _SCHEMA).select("sample_id", "t", "answer", F.col("t").alias("seq"))
     jobs.latest_snapshot(stream, out, _new(spark), "sample_id", "t", "seq").awaitTermination()
-    return spark.read.parquet(f"{out}/0").select("sample_id", "t", "answer")
+    return jobs.read_snapshot(spark, out, "sample_id string, t long, answer string, seq long").select("sample_id", "t", "answer")
+
+
+def _in_order(spark, df, order, schema_of=None, parts=4):
+    """Closed files of an ordered table, written one after the other; each is several parts."""
+    path, top = _new(spark), (df.agg(F.max(order)).first()[0] or 0) + 1
+    for i in range(parts):
+        df.where(F.floor(F.col(order) * parts / top) == i).write.mode("append").parquet(f"{path}/step={i}")
+    return path
+
+
+def x5_score_when_due(spark, sf):
+    """Scored when five hundred wait, and all of them once every row is in."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("sample_id"), F.lit(None).cast("boolean").alias("verdict"), F.lit(None).cast("string").alias("judge_error"), F.lit(None).cast("string").alias("bad"), F.col("event_type").alias("answer"))
+    path, out = _in_order(spark, e, "sample_id"), _new(spark)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/step=*")
+    jobs.score_when_due(stream, out, _new(spark), "sample_id", exact_match(F.col("answer"), F.lit("click")) == 1, 500, expected=e.count()).awaitTermination()
+    return spark.read.schema(e.schema).parquet(f"{out}/scored").select("sample_id", "verdict")
+
+
+def x6_missing_count(spark, sf):
+    """What a snapshot of events lacks, where every document is expected."""
+    path, out = _prediction_files(spark, sf), _new(spark)
+    stream = jobs.stream_predictions(spark, path, _SCHEMA, 1).select("sample_id", "t", F.col("t").alias("seq"))
+    jobs.latest_snapshot(stream, out, _new(spark), "sample_id", "t", "seq").awaitTermination()
+    return jobs.missing_count(jobs.read_snapshot(spark, out, "sample_id string, t long, seq long"), "sample_id", table(spark, sf, "documents").count())
+
 
+def x7_commit_until(spark, sf):
+    """Committed in order until a third of the clicks are kept or an error of user 7 comes in."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    kept, fatal = F.col("event_type") == "click", (F.col("event_type") == "error") & (F.col("user_id") % 50 == 7)
+    path, out = _in_order(spark, e, "event_id"), _new(spark)
+    for i in range(4):  # a restart for each step of files
+        stream = spark.readStream.schema(e.schema).parquet(f"{path}/step={i}")
+        jobs.commit_until(stream, out, _new(spark), "event_id", kept, fatal, e.where(kept).count() // 3).awaitTermination()
+    return spark.read.schema(e.schema).parquet(out).select("event_id")
 
 def x1_stream_predictions(spark, sf):
     out = _new(spark)
@@ -182,18 +209,20 @@ def x1_stream_predictions(spark, sf):
 
 
 def x8_stream_memory(spark, sf):
-    """Turns arrive in three closed files; the last one of each user answers."""
+    """Turns arrive in three steps of files; the last one of each user answers, or is an error for every third user."""
     from .nested import _tree_turns
 
-    turns, path, out = _tree_turns(spark, sf), _new(spark), _new(spark)
+    turns, out = _tree_turns(spark, sf), _new(spark)
     last = turns.groupBy(F.col("user_id").alias("_u")).agg(F.max("event_id").alias("_m"))
-    turns = turns.join(last, F.col("user_id") == F.col("_u")).withColumn("op", F.when(F.col("event_id") == F.col("_m"), "answer").otherwise(F.col("op"))).drop("_u", "_m")
-    top = turns.agg(F.max("event_id")).first()[0] or 0
-    for i in range(3):
-        turns.where(F.floor(F.col("event_id") * 3 / (top + 1)) == i).coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.stream_memory(spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(path), "user_id", "event_id")
-    stream.select("user_id", F.size("nodes").alias("n_nodes"), "active").writeStream.format("parquet").option("checkpointLocation", _new(spark)).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema("user_id long, n_nodes int, active string").parquet(out)
+    turns = turns.join(last, F.col("user_id") == F.col("_u")).withColumn("op", F.when(F.col("event_id") == F.col("_m"), F.when(F.col("user_id") % 3 == 0, "error").otherwise("answer")).otherwise(F.col("op"))).drop("_u", "_m")
+    path, checkpoint = _in_order(spark, turns, "event_id", parts=3), _new(spark)
+    steps = [f"{path}/step={i}" for i in range(3)]
+    landing = _new(spark)
+    for step in steps:  # one run of the stream for each step, whose files all come before those of the next
+        spark.read.schema(turns.schema).parquet(step).write.mode("append").parquet(landing)
+        stream = jobs.stream_memory(spark.readStream.schema(turns.schema).parquet(landing), "user_id", "event_id")
+        stream.select("user_id", F.size("nodes").alias("n_nodes"), "active", "ended").writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("user_id long, n_nodes int, active string, ended string").parquet(out)
 
 
 def x4_pending(spark, sf):
@@ -206,25 +235,27 @@ QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "sx" and k[1].isd
 
 _E = "WITH e AS (SELECT event_id % 700 AS sample_id, event_id AS t, user_id % 5 = 0 AS v, event_type AS answer FROM events)"
 ORACLE_SQL = {
-    "s1_read_jsonl": "SELECT quality, count(*) AS n FROM (SELECT *, row_number() OVER () AS i FROM labels) WHERE i > 1 AND doc_id % 10 <> 0 GROUP BY 1",
+    "s1_read_jsonl": "SELECT quality, count(*) AS n FROM labels WHERE doc_id % 10 <> 0 GROUP BY 1",
+    "s1_read_jsonl_limit": "SELECT doc_id, quality FROM labels QUALIFY row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) <= 100",
     "s2_read_jsonl_lenient": """SELECT CASE WHEN doc_id % 9 = 0 THEN substr('{"doc_id":' || doc_id || ',"quality":', 1, 14) ELSE doc_id::VARCHAR END AS x, CASE WHEN doc_id % 9 = 0 THEN 'bad' ELSE 'good' END AS side FROM labels""",
     "s3_read_qa_parquet": "SELECT doc_id, lang FROM documents",
-    "s4_unpivot_pages": "SELECT conv_id, (turn + 1)::INT AS page, strlen(text)::INT AS size FROM conversations WHERE turn < 20",
-    "s5_scan_page_files": "SELECT DISTINCT 'deck=' || page_id % 5 || '/n=' || page_id % 7 AS place FROM pages",
-    "s6_parse_page_files": "SELECT DISTINCT (page_id % 5)::VARCHAR AS deck, (page_id % 7 + 1)::INT AS page, page_id % 5 || '/page_0' || page_id % 7 + 1 AS label FROM pages",
-    "s5_scan_page_tree": "SELECT 'deck=' || page_id // 50 || '/n=' || page_id % 50 AS place FROM pages",
-    "s6_parse_page_tree": "SELECT (page_id // 50)::VARCHAR AS deck, (page_id % 50 + 1)::INT AS page, page_id // 50 || '/page_' || lpad((page_id % 50 + 1)::VARCHAR, 2, '0') AS label FROM pages",
-    "s11_verify_tree": "SELECT DISTINCT 'part=' || doc_id // 50 AS part, ['missing', 'size', 'sha256'][doc_id // 50 % 4 + 1] AS error FROM labels WHERE doc_id // 50 % 4 < 3",
+    "s4_unpivot_pages": "SELECT conv_id, (turn + 1)::INT AS page, strlen(text)::INT AS size FROM conversations",
+    "s5_scan_page_files": "SELECT 'deck=' || page_id // 50 || '/n=' || page_id % 50 AS place FROM pages",
+    "s6_parse_page_files": "SELECT (page_id // 50)::VARCHAR AS deck, (page_id % 50 + 1)::INT AS page, page_id // 50 || '/page_' || lpad((page_id % 50 + 1)::VARCHAR, 2, '0') AS label FROM pages",
+    "s11_verify_manifest": "SELECT DISTINCT 'part=' || doc_id // 50 AS part, ['missing', 'size', 'sha256'][doc_id // 50 % 4 + 1] AS error FROM labels WHERE doc_id // 50 % 4 < 3",
     "s7_read_index_entries": "SELECT 'img/page_' || page_id || '.png' AS image_path, CASE WHEN page_id % 2 = 1 AND page_id % 3 = 0 THEN 'named' ELSE 'page_' || page_id END AS page_label FROM pages",
     "s8_append_new": "SELECT doc_id AS sample_id, CASE WHEN doc_id % 3 = 0 THEN quality ELSE 9 END AS quality, toxic FROM labels",
     "s9_write_verified": "SELECT doc_id::VARCHAR AS doc_id, quality::BIGINT AS quality FROM labels",
     "s10_write_summary": "SELECT count(*) AS n, sum(quality)::BIGINT AS good FROM labels",
-    "s11_verify_manifest": "SELECT * FROM (VALUES ('part=0', 'missing'), ('part=1', 'size'), ('part=2', 'sha256')) AS t(part, error)",
+    "s12_discover_runs": "SELECT 'eval_' || user_id AS owner, count(DISTINCT event_type) AS runs, 1::BIGINT AS newest FROM events WHERE user_id % 4 <> 0 GROUP BY user_id",
     "s13_dump_generations": "SELECT (doc_id % 5)::INT AS step, count(*) AS n FROM labels GROUP BY 1",
     "s14_fanout": "SELECT 'all' AS outcome, count(*) AS n FROM labels UNION ALL SELECT CASE quality WHEN 1 THEN 'kept' ELSE 'rejected' END, count(*) FROM labels GROUP BY 1",
     "x1_stream_predictions": f"{_E} SELECT sample_id, t, answer FROM e",
     "x2_commit_scored": f"{_E} SELECT t AS sample_id, v OR answer = 'click' AS verdict, NULL::VARCHAR AS judge_error FROM e",
     "x3_stream_totals": f"{_E} SELECT answer, count(*) AS seen, count(*) FILTER (v) AS judged, nullif(count(*) FILTER (v), 0) AS correct FROM e GROUP BY 1",
     "x6_latest_snapshot": f"{_E} SELECT sample_id::VARCHAR AS sample_id, max(t) AS t, arg_max(answer, t) AS answer FROM e GROUP BY 1",
+    "x5_score_when_due": "SELECT event_id AS sample_id, event_type = 'click' AS verdict FROM events",
+    "x6_missing_count": "WITH u AS (SELECT count(DISTINCT event_id % 700) AS n FROM events), d AS (SELECT count(*) AS m FROM documents) SELECT n AS unique_ids, m AS expected, greatest(0, m - n) AS missing FROM u, d",
+    "x7_commit_until": "WITH c AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_type = 'click'), s AS (SELECT least(coalesce((SELECT min(event_id) FROM events WHERE event_type = 'error' AND user_id % 50 = 7), 1e18), coalesce((SELECT event_id FROM c WHERE i = (SELECT count(*) // 3 FROM c)), 1e18)) AS stop) SELECT event_id FROM events, s WHERE event_id <= stop",
     "x4_pending": "WITH s AS (SELECT event_id % 1500 AS d, event_type = 'click' AS v FROM events WHERE event_type <> 'click' OR event_id % 1500 % 2 = 0), n AS (SELECT d, count(*) AS n, count(*) FILTER (v) AS v FROM s GROUP BY 1) SELECT doc_id FROM documents LEFT JOIN n ON d = doc_id WHERE doc_id % 4 <> 0 AND coalesce(n, 0) < 6 AND coalesce(v, 0) = 0",
 }

@@ -121,9 +121,21 @@ def m1_page_aliases(spark, sf):
     return M.page_aliases(_steps(spark, sf), "user_id", "event_id", "k")
 
 
+def _fact_events(spark, sf):
+    k = F.col("k")
+    e = _steps(spark, sf).withColumn("fact", F.concat_ws("/", "user_id", k % 5))
+    return e.select("fact", "event_id", F.col("event_type").alias("text"), F.array(k % 7, k % 11, k + 10, k + 20).alias("box"), F.when(k % 3 == 0, "crop").otherwise("page").alias("src"))
+
+
 def m2_fact_versions(spark, sf):
-    out = M.fact_versions(_steps(spark, sf).withColumn("fact", F.concat_ws("/", "user_id", F.col("k") % 5)), "fact", "event_id", "event_type")
-    return out.withColumn("history", F.array_join("history", ","))
+    return M.fact_versions(_fact_events(spark, sf), "fact", "event_id", "text").withColumn("history", F.array_join("history", ","))
+
+
+def m2_fact_versions_whole(spark, sf):
+    """Text, box and source of a fact, now and before."""
+    out = M.fact_versions(_fact_events(spark, sf), "fact", "event_id", "text", "box", "src")
+    line = lambda h: F.concat_ws("|", h["text"], F.array_join(h["box"].cast("array<string>"), " "), h["src"])
+    return out.withColumn("box", F.array_join(F.col("box").cast("array<string>"), " ")).withColumn("history", F.array_join(F.transform("history", line), ";"))
 
 
 def _tree_turns(spark, sf):
@@ -143,9 +155,19 @@ def m3_fold_memory(spark, sf):
 
 
 def m4_fold_graph(spark, sf):
+    """Held against a plain fold in the tests."""
     k = F.col("k")
-    d = _steps(spark, sf).select("user_id", "event_id", F.when(k % 3 == 0, "ACCEPT").when(k % 3 == 1, "REJECT").otherwise("EXPAND").alias("decision"), F.array(k.cast("string")).alias("facts"), F.array(F.lit("q1"), F.lit("q2")).alias("children"))
-    return M.fold_graph(d, "user_id", "event_id").select("user_id", F.size("nodes").alias("n_nodes"), "next_id")
+    kinds = F.array(*map(F.lit, ("ACCEPT", "EXPAND", "CROP_ACCEPT", "REJECT", "EXPAND", "CROP_EXPAND", "CROP_REJECT")))
+    fact = F.struct(F.concat(F.lit("f"), (k % 23).cast("string")).alias("text"), F.when(k % 4 > 0, F.array(*(x.cast("double") for x in (k, k, k + 9, k + 9)))).alias("box"))
+    d = _steps(spark, sf).select(
+        "user_id", "event_id", F.element_at(kinds, (k % 7 + 1).cast("int")).alias("decision"), F.when(k % 13 > 0, (k % 10).cast("string")).alias("answer"),
+        F.when(k % 5 > 0, F.array(fact)).otherwise(F.array().cast("array<struct<text:string,box:array<double>>>")).alias("facts"), F.array(F.concat(F.lit("P"), (k % 6).cast("string"))).alias("refs"),
+        F.lit("a").alias("answered"), F.when(k % 17 > 0, "r").alias("remaining"), F.when(k % 2 == 0, F.array(*(F.lit(x) for x in (0.0, 0.0, 60.0, 60.0)))).alias("region"),
+    )
+    out = M.fold_graph(d, "user_id", "event_id")
+    count = lambda of: F.aggregate("nodes", F.lit(0), lambda n, x: n + of(x))
+    superseded = count(lambda x: F.size(F.filter(x["facts"], lambda f: f["superseded"])))
+    return out.select("user_id", F.size("nodes").alias("n_nodes"), "next_id", "refused", count(lambda x: F.size(x["facts"])).alias("n_facts"), superseded.alias("n_superseded"))
 
 
 def m5_fold_findings(spark, sf):
@@ -216,6 +238,7 @@ QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "fnmdwu" and k[1]
 
 _S = "WITH s AS (SELECT event_id, user_id, event_type, value, (props->>'$.k')::INT AS k FROM events)"
 ORACLE_SQL = {
+    "d8_dedup_two_keys": f"WITH RECURSIVE {_S[5:]}, r AS (SELECT event_id, CASE WHEN k % 17 > 0 THEN user_id ELSE -1 - event_id END AS k1, k || '/' || event_type AS k2, false AS done, false AS keep FROM s UNION ALL SELECT event_id, k1, k2, bool_or(now) OVER (PARTITION BY k1) OR bool_or(now) OVER (PARTITION BY k2), now FROM (SELECT event_id, k1, k2, event_id = min(event_id) OVER (PARTITION BY k1) AND event_id = min(event_id) OVER (PARTITION BY k2) AS now FROM r WHERE NOT done)) SELECT event_id FROM r WHERE keep",
     "f7_parse_turns": f"""{_S} SELECT event_id, CASE WHEN k % 7 = 4 THEN 'a <act>{{}}</act>' || chr(10) || 'b' ELSE 'a <act>{{}}</act>' END AS think, CASE WHEN k % 3 = 0 THEN '{{"desc": "d"}}' END AS page,
  CASE k % 7 WHEN 0 THEN '{{"type": "search", "query": "x"}} }}' WHEN 2 THEN '{{"type": "search"}}' WHEN 4 THEN '{{"type": "crop"}}' WHEN 5 THEN '{{"type": "answer", "text": "a"}}' END AS act,
  CASE k % 7 WHEN 1 THEN 'json' WHEN 2 THEN 'schema' WHEN 3 THEN 'unclosed' WHEN 6 THEN 'no_act' END AS error_kind, CASE k % 7 WHEN 1 THEN '<act> is not JSON' WHEN 2 THEN '<act> schema' WHEN 3 THEN '<act> is not closed' WHEN 6 THEN 'missing <act>' END AS error FROM s""",
@@ -234,6 +257,7 @@ ORACLE_SQL = {
     "n12_collate_rollouts": f"{_S}, l AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS length, max(k) OVER (PARTITION BY user_id) AS best FROM s) SELECT event_id, length, best FROM l WHERE event_type <> 'error'",
     "n13_retrieved_pages": f"{_S} SELECT event_id, CASE WHEN k % 2 = 0 AND k % 3 <> 1 THEN CASE k % 3 WHEN 0 THEN 'd0,d1' ELSE 'd1,d2' END ELSE 'd' || k % 3 END AS pages FROM s",
     "m1_page_aliases": f"{_S}, f AS (SELECT user_id, k, min(event_id) AS first_turn FROM s GROUP BY 1, 2) SELECT *, 'P' || row_number() OVER (PARTITION BY user_id ORDER BY first_turn) AS alias FROM f",
+    "m2_fact_versions_whole": f"{_S}, h AS (SELECT user_id || '/' || k % 5 AS fact, list(event_type ORDER BY event_id) AS t, list((k % 7) || ' ' || (k % 11) || ' ' || (k + 10) || ' ' || (k + 20) ORDER BY event_id) AS b, list(CASE WHEN k % 3 = 0 THEN 'crop' ELSE 'page' END ORDER BY event_id) AS c FROM s GROUP BY 1) SELECT fact, t[-1] AS text, b[-1] AS box, c[-1] AS src, (len(t) - 1)::INT AS revision, coalesce(array_to_string(list_transform(range(1, len(t)), lambda i: t[i] || '|' || b[i] || '|' || c[i]), ';'), '') AS history FROM h",
     "m2_fact_versions": f"{_S} SELECT user_id || '/' || k % 5 AS fact, arg_max(event_type, event_id) AS text, (count(*) - 1)::INT AS revision, array_to_string(list(event_type ORDER BY event_id)[:-2], ',') AS history FROM s GROUP BY 1",
     "m5_fold_findings": f"{_S}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM s) SELECT user_id, coalesce(string_agg(k::VARCHAR, ',' ORDER BY event_id) FILTER (event_type = 'click'), '') AS confirmed, coalesce(string_agg(k::VARCHAR, ',' ORDER BY event_id) FILTER (event_type = 'view' AND r <= 2), '') AS partials, count(*) FILTER (event_type = 'error') AS warnings, coalesce(string_agg(k::VARCHAR, chr(10) ORDER BY event_id) FILTER (event_type NOT IN ('click', 'view', 'error')), '') AS summaries FROM r GROUP BY 1",
     "m6_evidence_states": f"{_S}, n AS (SELECT *, (k % 2 = 0 AND row_number() OVER (PARTITION BY user_id, k % 2, k % 20 ORDER BY event_id) = 1)::INT AS fresh FROM s) SELECT event_id, (sum(fresh) OVER w - fresh)::INT AS before, (sum(fresh) OVER w)::INT AS after FROM n WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",

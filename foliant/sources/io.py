@@ -11,22 +11,29 @@ from pyspark.sql import types as T
 from foliant.functions.labels import image_ext, page_label
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line with its file and its number in the file. A line's place is fixed by file, block and place in the block."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
-    in_block = Window.partitionBy("file", "_block").orderBy("_i")
-    counts = raw.groupBy("file", "_block").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return raw.withColumn("_r", F.row_number().over(in_block)).join(starts, ["file", "_block"]).select("file", "value", (F.col("_before") + F.col("_r") - 1).alias("line"))
+def _numbered(lines: DataFrame, counted: Column, name: str) -> DataFrame:
+    """Numbers from 0 of a file's lines (file, _block, _i), or of those of them where `counted` holds; a block of a file is
+    one window, and the counts of the blocks are summed.
+    """
+    counts = lines.groupBy("file", "_block").agg(F.count(F.when(counted, 1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    in_block = F.sum(F.when(counted, 1).otherwise(0)).over(Window.partitionBy("file", "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    return lines.withColumn("_r", in_block).join(starts, ["file", "_block"]).withColumn(name, F.col("_before") + F.col("_r") - 1).drop("_before", "_r")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, start: int = 0, limit: int | None = None) -> DataFrame:
     """JSON lines; start counts all lines of a file, limit the non-blank ones after it. A broken line is an error."""
     if not start and limit is None:
         return spark.read.schema(schema).json(path, mode="FAILFAST")
-    kept = _lines(spark, path).where((F.col("line") >= start) & (F.trim("value") != ""))
+    # a line's place is fixed by its file, block and place in the block
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
+    kept = spark.read.text(path).select("value", *place)
+    if start:
+        kept = _numbered(kept, F.lit(True), "line").where(F.col("line") >= start)
+    kept = kept.where(F.trim("value") != "")
     if limit is not None:
-        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("line"))).where(F.col("_n") <= limit)
+        kept = _numbered(kept, F.lit(True), "_nth").where(F.col("_nth") < limit)
     return kept.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
@@ -43,9 +50,9 @@ def read_qa_parquet(spark: SparkSession, path: str, columns: Sequence[str]) -> D
     return spark.read.parquet(path).select(*columns)
 
 
-def unpivot_pages(raw: DataFrame, deck: str, max_pages: int = 20) -> DataFrame:
+def unpivot_pages(raw: DataFrame, deck: str) -> DataFrame:
     """Columns page_1, page_2, ... (structs with bytes) as rows (deck, page, bytes), absent ones dropped, each page once."""
-    there = [k for k in range(1, max_pages + 1) if f"page_{k}" in raw.columns]
+    there = sorted(int(c[5:]) for c in raw.columns if c.startswith("page_") and c[5:].isdigit())
     flat = raw.select(deck, *(F.col(f"page_{k}.bytes").alias(str(k)) for k in there))
     long = flat.unpivot([deck], [str(k) for k in there], "page", "bytes").where("bytes IS NOT NULL")
     return long.withColumn("page", F.col("page").cast("int")).dropDuplicates([deck, "page"])
@@ -89,10 +96,12 @@ def append_new(df: DataFrame, path: str, key: str = "sample_id") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_verified(df: DataFrame, path: str, schema: T.StructType, key: str) -> DataFrame:
-    """Written under the schema, read again and compared: same rows as often, no key twice; an error otherwise."""
+def write_verified(df: DataFrame, path: str, schema: T.StructType, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """Written under the schema, read again and compared: same rows as often, no key twice, and, with an order, files and
+    rows of a file in that order; an error otherwise.
+    """
     cast = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
-    cast.write.parquet(path)
+    (cast.repartitionByRange(*order).sortWithinPartitions(*order) if order else cast).write.parquet(path)
     back = df.sparkSession.read.schema(schema).parquet(path)
     marked = cast.withColumn("_d", F.lit(1)).unionByName(back.withColumn("_d", F.lit(-1)))
     names = [F.to_json(F.struct(*back.columns)).alias("_row")]
@@ -100,9 +109,21 @@ def write_verified(df: DataFrame, path: str, schema: T.StructType, key: str) ->
         raise ValueError("what was read differs from what was written")
     if not back.groupBy(key).count().where("count > 1").isEmpty():
         raise ValueError(f"a {key} occurs twice")
+    if order:
+        verify_order(back, order)
     return back
 
 
+def verify_order(back: DataFrame, order: Sequence[str]) -> None:
+    """An error unless the rows of Parquet files, read by file name and row, follow the order."""
+    place = back.select(F.struct(*order).alias("o"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    before = F.lag("o").over(Window.partitionBy("file").orderBy("row"))
+    ends = place.groupBy("file").agg(F.min("o").alias("o"), F.max("o").alias("last"))  # one row per file
+    before_file = F.max("last").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    if not place.withColumn("_b", before).where("_b > o").isEmpty() or not ends.withColumn("_b", before_file).where("_b > o").isEmpty():
+        raise ValueError("rows are not in order")
+
+
 def write_summary(df: DataFrame, path: str) -> None:
     """An aggregate of one row as one JSON document."""
     if df.count() != 1:
@@ -123,10 +144,10 @@ def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return expected.join(there, "path", "left").select("path", error.alias("error")).where("error IS NOT NULL")
 
 
-def discover_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Per folder that holds predictions.jsonl, but no merged or sidecar tree: its file and time; `newest` marks the last per parent."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "predictions.jsonl").load(root).select("path", "modificationTime")
-    runs = files.where(~F.col("path").rlike(r"/(merged[^/]*|sidecar)/")).withColumn("run", F.regexp_extract("path", r"^(.*)/[^/]+$", 1))
+def discover_runs(spark: SparkSession, root: str, name: str = "predictions.jsonl") -> DataFrame:
+    """Per folder that holds a file of that name, but no merged or sidecar tree: its file and time; `newest` marks the last per parent."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root).select("path", "modificationTime")
+    runs = files.where(~F.col("path").rlike(r"/(merged[^/]*|sidecar|judge_sidecar)/")).withColumn("run", F.regexp_extract("path", r"^(.*)/[^/]+$", 1))
     runs = runs.withColumn("parent", F.regexp_extract("run", r"^(.*)/[^/]+$", 1))
     order = Window.partitionBy("parent").orderBy(F.desc("modificationTime"), F.desc("run"))
     return runs.withColumn("newest", F.row_number().over(order) == 1)

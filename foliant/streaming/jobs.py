@@ -6,18 +6,19 @@ over lines instead (foliant.sources.io).
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliant.operators.curate import dedup_latest
-from foliant.operators.memory import MEMORY, _folded, _Memory, memory_rows
+from foliant.operators.memory import MEMORY, Memory, folded, memory_rows
 from foliant.sources.io import append_new
 
 
@@ -75,17 +76,92 @@ def should_score(n_pending: int, batch_size: int, every_poll: bool, seen: int, e
     return n_pending > 0 and (n_pending >= batch_size or every_poll or (expected is not None and seen >= expected))
 
 
-def latest_snapshot(stream: DataFrame, path: str, checkpoint: str, key: str, time: str, ordinal: str) -> StreamingQuery:
-    """The newest row per key over all files so far, as numbered snapshots: path/<batch>; the last is the current one."""
+def _committed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What is at path, or an empty table where nothing is yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def score_when_due(stream: DataFrame, path: str, checkpoint: str, key: str, score: Column, batch_size: int, every_poll: bool = False, expected: int | None = None) -> StreamingQuery:
+    """Rows wait in path/seen; at each micro-batch `should_score` says whether the first batch_size of those without a
+    scored row are scored into path/scored, and all of them once everything expected is in.
+    """
+    spark = stream.sparkSession
+
+    def poll(batch: DataFrame, _: int) -> None:
+        seen = append_new(batch, f"{path}/seen", key)
+        done = _committed(spark, f"{path}/scored", batch.schema)
+        waiting = seen.join(done.select(key), key, "left_anti")
+        many, n_waiting = seen.count(), waiting.count()
+        if should_score(n_waiting, batch_size, every_poll, many, expected):
+            todo = waiting if expected is not None and many >= expected else waiting.orderBy(key).limit(batch_size)
+            score_rows(todo, score).select(*batch.columns).write.mode("append").parquet(f"{path}/scored")
+
+    return stream.writeStream.foreachBatch(poll).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """Rows of the newest version of each bucket, with the bucket."""
+    kept = _committed(spark, path, T.StructType([*schema.fields, T.StructField("version", T.IntegerType()), T.StructField("bucket", T.IntegerType())]))
+    if before is not None:
+        kept = kept.where(F.col("version") < before)
+    newest = kept.groupBy("bucket").agg(F.max("version").alias("_newest"))  # one row a bucket
+    return kept.join(F.broadcast(newest), "bucket").where("version = _newest").drop("version", "_newest")
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The current rows of a snapshot of that schema."""
+    return _versions(spark, path, T.StructType.fromDDL(schema)).drop("bucket")
+
+
+def latest_snapshot(stream: DataFrame, path: str, checkpoint: str, key: str, time: str, ordinal: str, buckets: int = 64) -> StreamingQuery:
+    """The newest row per key over all files so far, in buckets of keys; a micro-batch writes a new version of the buckets
+    it touches only, and `read_snapshot` gives the newest version of each. A repeated micro-batch writes the same version again.
+    """
     spark = stream.sparkSession
+    # a row without a key gets one of its own, so that it is a sample of its own in every later round
+    named = stream.withColumn(key, F.coalesce(F.col(key).cast("string"), F.concat(F.lit("__missing_"), ordinal)))
+    schema = named.schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        both = batch
-        if number:
-            both = spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}").unionByName(batch)
-        dedup_latest(both, key, time, ordinal).write.mode("overwrite").parquet(f"{path}/{number}")
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = dealt.select("bucket").distinct()  # at most `buckets` rows
+        held = _versions(spark, path, schema, number).join(F.broadcast(touched), "bucket", "left_semi")
+        both = dealt.unionByName(held.select(*dealt.columns))
+        dedup_latest(both, key, time, ordinal).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+
+    return named.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def missing_count(snapshot: DataFrame, key: str, expected: int) -> DataFrame:
+    """One row: unique_ids, expected, missing."""
+    unique = F.count_distinct(key)
+    return snapshot.agg(unique.alias("unique_ids"), F.lit(expected).cast("long").alias("expected"), F.greatest(F.lit(0).cast("long"), F.lit(expected) - unique).alias("missing"))
+
+
+def commit_until(stream: DataFrame, path: str, checkpoint: str, order: str, kept: Column, fatal: Column, target: int) -> StreamingQuery:
+    """Rows are committed in order up to the target-th kept one or the first fatal one, that one included; what comes
+    later is left alone. Files must come in order; a restart skips what is committed.
+    """
+    spark = stream.sparkSession
+
+    def commit(batch: DataFrame, _: int) -> None:
+        done = _committed(spark, path, batch.schema)
+        n_kept, n_fatal, last = done.agg(F.count(F.when(kept, 1)), F.count(F.when(fatal, 1)), F.max(order)).first()
+        if n_kept >= target or n_fatal:
+            return
+        fresh = batch if last is None else batch.where(F.col(order) > last)
+        stops = [fresh.where(fatal).agg(F.min(order)).first()[0]]
+        nth = fresh.where(kept).select(order).orderBy(order).limit(target - n_kept).agg(F.count("*"), F.max(order)).first()
+        stops += [nth[1]] if nth[0] == target - n_kept else []
+        stop = min((x for x in stops if x is not None), default=None)
+        (fresh if stop is None else fresh.where(F.col(order) <= stop)).write.mode("append").parquet(path)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_until(step: Callable[[], Any], enough: Callable[[], bool], rounds: int = 1000) -> int:
@@ -98,9 +174,11 @@ def run_until(step: Callable[[], Any], enough: Callable[[], bool], rounds: int =
 
 
 def stream_memory(turns: DataFrame, sample: str, turn: str, timeout_ms: int | None = None) -> DataFrame:
-    """Memories of samples whose turns arrive interleaved; one row when a sample answers (op "answer").
+    """Memories of samples whose turns arrive interleaved; one row when a sample ends, by an answer or an error (op
+    "answer" or "error"), with what ended it.
 
     Turns of a sample arrive in order over micro-batches. With a timeout, a sample without turns for so long is given up.
+    The state is JSON, so that it outlives changes of this code.
     """
     kind = dict(turns.dtypes)[sample]
 
@@ -108,16 +186,16 @@ def stream_memory(turns: DataFrame, sample: str, turn: str, timeout_ms: int | No
         if state.hasTimedOut:
             state.remove()
             return
-        memory, errors = pickle.loads(state.get[0]) if state.exists else (_Memory(), [])
-        memory, more, done = memory_rows(batches, memory, turn)
-        if done:
+        nodes, facts, errors = json.loads(state.get[0]) if state.exists else (None, {}, [])
+        memory, more, ended = memory_rows(batches, Memory(nodes, facts) if nodes else Memory(), turn)
+        if ended:
             if state.exists:
                 state.remove()
-            yield pd.DataFrame([{sample: group[0], **_folded(memory, errors + more)}])
+            yield pd.DataFrame([{sample: group[0], **folded(memory, errors + more), "ended": ended}])
         else:
-            state.update((pickle.dumps((memory, errors + more)),))
+            state.update((json.dumps((memory.nodes, memory.facts, errors + more)),))
             if timeout_ms:
                 state.setTimeoutDuration(timeout_ms)
 
     wait = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return turns.groupBy(sample).applyInPandasWithState(fold, f"{sample} {kind}, {MEMORY}", "held binary", "append", wait)
+    return turns.groupBy(sample).applyInPandasWithState(fold, f"{sample} {kind}, {MEMORY}, ended string", "held string", "append", wait)
