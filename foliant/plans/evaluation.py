@@ -117,10 +117,6 @@ def a31_paired_flips(spark, sf):
 
 
 def a34_progress(spark, sf):
-    return _r(A.progress(table(spark, sf, "labels"), 1500, "doc_id", "doc_id"), "percent")
-
-
-def a34_progress_of_documents(spark, sf):
     """Every document is expected."""
     return _r(A.progress(table(spark, sf, "labels"), table(spark, sf, "documents").count(), "doc_id", "doc_id"), "percent")
 
@@ -163,8 +159,7 @@ ORACLE_SQL = {
     "a25_validate_summary": f"{_S}, t AS (SELECT event_type, user_id, max(k) AS k FROM s GROUP BY 1, 2) SELECT event_type, round(avg(value), 9) AS mean_score, (SELECT round(avg(k), 9) FROM t WHERE t.event_type = s.event_type) AS tool_calls, (SELECT count(*) FROM t WHERE t.event_type = s.event_type) AS trajectories FROM s GROUP BY 1",
     "a30_passk": "WITH q AS (SELECT o_custkey, sum((o_orderstatus = 'F')::INT) AS k, count(*) AS n FROM orders GROUP BY 1), w AS (SELECT count(*) AS questions, round(avg((k > 0)::INT), 9) AS pass_k, round(avg(k / n), 9) AS pass_1 FROM q) SELECT k::BIGINT AS k, count(*) AS n, any_value(questions) AS questions, any_value(pass_k) AS pass_k, any_value(pass_1) AS pass_1 FROM q, w GROUP BY 1",
     "a31_paired_flips": f"{_P} SELECT lang, count(*) AS pairs, count(*) FILTER (NOT ok AND doc_id % 3 <> 0) AS fixed, count(*) FILTER (ok AND doc_id % 3 = 0) AS broken FROM p WHERE ok IS NOT NULL GROUP BY 1",
-    "a34_progress": "SELECT count(*) AS done, max(doc_id) AS last, round(100 * count(*) / 1500, 9) AS percent FROM labels",
-    "a34_progress_of_documents": "SELECT count(*) AS done, max(doc_id) AS last, round(100 * count(*) / (SELECT count(*) FROM documents), 9) AS percent FROM labels",
+    "a34_progress": "SELECT count(*) AS done, max(doc_id) AS last, round(100 * count(*) / (SELECT count(*) FROM documents), 9) AS percent FROM labels",
     "a35_pack_stats": "SELECT c::INT AS images, count(*) AS rows FROM (SELECT count(turn) AS c FROM conversations GROUP BY conv_id) GROUP BY 1",
     "a36_episode_outcomes": f"{_S}, l AS (SELECT user_id % 4 AS src, arg_max(k, event_id) AS k, arg_max(CASE WHEN k % 5 <> 0 THEN value ELSE 0 END, event_id) AS v FROM s WHERE event_type <> 'error' GROUP BY user_id, 1) SELECT g AS src, count(*) AS episodes, round(avg((k % 2 = 0)::INT), 9) AS success, round(avg(v), 9) AS reward FROM (SELECT *, unnest([src::VARCHAR, 'all']) AS g FROM l) GROUP BY 1",
 }

@@ -56,10 +56,6 @@ def j7_merge_sidecar(spark, sf):
 
 
 def j8_missing_ids(spark, sf):
-    return J.missing_ids(table(spark, sf, "labels"), "doc_id", 1200)
-
-
-def j8_missing_ids_all(spark, sf):
     """All ids up to the documents' last one are expected."""
     last = table(spark, sf, "documents").agg(F.max("doc_id")).first()[0]
     return J.missing_ids(table(spark, sf, "labels"), "doc_id", 0 if last is None else last + 1)
@@ -145,8 +141,7 @@ ORACLE_SQL = {
     "j6_materialize_pages": "SELECT page_id, url FROM pages WHERE page_id IN (SELECT conv_id * 3 + turn FROM conversations)",
     "j6_undelivered_pages": "SELECT DISTINCT conv_id * 3 + turn AS page_id FROM conversations WHERE conv_id * 3 + turn NOT IN (SELECT page_id FROM pages)",
     "j7_merge_sidecar": "WITH s AS (SELECT event_id % 500 AS doc_id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1) SELECT l.doc_id, CASE WHEN t = 'click' THEN 1 WHEN l.doc_id % 2 = 0 THEN quality END AS verdict, CASE WHEN t = 'click' THEN NULL WHEN l.doc_id % 2 <> 0 THEN coalesce(t, CASE WHEN l.doc_id % 3 = 0 THEN 'old' END) WHEN l.doc_id % 3 = 0 THEN 'old' END AS error FROM labels l LEFT JOIN s ON l.doc_id = s.doc_id",
-    "j8_missing_ids": "SELECT range AS doc_id FROM range(1200) WHERE range NOT IN (SELECT doc_id FROM labels)",
-    "j8_missing_ids_all": "SELECT unnest(range(max(doc_id) + 1)) AS doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
+    "j8_missing_ids": "SELECT unnest(range(max(doc_id) + 1)) AS doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     "j9_evidence_overlap": f"WITH {_P} SELECT event_id, list_has_all(f, g) AS covered, len(list_filter(f, lambda x: NOT list_contains(g, x)))::INT AS non_gold FROM k",
     "j10_grounding": """WITH r AS (SELECT row_number() OVER () AS g, l_orderkey AS s, l_suppkey % 3 AS p, l_partkey % 50 AS x, l_suppkey % 50 AS y, l_linenumber AS n, l_returnflag AS f FROM lineitem),
  i AS (SELECT a.g, a.s, CASE WHEN b.s IS NOT NULL THEN greatest(least(a.x, b.x) + 20 - greatest(a.x, b.x), 0) * greatest(least(a.y, b.y) + 30 - greatest(a.y, b.y), 0) END AS bb FROM r a LEFT JOIN r b ON a.s = b.s AND a.p = b.p AND b.n <> 1 AND b.f <> 'R' AND b.p <> 2 WHERE a.n = 1),

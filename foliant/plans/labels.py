@@ -133,12 +133,13 @@ def p24_rewrite_prefix(spark, sf):
 
 
 def p25_reframe_boxes(spark, sf):
-    w, h = (F.col("k") * 20 + 200), (F.col("event_id") % 50 * 20 + 200)
-    box = F.array(F.col("k") - 10, F.lit(5), F.col("k") * 3, F.col("event_id") % 300)
-    shown = P.shown_size(w, h)
-    unit = P.unit_box(box, shown["w"], shown["h"])
-    e = _events(spark, sf).select("event_id", shown.alias("s"), unit.alias("u"), P.page_box(unit, w, h).alias("p"))
-    return e.select("event_id", F.col("s.w").alias("w"), F.col("s.h").alias("h"), F.round(F.col("u")[2], 6).alias("ux2"), F.col("p")[2].alias("px2"), F.round(P.box_in_zoom(F.col("u"), F.array(F.lit(0.25), F.lit(0.25), F.lit(0.75), F.lit(0.75)))[3], 6).alias("zy2"))
+    e = _events(spark, sf).select("event_id", "k", (F.col("k") * 20 + 200).alias("fw"), (F.col("event_id") % 50 * 20 + 200).alias("fh"))
+    # the sizes are columns before boxes use them, so that their formulas stand in the plan once
+    e = e.withColumn("box", F.array(F.col("k") - 10, F.lit(5), F.col("k") * 3, F.col("event_id") % 300)).withColumn("s", P.shown_size(F.col("fw"), F.col("fh")))
+    e = e.select("event_id", "fw", "fh", "box", F.col("s.w").alias("w"), F.col("s.h").alias("h"))
+    e = e.withColumn("u", P.unit_box(F.col("box"), F.col("w"), F.col("h")))
+    e = e.withColumn("p", P.page_box(F.col("u"), F.col("fw"), F.col("fh"))).withColumn("z", P.box_in_zoom(F.col("u"), F.array(*map(F.lit, (0.25, 0.25, 0.75, 0.75)))))
+    return e.select("event_id", "w", "h", F.round(F.col("u")[2], 6).alias("ux2"), F.col("p")[2].alias("px2"), F.round(F.col("z")[3], 6).alias("zy2"))
 
 
 def p26_crop_region(spark, sf):
