@@ -74,6 +74,10 @@ def test_sinks(spark, tmp_path):
     assert io.write_verified(df, str(tmp_path / "w"), df.schema, "sample_id").count() == 2
     with pytest.raises(ValueError, match="twice"):
         io.write_verified(df.union(df), str(tmp_path / "w2"), df.schema, "sample_id")
+    assert io.write_verified(df, str(tmp_path / "w3"), df.schema, "sample_id", ["v"]).count() == 2
+    df.orderBy("v").coalesce(1).write.parquet(str(tmp_path / "w4"))
+    with pytest.raises(ValueError, match="order"):
+        io.verify_order(spark.read.parquet(str(tmp_path / "w4")).select("sample_id", "v", "_metadata").withColumn("v", -F.col("v")), ["v"])
     io.fanout(df, {"all": F.lit(True), "big": F.col("v") > 1}, str(tmp_path / "f"))
     assert {(r.outcome, r["count"]) for r in spark.read.parquet(str(tmp_path / "f")).groupBy("outcome").count().collect()} == {("all", 2), ("big", 1)}
     io.dump_generations(df.withColumn("step", F.col("v")), str(tmp_path / "g"))
@@ -107,7 +111,7 @@ def test_streams(spark, tmp_path):
 
     stream = jobs.stream_predictions(spark, str(src), schema).where("bad IS NULL").select("sample_id", "t", "verdict", F.col("t").alias("ord"))
     jobs.latest_snapshot(stream, str(tmp_path / "snap"), str(tmp_path / "cp2"), "sample_id", "t", "ord").awaitTermination()
-    assert {r.sample_id: r.t for r in spark.read.parquet(str(tmp_path / "snap/0")).collect()} == {"a": 2, "b": 1, "c": 1}
+    assert {r.sample_id: r.t for r in jobs.read_snapshot(spark, str(tmp_path / "snap"), "sample_id string, t int, verdict boolean, ord int").collect()} == {"a": 2, "b": 1, "c": 1}
 
     totals = jobs.stream_totals(jobs.stream_predictions(spark, str(src), schema), "t", "verdict")
     totals.writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
@@ -141,6 +145,56 @@ def test_pending_and_triggers(spark):
     assert jobs.run_until(lambda: n.append(1), lambda: len(n) >= 4) == 4
 
 
+def test_scoring_waits_until_it_is_due(spark, tmp_path):
+    schema = "sample_id int, verdict boolean, judge_error string, bad string, answer string"
+    done = lambda: sorted(r.sample_id for r in spark.read.schema(schema).parquet(str(tmp_path / "out/scored")).collect()) if (tmp_path / "out/scored").exists() else []
+    for step, (ids, want) in enumerate([([1, 2], []), ([3, 4], [1, 2, 3]), ([5], [1, 2, 3]), ([6], [1, 2, 3, 4, 5, 6])]):
+        spark.createDataFrame([(i, None, None, None, "x") for i in ids], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{step}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+        jobs.score_when_due(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "sample_id", F.col("answer") == "x", 3, expected=6).awaitTermination()
+        assert done() == want
+
+
+def test_committing_stops(spark, tmp_path):
+    for name, fatal_at, target, want in (("kept", None, 4, 8), ("fatal", 5, 4, 5), ("never", None, 99, 19)):
+        for step in range(2):
+            rows = [(i, i % 2 == 0, i == fatal_at) for i in range(10 * step + (not step), 10 * step + 10)]
+            spark.createDataFrame(rows, "i int, kept boolean, fatal boolean").write.parquet(str(tmp_path / f"{name}/in{step}"))
+            stream = spark.readStream.schema("i int, kept boolean, fatal boolean").parquet(str(tmp_path / f"{name}/in{step}"))
+            jobs.commit_until(stream, str(tmp_path / f"{name}/out"), str(tmp_path / f"{name}/cp{step}"), "i", F.col("kept"), F.col("fatal"), target).awaitTermination()
+        assert [r.i for r in spark.read.parquet(str(tmp_path / f"{name}/out")).orderBy("i").collect()] == list(range(1, want + 1))
+
+
+def test_snapshots_touch_their_buckets_only(spark, tmp_path):
+    for step, rows in enumerate([[("a", 1), ("b", 1), (None, 1)], [("a", 3)], [("a", 2), ("c", 1), (None, 2)]]):
+        spark.createDataFrame(rows, "k string, t int").coalesce(1).write.parquet(str(tmp_path / f"in/{step}"))
+        stream = spark.readStream.schema("k string, t int").parquet(str(tmp_path / "in/*")).withColumn("o", F.concat("t", F.lit("-"), F.coalesce("k", F.lit("none"))))
+        jobs.latest_snapshot(stream, str(tmp_path / "snap"), str(tmp_path / "cp"), "k", "t", "o").awaitTermination()
+    got = jobs.read_snapshot(spark, str(tmp_path / "snap"), "k string, t int, o string")
+    assert sorted((r.k, r.t) for r in got.collect()) == [("__missing_1-none", 1), ("__missing_2-none", 2), ("a", 3), ("b", 1), ("c", 1)]
+    assert len(list((tmp_path / "snap/version=1").glob("bucket=*"))) == 1
+    assert tuple(jobs.missing_count(got, "k", 7).first()) == (5, 7, 2)
+
+
+def test_retrieval_in_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(retrieve, "BLOCK_NUMBERS", 40)
+    monkeypatch.setattr(retrieve, "MAX_BROADCAST_BYTES", 200)
+    rnd = random.Random(7)
+    rows = [(f"p{i % 37}", [rnd.choice([-1.0, 0.5, 2.0]) for _ in range(4)]) for i in range(60)]
+    pages = spark.createDataFrame([*rows, ("null", None), ("other", [1.0])], "label string, v array<double>")
+    queries = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows[:9])], "query int, qv array<double>")
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    want = set()
+    for i, (_, q) in enumerate(rows[:9]):
+        best = sorted((-round(sum(a * b for a, b in zip(unit(q), unit(v), strict=True)), 6) + 0.0, label) for label, v in rows)[:5]
+        want |= {(i, label, -s + 0.0, r + 1) for r, (s, label) in enumerate(best)}
+    got = {(r.query, r.label, r.score + 0.0, r["rank"]) for r in retrieve.dense_topk(queries, pages, 5).collect()}
+    assert got == want
+    assert retrieve.score_pairs(queries.drop("qv"), pages.select("label")).count() == 9 * 62
+
+
 def test_maxsim_both_forms(spark):
     import random
 

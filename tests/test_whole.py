@@ -16,13 +16,13 @@ def test_missing_ids_and_progress_follow_the_documents(spark, tmp_path):
     put(spark, tmp_path, "documents", [(i,) for i in range(3000)], "doc_id long")
     put(spark, tmp_path, "labels", [(i,) for i in range(0, 3000, 3)], "doc_id long")
     q = plans.queries()
-    assert sorted(r.doc_id for r in q["j8_missing_ids_all"](spark, str(tmp_path)).collect()) == [i for i in range(3000) if i % 3]
-    assert tuple(q["a34_progress_of_documents"](spark, str(tmp_path)).first()) == (1000, 2997, 33.333333333)
+    assert sorted(r.doc_id for r in q["j8_missing_ids"](spark, str(tmp_path)).collect()) == [i for i in range(3000) if i % 3]
+    assert tuple(q["a34_progress"](spark, str(tmp_path)).first()) == (1000, 2997, 33.333333333)
 
 
 def test_all_mixed_ids_have_their_place(spark, tmp_path):
     put(spark, tmp_path, "documents", [(i, "en", "s", 1) for i in range(300)], "doc_id long, lang string, source string, n_chars long")
-    got = [r.id for r in plans.queries()["d20_place_samples"](spark, str(tmp_path)).orderBy("place").collect()]
+    got = [r.id for r in plans.queries()["d20_sort_samples"](spark, str(tmp_path)).orderBy("place").collect()]
     assert got == [str(i) for i in range(300) if i % 10] + sorted(f"x{i}" for i in range(0, 300, 10))
 
 
@@ -43,7 +43,7 @@ def test_bootstrap_takes_every_size(spark, tmp_path):
 def test_first_unseen_skips_seen_pages(spark, tmp_path):
     rows = [(i, 0, [math.cos(i * 0.003), math.sin(i * 0.003)]) for i in range(500)]
     put(spark, tmp_path, "embeddings", rows, "vec_id long, label long, embedding array<float>")
-    got = {r.episode: r.label for r in plans.queries()["r7_first_unseen_some"](spark, str(tmp_path)).collect()}
+    got = {r.episode: r.label for r in plans.queries()["r7_first_unseen"](spark, str(tmp_path)).collect()}
     assert got[100] in (99, 101) and got[200] in (199, 201) and (got[0], got[300], got[400]) == (0, None, 400)
 
 
@@ -76,6 +76,6 @@ def test_files_grow_with_the_pages(spark, tmp_path):
     put(spark, tmp_path, "pages", [(i, f"u{i}") for i in range(120)], "page_id long, url string")
     put(spark, tmp_path, "labels", [(i, 1, 0) for i in range(0, 500, 2)], "doc_id long, quality int, toxic int")
     q = plans.queries()
-    assert q["s5_scan_page_tree"](spark, str(tmp_path)).distinct().count() == q["s6_parse_page_tree"](spark, str(tmp_path)).distinct().count() == 120
+    assert q["s5_scan_page_files"](spark, str(tmp_path)).distinct().count() == q["s6_parse_page_files"](spark, str(tmp_path)).distinct().count() == 120
     errors = [("missing", "size", "sha256", None)[k % 4] for k in range(10)]
-    assert sorted((r.part, r.error) for r in q["s11_verify_tree"](spark, str(tmp_path)).collect()) == sorted((f"part={k}", x) for k, x in enumerate(errors) if x)
+    assert sorted((r.part, r.error) for r in q["s11_verify_manifest"](spark, str(tmp_path)).collect()) == sorted((f"part={k}", x) for k, x in enumerate(errors) if x)
