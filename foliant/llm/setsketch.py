@@ -18,9 +18,14 @@ two sets agree on a register about as often as their Jaccard similarity.
 No bucket or candidate list is capped. With 36 bands of 4 registers a pair at the threshold 0.75 shares no bucket with
 probability (1 - 0.75^4)^36, about one in a million.
 
+Joins by a bucket, a hub, a component or a class go through `matched`: keys that hold more than a 1,024th of the rows are
+joined by sending their rows of the other side, which has one row a key, to all tasks, so that no such key meets in one task.
+
 Defined cases: texts that are null or have no word have the size 0 and are linked with nothing; texts with fewer words
-than a shingle are one shingle; repeated rows fall in one class; rows without an id have a null component; an empty table
-gives an empty result.
+than a shingle are one shingle; repeated rows fall in one class; rows without an id have a null component, but documents
+that are linked through them are linked; of equal sets (ties) the smallest id stands for all; a text of any length is one
+set, whose hashes one task holds while it works on that text; an empty table gives an empty result; columns other than
+the id and the text are not read, and `deduplicated` hands all columns on whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, settle, texts_of
+from .shared import busy_keys, id_and_text, matched, row_key, settle, texts_of
 
 SHINGLE, BANDS, ROWS = 5, 36, 4
 REGISTERS = BANDS * ROWS
@@ -118,7 +123,7 @@ def likely_similarity(larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray
 
 
 def _sketched(size: int):
-    names = ["_id", "_n", "_f1", "_f2", "_registers"]
+    names = ["_id", "_row", "_n", "_f1", "_f2", "_registers"]
 
     def block(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         joined = np.concatenate(sets)
@@ -142,7 +147,7 @@ def _sketched(size: int):
                 held, waiting = [], 0
 
             at = []
-            for text in texts_of(batch.column(1)):
+            for text in texts_of(batch.column(2)):
                 hashes = shingle_hashes(text, size, known)
                 n.append(len(hashes))
                 if len(hashes):
@@ -155,7 +160,8 @@ def _sketched(size: int):
             index = np.full(len(n), -1)
             index[at] = np.arange(len(at))
             take = pa.array([int(i) if i >= 0 else None for i in index], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()).take(take), pa.array(f2, pa.int64()).take(take), pa.array(regs, pa.binary()).take(take)], names)
+            sketched = [pa.array(values, kind).take(take) for values, kind in ((f1, pa.int64()), (f2, pa.int64()), (regs, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *sketched], names)
 
     return sketch
 
@@ -166,7 +172,8 @@ def _full_sets(size: int):
         for batch in (whole.slice(i, SETS) for whole in batches for i in range(0, whole.num_rows, SETS)):
             found = [shingle_hashes(t, size, known) for t in texts_of(batch.column(0))]
             prints = [[_mixed(s, salt).sum().astype(np.uint64).view(np.int64).item() if len(s) else 0 for s in found] for salt in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in found], pa.int64()), *(pa.array(p, pa.int64()) for p in prints), pa.array([s.tobytes() for s in found], pa.binary())], ["_n", "_f1", "_f2", "_set"])
+            numbers = [pa.array(values, pa.int64()) for values in ([len(s) for s in found], *prints)]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array([s.tobytes() for s in found], pa.binary())], ["_n", "_f1", "_f2", "_set"])
 
     return sets
 
@@ -242,93 +249,130 @@ def block_links(percent: int):
 def components(links: DataFrame) -> DataFrame:
     """_node, _root (the smallest node reachable) of all nodes that links (_a, _b) name: rounds of smallest neighbour and shortcut."""
     both = settle(links.select(F.col("_a").alias("_x"), F.col("_b").alias("_y")).union(links.select("_b", "_a")))
+    busy = busy_keys(both, "_y")
     labels = settle(both.groupBy("_x").agg(F.min("_y").alias("_m")).select(F.col("_x").alias("_node"), F.least("_x", "_m").alias("_root")))
     while True:
-        near = both.join(labels, both["_y"] == labels["_node"]).groupBy("_x").agg(F.min("_root").alias("_near"))
-        closer = labels.join(near, labels["_node"] == near["_x"]).select("_node", F.col("_root").alias("_old"), F.least("_root", "_near").alias("_root"))
-        up = closer.select(F.col("_node").alias("_up"), F.col("_root").alias("_far"))
-        labels_next = settle(closer.join(up, closer["_root"] == up["_up"], "left").select("_node", "_old", F.least("_root", F.coalesce("_far", "_root")).alias("_root")))
-        changed = not labels_next.where("_old <> _root").isEmpty()
-        labels = labels_next.drop("_old")
-        if not changed:
-            return labels
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable over links, itself included), kept (id = component_id)."""
-    threshold = percent / 100
-    source = id_and_text(docs, id_col, text_col)
-    kind = dict(source.dtypes)["_id"]
-    node = F.xxhash64("_n", "_f1", "_f2")
-    sketches = settle(source.mapInArrow(_sketched(shingle), f"_id {kind}, _n long, _f1 long, _f2 long, _registers binary").withColumn("_node", F.when(F.col("_n") > 0, node)))
-    classes = settle(sketches.where("_n > 0").groupBy("_node").agg(F.min("_id").alias("_first"), F.first("_n").alias("_n"), F.first("_registers").alias("_registers")))
-
+        near = matched(both, labels.select(F.col("_node").alias("_y"), "_root"), "_y", busy).groupBy("_x").agg(F.min("_root").alias("_near"))
+        closer = labels.join(near, labels["_node"] == near["_x"]).select("_node", F.col("_root").alias("_old"), F.least("_root", "_near").alias("_up"))
+        closer = settle(closer)
+        far = closer.select("_node", F.col("_up").alias("_far")).withColumnRenamed("_node", "_up")
+        next_labels = matched(closer, far, "_up", busy_keys(closer, "_up"), "left").select("_node", "_old", F.least("_up", F.coalesce("_far", "_up")).alias("_root"))
+        next_labels = settle(next_labels)
+        if next_labels.where("_old <> _root").isEmpty():
+            return next_labels.drop("_old")
+        labels = next_labels.drop("_old")
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """_bucket, _node, _n, _many (classes of the bucket), _hub (_node, _n) of all classes that share a bucket with others."""
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("_band")
-    banded = classes.select("_node", "_n", "_registers", band).select("_node", "_n", F.xxhash64("_band", F.expr(f"substring(_registers, {2 * ROWS} * _band + 1, {2 * ROWS})")).alias("_bucket"))
-    many = banded.groupBy("_bucket").agg(F.count("*").alias("_many")).where("_many > 1")
-    shared = settle(banded.join(many, "_bucket").select("_bucket", "_node", "_n", "_many"))
+    values = F.expr(f"substring(_registers, {2 * ROWS} * _band + 1, {2 * ROWS})")
+    banded = classes.select("_node", "_n", "_registers", band).select("_node", "_n", F.xxhash64("_band", values).alias("_bucket"))
+    many = settle(banded.groupBy("_bucket").agg(F.count("*").alias("_many")).where("_many > 1"))
+    large = busy_keys(many, "_bucket", "_many")
+    shared = settle(matched(banded, many, "_bucket", large))
     meets = shared.groupBy("_node").agg(F.sum("_many").alias("_meets"))
     hubs = shared.join(meets, "_node").groupBy("_bucket").agg(F.max(F.struct("_meets", "_node", "_n")).alias("_hub"))
-    members = settle(shared.join(hubs, "_bucket").select("_bucket", "_node", "_n", "_many", F.struct("_hub._node", "_hub._n").alias("_hub")))
-    fits = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
-    first = F.col("_hub._node")
-    stars = members.where((F.col("_node") != first) & fits(F.col("_n"), F.col("_hub._n"))).select(F.least("_node", first).alias("_a"), F.greatest("_node", first).alias("_b")).distinct()
-
-    def side(name: str) -> DataFrame:
-        return classes.select(F.col("_node").alias(f"_{name}"), F.col("_n").alias(f"_n{name}"), F.col("_registers").alias(f"_r{name}"))
-
-    def full_sets(nodes: DataFrame) -> DataFrame:
-        ids = classes.join(nodes.select("_node").distinct(), "_node", "left_semi").select("_first")
-        texts = source.join(ids, source["_id"] == ids["_first"], "left_semi").select("_text")
-        sets = texts.mapInArrow(_full_sets(shingle), "_n long, _f1 long, _f2 long, _set binary").select(node.alias("_node"), "_set")
-        return settle(sets.dropDuplicates(["_node"]))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
-        likely = settle(pairs.join(side("a"), "_a").join(side("b"), "_b").mapInArrow(_likely(threshold), "_a long, _b long"))
-        sets = full_sets(likely.select(F.col("_a").alias("_node")).union(likely.select("_b")))
-        a, b = (sets.select(F.col("_node").alias(f"_{x}"), F.col("_set").alias(f"_s{x}")) for x in "ab")
-        return settle(likely.join(a, "_a").join(b, "_b").mapInArrow(_linked(percent), "_a long, _b long"))
-
-    def linked_in_blocks(large: DataFrame) -> DataFrame:
-        """large: _group (its hub), _node, _root: links of members outside the hub's component with all members."""
-        held = large.join(full_sets(large), "_node")
-        hub_roots = large.where("_group = _node").select("_group", F.col("_root").alias("_hub_root"))
-        sizes = large.groupBy("_group").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_blocks"))
-        held = settle(held.join(sizes.join(hub_roots, "_group"), "_group").withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")))
-        every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-        left = held.where("_root <> _hub_root").select("_group", F.col("_block").alias("_l"), every.alias("_r"), "_node", "_root", "_set")
-        right = held.select("_group", every.alias("_l"), F.col("_block").alias("_r"), "_node", "_root", "_set")
-        keys = ("_group", "_l", "_r")
-        return settle(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block_links(percent), "_a long, _b long").distinct())
-
-    links = linked(stars)
+    hubs = hubs.select("_bucket", F.struct("_hub._node", "_hub._n").alias("_hub"))
+    return settle(matched(shared, hubs, "_bucket", large))
+
+
+def _fits(a: Column, b: Column, percent: int) -> Column:
+    """Whether two sets of these sizes can be similar enough."""
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+
+
+def _linked_pairs(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (_a, _b) whose full sets are similar enough. _a may be the same in many pairs, _b is not."""
+    side = lambda x: classes.select(F.col("_node").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"), F.col("_registers").alias(f"_r{x}"))
+    pairs = settle(pairs)
+    sketched = matched(pairs, side("a"), "_a", busy_keys(pairs, "_a")).join(side("b"), "_b")
+    likely = settle(sketched.mapInArrow(_likely(percent / 100), "_a long, _b long"))
+    set_a, keys = sets.select(F.col("_node").alias("_a"), F.col("_set").alias("_sa")), ["_a"]
+    if (busy := busy_keys(likely, "_a")) is not None:
+        # a full set has no bound that fits a broadcast: a busy hub's goes to as many tasks as its pairs have shares
+        share = F.coalesce(F.pmod(F.xxhash64("_b"), "_shares"), F.lit(0)).cast("int")
+        likely, keys = likely.join(F.broadcast(busy), "_a", "left").withColumn("_share", share).drop("_shares"), ["_a", "_share"]
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)).alias("_share")
+        set_a = set_a.join(F.broadcast(busy), "_a", "left").select("_a", "_sa", each)
+    set_b = sets.select(F.col("_node").alias("_b"), F.col("_set").alias("_sb"))
+    return settle(likely.join(set_a, keys).join(set_b, "_b").mapInArrow(_linked(percent), "_a long, _b long"))
+
+
+def _linked_in_blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """large: _group (its hub), _node, _root: links of members outside the hub's component with all members."""
+    about = large.groupBy("_group").agg(
+        F.ceil(F.count("*") / MEMBERS).cast("int").alias("_blocks"), F.max(F.when(F.col("_group") == F.col("_node"), F.col("_root"))).alias("_hub_root"),
+    )
+    dealt = matched(large, about, "_group", busy_keys(large, "_group"))
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
+    held = settle(dealt.join(sets, "_node"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = held.where("_root <> _hub_root").select("_group", F.col("_block").alias("_l"), every.alias("_r"), "_node", "_root", "_set")
+    right = held.select("_group", every.alias("_l"), F.col("_block").alias("_r"), "_node", "_root", "_set")
+    keys = ("_group", "_l", "_r")
+    return settle(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block_links(percent), "_a long, _b long").distinct())
+
+
+def _decided(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """_id, _row (equal in rows with the same id and text), _n, _component."""
+    source = id_and_text(docs, id_col, text_col).select("_id", row_key(F.col("_id"), F.col("_text")).alias("_row"), "_text")
+    kind = dict(source.dtypes)["_id"]
+    node = F.xxhash64("_n", "_f1", "_f2")
+    sketches = source.mapInArrow(_sketched(shingle), f"_id {kind}, _row long, _n long, _f1 long, _f2 long, _registers binary")
+    sketches = settle(sketches.withColumn("_node", F.when(F.col("_n") > 0, node)))
+    some = (F.first(c).alias(c) for c in ("_n", "_registers"))
+    classes = settle(sketches.where("_n > 0").groupBy("_node").agg(F.min("_id").alias("_first"), F.min("_row").alias("_row"), F.count("*").alias("_copies"), *some))
+
+    members = _buckets(classes)
+    # a class's set is made of the text of any of its rows; rows without an id have one, too
+    texts = source.join(classes.join(members.select("_node").distinct(), "_node", "left_semi").select("_row"), "_row", "left_semi").select("_text")
+    sets = texts.mapInArrow(_full_sets(shingle), "_n long, _f1 long, _f2 long, _set binary").select(node.alias("_node"), "_set")
+    sets = settle(sets.dropDuplicates(["_node"]))
+
+    hub = F.col("_hub._node")
+    stars = members.where((F.col("_node") != hub) & _fits(F.col("_n"), F.col("_hub._n"), percent)).select(hub.alias("_a"), F.col("_node").alias("_b")).distinct()
+    links = _linked_pairs(stars, classes, sets, percent)
     labels = components(links)
-    placed = members.join(labels, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    placed = settle(members.join(labels, "_node", "left").withColumn("_root", F.coalesce("_root", "_node")))
     mixed = placed.groupBy("_bucket").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high").select("_bucket")
-    placed = settle(placed.join(mixed, "_bucket", "left_semi"))
+    placed = settle(matched(placed, mixed, "_bucket", busy_keys(placed, "_bucket")))
     few = placed.where(F.col("_many") <= SMALL)
     other = few.select("_bucket", F.col("_node").alias("_node2"), F.col("_n").alias("_n2"), F.col("_root").alias("_root2"))
-    across = few.join(other, "_bucket").where((F.col("_root") < F.col("_root2")) & fits(F.col("_n"), F.col("_n2")))
+    across = few.join(other, "_bucket").where((F.col("_root") < F.col("_root2")) & _fits(F.col("_n"), F.col("_n2"), percent))
     across = across.select(F.least("_node", "_node2").alias("_a"), F.greatest("_node", "_node2").alias("_b")).distinct()
-    more = linked(across.join(stars, ["_a", "_b"], "left_anti"))
+    tested = stars.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
+    more = _linked_pairs(across.join(tested, ["_a", "_b"], "left_anti"), classes, sets, percent)
     large = placed.where(F.col("_many") > SMALL).select(F.col("_hub._node").alias("_group"), "_node", "_root").distinct()
-    more = more.union(linked_in_blocks(settle(large)))
+    more = more.union(_linked_in_blocks(settle(large), sets, percent))
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    rooted = classes.select("_node", "_first").join(labels, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    rooted = settle(classes.select("_node", "_first", "_copies").join(labels, "_node", "left").withColumn("_root", F.coalesce("_root", "_node")))
     smallest = rooted.groupBy("_root").agg(F.min("_first").alias("_component"))
-    named = rooted.join(smallest, "_root").select("_node", "_component")
-    component = F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id"))
-    return sketches.select("_id", "_n", "_node").join(named, "_node", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"))
+    named = settle(matched(rooted, smallest, "_root", busy_keys(rooted, "_root")).select("_node", "_component", "_copies"))
+    copied = busy_keys(named, "_node", "_copies")
+    rows = sketches.select("_id", "_row", "_n", "_node")
+    found = matched(rows.where("_n > 0"), named.drop("_copies"), "_node", copied).select("_id", "_row", "_n", "_component")
+    found = found.unionByName(rows.where("_n = 0").select("_id", "_row", "_n", F.col("_id").alias("_component")))
+    return found.withColumn("_component", F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (the smallest id reachable over links, itself included), kept (id = component_id)."""
+    decided = _decided(docs, percent, shingle, id_col, text_col)
+    kept = F.col("_component").eqNullSafe(F.col("_id"))
+    return decided.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), kept.alias("kept"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group: the smallest id, and one row of those that share it.
 
-    Rows without an id are in no group with others; of those, one row of each text stays.
+    Rows without an id are in no group with others; of those, one row of each text stays. Of rows with the same id and
+    text any one stays, of those with the same id and different texts always the same one.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
-    return out.withColumn("__no_id", F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).dropDuplicates([id_col, "__no_id"]).select(*docs.columns)
+    kept = _decided(docs, percent, shingle, id_col, text_col).where(F.col("_component").eqNullSafe(F.col("_id")))
+    with_id = kept.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_row").alias("_row")).select(F.col("_row").alias("__row"))
+    without = kept.where("_id IS NULL").select(F.col("_row").alias("__row")).distinct()
+    one_each = docs.withColumn("__row", row_key(F.col(id_col), F.col(text_col).cast("string"))).dropDuplicates(["__row"])
+    return one_each.join(with_id.union(without), "__row", "left_semi").select(*docs.columns)

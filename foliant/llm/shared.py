@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,38 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
 
-def crc_mod(id_column, modulus: int):
+def row_key(*columns: Column) -> Column:
+    """A hash of some columns that tells null from every value."""
+    return F.xxhash64(*(c for column in columns for c in (column.isNull(), column)))
+
+
+#: A key with over 1 / SHARES of the rows (of SHARES rows at least) is busy, so there are at most SHARES busy keys.
+SHARES = 1024
+
+
+def busy_keys(rows: DataFrame, key: str, count: str | None = None) -> DataFrame | None:
+    """key, _shares (how many ordinary keys' worth of rows it has) of the busy keys, at most SHARES; None if there is none.
+
+    rows is a settled table; count names a column for rows that stand for so many.
+    """
+    many = F.sum(count) if count else F.count("*")
+    most = max(SHARES, (rows.agg(many).first()[0] or 0) // SHARES)
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(many.alias("_rows")).where(F.col("_rows") > most)
+    found = [(r[key], -(-r["_rows"] // most)) for r in counted.collect()]
+    return rows.sparkSession.createDataFrame(found, f"{key} {dict(rows.dtypes)[key]}, _shares int") if found else None
+
+
+def matched(rows: DataFrame, table: DataFrame, key: str, busy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """A settled table joined with one that has one row a key. Rows of busy keys stay where they are: their few rows of the table come to them."""
+    if busy is None:
+        return rows.join(table, key, how)
+    marked = rows.join(F.broadcast(busy), key, "left")
+    to_all = F.broadcast(table.join(F.broadcast(busy.select(key)), key, "left_semi"))
+    common = marked.where("_shares IS NOT NULL").drop("_shares").join(to_all, key, how)
+    return marked.where("_shares IS NULL").drop("_shares").join(table, key, how).unionByName(common)
+
+
+def crc_mod(id_column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % modulus
 
