@@ -154,9 +154,10 @@ def x2_commit_scored(spark, sf):
 
 def x3_stream_totals(spark, sf):
     totals = jobs.stream_totals(jobs.stream_predictions(spark, _prediction_files(spark, sf), _SCHEMA, 1), "answer", "verdict")
-    name = f"totals_{uuid.uuid4().hex}"
-    totals.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _new(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out = _new(spark)
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    totals.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", _new(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(totals.schema).parquet(out)
 
 
 def x6_latest_snapshot(spark, sf):
@@ -166,7 +167,7 @@ def x6_latest_snapshot(spark, sf):
     return jobs.read_snapshot(spark, out, "sample_id string, t long, answer string, seq long").select("sample_id", "t", "answer")
 
 
-def _in_order(spark, df, order, schema_of=None, parts=4):
+def _in_order(spark, df, order, parts=4):
     """Closed files of an ordered table, written one after the other; each is several parts."""
     path, top = _new(spark), (df.agg(F.max(order)).first()[0] or 0) + 1
     for i in range(parts):
@@ -215,10 +216,8 @@ def x8_stream_memory(spark, sf):
     turns, out = _tree_turns(spark, sf), _new(spark)
     last = turns.groupBy(F.col("user_id").alias("_u")).agg(F.max("event_id").alias("_m"))
     turns = turns.join(last, F.col("user_id") == F.col("_u")).withColumn("op", F.when(F.col("event_id") == F.col("_m"), F.when(F.col("user_id") % 3 == 0, "error").otherwise("answer")).otherwise(F.col("op"))).drop("_u", "_m")
-    path, checkpoint = _in_order(spark, turns, "event_id", parts=3), _new(spark)
-    steps = [f"{path}/step={i}" for i in range(3)]
-    landing = _new(spark)
-    for step in steps:  # one run of the stream for each step, whose files all come before those of the next
+    path, checkpoint, landing = _in_order(spark, turns, "event_id", parts=3), _new(spark), _new(spark)
+    for step in (f"{path}/step={i}" for i in range(3)):  # one run of the stream for each step, whose files all come before those of the next
         spark.read.schema(turns.schema).parquet(step).write.mode("append").parquet(landing)
         stream = jobs.stream_memory(spark.readStream.schema(turns.schema).parquet(landing), "user_id", "event_id")
         stream.select("user_id", F.size("nodes").alias("n_nodes"), "active", "ended").writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()

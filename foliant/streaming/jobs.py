@@ -34,7 +34,8 @@ def score_rows(rows: DataFrame, score: Column, verdict: str = "verdict", error:
     """Rows with a verdict or an error pass through, bad ones become errors, the rest are scored."""
     bad = F.col("bad").isNotNull()
     ready = F.col(verdict).isNotNull() | F.col(error).isNotNull()
-    return rows.withColumn(error, F.when(bad, F.concat(F.lit("bad row: "), F.substring("bad", 1, 200))).otherwise(F.col(error))).withColumn(verdict, F.when(bad | ready, F.col(verdict)).otherwise(score))
+    said = F.when(bad, F.concat(F.lit("bad row: "), F.substring("bad", 1, 200))).otherwise(F.col(error))
+    return rows.withColumns({error: said, verdict: F.when(bad | ready, F.col(verdict)).otherwise(score)})
 
 
 def stream_totals(rows: DataFrame, source: str, verdict: str) -> DataFrame:
@@ -43,11 +44,15 @@ def stream_totals(rows: DataFrame, source: str, verdict: str) -> DataFrame:
 
 
 def commit_scored(stream: DataFrame, path: str, checkpoint: str, key: str, score: Column) -> StreamingQuery:
-    """X2 with S8: each micro-batch is scored and appended once; a restart skips committed keys."""
-    def commit(batch: DataFrame, _: int) -> None:
-        append_new(score_rows(batch, score), path, key)
+    """Every key is scored and committed once, under path/batch=<number>; which keys are done is the stream's own state.
 
-    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Nothing that is committed is read again, and a micro-batch that is repeated after a failure writes the same folder.
+    """
+    def commit(batch: DataFrame, number: int) -> None:
+        score_rows(batch, score).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    first = stream.dropDuplicates([key])
+    return first.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def pending(rows: DataFrame, sidecar: DataFrame, key: str, verdict: str, most: int) -> DataFrame:
