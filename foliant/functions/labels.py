@@ -127,7 +127,9 @@ def compact_unique(items: Column, ignore_case: bool = False) -> Column:
     if not ignore_case:
         return F.array_distinct(items)
     tidy = F.filter(F.transform(items, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    return F.transform(F.filter(F.transform(tidy, lambda x, i: F.struct(x.alias("x"), (F.array_position(F.transform(tidy, F.lower), F.lower(x)) == i + 1).alias("first"))), lambda s: s["first"]), lambda s: s["x"])
+    is_first = lambda x, i: F.array_position(F.transform(tidy, F.lower), F.lower(x)) == i + 1
+    marked = F.transform(tidy, lambda x, i: F.struct(x.alias("x"), is_first(x, i).alias("first")))
+    return F.transform(F.filter(marked, lambda s: s["first"]), lambda s: s["x"])
 
 
 def cells_to_labels(cells: Column) -> tuple[Column, Column]:

@@ -89,8 +89,11 @@ def keep_filter(traj: DataFrame, ended: Column, errors: Column, answer: Column,
     steps = F.array_sort(F.array_distinct(errors))
     reasons = F.array_compact(
         F.array(
-            F.when(~ended, "not ended by answer"), F.when(F.size(steps) > 0, F.concat(F.lit("error steps: "), F.array_join(steps, ","))), F.when(F.coalesce(F.trim(answer), F.lit("")) == "", "empty answer"),
-            F.when(verdict.isNull(), "judge: missing").when(~verdict, "judge: incorrect"), F.when(F.size(gold) == 0, "reference pages: missing").when(~covered, "reference pages: not covered"),
+            F.when(~ended, "not ended by answer"),
+            F.when(F.size(steps) > 0, F.concat(F.lit("error steps: "), F.array_join(steps, ","))),
+            F.when(F.coalesce(F.trim(answer), F.lit("")) == "", "empty answer"),
+            F.when(verdict.isNull(), "judge: missing").when(~verdict, "judge: incorrect"),
+            F.when(F.size(gold) == 0, "reference pages: missing").when(~covered, "reference pages: not covered"),
         )
     )
     return traj.withColumn("reasons", reasons).withColumn("kept", F.size("reasons") == 0)

@@ -29,7 +29,8 @@ def eval_summary(preds: DataFrame, ended: str, counts: Mapping[str, str], has_go
 def accuracy_by(preds: DataFrame, key: str, correct: str) -> DataFrame:
     """Judged rows only; a null key is the group "None"."""
     name = F.coalesce(F.col(key).cast("string"), F.lit("None"))
-    return preds.where(F.col(correct).isNotNull()).groupBy(name.alias(key)).agg(F.count("*").alias("judged"), F.sum(F.col(correct).cast("int")).alias("correct"), F.avg(F.col(correct).cast("double")).alias("accuracy"))
+    measures = (F.count("*").alias("judged"), F.sum(F.col(correct).cast("int")).alias("correct"), F.avg(F.col(correct).cast("double")).alias("accuracy"))
+    return preds.where(F.col(correct).isNotNull()).groupBy(name.alias(key)).agg(*measures)
 
 
 def judge_summary(preds: DataFrame, correct: str, error: Column) -> DataFrame:
@@ -61,13 +62,17 @@ def crosstab(preds: DataFrame, a: str, b: str, correct: str) -> DataFrame:
 
 def judge_totals(rows: DataFrame, source: str, correct: str, torn: Column) -> DataFrame:
     """By source and overall ("all"): rows seen, judged, correct, torn ones."""
-    out = rows.rollup(source).agg(F.count("*").alias("seen"), F.count(F.when(~torn, F.col(correct))).alias("judged"), F.sum(F.when(~torn, F.col(correct).cast("int"))).alias("correct"), F.count(F.when(torn, 1)).alias("torn"))
+    whole = F.when(~torn, F.col(correct))
+    out = rows.rollup(source).agg(
+        F.count("*").alias("seen"), F.count(whole).alias("judged"), F.sum(whole.cast("int")).alias("correct"), F.count(F.when(torn, 1)).alias("torn")
+    )
     return out.withColumn(source, F.coalesce(source, F.lit("all")))
 
 
 def trace_stats(steps: DataFrame, traj: str, action: str, limit: int) -> DataFrame:
     """Per action its steps and share, beside trajectories, mean length and the share that reach the limit."""
-    lengths = steps.groupBy(traj).agg(F.count("*").alias("_n")).agg(F.count("*").alias("trajectories"), F.avg("_n").alias("mean_length"), _share(F.col("_n") >= limit).alias("at_limit"), F.sum("_n").alias("_all"))
+    each = steps.groupBy(traj).agg(F.count("*").alias("_n"))
+    lengths = each.agg(F.count("*").alias("trajectories"), F.avg("_n").alias("mean_length"), _share(F.col("_n") >= limit).alias("at_limit"), F.sum("_n").alias("_all"))
     return steps.groupBy(action).agg(F.count("*").alias("steps")).crossJoin(F.broadcast(lengths)).withColumn("share", F.col("steps") / F.col("_all")).drop("_all")
 
 
@@ -100,15 +105,18 @@ def corpus_stats(qa: DataFrame, split: str, deck: str, n_evidence: str, arithmet
     """Per split: questions, decks, multi-hop questions, those with arithmetic (not null, empty or "None"), evidence histogram."""
     hist = qa.groupBy(split, n_evidence).agg(F.count("*").alias("_n")).groupBy(split).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(n_evidence, "_n")))).alias("evidence_sizes"))
     real = ~F.coalesce(F.col(arithmetic), F.lit("")).isin("", "None")
-    body = qa.groupBy(split).agg(F.count("*").alias("questions"), F.count_distinct(deck).alias("decks"), F.count(F.when(F.col(n_evidence) >= 2, 1)).alias("multi"), F.count(F.when(real, 1)).alias("arithmetic"))
+    counts = {"questions": F.count("*"), "decks": F.count_distinct(deck), "multi": F.count(F.when(F.col(n_evidence) >= 2, 1)), "arithmetic": F.count(F.when(real, 1))}
+    body = qa.groupBy(split).agg(*(c.alias(name) for name, c in counts.items()))
     return body.join(hist, split)
 
 
 def upper_median(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """The element at n // 2 of the sorted values, without collecting them: a rank against the group's size."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_i") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias("upper_median"))
+    """The element at n // 2 of the sorted values, from the counts of distinct values and their running sums."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", upto).withColumn("_middle", F.floor(F.sum("_n").over(group) / 2))
+    return placed.where((F.col("_upto") > F.col("_middle")) & (F.col("_upto") - F.col("_n") <= F.col("_middle"))).select(*keys, F.col(value).alias("upper_median"))
 
 
 def run_totals(trajs: DataFrame, kept: str, hop: str, reasons: str, tags: str) -> DataFrame:

@@ -80,7 +80,8 @@ def masked_whiten(rows: DataFrame, value: Column, mask: Column, name: str) -> Da
     """(x - mean) / sqrt(var + 1e-8) over the whole table; mean over sum(mask) + 1e-8, variance by Bessel's rule."""
     held = rows.withColumn("_x", value.cast("double")).withColumn("_m", mask.cast("double"))
     mean = held.agg((F.sum(F.col("_x") * F.col("_m")) / (F.sum("_m") + 1e-8)).alias("_mean"))
-    spread = held.crossJoin(F.broadcast(mean)).agg(F.first("_mean").alias("_mean"), (F.sum((F.col("_x") - F.col("_mean")) ** 2 * F.col("_m")) / (F.sum("_m") + 1e-8)).alias("_v"), F.sum("_m").alias("_n"))
+    squares = (F.col("_x") - F.col("_mean")) ** 2 * F.col("_m")
+    spread = held.crossJoin(F.broadcast(mean)).agg(F.first("_mean").alias("_mean"), (F.sum(squares) / (F.sum("_m") + 1e-8)).alias("_v"), F.sum("_m").alias("_n"))
     one = spread.select("_mean", (F.col("_v") * F.col("_n") / (F.col("_n") - 1)).alias("_var"))  # one row
     return held.crossJoin(F.broadcast(one)).withColumn(name, (F.col("_x") - F.col("_mean")) / F.sqrt(F.col("_var") + 1e-8)).drop("_x", "_m", "_mean", "_var")
 
@@ -179,7 +180,9 @@ def ra_steps(
     after = F.lead(anchor).over(Window.partitionBy(traj).orderBy(order))
     grows = (F.size(F.array_except(F.col(anchor), after)) == 0) & (F.size(after) > F.size(anchor))
     search, update = F.col(action) == "search", (F.col(action) == "update_graph") & (F.col(kind) == "analyse")
-    local = F.when(search, F.when(F.coalesce(grows, F.lit(False)), 1.0).otherwise(-1.0)).otherwise(0.0) + F.when(F.col(kind) == "analyse", F.col(judged_reward) * weight).otherwise(0.0) + F.col(env_reward)
+    searched = F.when(search, F.when(F.coalesce(grows, F.lit(False)), 1.0).otherwise(-1.0)).otherwise(0.0)
+    analysed = F.when(F.col(kind) == "analyse", F.col(judged_reward) * weight).otherwise(0.0)
+    local = searched + analysed + F.col(env_reward)
     scored = discounted_returns(steps.withColumn("local_score", local), traj, [order], "local_score", gamma)
     scored = scored.withColumn("_seen", F.when(F.col(action) == "update_graph", F.col(page).cast("string")).otherwise("")).withColumn("_active", F.coalesce(search | update, F.lit(False)))
     nth = F.row_number().over(Window.partitionBy(traj, anchor, action, "_seen", "_active").orderBy(order))
@@ -226,7 +229,10 @@ def warned_searches(steps: DataFrame, traj: str, order: Sequence[str], is_search
     return flagged.groupBy(traj).agg(F.count(F.when(is_search, 1)).alias("searches"), F.count(F.when(F.col("_w"), 1)).alias("warned"))
 
 
-def terminal_reward(correct: Column, hit: Column, n_gold: Column, n_final: Column, grounding: Column, accesses: Column, late: Column, seen_all: Column, w: dict[str, float], all_or_none: bool = False) -> Column:
+def terminal_reward(
+    correct: Column, hit: Column, n_gold: Column, n_final: Column, grounding: Column, accesses: Column, late: Column, seen_all: Column,
+    w: dict[str, float], all_or_none: bool = False,
+) -> Column:
     """Correct + coverage + full coverage + precision at full coverage + grounding - cost of accesses + decay ** late searches.
 
     The last term needs a right answer, full coverage and that all gold pages were shown; weights that w lacks are 0.

@@ -84,7 +84,9 @@ def pack_trajectories(calls: DataFrame, sample: str, order: str, text: str, imag
 def flatten_memory(memory: DataFrame, sample: str) -> dict[str, DataFrame]:
     """Nodes, their pages, and facts of a folded memory as tables."""
     nodes = memory.select(sample, F.posexplode("nodes").alias("place", "n")).select(sample, "place", "n.*")
-    return {"nodes": nodes.drop("pages"), "links": nodes.select(sample, F.col("id").alias("node"), F.posexplode("pages").alias("nth", "page")), "facts": memory.select(sample, F.explode("facts").alias("f")).select(sample, "f.*")}
+    links = nodes.select(sample, F.col("id").alias("node"), F.posexplode("pages").alias("nth", "page"))
+    facts = memory.select(sample, F.explode("facts").alias("f")).select(sample, "f.*")
+    return {"nodes": nodes.drop("pages"), "links": links, "facts": facts}
 
 
 def evidence_pages(nodes: Column, labels: Column) -> Column:
@@ -99,7 +101,8 @@ def linked(nodes: Column, page: Column) -> Column:
 
 def render_notes(nodes: Column) -> Column:
     """The question tree as lines."""
-    line = lambda n: F.concat(n["id"], F.lit(" "), n["question"], F.when(n["status"] == "resolved", F.concat(F.lit(" = "), n["answer"], F.lit(" ["), F.array_join(n["pages"], ", "), F.lit("]"))).otherwise(" (open)"))
+    found = lambda n: F.concat(F.lit(" = "), n["answer"], F.lit(" ["), F.array_join(n["pages"], ", "), F.lit("]"))
+    line = lambda n: F.concat(n["id"], F.lit(" "), n["question"], F.when(n["status"] == "resolved", found(n)).otherwise(" (open)"))
     return F.array_join(F.transform(nodes, line), "\n")
 
 
