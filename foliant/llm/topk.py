@@ -1,16 +1,21 @@
 """Exact top-k inner products with multi-resolution segment statistics.
 
-A vector of d components is cut into 1, 4 and 16 segments. With the mean and deviation of each segment, Cauchy-Schwarz
-gives for a segment of length m: sum(q * x) <= m * (mean_q * mean_x + dev_q * dev_x), and so a lower bound of the
-distance |q|^2 + |x|^2 - 2 q.x. Bounds are taken coarse to fine; candidates that cannot reach the k-th best exact score
-go, the survivors are scored exactly.
+Vectors are turned by one orthonormal transform, the principal axes of a sample of at most about SAMPLE vectors, so that most of
+what tells them apart comes first; inner products stay what they are. A turned vector is cut into 1, 4 and 16 segments,
+short ones first. With the mean and deviation of each segment, Cauchy-Schwarz gives for a segment of length m:
+sum(q * x) <= m * (mean_q * mean_x + dev_q * dev_x), and so a lower bound of the distance |q|^2 + |x|^2 - 2 q.x. Exact
+scores of a few likely candidates give each query the score to reach; bounds are taken coarse to fine, each level on the
+candidates that the last one left, and only survivors are scored exactly, on the whole numbers themselves.
 
-Queries and candidates are dealt into blocks by a hash of their id; each pair of blocks is one group of bounded size,
-and only k rows per query leave it. Nothing that grows with the data is broadcast or collected.
+Queries and candidates are dealt into blocks by a hash; each pair of blocks is one group of bounded size, and only k rows
+per query leave it. Nothing that grows with the data is broadcast or collected. How much the bounds save depends on the
+vectors: nothing where all directions are alike, most where few directions tell them apart.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; vectors are compared
-with those of the same length; a query is never its own candidate (rows with its id are left out); ties go to the
-smaller id; fewer than k candidates give all of them; an empty table gives no rows.
+with those of the same length, however long; a query is never its own candidate (rows with its id are left out); rows
+with a null id take no part; equal rows are one query, rows with the same id and different vectors are several, each with
+ranks of its own; as candidates all rows count, equal ones, too; ties go to the smaller id; fewer than k candidates give
+all of them; an empty table gives no rows; columns other than the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -20,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 16384
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 32768
 LEVELS = (1, 4, 16)
 #: Scores are computed for so many query-candidate pairs at a time.
 PAIRS = 2_000_000
+#: Vectors from which the transform is taken, about (twice as many at most), and the longest that are turned.
+SAMPLE, TURNED = 4096, 512
+#: Candidates of a block that are scored first to find the score to reach.
+SEEDS = 512
 
 
 def quantized(vector: Column, scale: int = 64) -> Column:
@@ -33,73 +42,120 @@ def quantized(vector: Column, scale: int = 64) -> Column:
     return F.when((F.size(vector) > 0) & ~bad, F.transform(doubles, lambda x: F.floor(F.lit(scale) * x).cast("long")))
 
 
+def principal_axes(sample: np.ndarray) -> np.ndarray:
+    """Orthonormal columns, the direction with the largest mean square first."""
+    _, axes = np.linalg.eigh(sample.T.astype(float) @ sample)
+    return axes[:, ::-1]
+
+
+def _cuts(length: int, segments: int) -> np.ndarray:
+    """Where segments begin and end: lengths grow evenly by factors, as what comes first tells most."""
+    if segments >= length:
+        return np.arange(length + 1)
+    ends = np.round(length ** (np.arange(1, segments + 1) / segments)).astype(int)
+    return np.unique([0, *ends])
+
+
 def _statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     """Per vector, sqrt(m) * mean and sqrt(m) * deviation of each segment, side by side: dot products of these are bounds."""
-    cuts = np.unique(np.linspace(0, vectors.shape[1], min(segments, vectors.shape[1]) + 1).astype(int))
+    cuts = _cuts(vectors.shape[1], segments)
     m = np.diff(cuts)
     sums = np.add.reduceat(vectors, cuts[:-1], axis=1)
     squares = np.add.reduceat(vectors * vectors, cuts[:-1], axis=1)
-    return np.hstack([sums / np.sqrt(m), np.sqrt(np.maximum(squares - sums * sums / m, 0))])
+    deviations = np.sqrt(np.maximum(squares - sums * sums / m, 0))
+    return np.hstack([sums / np.sqrt(m), deviations[:, m > 1]])
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Query id, candidate id and score of the k best candidates of each query."""
-    big = float(max(1, abs(q).max())) * float(max(1, abs(x).max())) * q.shape[1] >= 2.0**53
+def _side(vectors: np.ndarray) -> np.ndarray:
+    """On which sides of the first axes a vector lies, as a number."""
+    first = vectors[:, :8] > 0
+    return first @ (1 << np.arange(first.shape[1]))
+
+
+def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, axes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list, list[int]]:
+    """Places in q, places in x and scores of the k best candidates of each query; and how many pairs each level left."""
     qf, xf = q.astype(float), x.astype(float)
-    exact = (lambda i, rows: (x[rows].astype(object) @ q[i].astype(object))) if big else (lambda i, rows: (xf[rows] @ qf[i]).astype(np.int64))
+    exact = max(1, abs(qf).max()) * max(1, abs(xf).max()) * q.shape[1] < 2.0**53  # else scores are worked out as Python's whole numbers
+    turned = [v if axes is None else v @ axes for v in (qf, xf)]
     slack = 1e-6 * (np.linalg.norm(qf, axis=1) * (np.linalg.norm(xf, axis=1).max() + 1)) + 1e-6
-    levels = [(_statistics(qf, s), _statistics(xf, s)) for s in LEVELS]
-    out: tuple[list, list, list] = ([], [], [])
-    step = max(1, PAIRS // len(x_ids))
-    for at in range(0, len(q_ids), step):
-        rows = slice(at, at + step)
-        alive = x_ids[None, :] != q_ids[rows, None]
-        bound = levels[0][0][rows] @ levels[0][1].T
-        bound[~alive] = -np.inf
-        least = np.full(len(bound), -np.inf)
-        if alive.shape[1] > k + 1:  # exact scores of the most promising candidates give the score to reach
-            seeds = np.argpartition(-(levels[-1][0][rows] @ levels[-1][1].T), k, axis=1)[:, : k + 1]
-            for j, near in enumerate(seeds):
-                near = near[alive[j, near]]
-                if len(near) >= k:
-                    least[j] = np.partition(exact(at + j, near).astype(float), len(near) - k)[len(near) - k]
+    levels = [[_statistics(v, s) for v in turned] for s in LEVELS]
+    # likely candidates of a query lie on its side of the first axes
+    sides = [_side(v) for v in turned]
+    q_order, x_order = (np.argsort(side, kind="stable") for side in sides)
+    spread = x_order[:: max(1, 2 * len(x_order) // SEEDS)]
+    survivors = [0] * len(levels)
+    places: tuple[list, list, list] = ([], [], [])
+    step = max(1, PAIRS // len(x))
+    for at in range(0, len(q), step):
+        rows = q_order[at : at + step]
+        middle = np.searchsorted(sides[1][x_order], sides[0][rows[len(rows) // 2]])
+        seeds = np.union1d(x_order[max(0, middle - SEEDS // 4) : middle + SEEDS // 4], spread)
+        least = np.full(len(rows), -np.inf)
+        if len(seeds) >= k:
+            first = np.where(q_ids[rows, None] != x_ids[seeds], qf[rows] @ xf[seeds].T, -np.inf)
+            least = np.partition(first, len(seeds) - k, axis=1)[:, len(seeds) - k]
         reach = (least - slack[rows])[:, None]
-        alive &= bound >= reach
-        for a, b in levels[1:]:
-            alive &= a[rows] @ b.T >= reach
-        for j in range(len(alive)):
-            left = np.flatnonzero(alive[j])
-            scores = exact(at + j, left)
-            order = np.lexsort((x_ids[left], -scores))[:k] if not big else sorted(range(len(left)), key=lambda i: (-scores[i], x_ids[left[i]]))[:k]
-            out[0].extend([int(q_ids[at + j])] * len(order))
-            out[1].extend(x_ids[left[order]].tolist())
-            out[2].extend(int(scores[i]) for i in order)
-    return out
-
-
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        columns, alive = np.arange(len(x)), q_ids[rows, None] != x_ids
+        for i, (a, b) in enumerate(levels):
+            alive &= a[rows] @ b[columns].T >= reach
+            left = alive.any(axis=0)
+            columns, alive = columns[left], alive[:, left]
+            survivors[i] += int(alive.sum())
+        if not len(columns):
+            continue
+        if exact:
+            scores = np.where(alive, qf[rows] @ xf[columns].T, -np.inf)
+        else:
+            scores = np.where(alive, q[rows].astype(object) @ x[columns].astype(object).T, -np.inf)
+        many = min(k, len(columns))
+        ranked = np.partition(scores, len(columns) - many, axis=1) if exact else np.sort(scores, axis=1)
+        least = ranked[:, len(columns) - many]
+        j, i = np.nonzero(alive & (scores >= least[:, None]))
+        order = np.lexsort((x_ids[columns[i]], np.unique(-scores[j, i], return_inverse=True)[1], j))
+        j, i = j[order], i[order]
+        taken = np.arange(len(j)) - np.searchsorted(j, j) < k
+        places[0].append(rows[j[taken]])
+        places[1].append(columns[i[taken]])
+        places[2].extend(map(int, scores[j[taken], i[taken]]))
+    whole = [np.concatenate(p) if p else np.zeros(0, int) for p in places[:2]]
+    return whole[0], whole[1], places[2], survivors
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
     vectors = table.column("_v").combine_chunks()
-    return table.column("_id").to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
 def segment_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank from 1, vec_id, score: the k largest inner products of whole-number vectors for each query."""
+    spark = vectors.sparkSession
     ready = vectors.select(F.col(id_col).cast("long").alias("_id"), quantized(F.col(vector_col)).alias("_v"), is_query.alias("_q")).where("_id IS NOT NULL AND _v IS NOT NULL")
+    ready = ready.withColumn("_key", F.xxhash64("_id", "_v")).withColumn("_d", F.size("_v"))
     n, nq = ready.agg(F.count("*"), F.count(F.when(F.col("_q"), 1))).first()
-    n_groups, n_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
-    dealt = lambda many: F.pmod(F.xxhash64("_id"), F.lit(many)).cast("int")
+    tasks = min(spark.sparkContext.defaultParallelism, -(-n // 4096))  # a small table still gives every core a group
+    n_groups, n_blocks = max(1, tasks, -(-n // CANDIDATE_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
+
+    share = F.lit(min(1 << 31, (SAMPLE << 31) // max(1, n)))
+    sampled = ready.where((F.col("_d") <= TURNED) & (F.col("_key").bitwiseAND(F.lit((1 << 31) - 1)) < share)).dropDuplicates(["_key"])
+    sample = sampled.limit(2 * SAMPLE).select("_v").toArrow().column("_v").to_pylist()
+    axes = {d: principal_axes(np.array([v for v in sample if len(v) == d])) for d in set(map(len, sample))}
+    sent = spark.sparkContext.broadcast(axes)  # no more numbers than the sample has, times TURNED / SAMPLE
+
+    dealt = lambda many: F.pmod("_key", F.lit(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    length = F.size("_v").alias("_d")
-    queries = ready.where("_q").select("_id", "_v", length, dealt(n_blocks).alias("_block"), every(n_groups).alias("_group"))
-    candidates = ready.select("_id", "_v", length, every(n_blocks).alias("_block"), dealt(n_groups).alias("_group"))
+    queries = ready.where("_q").dropDuplicates(["_id", "_v"]).select("_id", "_key", "_v", "_d", dealt(n_blocks).alias("_block"), every(n_groups).alias("_group"))
+    candidates = ready.select("_id", "_v", "_d", every(n_blocks).alias("_block"), dealt(n_groups).alias("_group"))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: tuple[list, list, list] = ([], [], [])
+        found = ([], [], [], [])
         if left.num_rows and right.num_rows:
-            found = _best(*_matrix(left), *_matrix(right), k)
-        return pa.table({name: pa.array(v, pa.int64()) for name, v in zip(("query_id", "vec_id", "score"), found, strict=True)})
+            q, x = _matrix(left), _matrix(right)
+            q_ids, x_ids = left.column("_id").to_numpy(), right.column("_id").to_numpy()
+            j, i, scores, _ = best_of(q, q_ids, x, x_ids, k, sent.value.get(q.shape[1]))
+            found = (q_ids[j], left.column("_key").to_numpy()[j], x_ids[i], scores)
+        return pa.table({name: pa.array(v, pa.int64()) for name, v in zip(("query_id", "_key", "vec_id", "score"), found, strict=True)})
 
     keys = ("_block", "_group", "_d")
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(pair, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(pair, "query_id long, _key long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
