@@ -17,7 +17,10 @@ from .topk import segment_topk
 from .urls import UrlRule, judge_urls
 from .weaklabel import weak_quality
 
-URL_RULES = (UrlRule("block", "com", "/en/"), UrlRule("allow", "example.com", "/en/7"), UrlRule("allow", "net", "/de/"), UrlRule("block", "example.net", "/de/8"), UrlRule("block", "org", "/es/"))
+URL_RULES = (
+    UrlRule("block", "com", "/en/"), UrlRule("allow", "example.com", "/en/7"), UrlRule("allow", "net", "/de/"), UrlRule("block", "example.net", "/de/8"),
+    UrlRule("block", "org", "/es/"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +84,11 @@ def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_quality, op2_rule_ledger, op3_setsketch_dedup, op4_systematic_mix, op5_script_viterbi, op6_ppm_score, op7_nnls_pack, op8_token_count, op9_url_trie, op10_segment_topk)}
+_TEN = (
+    op1_weak_quality, op2_rule_ledger, op3_setsketch_dedup, op4_systematic_mix, op5_script_viterbi, op6_ppm_score, op7_nnls_pack, op8_token_count, op9_url_trie,
+    op10_segment_topk,
+)
+QUERIES = {f.__name__: f for f in _TEN}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -97,8 +104,8 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x
  coalesce(covered.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower
  FROM d LEFT JOIN covered USING (r) LEFT JOIN dup USING (r)),
 b AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (2 * n_dup_lines > n_lines)::INT
- + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))::INT + 32 * (n_upper > n_lower)::INT)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+ + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))::INT + 32 * (n_upper > n_lower)::INT + 64 * (n_words = 0)::INT)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, fail_bits FROM b
 """
 
 OP4 = rf"""
@@ -120,7 +127,7 @@ _RULES = "(VALUES " + ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r
 OP9 = rf"""
 WITH p AS (SELECT row_number() OVER () AS n, page_id, translate(coalesce(regexp_extract(url, '^(?s:.)*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
  coalesce(regexp_extract(url, '^(?s:.)*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-hit AS (SELECT n, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(r.verdict, length(rhost || rpath)) AS verdict
+hit AS (SELECT n, arg_max(rhost || rpath, length(rhost || rpath) * 1000 + length(rhost)) AS rule, arg_max(r.verdict, length(rhost || rpath) * 1000 + length(rhost)) AS verdict
  FROM p JOIN {_RULES} ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY n)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN hit USING (n)
 """
@@ -128,8 +135,9 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 OP10 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS query_id, q.e, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20
 """
 
 OP3 = rf"""

@@ -1,11 +1,13 @@
 """URL filter: a trie over reversed host labels and path segments, sent to every task, longest match first.
 
 Rules are few and their number is checked before they are sent (`MAX_RULES`); pages are never shuffled.
-A rule covers its host and all subdomains where the url's path starts with the rule's path. Of the rules that fit,
-the one with the most host labels wins, then the one with the longest path; a block entry wins over an equal allow entry.
+A rule covers its host and all subdomains where the url's path starts with the rule's path. Of the rules that fit, the
+longest wins, host and path taken together; of equally long ones the one with the longer host, and a block entry over an
+allow entry for the same host and path.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and fits only a rule with an empty host;
-repeated pages give repeated rows; an empty table gives an empty one.
+urls of any length are judged whole; repeated pages give repeated rows; an empty table gives an empty one; columns other
+than the id and the url are not read.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What is sent to each task is at most so many entries.
-MAX_RULES = 1_000_000
+#: What is sent to each task is at most so many entries with so many characters in all.
+MAX_RULES, MAX_CHARACTERS = 1_000_000, 50_000_000
 
 HOST = r"^[\s\S]*?://([^/?#]*)"
 PATH = r"^[\s\S]*?://[^/?#]*([^?#]*)"
@@ -48,6 +50,8 @@ class HostPathTrie:
     def __init__(self, rules: Sequence[UrlRule]):
         if len(rules) > MAX_RULES:
             raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are sent to the tasks")
+        if (characters := sum(len(r.host) + len(r.path) for r in rules)) > MAX_CHARACTERS:
+            raise ValueError(f"rules of {characters} characters; at most {MAX_CHARACTERS} are sent to the tasks")
         self.root: dict = {}
         for rule in rules:
             node = self.root
@@ -81,8 +85,9 @@ class HostPathTrie:
         for label in reversed(host.split(".")):
             if (node := node.get("labels", {}).get(label)) is None:
                 break
-            if "paths" in node:
-                best = self._by_path(node["paths"], segments) or best
+            found = self._by_path(node["paths"], segments) if "paths" in node else None
+            if found and (best is None or len(found[0]) >= len(best[0])):  # at a deeper node, so with a longer host
+                best = found
         return best
 
 
