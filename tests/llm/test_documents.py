@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 import struct
@@ -16,10 +17,15 @@ from .conftest import prose
 JSON = queries.vocabulary("byte_bpe_50k.json")
 
 
-def library_ids(text, path=JSON):
+@functools.cache
+def library(path):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
+
+
+def library_ids(text, path=JSON):
+    return library(path).encode(text or "", add_special_tokens=False).ids
 
 
 # rules
@@ -76,6 +82,45 @@ def test_rows_without_an_id(awkward):
     assert setsketch.deduplicated(awkward).where("doc_id IS NULL").count() == 2
 
 
+def test_rows_without_an_id_link_others(spark):
+    w = prose(61, 84).split()
+    left, right = ["z1", "z2", "z3", *w[3:]], [*w[:-3], "y1", "y2", "y3"]
+    texts = [" ".join(x) for x in (left, w, right)]
+    sets = [brute.shingles(t) for t in texts]
+    share = lambda a, b: len(a & b) / len(a | b)
+    assert share(sets[0], sets[1]) >= 0.75 <= share(sets[1], sets[2]) and share(sets[0], sets[2]) < 0.9
+    far = [" ".join(["q1", "q2", "q3", "q4", "q5", "q6", *w[6:]]), " ".join(w), " ".join([*w[:-6], "p1", "p2", "p3", "p4", "p5", "p6"])]
+    assert share(*(brute.shingles(far[i]) for i in (0, 2))) < 0.75
+    docs = spark.createDataFrame([(1, far[0], "a"), (None, far[1], "b"), (None, far[1], "c"), (3, far[2], "d")], "doc_id long, text string, _row string")
+    got = Counter((r.doc_id, r.component_id) for r in setsketch.near_duplicates(docs).collect())
+    assert got == Counter({(1, 1): 1, (3, 1): 1, (None, None): 2})
+    kept = setsketch.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+
+
+def test_busy_keys(spark, monkeypatch):
+    """The same components where buckets, hubs, roots and classes are joined by sending the other side."""
+    from foliant.llm import shared
+
+    monkeypatch.setattr(shared, "SHARES", 3)
+    rnd, base, rows = random.Random(19), prose(78, 100).split(), []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rnd.randrange(7)):
+            w[rnd.randrange(len(w))] = f"z{rnd.randrange(9999)}"
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w)), (3 * i + 2, " ".join(base))]
+    rows += [(1000 + i, None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs).collect()} == brute.components(rows)
+    assert sorted(r.doc_id for r in setsketch.deduplicated(docs).collect()) == sorted({c for c in brute.components(rows).values()})
+
+
+def test_many_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, prose(i % 50 + 900, 40)) for i in range(400)], "doc_id long, text string")
+    assert setsketch.deduplicated(docs).count() == 50
+    assert mixing.mixed_documents(docs.withColumn("source", F.lit("s"))).count() == 600
+
+
 def test_large_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(setsketch, "SMALL", 4)
     monkeypatch.setattr(setsketch, "MEMBERS", 8)
@@ -143,9 +188,42 @@ def test_mix(spark, awkward, awkward_rows, sf):
         assert copies == Counter({i: n for i, n in sum((Counter({r.doc_id: r.copies}) for r in got), Counter()).items() if n})
 
 
+def test_mixed_rows_are_their_own(spark, monkeypatch):
+    """Rows that share an id, or have none, are copied as often as each of them is drawn; reruns agree."""
+    monkeypatch.setattr(mixing, "COPIES", 3)
+    rows = [(i % 3 or None, prose(i, 5 + i % 7), "ab"[i % 2], i % 5) for i in range(60)] + [(None, "the same", "a", 1)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got = [Counter(map(tuple, mixing.mixed_documents(d).collect())) for d in (docs, docs.repartition(7))]
+    assert got[0] == got[1] and set(got[0]) <= set(rows)
+    size = lambda counts: Counter({(i, s, n): m for (i, t, s, n), m in counts.items()})
+    drawn = Counter()
+    for r in mixing.mix(docs).collect():
+        drawn[r.doc_id, r.source, r.size] += r.copies
+    by_size = Counter()
+    for (i, text, source, _), m in got[0].items():
+        by_size[i, source, len(brute.words(text))] += m
+    assert by_size == +drawn and size(got[0])
+
+
 # language identification
 
 
+def test_against_plain_predictions(spark, awkward, awkward_rows):
+    want = brute.languages([(r[1], r[2]) for r in awkward_rows])
+    got = langid.identify(awkward, langid.train(awkward)).collect()
+    by_row = sorted(((r[0] is None, r[0] or 0, *w) for r, w in zip(awkward_rows, want, strict=True)), key=str)
+    for g, w in zip(sorted(((r.doc_id is None, r.doc_id or 0, r.lang_pred, r.score) for r in got), key=str), by_row, strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], abs=1e-9)
+
+
+def test_languages_of_long_texts_in_parts(spark, awkward, awkward_rows, monkeypatch):
+    whole = sorted(map(str, langid.identify(awkward, langid.train(awkward)).collect()))
+    spans = sorted(map(str, langid.language_spans(awkward, langid.train(awkward)).collect()))
+    monkeypatch.setattr(langid, "BLOCK", 300)
+    assert sorted(map(str, langid.identify(awkward, langid.train(awkward)).collect())) == whole
+    assert sorted(map(str, langid.language_spans(awkward, langid.train(awkward)).collect())) == spans
+
+
 def test_languages(spark, sf):
     docs = queries.table(spark, sf, "documents")
     got = {r.doc_id: r for r in queries.op5_script_viterbi(spark, sf).collect()}
@@ -185,19 +263,29 @@ def test_best_path_is_the_best():
 
 @pytest.mark.parametrize("small", [False, True])
 def test_ppm(spark, awkward, awkward_rows, monkeypatch, small):
-    if small:  # so that words and strings are joined, too
-        monkeypatch.setattr(ppm, "HEAD", 300)
-        monkeypatch.setattr(ppm, "HEAD_WORDS", 10)
-    rows = [(r[0], r[1]) for r in awkward_rows if r[0] not in (None, 11)]
-    want = brute.ppm_scores(list(dict(rows).items()), lambda i: brute.remainder(i, 7) == 2)
-    docs = awkward.where("doc_id <> 11").dropDuplicates(["doc_id"])
-    model = ppm.train(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-    got = ppm.score(docs, model).collect()
-    assert len(got) == len(want)
-    for r in got:
-        n, known, total, base, score = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, model.tokens) == (n, known, total)
-        assert r.base_score == pytest.approx(base, rel=1e-6) and r.score == pytest.approx(score, rel=1e-4)
+    if small:  # so that words and strings are joined, too, and texts are worked on in stretches
+        for name, value in (("HEAD", 300), ("HEAD_WORDS", 10), ("BLOCK", 700), ("HELD", 500), ("HELD_WORDS", 20)):
+            monkeypatch.setattr(ppm, name, value)
+    held_out = lambda i: brute.remainder(i, 7) == 2
+    want = brute.ppm_scores([(r[0], r[1]) for r in awkward_rows], held_out)
+    model = ppm.train(awkward, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2)
+    got = ppm.score(awkward, model).collect()
+    assert model.tokens == want[0][2]
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    plain = sorted(((r[0], n, known, score, base) for r, (n, known, _, base, score) in zip(awkward_rows, want, strict=True)), key=key)
+    for g, w in zip(sorted(((r.doc_id, r.n_tokens, r.n_known, r.score, r.base_score) for r in got), key=key), plain, strict=True):
+        assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-9)
+
+
+def test_ppm_on_other_documents(spark, awkward, awkward_rows):
+    """A trained model scores texts that it has never met."""
+    new = [(100, "unheard of wörds 123"), (101, prose(2, 30)), (102, "")]
+    rows = [(r[0], r[1]) for r in awkward_rows if r[0] is not None]
+    want = brute.ppm_scores(rows + new, lambda i: i >= 100)[-3:]
+    model = ppm.train(awkward.where("doc_id IS NOT NULL"), F.lit(True))
+    got = sorted(map(tuple, ppm.score(spark.createDataFrame(new, "doc_id long, text string"), model).collect()))
+    for g, (n, known, _, base, score) in zip(got, want, strict=True):
+        assert g[1:3] == (n, known) and g[3:] == pytest.approx((base, score), rel=1e-9)
 
 
 def test_ppm_without_training(awkward):
@@ -209,8 +297,8 @@ def test_ppm_without_training(awkward):
 # packing
 
 
-def check_packing(got, docs):
-    """docs: list of (id, text); every id exactly once, no gap in a sequence. Gives the padding's share."""
+def check_packing(got, docs, gaps=False):
+    """docs: list of (id, text); every id exactly once, no gap in a sequence (unless rows were left out). Gives the padding's share."""
     ids = {i: library_ids(t) + [0] for i, t in docs}
     sequences, held = defaultdict(list), defaultdict(list)
     for r in got:
@@ -228,8 +316,8 @@ def check_packing(got, docs):
     for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
-            assert offset == at
-            at += length
+            assert offset == at or gaps and offset > at
+            at = offset + length
         assert at <= 1024
         padding += 0 if at & (at - 1) == 0 else 1024 - at
         total += at
@@ -289,6 +377,24 @@ def test_token_counts_in_chunks(awkward, awkward_rows):
     assert Counter(map(tuple, tokens.count_tokens(awkward, JSON, limit=90, chunk=60, overlap=26).collect())) == want
 
 
+def test_merges_by_rank():
+    assert tokens.encoder(JSON).merges_by_rank() and not tokens.encoder(queries.vocabulary("word_bpe_49k.json")).merges_by_rank()
+
+
+@pytest.mark.parametrize("by_rank", [False, True])
+def test_ids_of_random_texts(monkeypatch, by_rank):
+    rnd = random.Random(8)
+    letters = [*map(chr, range(0x20, 0x250)), *"\n\t \r\x85\xa0\x1c'’“—日本テ🙂ɐёЖ٣१", *" " * 60, *["'s", "'ll", "<|endoftext|>"] * 3]
+    enc = tokens.encoder(JSON, by_rank)
+    texts = ["".join(rnd.choices(letters, k=rnd.randrange(60))) for _ in range(800)] + [prose(5, 400), "x" * 3000, " " * 3000]
+    for _ in range(2):
+        for text in texts:
+            ids = enc.ids(text)
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library_ids(text) and enc.boundaries(text)[-1] == (len(text), len(ids) // 4)
+        monkeypatch.setattr(tokens, "AT_ONCE", 40)  # the second time in slices
+        monkeypatch.setattr(tokens, "REMEMBERED", 50)
+
+
 @pytest.mark.parametrize("text", ["it's we'll they'RE 12³ x\u00a0 y", "日本語 テスト\u3000ok 🙂🙂", "a\x1cb \x85 c\n\n\n  d", "<|endoftext|><|endof", " lead", "tail \n", "é" * 50])
 def test_ids_are_the_library_s(text):
     ids = tokens.encoder(JSON).ids(text)
@@ -305,6 +411,17 @@ def test_weak_labels(spark, sf, awkward):
     assert len(weaklabel.weak_quality(awkward).collect()) == awkward.count()
 
 
+def test_weak_labels_against_a_plain_version(spark, awkward, awkward_rows):
+    want = brute.weak_quality([(r[0], r[1]) for r in awkward_rows], weaklabel)
+    got = weaklabel.weak_quality(awkward).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    plain = sorted(((r[0], *w) for r, w in zip(awkward_rows, want, strict=True)), key=key)
+    for g, w in zip(sorted(((r.doc_id, r.n_votes, r.posterior, r.score) for r in got), key=key), plain, strict=True):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-5)
+    again = weaklabel.weak_quality(awkward.repartition(5), fit_rows=7)
+    assert sorted(map(str, again.select("doc_id", "n_votes", "kept").collect())) == sorted(map(str, weaklabel.weak_quality(awkward, fit_rows=7).select("doc_id", "n_votes", "kept").collect()))
+
+
 def test_labellers_accuracies_are_found():
     rnd = np.random.default_rng(4)
     good = rnd.random(20000) < 0.7

@@ -22,6 +22,51 @@ def test_urls(spark):
     assert urls.judge_urls(df, URL_RULES).count() == 12 and urls.judge_urls(df.where("false"), URL_RULES).count() == 0
 
 
+def test_longest_rule_wins(spark):
+    rules = [urls.UrlRule(*r) for r in (("block", "com", "/a/very/long/path"), ("allow", "x.com", "/a"), ("block", "b.y.net", "/c"), ("allow", "y.net", "/c/d"), ("allow", "z.org", ""), ("block", "z.org", ""))]
+    rows = [(1, "http://x.com/a/very/long/path/1"), (2, "http://x.com/a/very"), (3, "http://b.y.net/c/d"), (4, "http://z.org/"), (5, "http://y.net/c/" + "d/" * 5000)]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got == {1: ("com/a/very/long/path", "block"), 2: ("x.com/a", "allow"), 3: ("b.y.net/c", "block"), 4: ("z.org", "block"), 5: ("y.net/c/d", "allow")}
+
+
+def plain_topk(rows, k=20):
+    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    queries = [r for n, r in enumerate(ok) if r[0] % 20 == 0 and r not in ok[:n]]
+    want = []
+    for q, vector in queries:
+        best = sorted((-sum(a * b for a, b in zip(vector, v, strict=True)), i) for i, v in ok if i != q and len(v) == len(vector))[:k]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+def test_repeated_rows_and_large_numbers(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i, [rnd.uniform(-1, 1) * (1e8 if i % 2 else 1) for _ in range(3)]) for i in range(60)]
+    rows += [rows[20], rows[20], rows[7], (20, [0.5, 0.25, -1.0]), (None, [1.0, 1.0, 1.0]), (2000, [1.5] * 600), (2001, [0.5] * 600)]
+    got = topk.segment_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    assert sorted(map(tuple, got.collect())) == plain_topk(rows)
+
+
+def test_levels_leave_few_where_few_directions_matter():
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    centres = rnd.normal(size=(40, 64)) * (rnd.permutation(64) < 6) * 60  # what tells vectors apart is six directions, turned at random
+    turn = np.linalg.qr(rnd.normal(size=(64, 64)))[0]
+    x = np.floor((centres[rnd.integers(0, 40, 6000)] + rnd.normal(size=(6000, 64)) * 2) @ turn * 4).astype(np.int64)
+    q, ids = x[::30], np.arange(6000)
+    axes = topk.principal_axes(x[:500])
+    j, i, scores, left = topk.best_of(q, ids[::30], x, ids, 20, axes)
+    pairs = len(q) * (len(x) - 1)
+    assert left[0] >= left[1] >= left[2] and left[1] < 0.6 * pairs and left[2] < 0.15 * pairs
+    whole = q @ x.T
+    for n in range(len(q)):
+        best = sorted((-s, k) for k, s in enumerate(whole[n].tolist()) if k != 30 * n)[:20]
+        assert sorted((-s, k) for a, k, s in zip(j, i, scores, strict=True) if a == n) == best
+
+
 def test_topk_against_all_pairs(spark):
     import random
 
