@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import busy_keys, id_and_text, matched, row_key, settle, texts_of
+from .shared import busy_keys, id_and_text, matched, row_key, settle, slices, texts_of
 
 SHINGLE, BANDS, ROWS = 5, 36, 4
 REGISTERS = BANDS * ROWS
@@ -132,7 +132,7 @@ def _sketched(size: int):
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             n, f1, f2, regs = [], [], [], []
             held: list[np.ndarray] = []
             waiting = 0
@@ -169,7 +169,7 @@ def _sketched(size: int):
 def _full_sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for batch in (whole.slice(i, SETS) for whole in batches for i in range(0, whole.num_rows, SETS)):
+        for batch in slices(batches, SETS):
             found = [shingle_hashes(t, size, known) for t in texts_of(batch.column(0))]
             prints = [[_mixed(s, salt).sum().astype(np.uint64).view(np.int64).item() if len(s) else 0 for s in found] for salt in (1, 2)]
             numbers = [pa.array(values, pa.int64()) for values in ([len(s) for s in found], *prints)]

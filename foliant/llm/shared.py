@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +33,15 @@ def settle(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch that a task works on at a time; batches have up to 10,000.
+ROWS = 4096
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a task holds Python objects of few rows at once."""
+    return (batch.slice(i, rows) for batch in batches for i in range(0, batch.num_rows, rows))
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column as UTF-8 bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -89,7 +98,7 @@ def annotated(docs: DataFrame, text_col: str, added: list[T.StructField], work:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             new = work(texts_of(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *(f.name for f in added)])
 
