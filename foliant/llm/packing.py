@@ -13,8 +13,10 @@
 Pieces find their slots by rank inside their bin. Ranks come from counts per (bin, hash bucket) and a row number inside
 each such cell, so no bin, however common, meets in one task; the plan sent to the tasks has at most a few thousand rows.
 
-Defined cases: a null text is an empty document, whose only id is the separator; repeated rows are packed each; an empty
-table gives no pieces.
+Defined cases: a null text is an empty document, whose only id is the separator; repeated rows are packed each, with an id
+or without one; pieces of one length (ties) are placed by hash, id and start, and equal rows are interchangeable; a text
+of any length is encoded in parts, but its ids are held by one task while it is cut; an empty table gives no pieces;
+columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -163,7 +165,9 @@ def _recut(path: str, by_rank: bool, separator: int):
     return recut
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, separator: int = 0, grain: int = GRAIN, min_fill: float = MIN_FILL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, window: int = WINDOW, separator: int = 0, grain: int = GRAIN, min_fill: float = MIN_FILL, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     if window % grain:
         raise ValueError("grain must divide window")

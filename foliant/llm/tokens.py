@@ -12,8 +12,12 @@ Where no boundary is common, the document is encoded again with an overlap four
 chunk holds it all. Chunks are dealt over the cluster, so a huge document is never one task's work unless it has no
 boundary at all.
 
+Other tokenizers than byte-level BPE have no boundary that is proven stable; theirs encode every text whole.
+
 Defined cases: a null text is an empty one and has 0 tokens; special strings inside texts are what the library makes of
-them by default; repeated rows give repeated results; an empty table gives an empty one.
+them by default; repeated rows give repeated results, with an id or without one, and a repeated huge document is encoded
+once; no result depends on an order, so there are no ties; an empty table gives an empty one; columns other than the id
+and the text are not read.
 """
 
 from __future__ import annotations
@@ -95,10 +99,9 @@ class Encoder:
         self.whole = lambda text: self.pack(self.library.encode(text, add_special_tokens=False).ids)
         about = json.loads(self.library.to_str())
         pre, model = about["pre_tokenizer"] or {}, about["model"]
-        self.by_part = (
-            not about["normalizer"] and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
-            and model["type"] == "BPE" and not model["dropout"] and all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and len(t["content"]) + 4 <= MARGIN for t in about["added_tokens"])
-        )
+        byte_level = pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
+        plain_specials = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and len(t["content"]) + 4 <= MARGIN for t in about["added_tokens"])
+        self.by_part = not about["normalizer"] and byte_level and model["type"] == "BPE" and not model["dropout"] and plain_specials
         if not self.by_part:
             return
         self.specials = {t["content"]: self.pack([t["id"]]) for t in about["added_tokens"]}
@@ -201,7 +204,8 @@ def _cut(chunk: int, overlap: int):
                     index = pa.array([0] * len(some))
                     pieces = [text[s : s + chunk + overlap] for s in some]
                     pieces = [text[s:] if s == starts[-1] else p for s, p in zip(some, pieces, strict=True)]
-                    yield pa.RecordBatch.from_arrays([one.column(0).take(index), one.column(1).take(index), pa.array(range(at, at + len(some)), pa.int64()), pa.array([len(starts)] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(pieces, pa.string())], names)
+                    numbers = [pa.array(values, pa.int64()) for values in (range(at, at + len(some)), [len(starts)] * len(some), some)]
+                    yield pa.RecordBatch.from_arrays([one.column(0).take(index), one.column(1).take(index), *numbers, pa.array(pieces, pa.string())], names)
 
     return cut
 
@@ -221,18 +225,18 @@ def _encode_chunks(path: str, by_rank: bool, chunk: int, overlap: int):
                 totals.append(marks[-1][1])
                 heads.append([{"p": start + p, "n": n} for p, n in marks if p < overlap])
                 tails.append([{"p": start + p, "n": n} for p, n in marks if chunk <= p <= len(piece) - MARGIN])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(totals, pa.int64()), pa.array(heads, kind), pa.array(tails, kind)], ["_id", "_hash", "_k", "_chunks", "_total", "_head", "_tail"])
+            found = [pa.array(totals, pa.int64()), pa.array(heads, kind), pa.array(tails, kind)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *found], ["_id", "_hash", "_k", "_chunks", "_total", "_head", "_tail"])
 
     return encode
 
 
 def _spliced(huge: DataFrame, path: str, by_rank: bool, chunk: int, overlap: int) -> DataFrame:
-    """_id, _hash, _times (equal rows), _tokens (null where a pair of chunks has no common stable boundary)."""
+    """_id, _hash, _tokens (null where a pair of chunks has no common stable boundary) of documents that occur once each."""
     fields = dict(huge.dtypes)
-    cut = huge.mapInArrow(_cut(chunk, overlap), f"_id {fields['_id']}, _hash long, _k long, _chunks long, _start long, _piece string")
+    cut = huge.select("_id", "_hash", "_text").mapInArrow(_cut(chunk, overlap), f"_id {fields['_id']}, _hash long, _k long, _chunks long, _start long, _piece string")
     schema = T.StructType([*cut.schema.fields[:4], T.StructField("_total", T.LongType()), T.StructField("_head", _MARKS), T.StructField("_tail", _MARKS)])
-    marks = cut.repartition("_id", "_hash", "_k").mapInArrow(_encode_chunks(path, by_rank, chunk, overlap), schema)
-    chunks = marks.groupBy("_id", "_hash", "_k").agg(F.count("*").alias("_times"), *(F.first(c).alias(c) for c in ("_chunks", "_total", "_head", "_tail")))
+    chunks = cut.repartition("_id", "_hash", "_k").mapInArrow(_encode_chunks(path, by_rank, chunk, overlap), schema)
     order = Window.partitionBy("_id", "_hash").orderBy("_k")
     places = lambda c: F.transform(c, lambda m: m["p"])
     chunks = chunks.withColumn("_next", F.lead("_head").over(order))
@@ -241,7 +245,7 @@ def _spliced(huge: DataFrame, path: str, by_rank: bool, chunk: int, overlap: int
     until = F.when(F.col("_next").isNull(), F.col("_total")).otherwise(count_at(F.col("_tail"), F.col("_at")))
     since = F.when(F.col("_k") == 0, F.lit(0)).otherwise(count_at(F.col("_head"), F.col("_in")))
     counted = chunks.withColumn("_in", F.lag("_at").over(order)).withColumn("_n", until - since)
-    return counted.groupBy("_id", "_hash").agg(F.max("_times").alias("_times"), F.when(F.count("_n") == F.count("*"), F.sum("_n")).alias("_tokens"))
+    return counted.groupBy("_id", "_hash").agg(F.when(F.count("_n") == F.count("*"), F.sum("_n")).alias("_tokens"))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,17 +267,17 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CH
     if not encoder(path).by_part:
         return as_counts(with_bytes).withColumnRenamed("_id", id_col)
     out = as_counts(with_bytes.where(F.length("_text") <= limit))
-    huge = source.where(F.length("_text") > limit).select("_id", F.xxhash64("_text").alias("_hash"), "_text")
+    huge = source.where(F.length("_text") > limit).groupBy("_id", F.xxhash64("_text").alias("_hash"))
+    huge = settle(huge.agg(F.first("_text").alias("_text"), F.count("*").alias("_times")).withColumn("n_bytes", F.octet_length("_text").cast("long")))
     left = huge
+    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_hash"] == b["_hash"])
     while True:
         done = settle(_spliced(left, path, by_rank, chunk, overlap))
-        failed = done.where("_tokens IS NULL")
-        whole_bytes = huge.select("_id", "_hash", F.octet_length("_text").cast("long").alias("n_bytes")).distinct()
-        good = done.where("_tokens IS NOT NULL").join(whole_bytes, (done["_id"].eqNullSafe(whole_bytes["_id"])) & (done["_hash"] == whole_bytes["_hash"]))
-        out = out.unionByName(good.select(done["_id"], "n_bytes", F.col("_tokens").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_t")).drop("_t"))
+        failed, good = done.where("_tokens IS NULL"), done.where("_tokens IS NOT NULL")
+        counts = huge.drop("_text").join(good, same(huge, good)).select(huge["_id"], "n_bytes", F.col("_tokens").alias("n_tokens"), "_times")
+        out = out.unionByName(counts.withColumn("_t", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_t", "_times"))
         if failed.isEmpty():
             return out.withColumnRenamed("_id", id_col)
-        keys = failed.select(F.col("_id").alias("_fid"), F.col("_hash").alias("_fhash"))
-        left = huge.join(keys, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_hash") == F.col("_fhash")), "left_semi")
+        left = huge.join(failed, same(huge, failed), "left_semi")
         overlap *= 4
         chunk = max(chunk, 4 * overlap)
