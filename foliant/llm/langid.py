@@ -10,14 +10,16 @@ Training counts trigrams and scripts of all given rows; what reaches the driver
 counts, and the same bound holds for the model that is sent to the tasks.
 
 Defined cases: `und` with score 0 if the text is null or has no letter, or no language was learned; words in a script no
-language is known to use say nothing, and a text of such words alone gets the most trained language with score 0;
-repeated rows give repeated results; an empty table gives an empty one.
+language is known to use say nothing, and a text of such words alone gets the most trained language with score 0; ties
+go to the language that sorts first; repeated rows give repeated results; a text of any length is one path, whose bytes
+are scored in parts and of which only numbers per word are held; an empty table gives an empty one; `in_known_language`
+hands all columns on whatever they are called, the others read the id, the text and the language only.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,22 +28,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import annotated, id_and_text
+from .shared import annotated, id_and_text, slices
 
 BUCKETS, SWITCH, MAX_LANGUAGES = 1 << 17, 6.0, 64
 #: A language uses a script if so much of its letters are in it.
 USES = 0.005
-#: Bytes of text that are worked on at a time, about; a longer text is worked on alone.
+#: Characters of text whose bytes are worked on at a time, about.
 BLOCK = 2_000_000
 
 #: Script by lead byte: 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian and Hebrew, 5 Arabic and neighbours, 6 Indic to Georgian, 7 kana, 8 Han, 9 Hangul, 10 beyond.
 SCRIPTS = 11
 _SCRIPT = np.zeros(256, np.uint8)
-for _low, _high, _s in ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCB, 1), (0xCD, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD7, 4), (0xD8, 0xDF, 5), (0xE0, 0xE1, 6), (0xE3, 0xE3, 7), (0xE4, 0xE9, 8), (0xEA, 0xED, 9), (0xF0, 0xF4, 10)):
+for _low, _high, _s in (
+    (0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCB, 1), (0xCD, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD7, 4), (0xD8, 0xDF, 5), (0xE0, 0xE1, 6), (0xE3, 0xE3, 7),
+    (0xE4, 0xE9, 8), (0xEA, 0xED, 9), (0xF0, 0xF4, 10),
+):
     _SCRIPT[_low : _high + 1] = _s
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 _ANY = re.compile(r"[^\W\d_]")
+_BETWEEN = re.compile(r"[\x00-@\[-`{-\x7f]")
 
 
 @dataclass
@@ -77,9 +83,19 @@ class _Block:
         self.lengths = np.diff(np.append(self.starts, len(at)))
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+def _parts(text: str) -> Iterator[str]:
+    """The text in parts of about BLOCK characters, cut between words."""
+    start = 0
+    while len(text) - start > BLOCK and (cut := _BETWEEN.search(text, start + BLOCK)):
+        yield text[start : cut.end()]
+        start = cut.end()
+    yield text[start:]
+
+
+def _blocks(texts: Iterable[tuple[int, str | None]]) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbered texts in lists of about BLOCK characters; a longer text stands alone."""
     rows, held, size = [], [], 0
-    for i, text in enumerate(texts):
+    for i, text in texts:
         if text is None:
             continue
         if rows and size + len(text) > BLOCK:
@@ -103,9 +119,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(at) * width, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             labels = np.array([at[x] for x in batch.column(0).to_pylist()], np.int64)
-            for rows, texts in _blocks(batch.column(1).to_pylist()):
+            for rows, texts in _blocks((i, part) for i, text in enumerate(batch.column(1).to_pylist()) for part in _parts(text)):
                 block = _Block(texts)
                 of = np.repeat(labels[rows] * width, np.diff(block.doc_letters))
                 total += np.bincount(of + block.buckets, minlength=len(total))
@@ -153,19 +169,40 @@ def _best_path(scores: np.ndarray, first: np.ndarray, n: np.ndarray, switch: flo
     return labels
 
 
-def _labelled(texts: list[str], model: LanguageModel, switch: float) -> tuple[_Block, np.ndarray, np.ndarray]:
-    """The block, each word's language, and whether its script leaves any."""
-    block, n = _Block(texts), len(model.languages)
-    scores = np.zeros((len(block.starts), n))
-    known = np.zeros(len(block.starts), bool)
+@dataclass
+class _Words:
+    """Of some texts' words, end to end: language, letter bytes, whether the script leaves any language; and where each text's words begin."""
+
+    labels: np.ndarray
+    lengths: np.ndarray
+    known: np.ndarray
+    begins: np.ndarray
+
+
+def _word_scores(block: _Block, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    scores, known = np.zeros((len(block.starts), len(model.languages))), np.zeros(len(block.starts), bool)
     if len(block.starts):
-        for i in range(n):
+        for i in range(len(model.languages)):
             scores[:, i] = np.add.reduceat(model.logs[i][block.buckets], block.starts)
         allowed = model.uses[:, np.maximum.reduceat(block.scripts, block.starts)].T
         known = allowed.any(axis=1)
         scores[known[:, None] & ~allowed] = -1e9
         scores[~known] = 0
-    return block, _best_path(scores, block.doc_words[:-1], np.diff(block.doc_words), switch), known
+    return scores, known
+
+
+def _labelled(texts: list[str], model: LanguageModel, switch: float) -> _Words:
+    scores, known, lengths, counts = [], [], [], np.zeros(len(texts), int)
+    for rows, parts in _blocks((i, part) for i, text in enumerate(texts) for part in _parts(text)):
+        block = _Block(parts)
+        found = _word_scores(block, model)
+        scores.append(found[0])
+        known.append(found[1])
+        lengths.append(block.lengths)
+        np.add.at(counts, rows, np.diff(block.doc_words))
+    begins = np.cumsum([0, *counts])
+    labels = _best_path(np.concatenate(scores), begins[:-1], counts, switch)
+    return _Words(labels, np.concatenate(lengths), np.concatenate(known), begins)
 
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
@@ -178,10 +215,10 @@ def _predictor(docs: DataFrame, model: LanguageModel, switch: float):
         model, whole = sent.value, [None if t is None else t.decode() for t in raw]
         n = len(model.languages)
         found, scores = ["und"] * len(whole), [0.0] * len(whole)
-        for rows, texts in _blocks(whole) if n else ():
-            block, labels, known = _labelled(texts, model, switch)
-            of = np.repeat(np.arange(len(texts)), np.diff(block.doc_words))
-            share = np.bincount(of * n + labels, weights=block.lengths * known, minlength=len(texts) * n).reshape(-1, n)
+        for rows, texts in _blocks(enumerate(whole)) if n else ():
+            words = _labelled(texts, model, switch)
+            of = np.repeat(np.arange(len(texts)), np.diff(words.begins))
+            share = np.bincount(of * n + words.labels, weights=words.lengths * words.known, minlength=len(texts) * n).reshape(-1, n)
             for i, (row, text) in enumerate(zip(rows, texts, strict=True)):
                 if _has_letter(text):
                     total = share[i].sum()
@@ -211,16 +248,18 @@ def language_spans(docs: DataFrame, model: LanguageModel, switch: float = SWITCH
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
-            for rows, texts in _blocks(batch.column(1).to_pylist()) if model.languages else ():
-                block, labels, _ = _labelled(texts, model, switch)
+        for batch in slices(batches):
+            for rows, texts in _blocks(enumerate(batch.column(1).to_pylist())) if model.languages else ():
+                words = _labelled(texts, model, switch)
                 out: list[list] = [[], [], [], [], []]
                 for i, row in enumerate(rows):
-                    own = labels[block.doc_words[i] : block.doc_words[i + 1]]
+                    own = words.labels[words.begins[i] : words.begins[i + 1]]
                     cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else [0]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                         for column, value in zip(out, (row, k, model.languages[own[a]], a, b - a), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], ["_id", "span", "lang", "first_word", "n_words"])
+                columns = [pa.array(values, pa.string() if i == 1 else pa.int64()) for i, values in enumerate(out[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *columns], ["_id", "span", "lang", "first_word", "n_words"])
 
-    return source.mapInArrow(spans, f"_id {dict(source.dtypes)['_id']}, span long, lang string, first_word long, n_words long").withColumnRenamed("_id", id_col)
+    kind = dict(source.dtypes)["_id"]
+    return source.mapInArrow(spans, f"_id {kind}, span long, lang string, first_word long, n_words long").withColumnRenamed("_id", id_col)
