@@ -4,10 +4,12 @@ Overlapping heuristic labellers vote good (1), bad (0) or nothing (-1) on each d
 for a hidden class, each labeller's chances of its three votes, on the table of distinct vote patterns and their counts
 (at most 3^labellers rows, whatever the input). The posterior of each pattern then labels documents for a logistic scorer
 over hashed features: words, word shapes and a few whole-text features. The scorer is fitted on at most FIT_ROWS
-documents, taken by a hash of their id, and scores every document.
+documents, those with the smallest hashes of id and text, and scores every document.
 
 Defined cases: a null text is an empty one; it has no word features, and the labellers that measure it vote as on any
-other; repeated rows are scored each; with an empty table there is nothing to fit and no row.
+other; repeated rows count as often in the votes, once in the fit, and are scored each; rows without an id are like any
+other; ties of hashes go by the text; texts are read whole, whatever their length; with an empty table there is nothing
+to fit and no row; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rules import FIELDS, build_ledger, measures_of
-from .shared import annotated, id_and_text, settle, texts_of
+from .rules import FIELDS, measures_of
+from .shared import annotated, id_and_text, row_key, settle, slices, texts_of
 
 
 @dataclass(frozen=True)
@@ -94,7 +96,7 @@ def _text_buckets(words: list[bytes]) -> list[int]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         at, value = [], []
         for text in texts_of(batch.column(0)):
             words = (text or b"").split()
@@ -143,7 +145,9 @@ def weak_quality(docs: DataFrame, labellers: tuple[Labeller, ...] = LABELLERS, f
     spark = docs.sparkSession
     vote = lambda x: F.when(F.expr(f"({x.good}) AND NOT ({x.bad})"), 1).when(F.expr(f"({x.bad}) AND NOT ({x.good})"), 0).otherwise(-1)
     code = sum(((vote(x) + 1) * 3**i for i, x in enumerate(labellers)), F.lit(0))
-    votes = settle(build_ledger(docs, (), id_col, text_col).select(F.col(id_col).alias("_id"), code.cast("int").alias("_votes")))
+    source = id_and_text(docs, id_col, text_col).select("_id", row_key(F.col("_id"), F.col("_text")).alias("_row"), "_text")
+    measured, _ = annotated(source, "_text", FIELDS, measures_of)
+    votes = settle(measured.select(F.col("_c0").alias("_id"), F.col("_c1").alias("_row"), code.cast("int").alias("_votes")))
     counts = {r["_votes"]: r["n"] for r in votes.groupBy("_votes").agg(F.count("*").alias("n")).collect()}  # at most 3^labellers
     read = lambda c: tuple(c // 3**i % 3 - 1 for i in range(len(labellers)))
     table: list[tuple[int, int, float]] = []
@@ -153,10 +157,13 @@ def weak_quality(docs: DataFrame, labellers: tuple[Labeller, ...] = LABELLERS, f
         table = [(c, sum(v >= 0 for v in read(c)), float(g)) for c, g in zip(counts, good, strict=True)]
     judged = F.broadcast(spark.createDataFrame(table, "_pattern int, n_votes int, posterior double"))
 
-    chosen = votes.select("_id", "_votes").where("_id IS NOT NULL").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    labelled = chosen.join(judged, F.col("_votes") == F.col("_pattern")).select(F.col("_id").alias("_lid"), F.col("posterior").alias("good"))
-    texts = id_and_text(docs, id_col, text_col)
-    sample = texts.join(F.broadcast(labelled), texts["_id"] == labelled["_lid"]).select("_text", "good")  # at most fit_rows ids
+    # first about half as many again as are wanted, so that ordering them is small work at any size
+    share = F.lit(min(1 << 31, (3 * fit_rows << 30) // max(1, sum(counts.values()))))
+    likely = votes.where(F.xxhash64("_row").bitwiseAND(F.lit((1 << 31) - 1)) < share).select("_row", "_votes").distinct()
+    chosen = likely.orderBy(F.xxhash64("_row").bitwiseAND(F.lit((1 << 31) - 1)), "_row").limit(fit_rows)
+    labelled = chosen.join(judged, F.col("_votes") == F.col("_pattern")).select(F.col("_row").alias("_lrow"), F.col("posterior").alias("good"))
+    sample = source.join(F.broadcast(labelled), source["_row"] == labelled["_lrow"])  # at most fit_rows keys
+    sample = sample.groupBy("_row").agg(F.first("_text").alias("_text"), F.first("good").alias("good")).select("_text", "good")
     fitted = sample.mapInArrow(_features, "at array<int>, value array<float>, good double").toArrow()
     weights, bias = np.zeros(BUCKETS), 0.0
     if fitted.num_rows:
@@ -174,6 +181,10 @@ def weak_quality(docs: DataFrame, labellers: tuple[Labeller, ...] = LABELLERS, f
             out.append(1 / (1 + math.exp(-max(-50.0, min(50.0, margin)))))
         return [pa.array(out, pa.float64())]
 
-    ledger, _ = annotated(id_and_text(docs, id_col, text_col), "_text", [*FIELDS, T.StructField("score", T.DoubleType())], lambda raw: [*measures_of(raw), *scores(raw)])
-    voted = ledger.withColumn("_votes", code.cast("int")).join(judged, F.col("_votes") == F.col("_pattern"))
-    return voted.select(F.col("_c0").alias(id_col), "n_votes", "posterior", "score", (F.col("score") >= least).alias("kept"))
+    scored, _ = annotated(source, "_text", [T.StructField("_score", T.DoubleType())], scores)
+    scored = scored.select(F.col("_c0").alias("_id"), F.col("_c1").alias("_row"), F.lit(None).cast("int").alias("_votes"), "_score")
+    # votes and scores meet by row; rows with the same id and text have the same of both
+    both = votes.withColumn("_score", F.lit(None).cast("double")).unionByName(scored).groupBy("_id", "_row")
+    both = both.agg(F.max("_votes").alias("_votes"), F.max("_score").alias("score"), F.count("_score").alias("_times"))
+    each = both.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).join(judged, F.col("_votes") == F.col("_pattern"))
+    return each.select(F.col("_id").alias(id_col), "n_votes", "posterior", "score", (F.col("score") >= least).alias("kept"))
