@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hardneg import hard_negatives
 from .langid import identify, train
+from .lexical import rank_documents
 from .mixing import mix
 from .packing import pack
 from . import ppm
 from .rules import POLICIES, apply_policy, build_ledger
 from .setsketch import near_duplicates
 from .shared import crc_mod
+from .suffixes import without_repeats
 from .tokens import count_tokens
 from .topk import segment_topk
 from .urls import UrlRule, judge_urls
@@ -84,11 +87,26 @@ def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-_TEN = (
+def op11_mask_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_rtree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    digest = removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", *digest)
+
+
+_ALL = (
     op1_weak_quality, op2_rule_ledger, op3_setsketch_dedup, op4_systematic_mix, op5_script_viterbi, op6_ppm_score, op7_nnls_pack, op8_token_count, op9_url_trie,
-    op10_segment_topk,
+    op10_segment_topk, op11_mask_rank, op12_rtree_negatives, op13_suffix_dedup,
 )
-QUERIES = {f.__name__: f for f in _TEN}
+QUERIES = {f.__name__: f for f in _ALL}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -151,4 +169,45 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, u.y FROM r JOIN u
 SELECT r.x AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.y) AS component_id, r.x = min(r.y) AS kept FROM r LEFT JOIN n ON r.x = n.doc_id GROUP BY r.x
 """
 
-ORACLE_SQL = {"op3_setsketch_dedup": OP3, "op2_rule_ledger": OP2, "op4_systematic_mix": OP4, "op9_url_trie": OP9, "op10_segment_topk": OP10}
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = rf"""
+WITH i AS (SELECT row_number() OVER () AS q, * FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+it AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest({TERMS}) AS term FROM i) GROUP BY q, term),
+d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents),
+g AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM it) GROUP BY r, term),
+wt AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM t, g GROUP BY term),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(w) * n_docs) // total AS m FROM d, g WHERE len(w) > 0),
+s AS (SELECT q, doc_id, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+ FROM it JOIN t USING (term) JOIN wt USING (term) JOIN m USING (r) GROUP BY q, doc_id, r)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s JOIN i USING (q) WHERE score > 0 QUALIFY rank <= 10
+"""
+
+OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_inner_product(a.e::DOUBLE[], b.e::DOUBLE[])::BIGINT AS score
+ FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score,
+ score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM d, unnest(range(0, n - 99)) AS t(p)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+g AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true)::INT AS new FROM r),
+sp AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g) GROUP BY doc_id, span),
+parts AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM sp
+ UNION ALL SELECT d.doc_id, coalesce(max(b), 0), n FROM d LEFT JOIN sp USING (doc_id) GROUP BY d.doc_id, n),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS kept, count(*) - 1 AS n_spans FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, n - (strlen(kept) // 2)::BIGINT AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k USING (doc_id)
+"""
+
+ORACLE_SQL = {
+    "op2_rule_ledger": OP2, "op3_setsketch_dedup": OP3, "op4_systematic_mix": OP4, "op9_url_trie": OP9, "op10_segment_topk": OP10, "op11_mask_rank": OP11,
+    "op12_rtree_negatives": OP12, "op13_suffix_dedup": OP13,
+}

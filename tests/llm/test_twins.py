@@ -10,7 +10,7 @@ from tests.test_oracles import plain
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return c
 
