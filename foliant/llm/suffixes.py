@@ -64,12 +64,16 @@ class Shape:
         self.powers, self.inverse = _powers(_ODD, STEP + length), _powers(pow(_ODD, -1, 1 << 64), STEP + length)
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
 def _packed(data: bytes) -> bytes:
-    return pa.compress(data, codec="zstd", asbytes=True)
+    return _codec().compress(data, asbytes=True)
 
 
 def _unpacked(data: bytes, size: int) -> bytes:
-    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    return _codec().decompress(data, decompressed_size=size, asbytes=True) if size else b""
 
 
 def anchors_of(buffer: np.ndarray, ends: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
