@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from .shared import settle, slices, texts_of
 
 #: Bytes of a block's texts (a longer text is a block of its own), and windows that are hashed at a time.
-BLOCK, STEP = 4_000_000, 1 << 17
+BLOCK, STEP = 2_000_000, 1 << 17
 #: Bytes of hashes and of records that a bucket has, about.
-ASKED, BUCKET = 8_000_000, 12_000_000
+ASKED, BUCKET = 4_000_000, 6_000_000
 #: Blocks from which splitters are taken, about (twice as many at most), and suffixes from each.
-SAMPLE_BLOCKS, SAMPLE_SUFFIXES = 64, 512
+SAMPLE_BLOCKS, SAMPLE_SUFFIXES = 128, 256
 #: Records whose bytes are laid out at a time.
-LAID = 8192
+LAID = 4096
 
 _RECORD = np.dtype([("at", "<u4"), ("many", "<u2"), ("off", "<u2")])  # first window, number of windows, bytes before the anchor
 _ASK = np.dtype([("hash", "<u8"), ("record", _RECORD)])
