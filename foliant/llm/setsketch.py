@@ -22,8 +22,8 @@ Joins by a bucket, a hub, a component or a class go through `matched`: keys that
 joined by sending their rows of the other side, which has one row a key, to all tasks, so that no such key meets in one task.
 
 Defined cases: texts that are null or have no word have the size 0 and are linked with nothing; texts with fewer words
-than a shingle are one shingle; repeated rows fall in one class; rows without an id have a null component, but documents
-that are linked through them are linked; of equal sets (ties) the smallest id stands for all; a text of any length is one
+than a shingle are one shingle; repeated rows fall in one class; rows without an id link others and take their smallest id, null
+where a group has none; of equal sets (ties) the smallest id stands for all; a text of any length is one
 set, whose hashes one task holds while it works on that text; an empty table gives an empty result; columns other than
 the id and the text are not read, and `deduplicated` hands all columns on whatever they are called.
 """
@@ -315,7 +315,7 @@ def _linked_in_blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 
 def _decided(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """_id, _row (equal in rows with the same id and text), _n, _component."""
+    """_id, _row (equal in rows with the same id and text), _n, _component (the smallest id, null where no row of the group has one), _root."""
     source = id_and_text(docs, id_col, text_col).select("_id", row_key(F.col("_id"), F.col("_text")).alias("_row"), "_text")
     kind = dict(source.dtypes)["_id"]
     node = F.xxhash64("_n", "_f1", "_f2")
@@ -350,16 +350,20 @@ def _decided(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col:
 
     rooted = settle(classes.select("_node", "_first", "_copies").join(labels, "_node", "left").withColumn("_root", F.coalesce("_root", "_node")))
     smallest = rooted.groupBy("_root").agg(F.min("_first").alias("_component"))
-    named = settle(matched(rooted, smallest, "_root", busy_keys(rooted, "_root")).select("_node", "_component", "_copies"))
+    named = settle(matched(rooted, smallest, "_root", busy_keys(rooted, "_root")).select("_node", "_component", "_root", "_copies"))
     copied = busy_keys(named, "_node", "_copies")
     rows = sketches.select("_id", "_row", "_n", "_node")
-    found = matched(rows.where("_n > 0"), named.drop("_copies"), "_node", copied).select("_id", "_row", "_n", "_component")
-    found = found.unionByName(rows.where("_n = 0").select("_id", "_row", "_n", F.col("_id").alias("_component")))
-    return found.withColumn("_component", F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")))
+    found = matched(rows.where("_n > 0"), named.drop("_copies"), "_node", copied).select("_id", "_row", "_n", "_component", "_root")
+    # wordless rows are linked with nothing
+    return found.unionByName(rows.where("_n = 0").select("_id", "_row", "_n", F.col("_id").alias("_component"), F.col("_row").alias("_root")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable over links, itself included), kept (id = component_id)."""
+    """id, n_shingles, component_id (the smallest id reachable over links, itself included), kept (id = component_id).
+
+    A row without an id takes its group's smallest id and isn't kept; where no row of the group has one, component_id is null and
+    its rows are marked kept, of which `deduplicated` takes one.
+    """
     decided = _decided(docs, percent, shingle, id_col, text_col)
     kept = F.col("_component").eqNullSafe(F.col("_id"))
     return decided.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), kept.alias("kept"))
@@ -368,11 +372,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
 def deduplicated(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group: the smallest id, and one row of those that share it.
 
-    Rows without an id are in no group with others; of those, one row of each text stays. Of rows with the same id and
-    text any one stays, of those with the same id and different texts always the same one.
+    A row without an id goes where a row of its group has one; of a group without any id one row stays. Of rows with the
+    same id and text any one stays, of those with the same id and different texts always the same one.
     """
     kept = _decided(docs, percent, shingle, id_col, text_col).where(F.col("_component").eqNullSafe(F.col("_id")))
     with_id = kept.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_row").alias("_row")).select(F.col("_row").alias("__row"))
-    without = kept.where("_id IS NULL").select(F.col("_row").alias("__row")).distinct()
+    without = kept.where("_id IS NULL").groupBy("_root", F.col("_n") > 0).agg(F.min("_row").alias("__row")).select("__row")
     one_each = docs.withColumn("__row", row_key(F.col(id_col), F.col(text_col).cast("string"))).dropDuplicates(["__row"])
     return one_each.join(with_id.union(without), "__row", "left_semi").select(*docs.columns)

@@ -14,7 +14,8 @@ vectors: nothing where all directions are alike, most where few directions tell
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; vectors are compared
 with those of the same length, however long; a query is never its own candidate (rows with its id are left out); rows
 with a null id take no part; equal rows are one query, rows with the same id and different vectors are several, each with
-ranks of its own; as candidates all rows count, equal ones, too; ties go to the smaller id; fewer than k candidates give
+ranks of its own; as candidates all rows count, equal ones, too; ties go to the smaller id; components and scores beyond a long
+count as the largest or smallest long; fewer than k candidates give
 all of them; an empty table gives no rows; columns other than the id and the vector are not read.
 """
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 32768
 LEVELS = (1, 4, 16)
 #: Scores are computed for so many query-candidate pairs at a time.
@@ -33,6 +36,7 @@ PAIRS = 2_000_000
 SAMPLE, TURNED = 4096, 512
 #: Candidates of a block that are scored first to find the score to reach.
 SEEDS = 512
+LONG = (1 << 63) - 1
 
 
 def quantized(vector: Column, scale: int = 64) -> Column:
@@ -92,7 +96,7 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
         seeds = np.union1d(x_order[max(0, middle - SEEDS // 4) : middle + SEEDS // 4], spread)
         least = np.full(len(rows), -np.inf)
         if len(seeds) >= k:
-            first = np.where(q_ids[rows, None] != x_ids[seeds], qf[rows] @ xf[seeds].T, -np.inf)
+            first = np.where(q_ids[rows, None] != x_ids[seeds], np.clip(qf[rows] @ xf[seeds].T, -LONG - 1, LONG), -np.inf)
             least = np.partition(first, len(seeds) - k, axis=1)[:, len(seeds) - k]
         reach = (least - slack[rows])[:, None]
         columns, alive = np.arange(len(x)), q_ids[rows, None] != x_ids
@@ -106,7 +110,7 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
         if exact:
             scores = np.where(alive, qf[rows] @ xf[columns].T, -np.inf)
         else:
-            scores = np.where(alive, q[rows].astype(object) @ x[columns].astype(object).T, -np.inf)
+            scores = np.where(alive, np.minimum(np.maximum(q[rows].astype(object) @ x[columns].astype(object).T, -LONG - 1), LONG), -np.inf)
         many = min(k, len(columns))
         ranked = np.partition(scores, len(columns) - many, axis=1) if exact else np.sort(scores, axis=1)
         least = ranked[:, len(columns) - many]
@@ -130,7 +134,7 @@ def segment_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str
     """query_id, rank from 1, vec_id, score: the k largest inner products of whole-number vectors for each query."""
     spark = vectors.sparkSession
     ready = vectors.select(F.col(id_col).cast("long").alias("_id"), quantized(F.col(vector_col)).alias("_v"), is_query.alias("_q")).where("_id IS NOT NULL AND _v IS NOT NULL")
-    ready = ready.withColumn("_key", F.xxhash64("_id", "_v")).withColumn("_d", F.size("_v"))
+    ready = settle(ready.withColumn("_key", F.xxhash64("_id", "_v")).withColumn("_d", F.size("_v")).withColumn("_row", F.monotonically_increasing_id()))
     n, nq = ready.agg(F.count("*"), F.count(F.when(F.col("_q"), 1))).first()
     tasks = min(spark.sparkContext.defaultParallelism, -(-n // 4096))  # a small table still gives every core a group
     n_groups, n_blocks = max(1, tasks, -(-n // CANDIDATE_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
@@ -141,10 +145,10 @@ def segment_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str
     axes = {d: principal_axes(np.array([v for v in sample if len(v) == d])) for d in set(map(len, sample))}
     sent = spark.sparkContext.broadcast(axes)  # no more numbers than the sample has, times TURNED / SAMPLE
 
-    dealt = lambda many: F.pmod("_key", F.lit(many)).cast("int")
+    dealt = lambda many, *by: F.pmod(F.xxhash64(*by), F.lit(many)).cast("int")  # noqa: E731  # candidates by row, so that equal ones spread
     every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    queries = ready.where("_q").dropDuplicates(["_id", "_v"]).select("_id", "_key", "_v", "_d", dealt(n_blocks).alias("_block"), every(n_groups).alias("_group"))
-    candidates = ready.select("_id", "_v", "_d", every(n_blocks).alias("_block"), dealt(n_groups).alias("_group"))
+    queries = ready.where("_q").dropDuplicates(["_id", "_v"]).select("_id", "_key", "_v", "_d", dealt(n_blocks, "_key").alias("_block"), every(n_groups).alias("_group"))
+    candidates = ready.select("_id", "_v", "_d", every(n_blocks).alias("_block"), dealt(n_groups, "_row").alias("_group"))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         found = ([], [], [], [])

@@ -64,15 +64,21 @@ class HostPathTrie:
             ends = node.setdefault("ends", {})
             if ends.get(last, ("", "allow"))[1] != "block":
                 ends[last] = (rule.host + rule.path, rule.verdict)
-                node["longest"] = sorted(ends, key=len, reverse=True)
+                node.setdefault("lengths", set()).add(len(last))
+        stack = [self.root]
+        while stack:  # lengths once, the longest first
+            node = stack.pop()
+            if "lengths" in node:
+                node["lengths"] = sorted(node["lengths"], reverse=True)
+            stack += [*node.get("labels", {}).values(), *node.get("next", {}).values(), *([node["paths"]] if "paths" in node else [])]
 
     @staticmethod
     def _by_path(node: dict, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for depth in range(len(segments)):
-            for end in node.get("longest", ()):
-                if segments[depth].startswith(end):
-                    best = node["ends"][end]
+            for length in node.get("lengths", ()):  # of the ends at this node, at most as many as a segment has characters
+                if (end := node["ends"].get(segments[depth][:length])) and length <= len(segments[depth]):
+                    best = end
                     break
             if (node := node.get("next", {}).get(segments[depth])) is None or depth + 1 == len(segments):
                 break

@@ -93,9 +93,12 @@ def test_rows_without_an_id_link_others(spark):
     assert share(*(brute.shingles(far[i]) for i in (0, 2))) < 0.75
     docs = spark.createDataFrame([(1, far[0], "a"), (None, far[1], "b"), (None, far[1], "c"), (3, far[2], "d")], "doc_id long, text string, _row string")
     got = Counter((r.doc_id, r.component_id) for r in setsketch.near_duplicates(docs).collect())
-    assert got == Counter({(1, 1): 1, (3, 1): 1, (None, None): 2})
+    assert got == Counter({(1, 1): 1, (3, 1): 1, (None, 1): 2})
+    assert [r.doc_id for r in setsketch.near_duplicates(docs).where("kept").collect()] == [1]
     kept = setsketch.deduplicated(docs)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+    unnamed = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert {(r.component_id, r.kept) for r in setsketch.near_duplicates(unnamed).collect()} == {(None, True)} and setsketch.deduplicated(unnamed).count() == 1
 
 
 def test_busy_keys(spark, monkeypatch):

@@ -29,6 +29,38 @@ def test_longest_rule_wins(spark):
     assert got == {1: ("com/a/very/long/path", "block"), 2: ("x.com/a", "allow"), 3: ("b.y.net/c", "block"), 4: ("z.org", "block"), 5: ("y.net/c/d", "allow")}
 
 
+def test_many_rules_on_one_host():
+    import time
+
+    began = time.time()
+    trie = urls.HostPathTrie([urls.UrlRule("block", "x.com", f"/p{i}") for i in range(100_000)] + [urls.UrlRule("allow", "x.com", "/p7/q")])
+    assert trie.match("a.x.com", "/p99999x") == ("x.com/p99999", "block") and trie.match("x.com", "/p7/q1") == ("x.com/p7/q", "allow") and trie.match("x.com", "/r") is None
+    for i in range(20_000):
+        trie.match("x.com", f"/p{i}/abc")
+    assert time.time() - began < 10
+
+
+def test_scores_beyond_a_long(spark):
+    big = 1e18
+    rows = [(0, [big, big]), (1, [big, big]), (2, [big, 0.0]), (3, [-big, -big]), (20, [1e300, 0.0])]
+    got = topk.segment_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3)
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got.collect()}
+    most = 2**63 - 1
+    assert found[0, 1] == (1, most) and found[0, 2] == (2, most) and found[0, 3] == (20, most) and found[20, 1] == (0, most)
+
+
+def test_equal_candidates_spread(spark):
+    rows = [(i, [0.5, 0.25]) for i in range(300)] + [(1000 + i, [0.01 * i, -0.3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.segment_topk(df, F.col("vec_id") == 1000).collect())) == sorted(r for r in plain_search(rows, 1000))
+
+
+def plain_search(rows, query, k=20):
+    q = [math.floor(64 * x) for x in dict(rows)[query]]
+    best = sorted((-sum(a * math.floor(64 * b) for a, b in zip(q, v, strict=True)), i) for i, v in rows if i != query)[:k]
+    return [(query, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 def plain_topk(rows, k=20):
     ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     queries = [r for n, r in enumerate(ok) if r[0] % 20 == 0 and r not in ok[:n]]
