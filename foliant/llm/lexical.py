@@ -37,7 +37,7 @@ BLOCK, POSTINGS = 32768, 4_000_000
 ITEM_BYTES = 8_000_000
 #: Bytes of a text that are cut into terms at a time.
 PART = 1 << 20
-#: The first groups hold so many documents at least; each further turn takes twice as many.
+#: A turn takes one group, or as many as hold so many documents; each further turn takes twice as many.
 FIRST = 64
 
 # Letters of a term: digits, ASCII letters (lower-cased) and all that is not ASCII; everything else parts terms.
@@ -144,7 +144,8 @@ def best_of(block: Block, n_docs: int, terms: np.ndarray, repeats: np.ndarray, f
         least = scores[k - 1] if len(scores) >= k else 1
         if bounds[order[done]] < least:
             break
-        end = min(len(order), int(np.searchsorted(reached, (reached[done - 1] if done else 0) + wanted)) + 1)
+        within = int(np.searchsorted(reached, (reached[done - 1] if done else 0) + wanted, "right"))
+        end = min(max(done + 1, within), int(np.searchsorted(-bounds[order], -least, "right")))
         groups = order[done:end]
         many = sizes[groups]
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(firsts[groups], many)
