@@ -36,7 +36,8 @@ from pyspark.sql import types as T
 
 from .shared import id_and_text, settle
 
-CHUNK, OVERLAP, LIMIT, MARGIN = 32768, 256, 65536, 24
+#: Documents over LIMIT characters are spliced; low enough that a fair share of any corpus is.
+CHUNK, OVERLAP, LIMIT, MARGIN = 4096, 256, 8192, 24
 #: Pieces whose ids a worker remembers in each of two generations, at most, and characters it encodes at a time, about.
 REMEMBERED, AT_ONCE = 50_000, 1 << 20
 
