@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("retrieval", "rollouts", "joins", "labels", "evaluation", "curation", "nested", "files")
+FAMILIES = ("retrieval", "rollouts", "joins", "labels", "evaluation", "curation", "nested", "files", "growing", "reports")
 
 
 def queries() -> dict:

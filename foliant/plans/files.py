@@ -160,13 +160,6 @@ def x3_stream_totals(spark, sf):
     return spark.read.schema(totals.schema).parquet(out)
 
 
-def x6_latest_snapshot(spark, sf):
-    path, out = _prediction_files(spark, sf), _new(spark)
-    stream = jobs.stream_predictions(spark, path, _SCHEMA).select("sample_id", "t", "answer", F.col("t").alias("seq"))
-    jobs.latest_snapshot(stream, out, _new(spark), "sample_id", "t", "seq").awaitTermination()
-    return jobs.read_snapshot(spark, out, "sample_id string, t long, answer string, seq long").select("sample_id", "t", "answer")
-
-
 def _in_order(spark, df, order, parts=4):
     """Closed files of an ordered table, written one after the other; each is several parts."""
     path, top = _new(spark), (df.agg(F.max(order)).first()[0] or 0) + 1
@@ -184,14 +177,6 @@ def x5_score_when_due(spark, sf):
     return spark.read.schema(e.schema).parquet(f"{out}/scored").select("sample_id", "verdict")
 
 
-def x6_missing_count(spark, sf):
-    """What a snapshot of events lacks, where every document is expected."""
-    path, out = _prediction_files(spark, sf), _new(spark)
-    stream = jobs.stream_predictions(spark, path, _SCHEMA, 1).select("sample_id", "t", F.col("t").alias("seq"))
-    jobs.latest_snapshot(stream, out, _new(spark), "sample_id", "t", "seq").awaitTermination()
-    return jobs.missing_count(jobs.read_snapshot(spark, out, "sample_id string, t long, seq long"), "sample_id", table(spark, sf, "documents").count())
-
-
 def x7_commit_until(spark, sf):
     """Committed in order until a third of the clicks are kept or an error of user 7 comes in."""
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
@@ -252,9 +237,7 @@ ORACLE_SQL = {
     "x1_stream_predictions": f"{_E} SELECT sample_id, t, answer FROM e",
     "x2_commit_scored": f"{_E} SELECT t AS sample_id, v OR answer = 'click' AS verdict, NULL::VARCHAR AS judge_error FROM e",
     "x3_stream_totals": f"{_E} SELECT answer, count(*) AS seen, count(*) FILTER (v) AS judged, nullif(count(*) FILTER (v), 0) AS correct FROM e GROUP BY 1",
-    "x6_latest_snapshot": f"{_E} SELECT sample_id::VARCHAR AS sample_id, max(t) AS t, arg_max(answer, t) AS answer FROM e GROUP BY 1",
     "x5_score_when_due": "SELECT event_id AS sample_id, event_type = 'click' AS verdict FROM events",
-    "x6_missing_count": "WITH u AS (SELECT count(DISTINCT event_id % 700) AS n FROM events), d AS (SELECT count(*) AS m FROM documents) SELECT n AS unique_ids, m AS expected, greatest(0, m - n) AS missing FROM u, d",
     "x7_commit_until": "WITH c AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_type = 'click'), s AS (SELECT least(coalesce((SELECT min(event_id) FROM events WHERE event_type = 'error' AND user_id % 50 = 7), 1e18), coalesce((SELECT event_id FROM c WHERE i = (SELECT count(*) // 3 FROM c)), 1e18)) AS stop) SELECT event_id FROM events, s WHERE event_id <= stop",
     "x4_pending": "WITH s AS (SELECT event_id % 1500 AS d, event_type = 'click' AS v FROM events WHERE event_type <> 'click' OR event_id % 1500 % 2 = 0), n AS (SELECT d, count(*) AS n, count(*) FILTER (v) AS v FROM s GROUP BY 1) SELECT doc_id FROM documents LEFT JOIN n ON d = doc_id WHERE doc_id % 4 <> 0 AND coalesce(n, 0) < 6 AND coalesce(v, 0) = 0",
 }

@@ -1,7 +1,7 @@
 """Incremental judging with Structured Streaming.
 
-The contract of the file source holds: producers close a file before it shows up. Files that grow in place are a batch job
-over lines instead (foliant.sources.io).
+The contract of the file source holds here: producers close a file before it shows up. Files that grow in place are
+`tail`, latest rows by key are `latest`, and state with timers is `keepers`.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foliant.operators.curate import dedup_latest
 from foliant.operators.memory import MEMORY, Memory, folded, memory_rows
-from foliant.sources.io import append_new
+
+from .keepers import keep_in_rocksdb, release_when_due
 
 
 def stream_predictions(spark: SparkSession, root: str, schema: str, per_trigger: int | None = None) -> DataFrame:
@@ -43,15 +43,17 @@ def stream_totals(rows: DataFrame, source: str, verdict: str) -> DataFrame:
     return rows.groupBy(source).agg(F.count("*").alias("seen"), F.count(verdict).alias("judged"), F.sum(F.col(verdict).cast("int")).alias("correct"))
 
 
-def commit_scored(stream: DataFrame, path: str, checkpoint: str, key: str, score: Column) -> StreamingQuery:
+def commit_scored(stream: DataFrame, path: str, checkpoint: str, key: str, score: Column, within: tuple[str, str] | None = None) -> StreamingQuery:
     """Every key is scored and committed once, under path/batch=<number>; which keys are done is the stream's own state.
 
     Nothing that is committed is read again, and a micro-batch that is repeated after a failure writes the same folder.
+    The state keeps each key for good, or, with a time column and a delay ("10 minutes"), for that long after it was seen.
     """
+
     def commit(batch: DataFrame, number: int) -> None:
         score_rows(batch, score).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    first = stream.dropDuplicates([key])
+    first = stream.dropDuplicates([key]) if within is None else stream.withWatermark(*within).dropDuplicatesWithinWatermark([key])
     return first.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -91,55 +93,21 @@ def _committed(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def score_when_due(stream: DataFrame, path: str, checkpoint: str, key: str, score: Column, batch_size: int, every_poll: bool = False, expected: int | None = None) -> StreamingQuery:
-    """Rows wait in path/seen; at each micro-batch `should_score` says whether the first batch_size of those without a
-    scored row are scored into path/scored, and all of them once everything expected is in.
-    """
-    spark = stream.sparkSession
-
-    def poll(batch: DataFrame, _: int) -> None:
-        seen = append_new(batch, f"{path}/seen", key)
-        done = _committed(spark, f"{path}/scored", batch.schema)
-        waiting = seen.join(done.select(key), key, "left_anti")
-        many, n_waiting = seen.count(), waiting.count()
-        if should_score(n_waiting, batch_size, every_poll, many, expected):
-            todo = waiting if expected is not None and many >= expected else waiting.orderBy(key).limit(batch_size)
-            score_rows(todo, score).select(*batch.columns).write.mode("append").parquet(f"{path}/scored")
-
-    return stream.writeStream.foreachBatch(poll).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
+def score_when_due(
+    stream: DataFrame, path: str, checkpoint: str, key: str, score: Column, batch_size: int, every_poll: bool = False, expected: int | None = None, source: str | None = None,
+) -> StreamingQuery:
+    """Rows wait in the stream's state (`keepers.release_when_due`) until they are due, and are then scored into path/scored.
 
-def _versions(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """Rows of the newest version of each bucket, with the bucket."""
-    kept = _committed(spark, path, T.StructType([*schema.fields, T.StructField("version", T.IntegerType()), T.StructField("bucket", T.IntegerType())]))
-    if before is not None:
-        kept = kept.where(F.col("version") < before)
-    newest = kept.groupBy("bucket").agg(F.max("version").alias("_newest"))  # one row a bucket
-    return kept.join(F.broadcast(newest), "bucket").where("version = _newest").drop("version", "_newest")
-
-
-def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The current rows of a snapshot of that schema."""
-    return _versions(spark, path, T.StructType.fromDDL(schema)).drop("bucket")
-
-
-def latest_snapshot(stream: DataFrame, path: str, checkpoint: str, key: str, time: str, ordinal: str, buckets: int = 64) -> StreamingQuery:
-    """The newest row per key over all files so far, in buckets of keys; a micro-batch writes a new version of the buckets
-    it touches only, and `read_snapshot` gives the newest version of each. A repeated micro-batch writes the same version again.
+    Without a source column all rows are one source, whose waiting rows one task holds; expected is for each source.
     """
-    spark = stream.sparkSession
-    # a row without a key gets one of its own, so that it is a sample of its own in every later round
-    named = stream.withColumn(key, F.coalesce(F.col(key).cast("string"), F.concat(F.lit("__missing_"), ordinal)))
-    schema = named.schema
+    keep_in_rocksdb(stream.sparkSession)
+    marked = stream.dropDuplicates([key]).withColumns({"due_source": F.lit("all") if source is None else F.col(source).cast("string"), "due_expected": F.lit(expected).cast("long")})
+    due = release_when_due(marked, "due_source", key, batch_size, "due_expected", every_poll).drop("due_source", "batch")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        touched = dealt.select("bucket").distinct()  # at most `buckets` rows
-        held = _versions(spark, path, schema, number).join(F.broadcast(touched), "bucket", "left_semi")
-        both = dealt.unionByName(held.select(*dealt.columns))
-        dedup_latest(both, key, time, ordinal).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+    def commit(batch: DataFrame, number: int) -> None:
+        score_rows(batch, score).select(*stream.columns).write.mode("overwrite").parquet(f"{path}/scored/poll={number}")
 
-    return named.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return due.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def missing_count(snapshot: DataFrame, key: str, expected: int) -> DataFrame:
@@ -153,10 +121,13 @@ def commit_until(stream: DataFrame, path: str, checkpoint: str, order: str, kept
     later is left alone. Files must come in order; a restart skips what is committed.
     """
     spark = stream.sparkSession
+    shape = T.StructType.fromDDL(f"seq long, kept long, fatal long, last {dict(stream.dtypes)[order]}")
 
     def commit(batch: DataFrame, _: int) -> None:
-        done = _committed(spark, path, batch.schema)
-        n_kept, n_fatal, last = done.agg(F.count(F.when(kept, 1)), F.count(F.when(fatal, 1)), F.max(order)).first()
+        # one small row a commit says how far it came, so nothing that is committed is read again
+        progress = _committed(spark, f"{path}/_progress", shape)
+        seq, n_kept, n_fatal, last = progress.agg(F.max("seq"), F.max("kept"), F.max("fatal"), F.max("last")).first()
+        n_kept, seq = n_kept or 0, 0 if seq is None else seq + 1
         if n_kept >= target or n_fatal:
             return
         fresh = batch if last is None else batch.where(F.col(order) > last)
@@ -164,7 +135,10 @@ def commit_until(stream: DataFrame, path: str, checkpoint: str, order: str, kept
         nth = fresh.where(kept).select(order).orderBy(order).limit(target - n_kept).agg(F.count("*"), F.max(order)).first()
         stops += [nth[1]] if nth[0] == target - n_kept else []
         stop = min((x for x in stops if x is not None), default=None)
-        (fresh if stop is None else fresh.where(F.col(order) <= stop)).write.mode("append").parquet(path)
+        (fresh if stop is None else fresh.where(F.col(order) <= stop)).write.mode("overwrite").parquet(f"{path}/seq={seq}")
+        counts = spark.read.schema(batch.schema).parquet(f"{path}/seq={seq}").agg(F.count(F.when(kept, 1)), F.count(F.when(fatal, 1)), F.max(order)).first()
+        row = (seq, n_kept + counts[0], counts[1], last if counts[2] is None else counts[2])
+        spark.createDataFrame([row], shape).coalesce(1).write.mode("overwrite").parquet(f"{path}/_progress/commit={seq}")
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
