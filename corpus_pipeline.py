@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; ties are repeated rows, of which one stays.
-    Rows without an id stay once for each text; null and wordless texts are in no group; texts are compared whole.
+    A row without an id only stays where no row of its group has one; null and wordless texts are in no group; texts are compared whole.
     """
     return setsketch.deduplicated(docs)
 

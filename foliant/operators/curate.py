@@ -6,9 +6,11 @@ or stratum; a rank over a whole table goes through counts by hash bucket first.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.sources.scratch import written
@@ -125,14 +127,22 @@ def trajectory_tags(steps: DataFrame, traj: str, tags: Mapping[str, Column]) ->
     return steps.groupBy(traj).agg(*(F.count(F.when(c, 1)).alias(n) for n, c in tags.items()))
 
 
-def check_trajectories(steps: DataFrame, traj: str, index: str, terminal: str) -> DataFrame:
-    """per trajectory whether its steps are 0..n-1, each once, and the last is terminal."""
-    per = steps.groupBy(traj).agg(F.min(index).alias("_lo"), F.max(index).alias("_hi"), F.count_distinct(index).alias("_d"), F.count("*").alias("steps"), F.max_by(terminal, index).alias("_t"))
-    return per.select(traj, "steps", ((F.col("_lo") == 0) & (F.col("_hi") == F.col("steps") - 1) & (F.col("_d") == F.col("steps"))).alias("complete"), F.col("_t").alias("ends"))
+def check_trajectories(steps: DataFrame, traj: str, index: str, terminal: str, response: str | None = None) -> DataFrame:
+    """per trajectory whether its steps are 0..n-1, each once, the last is terminal, and no response (named by a column) is empty."""
+    silent = F.lit(0) if response is None else F.when(F.length(F.trim(F.coalesce(response, F.lit("")))) > 0, 0).otherwise(1)
+    per = steps.groupBy(traj).agg(F.sum(silent).alias("_e"), F.min(index).alias("_lo"), F.max(index).alias("_hi"), F.count_distinct(index).alias("_d"), F.count("*").alias("steps"), F.max_by(terminal, index).alias("_t"))
+    return per.select(traj, "steps", ((F.col("_lo") == 0) & (F.col("_hi") == F.col("steps") - 1) & (F.col("_d") == F.col("steps"))).alias("complete"), F.col("_t").alias("ends"), *([] if response is None else [(F.col("_e") == 0).alias("answered")]))
 
 
-def check_traj_advantage(rows: DataFrame, traj: str, value: str, absolute: float = 1e-6, relative: float = 1e-5) -> DataFrame:
-    """per trajectory whether all values are finite and equal within the tolerance."""
+def check_traj_advantage(rows: DataFrame, traj: str, value: str, absolute: float = 1e-6, relative: float = 1e-5, mask: str | None = None) -> DataFrame:
+    """per trajectory whether all values are finite and equal within the tolerance; with a mask, its values where that is above 0.
+    A trajectory without such values passes.
+    """
+    if mask is not None:
+        held = F.col(mask).cast("double") > 0
+        inside = rows.select(traj, value, held.alias("_held")).where("_held")
+        checked = check_traj_advantage(inside, traj, value, absolute, relative)
+        return rows.select(traj).distinct().join(checked, traj, "left").select(traj, F.coalesce("same", F.lit(True)).alias("same"))
     finite = F.bool_and(~F.isnan(value) & (F.abs(value) != float("inf")))
     per = rows.groupBy(traj).agg(finite.alias("_f"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     return per.select(traj, (F.col("_f") & (F.col("_hi") - F.col("_lo") <= absolute + relative * F.abs("_lo"))).alias("same"))
@@ -146,6 +156,28 @@ def drop_constant_groups(rollouts: DataFrame, uid: str, reward: str, target: int
     return rollouts.join(groups, uid, "left_semi")
 
 
+def accumulate_groups(spark: SparkSession, generate: Callable[[int], DataFrame], path: str, uid: str, reward: str, target: int, most: int) -> DataFrame:
+    """rounds of generated rollouts, numbered from 1, whose groups with differing rewards are carried over until there
+    are `target` rollouts; the most-th round is the last one, and all its groups are taken. Gives the rollouts with their `round`.
+
+    Rounds are written under path as they come, so a restart goes on after the last whole one.
+    """
+    held = lambda n: f"{path}/round={n}"
+    total, n = 0, 0
+    while total < target and n < most:
+        n += 1
+        try:
+            spark.read.text(f"{held(n)}/_SUCCESS")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            batch = generate(n)
+            (batch if n == most else drop_constant_groups(batch, uid, reward)).write.mode("overwrite").parquet(held(n))
+        total += spark.read.parquet(held(n)).count()
+    parts = [spark.read.parquet(held(i)).withColumn("round", F.lit(i)) for i in range(1, n + 1)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 #: Words that mark hedging.
 HEDGES = ("maybe", "perhaps", "might be", "probably", "i guess", "not sure", "actually", "wait", "hmm", "alternatively")
 
@@ -206,7 +238,10 @@ def clean_verdicts(raw: DataFrame, reply: str) -> DataFrame:
 
 
 def balanced_split(cands: DataFrame, cls: str, sizes: Mapping[str, tuple[int, int]], seed: str, key: str) -> DataFrame:
-    """Per class the first n rows of a seeded shuffle to train, the next m to val."""
+    """Per class the first n rows of a seeded shuffle to train, the next m to val; too few rows of a class are an error."""
+    held = dict(map(tuple, cands.where(F.col(cls).isin(list(sizes))).groupBy(cls).count().collect()))  # a row a class
+    if short := [f"{c}: {held.get(c, 0)} of {n + m}" for c, (n, m) in sizes.items() if held.get(c, 0) < n + m]:
+        raise ValueError(f"too few candidates ({', '.join(short)})")
     goal = cands.sparkSession.createDataFrame([(c, n, m) for c, (n, m) in sizes.items()], f"{cls} string, _n long, _m long")
     most = max((n + m for n, m in sizes.values()), default=0)
     placed = cands.join(F.broadcast(goal), cls).withColumn("_p", F.row_number().over(Window.partitionBy(cls).orderBy(seeded(seed, key), key)))
@@ -226,8 +261,10 @@ def packed_select(cands: DataFrame, deck: str, hop: str, key: str, n_multi: int,
 
 
 def slice_ordered(df: DataFrame, order: Sequence[str], offset: int, n: int) -> DataFrame:
-    """D3."""
-    return df.orderBy(*order).offset(offset).limit(n)
+    """D3: n rows from place offset on. Beyond FEW rows places come from sorted ranges, so that no task holds all before them."""
+    if offset + n <= FEW:
+        return df.orderBy(*order).offset(offset).limit(n)
+    return ranked(df, [F.col(c) for c in order], "_at").where((F.col("_at") > offset) & (F.col("_at") <= offset + n)).drop("_at")
 
 
 def interleave(a: DataFrame, b: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -268,6 +305,28 @@ def stratified_sample(df: DataFrame, cls: str, first: str, n_first: int, n: int,
     return a.unionByName(first_rows(df.where(F.col(cls) != first), [seeded(seed, key), key], max(0, n - a.count())))
 
 
+#: Numbers that one window of a tree of sums adds up.
+FAN = 1000
+
+
+def prefix_sums(numbers: DataFrame, count: int) -> DataFrame:
+    """_i, _w, _lo, _hi of numbers _w at places _i = 0 .. count - 1: the sum before each and up to each, where _hi equals the next _lo.
+
+    A tree of blocks of FAN: sums of blocks get their own prefix sums first, so no window holds more than FAN rows.
+    """
+    if count <= FAN:
+        whole = Window.orderBy("_i")  # FAN rows at most
+        sums = numbers.withColumn("_hi", F.sum("_w").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+        return sums.withColumn("_lo", F.coalesce(F.lag("_hi").over(whole), F.lit(0.0)))
+    blocks = numbers.groupBy(F.floor(F.col("_i") / FAN).alias("_i")).agg(F.sum("_w").alias("_w"))
+    above = prefix_sums(blocks, -(-count // FAN)).select(F.col("_i").alias("_b"), F.col("_lo").alias("_from"), F.col("_hi").alias("_to"))
+    inside = Window.partitionBy("_b").orderBy("_i")
+    held = numbers.withColumn("_b", F.floor(F.col("_i") / FAN)).join(above, "_b")
+    upto = F.least(F.col("_from") + F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_to"))
+    held = held.withColumn("_hi", F.when(F.lead("_i").over(inside).isNull(), F.col("_to")).otherwise(upto))
+    return held.withColumn("_lo", F.coalesce(F.lag("_hi").over(inside), F.col("_from"))).select("_i", "_w", "_lo", "_hi")
+
+
 def weighted_resample(rows: DataFrame, score: str, key: str, n: int, seed: str, method: str = "pow", power: float = 2.0) -> DataFrame:
     """N draws with replacement; draws meet cumulative weights in cells of the unit interval, as many as the table needs.
 
@@ -278,16 +337,13 @@ def weighted_resample(rows: DataFrame, score: str, key: str, n: int, seed: str,
     top = F.col(score) == F.col("_top")
     forms = {"pow": F.pow(F.abs(score), F.lit(power)), "max_min": (top | (F.col(score) == F.col("_bottom"))).cast("double"), "max_random": F.when(top, 0.4).otherwise(0.1)}
     weighed = ranked(rows.crossJoin(ends).withColumn("_w", forms[method] + 1e-8).drop("_top", "_bottom"), [F.col(key)], "_i")
-    block = weighed.withColumn("_b", F.floor((F.col("_i") - 1) / 1000))
-    along = Window.orderBy("_b")  # one row for a thousand
-    sums = block.groupBy("_b").agg(F.sum("_w").alias("_s")).withColumn("_end", F.sum("_s").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = sums.withColumn("_base", F.coalesce(F.lag("_end").over(along), F.lit(0.0))).withColumn("_all", F.max("_end").over(Window.partitionBy()))
-    in_block = Window.partitionBy("_b").orderBy("_i")
-    upto = F.least(F.col("_base") + F.sum("_w").over(in_block.rowsBetween(Window.unboundedPreceding, 0)), F.col("_end"))
-    placed = block.join(sums.drop("_s"), "_b").withColumn("_hi", F.when(F.lead("_i").over(in_block).isNull(), F.col("_end")).otherwise(upto))
-    # a row's share begins where the one before ends, so every number below 1 is in one share
-    placed = placed.withColumn("_lo", F.coalesce(F.lag("_hi").over(in_block), F.col("_base")) / F.col("_all")).withColumn("_hi", F.col("_hi") / F.col("_all"))
-    cells = 1 << max(12, (max(weighed.count(), n) // 256).bit_length())  # some hundred draws or rows each, whatever the table's size
+    count = weighed.count()
+    starts = prefix_sums(weighed.select((F.col("_i") - 1).alias("_i"), "_w"), count)
+    whole = F.broadcast(starts.agg(F.max("_hi").alias("_all")))  # one row
+    placed = weighed.withColumn("_i", F.col("_i") - 1).join(starts.drop("_w"), "_i").crossJoin(whole)
+    # a row's share ends where the next one's begins, so every number below 1 is in one share
+    placed = placed.withColumn("_lo", F.col("_lo") / F.col("_all")).withColumn("_hi", F.col("_hi") / F.col("_all"))
+    cells = 1 << max(12, (max(count, n) // 256).bit_length())  # some hundred draws or rows each, whatever the table's size
     spans = placed.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * cells), F.least(F.floor(F.col("_hi") * cells), F.lit(cells - 1).cast("long")))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / float(16**12)
     draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), draw.alias("_u")).withColumn("_cell", F.floor(F.col("_u") * cells))
@@ -335,30 +391,6 @@ def question_minibatches(rollouts: DataFrame, uid: str, key: str) -> DataFrame:
     return rollouts.withColumn("batch", F.row_number().over(Window.partitionBy(uid).orderBy(key)) - 1)
 
 
-def _serpentine(place: Column, n: int) -> Column:
-    """0 .. n - 1, n - 1 .. 0, and so on along places from 1."""
-    turn = F.pmod(place - 1, F.lit(2 * n))
-    return F.when(turn < n, turn).otherwise(2 * n - 1 - turn).cast("int")
-
-
-def balance_ranks(traj: DataFrame, cost: str, key: str, n: int) -> DataFrame:
-    """Equal counts by a serpentine over costs, largest first."""
-    return ranked(traj, [F.desc(cost), F.col(key)], "_i").withColumn("rank", _serpentine(F.col("_i"), n)).drop("_i")
-
-
-def micro_batches(rows: DataFrame, cost: str, key: str, budget: int) -> DataFrame:
-    """ceil(total / budget) batches, balanced; a batch over the budget gets more batches. Rows are sorted once."""
-    placed = written(ranked(rows, [F.desc(cost), F.col(key)], "_i"))
-    total, n = placed.agg(F.sum(cost), F.count("*")).first()
-    many = max(1, -(-(total or 0) // budget))
-    while True:
-        out = placed.withColumn("rank", _serpentine(F.col("_i"), min(many, max(1, n))))
-        top = out.groupBy("rank").agg(F.sum(cost).alias("s")).agg(F.max("s")).first()[0] or 0
-        if top <= budget or many >= n:
-            return out.drop("_i")
-        many += max(1, many // 8)
-
-
 def sqrt_quota_sample(df: DataFrame, stratum: str, deck: str, n: int, cap: int, seed: str, key: str, rare: Column | None = None) -> DataFrame:
     """Quotas by the square root of stratum sizes (largest remainders), at first cap rows of a deck in a stratum.
 
@@ -416,30 +448,9 @@ def preview(df: DataFrame, n: int, seed: str, text: str) -> DataFrame:
     return first_rows(df, [seeded(seed, text), text], n)
 
 
-def dedup_two_keys(df: DataFrame, first: Sequence[str], second: Sequence[str], order: str, target: int | None = None) -> DataFrame:
-    """In order, a row is kept if no kept row has its first or its second key; then the first `target` rows.
-
-    Each round keeps the rows that come first among the undecided of both their keys and drops those that share a key
-    with them; keys with a null don't count. Rounds are written, so the plan doesn't grow.
-    """
-    keys = {"_k1": first, "_k2": second}
-    whole = lambda cols: F.when(F.lit(True) if not cols else ~F.greatest(*(F.col(c).isNull().cast("int") for c in cols), F.lit(0)).cast("boolean"), F.to_json(F.struct(*cols)))
-    left = written(df.withColumns({name: F.coalesce(whole(list(cols)), F.concat(F.lit(f"{name}-"), F.col(order).cast("string"))) for name, cols in keys.items()}))
-    kept: DataFrame | None = None
-    while True:
-        firsts = left
-        for name in keys:
-            firsts = firsts.join(left.groupBy(name).agg(F.min(order).alias(f"_m{name}")), name)
-        now = written(firsts.where((F.col(order) == F.col("_m_k1")) & (F.col(order) == F.col("_m_k2"))).select(*left.columns))
-        kept = now if kept is None else kept.unionByName(now)
-        rest = left
-        for name in keys:
-            rest = rest.join(now.select(name), name, "left_anti")
-        left = written(rest.select(*left.columns))
-        if left.isEmpty():
-            break
-    out = kept.drop(*keys)
-    return out if target is None else first_rows(out, [order], target)
+def smoke_set(df: DataFrame, cls: Column, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of one class, in order."""
+    return first_rows(df.where(cls), order, n)
 
 
 def skip_reasons(df: DataFrame, kept: DataFrame, first: Sequence[str], second: Sequence[str], order: str) -> DataFrame:

@@ -207,11 +207,23 @@ def fold_findings(steps: DataFrame, sample: str, order: str, kind: str, text: st
     )
 
 
+def evidence_prefixes(steps: DataFrame, sample: str, order: str, item: Column) -> tuple[DataFrame, DataFrame]:
+    """M6: per sample its distinct items in order of sight, once; and the steps with n_before and n_after, how many of them were
+    known before and after each. What is kept grows with steps and items, not with their product.
+    """
+    first = F.row_number().over(Window.partitionBy(sample, "_item").orderBy(order)) == 1
+    seen = steps.withColumn("_item", item).withColumn("_new", (first & F.col("_item").isNotNull()).cast("int"))
+    after = F.sum("_new").over(Window.partitionBy(sample).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    held = F.transform(F.array_sort(F.collect_list(F.when(F.col("_new") == 1, F.struct(F.col(order).alias("o"), F.col("_item").alias("i"))))), lambda x: x["i"])
+    return seen.groupBy(sample).agg(held.alias("items")), seen.withColumn("n_after", after).withColumn("n_before", after - F.col("_new")).drop("_item", "_new")
+
+
 def evidence_states(steps: DataFrame, sample: str, order: str, item: Column) -> DataFrame:
-    """M6: the distinct items known before and after each step, in order of sight."""
-    along = Window.partitionBy(sample).orderBy(order)
-    known = lambda end: F.array_distinct(F.collect_list(item).over(along.rowsBetween(Window.unboundedPreceding, end)))
-    return steps.withColumn("state_before", known(-1)).withColumn("state_after", known(0))
+    """M6: the distinct items known before and after each step, in order of sight, written out for each step."""
+    items, placed = evidence_prefixes(steps, sample, order, item)
+    both = placed.join(items, sample)
+    part = lambda n: F.slice("items", F.lit(1), F.col(n))
+    return both.withColumn("state_before", part("n_before")).withColumn("state_after", part("n_after")).select(*steps.columns, "state_before", "state_after")
 
 
 def replay_check(folded: DataFrame, stored: DataFrame, sample: str, columns: list[str]) -> DataFrame:

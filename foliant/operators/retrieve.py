@@ -58,12 +58,25 @@ def score_pairs(queries: DataFrame, pages: DataFrame, scope: Sequence[str] = ())
     """Queries with the pages they search: all of them, or those with the same scope columns (an equi join)."""
     if scope:
         return queries.join(pages, list(scope))
-    blocks = -(-_bytes(queries) // MAX_BROADCAST_BYTES)
+    size = _bytes(queries)
+    blocks = -(-size // MAX_BROADCAST_BYTES)
     if blocks <= 1:
         return pages.crossJoin(F.broadcast(queries))
-    left = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    return pages.withColumn("_block", every).join(left, "_block").drop("_block")
+    # both sides in blocks of bounded size, so that no task gets all pages
+    groups = max(1, -(-_bytes(pages) // MAX_BROADCAST_BYTES))
+    dealt = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("_block", dealt(queries, blocks)).withColumn("_group", every(groups))
+    right = pages.withColumn("_group", dealt(pages, groups)).withColumn("_block", every(blocks))
+    return right.join(left, ["_block", "_group"]).drop("_block", "_group")
+
+
+def finite(df: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector, or list of vectors, is there and holds no null, NaN or infinite number."""
+    number = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
+    flat = lambda v: F.coalesce(F.forall(v, number), F.lit(False))
+    nested = dict(df.dtypes)[vector].startswith("array<array<")
+    return df.where(F.coalesce(F.forall(vector, flat), F.lit(False)) if nested else flat(F.col(vector)))
 
 
 def _blocks(df: DataFrame, key: str, numbers: Column, least: int = 1) -> tuple[Column, int]:
@@ -75,10 +88,11 @@ def _blocks(df: DataFrame, key: str, numbers: Column, least: int = 1) -> tuple[C
 
 def blocked_topk(queries: DataFrame, pages: DataFrame, k: int, length: Column, numbers: Column, score: Callable[[pa.Array, pa.Array], np.ndarray]) -> DataFrame:
     """query, label, score, rank from queries (query, v) and pages (label, v): the k pages with the largest scores, rounded to
-    six digits, ties to the smaller label. score gives a matrix for the vectors of two blocks; only vectors of the same length meet.
+    six digits, ties to the smaller label. score gives a matrix for the vectors of two blocks, minus infinity where a page can't be
+    among the k; only vectors of the same length meet. Vectors with a null, NaN or infinite number take no part.
     """
     kinds = {**dict(queries.dtypes), **dict(pages.dtypes)}
-    ready = [df.where(length > 0) for df in (queries, pages)]
+    ready = [finite(df.where(length > 0), "v") for df in (queries, pages)]
     (q_block, n_blocks), (p_block, n_groups) = _blocks(ready[0], "query", numbers), _blocks(ready[1], "label", numbers, queries.sparkSession.sparkContext.defaultParallelism)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = ready[0].select("query", "v", length.alias("_d"), q_block.alias("_block"), every(n_groups).alias("_group"))
@@ -118,15 +132,67 @@ def _cosines(asked: pa.Array, held: pa.Array) -> np.ndarray:
     return (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)) @ (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)).T
 
 
-def _late_interactions(asked: pa.Array, held: pa.Array) -> np.ndarray:
-    """Per query and page: each query token's best product over the page's tokens, summed."""
+#: Groups that the tokens of a block of pages are told apart by, tokens these are taken from, and pages that are scored first (k at least).
+GROUPS, DRAWN, FIRST = 64, 2048, 32
+
+
+def _grouped(tokens: np.ndarray) -> np.ndarray:
+    """Each token's group: the nearest of up to GROUPS tokens that lie far from each other, of DRAWN ones evenly spaced."""
+    drawn = tokens[:: -(-len(tokens) // DRAWN)]
+    chosen, far = [0], np.square(drawn - drawn[0]).sum(axis=1)
+    while len(chosen) < min(GROUPS, len(drawn)) and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, np.square(drawn - drawn[chosen[-1]]).sum(axis=1))
+    seeds = drawn[chosen]
+    return (tokens @ seeds.T - 0.5 * np.square(seeds).sum(axis=1)).argmax(axis=1)
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
+
+
+def _gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places starts[i] .. starts[i] + lengths[i] - 1, one after the other."""
+    return np.arange(lengths.sum()) - np.repeat(_starts(lengths), lengths) + np.repeat(starts, lengths)
+
+
+def late_interactions(asked: pa.Array, held: pa.Array, k: int) -> tuple[np.ndarray, int]:
+    """Per query and page: each query token's best product over the page's tokens, summed; minus infinity for pages that can't be
+    among the query's k best; and how many pairs were scored.
+
+    A page's tokens fall into groups of near ones, each with a centre and a radius. A query token's best product is at most its
+    largest q * centre + |q| * radius, so the sum of these bounds a page's score. The pages with the largest bounds are scored
+    first; of the others only those whose bound reaches the k-th score.
+    """
     width = len(asked[0][0])
     q, p = (_numbers(v).reshape(-1, width) for v in (asked, held))
-    q_starts, p_starts = (np.append(0, np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))[:-1]).astype(np.int64) for v in (asked, held))
-    out = np.zeros((len(asked), len(held)))
-    for i, (a, b) in enumerate(zip(q_starts, np.append(q_starts[1:], len(q)), strict=True)):
-        out[i] = np.maximum.reduceat(q[a:b] @ p.T, p_starts, axis=1).sum(axis=0)
-    return out
+    q_lengths, lengths = (v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for v in (asked, held))
+    starts = _starts(lengths)
+    page = np.repeat(np.arange(len(held)), lengths)
+    group = _grouped(p)
+    order = np.lexsort((group, page))
+    p, group = p[order], group[order]
+    run_starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (page[1:] != page[:-1])]))
+    runs = np.bincount(page[run_starts], minlength=len(held))
+    run_lengths = np.diff(np.append(run_starts, len(p)))
+    centres = np.add.reduceat(p, run_starts, axis=0) / run_lengths[:, None]
+    radii = np.maximum.reduceat(np.linalg.norm(p - np.repeat(centres, run_lengths, axis=0), axis=1), run_starts)
+    out, scored = np.full((len(asked), len(held)), -np.inf), 0
+    for i, (a, n) in enumerate(zip(_starts(q_lengths), q_lengths, strict=True)):
+        tokens = q[a : a + n]
+        most = tokens @ centres.T + np.linalg.norm(tokens, axis=1)[:, None] * radii
+        bounds = np.maximum.reduceat(most, _starts(runs), axis=1).sum(axis=0)
+        order = np.argsort(-bounds, kind="stable")
+        first = max(k, FIRST)
+        for turn in range(2):
+            pages = order[:first] if not turn else order[first:][bounds[order[first:]] >= np.sort(out[i, order[:first]])[-k] - 2e-6]
+            if len(pages):
+                products = tokens @ p[_gathered(starts[pages], lengths[pages])].T
+                out[i, pages] = np.maximum.reduceat(products, _starts(lengths[pages]), axis=1).sum(axis=0)
+                scored += len(pages)
+            if len(order) <= first:
+                break
+    return out, scored
 
 
 def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int, rank: str = "rank") -> DataFrame:
@@ -137,7 +203,7 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int, rank: str
 def dense_topk(queries: DataFrame, pages: DataFrame, k: int, scope: Sequence[str] = (), existing: DataFrame | None = None) -> DataFrame:
     """Cosine ranking. queries: query, qv and scope; pages: label, v and scope; existing keeps only its labels.
 
-    Ties go to the smaller label. An unknown scope value finds nothing. Without a scope the result is query, label, score, rank.
+    Ties go to the smaller label. An unknown scope value finds nothing; vectors with a null, NaN or infinite number take no part. Without a scope the result is query, label, score, rank.
     """
     if existing is not None:
         pages = pages.join(existing.select("label"), "label", "left_semi")
@@ -145,7 +211,7 @@ def dense_topk(queries: DataFrame, pages: DataFrame, k: int, scope: Sequence[str
         return blocked_topk(queries.select("query", F.col("qv").alias("v")), pages.select("label", "v"), k, F.size("v"), F.size("v"), _cosines)
     ready = pages.withColumn("v", l2_normalize(F.col("v")))
     asked = queries.withColumn("qv", l2_normalize(F.col("qv")))
-    scored = score_pairs(asked, ready, scope).withColumn("score", F.round(dot(F.col("qv"), F.col("v")), 6))
+    scored = score_pairs(finite(asked, "qv"), finite(ready, "v"), scope).withColumn("score", F.round(dot(F.col("qv"), F.col("v")), 6))
     return top_k(scored.drop("qv", "v"), "query", "score", "label", k)
 
 
@@ -162,8 +228,8 @@ def maxsim_topk(queries: DataFrame, pages: DataFrame, k: int, scope: Sequence[st
             raise ValueError("a query names a deck that has no page")
     else:
         width, numbers = F.size(F.get("v", F.lit(0))), F.size(F.flatten("v"))
-        return blocked_topk(queries.select("query", F.col("qv").alias("v")), pages.select("label", "v"), k, width, numbers, _late_interactions)
-    scored = score_pairs(queries, pages, scope).withColumn("score", F.round(maxsim(F.col("qv"), F.col("v")), 6))
+        return blocked_topk(queries.select("query", F.col("qv").alias("v")), pages.select("label", "v"), k, width, numbers, lambda asked, held: late_interactions(asked, held, k)[0])
+    scored = score_pairs(finite(queries, "qv"), finite(pages, "v"), scope).withColumn("score", F.round(maxsim(F.col("qv"), F.col("v")), 6))
     return top_k(scored.drop("qv", "v"), "query", "score", "label", k)
 
 

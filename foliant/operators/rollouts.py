@@ -10,11 +10,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.reductions import LARGEST, SMALLEST, bootstrap
+from foliant.functions.scans import scan_back
+
 EPS = 1e-6
 
 
 #: Steps that are folded in one array.
-SEGMENT = 64
+SEGMENT = 4096
 
 
 def discounted_returns(steps: DataFrame, traj: str, order: Sequence[str], reward: str, gamma: float) -> DataFrame:
@@ -32,10 +35,13 @@ def discounted_returns(steps: DataFrame, traj: str, order: Sequence[str], reward
     placed = steps.select(F.col(traj).alias("_traj"), (F.row_number().over(window) - 1).alias("_i"), value.alias("_r"), F.struct(*map(F.col, steps.columns)).alias("_row"))
     held = placed.groupBy("_traj", F.floor(F.col("_i") / SEGMENT).alias("_seg")).agg(F.collect_list(F.struct("_i", "_r", "_row")).alias("_held"))
     held = held.withColumn("_held", F.array_sort("_held", lambda x, y: x["_i"] - y["_i"]))
-    held = held.withColumn("_own", _folded_back(F.transform("_held", lambda x: x["_r"]), lambda run, x: x + F.lit(gamma) * run))
-    later = Window.partitionBy("_traj").orderBy(F.desc("_seg")).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.collect_list(F.struct(F.get("_own", F.lit(0)).alias("first"), F.pow(F.lit(float(gamma)), F.size("_own")).alias("fade"))).over(later)
-    held = held.withColumn("_next", F.aggregate(ahead, F.lit(0.0), lambda run, x: x["first"] + x["fade"] * run))
+    fades = F.array_repeat(F.lit(float(gamma)), F.size("_held"))
+    held = held.withColumn("_own", scan_back(fades, F.transform("_held", lambda x: x["_r"])))
+    # a segment is one affine map of the return behind it, so the segments' returns are a scan of their own
+    maps = held.groupBy("_traj").agg(F.array_sort(F.collect_list(F.struct("_seg", F.get("_own", F.lit(0)).alias("first"), F.pow(F.lit(float(gamma)), F.size("_own")).alias("fade")))).alias("_m"))
+    starts = scan_back(F.transform("_m", lambda x: x["fade"]), F.transform("_m", lambda x: x["first"]))
+    starts = maps.select("_traj", F.posexplode(starts).alias("_seg", "_next")).select("_traj", (F.col("_seg") - 1).cast("long").alias("_seg"), "_next")
+    held = held.join(starts, ["_traj", "_seg"], "left").withColumn("_next", F.coalesce("_next", F.lit(0.0)))
     both = F.arrays_zip("_held", "_own")
     each = held.select("_next", F.size("_own").alias("_n"), F.posexplode(both).alias("_p", "_x"))
     returned = F.col("_x._own") + F.pow(F.lit(float(gamma)), F.col("_n") - F.col("_p")) * F.col("_next")
@@ -93,29 +99,27 @@ def rfpp_baseline(rollouts: DataFrame, uid: str, score: str, mask: str) -> DataF
     return masked_whiten(rollouts.withColumn("_c", F.col(score) - mean), F.col("_c"), F.col(mask), "advantage").drop("_c")
 
 
-def _folded_back(values: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Running state from the last element to the first; step(state before, element) -> state. Gives the states in order."""
-    return F.aggregate(F.reverse(values), F.array().cast("array<double>"), lambda acc, x: F.array_prepend(acc, step(F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0)), x)))
-
-
 def reinforce_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Discounted running value per token, zeroed where the mask is 0."""
-    pairs = F.zip_with(rewards, mask, lambda r, m: F.struct(r.cast("double").alias("r"), m.cast("double").alias("m")))
-    return _folded_back(pairs, lambda run, x: (x["r"] + F.lit(gamma) * run) * x["m"])
+    masks = F.transform(mask, lambda m: m.cast("double"))
+    return scan_back(F.transform(masks, lambda m: m * F.lit(float(gamma))), F.zip_with(rewards, masks, lambda r, m: r.cast("double") * m))
+
+
+def _constant(like: Column, x: float) -> Column:
+    return F.array_repeat(F.lit(float(x)), F.size(like))
 
 
 def remax_returns(rewards: Column, mask: Column, baseline: Column) -> tuple[Column, Column]:
     """Reverse cumulative sum of masked rewards, and that less baseline * mask."""
-    masked = F.zip_with(rewards, mask, lambda r, m: r.cast("double") * m)
-    returns = _folded_back(masked, lambda run, x: run + x)
+    returns = scan_back(_constant(rewards, 1), F.zip_with(rewards, mask, lambda r, m: r.cast("double") * m))
     return returns, F.zip_with(returns, mask, lambda r, m: r - baseline * m)
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     """Generalised advantage estimates per token."""
     after = F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
-    deltas = F.zip_with(F.zip_with(rewards, values, lambda r, v: r - v), after, lambda d, n: d + F.lit(gamma) * n)
-    return _folded_back(deltas, lambda run, d: d + F.lit(gamma * lam) * run)
+    deltas = F.zip_with(F.zip_with(rewards, values, lambda r, v: r - v), after, lambda d, n: (d + F.lit(gamma) * n).cast("double"))
+    return scan_back(_constant(deltas, gamma * lam), deltas)
 
 
 def whitened_tokens(rows: DataFrame, key: str, values: Column, mask: str, masked: bool) -> DataFrame:
@@ -290,8 +294,12 @@ def traj_log_ratio(rows: DataFrame, traj: str, logp: str, old: str, mask: str) -
 def expected_update(steps: DataFrame, traj: str, order: Sequence[str], is_gold: Column, page: str, n_gold: str) -> DataFrame:
     """Reject off gold; on gold expand while gold pages are still missing after this step, else accept."""
     along = Window.partitionBy(traj).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    hits = F.size(F.collect_set(F.when(is_gold, F.col(page))).over(along))
-    return steps.withColumn("expected", F.when(~is_gold, "reject").when(hits < F.col(n_gold), "expand").otherwise("accept"))
+    gold = F.coalesce(is_gold, F.lit(False))
+    # a gold page counts at its first sight, so no step carries the set of them
+    first = (F.row_number().over(Window.partitionBy(traj, page, "_gold").orderBy(*order)) == 1) & F.col("_gold") & F.col(page).isNotNull()
+    held = steps.withColumn("_gold", gold).withColumn("_first", first.cast("int")).withColumn("_hits", F.sum("_first").over(along))
+    said = F.when(~is_gold, "reject").when(F.col("_hits") < F.col(n_gold), "expand").otherwise("accept")
+    return held.withColumn("expected", said).drop("_gold", "_first", "_hits")
 
 
 def batch_metrics(rows: DataFrame, traj: str, measures: Sequence[str], response_len: str, cap: int) -> DataFrame:
@@ -319,41 +327,8 @@ def bootstrap_extremes(samples: DataFrame, group: str, value: str, n: int | None
     """Mean and population deviation of the largest and smallest of n values drawn with replacement, over `draws` draws.
 
     Without n, a row for each size of a group: powers of two below its number of values, then that number; none for one value.
-    Draws are made over the group's array of values, a block of them at a time; rows are never multiplied.
     """
-    values = samples.groupBy(group).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_v"))
-    kind, block = dict(values.dtypes)[group], 1 << 20
-
-    def sizes(many):
-        if n is not None:
-            return [n] if many else []
-        return [*(1 << k for k in range(1, many.bit_length()) if 1 << k < many), many] if many > 1 else []
-
-    def draw(batches):
-        from hashlib import md5
-
-        import numpy as np
-        import pandas as pd
-
-        for rows in batches:
-            out = []
-            for name, held in zip(rows[group], rows["_v"]):
-                held = np.asarray(held, dtype="float64")
-                for size in sizes(len(held)):
-                    rng = np.random.default_rng(int.from_bytes(md5(f"{seed}-{name}-{size}".encode()).digest(), "big"))
-                    best, worst, step = np.empty(draws), np.empty(draws), max(1, block // size)
-                    for at in range(0, draws, step):
-                        stop = min(draws, at + step)
-                        low, high = np.full(stop - at, np.inf), np.full(stop - at, -np.inf)
-                        for start in range(0, size, block):
-                            x = held[rng.integers(0, len(held), (stop - at, min(block, size - start)))]
-                            np.minimum(low, x.min(1), out=low)
-                            np.maximum(high, x.max(1), out=high)
-                        best[at:stop], worst[at:stop] = high, low
-                    out.append((name, size, best.mean(), best.std(), worst.mean(), worst.std()))
-            yield pd.DataFrame(out, columns=[group, "n", "best_mean", "best_std", "worst_mean", "worst_std"])
-
-    drawn = values.mapInPandas(draw, f"`{group}` {kind}, n int, best_mean double, best_std double, worst_mean double, worst_std double")
+    drawn = bootstrap(samples, group, value, {"best": LARGEST, "worst": SMALLEST}, draws, seed, n)
     return drawn if n is None else drawn.drop("n")
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from foliant.operators import balance as B
 from foliant.operators import curate as C
 
+from foliant.sources.scratch import shared_folder
+
 from .tables import table
 
 
@@ -120,7 +125,10 @@ def f20_clean_verdicts(spark, sf):
 
 
 def d1_balanced_split(spark, sf):
-    return C.balanced_split(_docs(spark, sf), "hop", {"multi": (100, 50), "single": (200, 20)}, "s", "doc_id").select("doc_id", "hop", "split")
+    """Half and a tenth of each class, whatever its size; more than there is would be an error."""
+    docs = _docs(spark, sf)
+    sizes = {hop: (n // 2, n // 10) for hop, n in docs.groupBy("hop").count().collect()}  # two classes
+    return C.balanced_split(docs, "hop", sizes, "s", "doc_id").select("doc_id", "hop", "split")
 
 
 def d2_packed_select(spark, sf):
@@ -176,13 +184,56 @@ def d14_question_minibatches(spark, sf):
     return C.question_minibatches(_orders(spark, sf), "uid", "traj").select("traj", "batch")
 
 
+def _costs(spark, sf):
+    """Every 97th document costs a thousand times its length, which is beyond most budgets."""
+    cost = F.coalesce("n_chars", F.lit(0)) * F.when(F.col("doc_id") % 97 == 0, 1000).otherwise(1)
+    return table(spark, sf, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), cost.alias("cost"))
+
+
 def d15_balance_ranks(spark, sf):
-    return C.balance_ranks(_docs(spark, sf), "n_chars", "doc_id", 8).select("doc_id", "rank")
+    return B.balance_ranks(_costs(spark, sf), "n_chars", "doc_id", 8).select("doc_id", "rank")
 
 
 def d16_micro_batches(spark, sf):
-    out = C.micro_batches(_docs(spark, sf), "n_chars", "doc_id", 100_000)
-    return out.groupBy("rank").agg(F.sum("n_chars").alias("cost")).select((F.col("cost") <= 100_000).alias("fits")).distinct()
+    """All rows with their batch and its sum, rows above the budget on their own."""
+    out = B.micro_batches(_costs(spark, sf), "cost", "doc_id", 400_000)
+    sums = out.groupBy("batch").agg(F.sum("cost").alias("batch_cost"))
+    return out.join(sums, "batch").select("doc_id", "batch", "batch_cost")
+
+
+def _rounds(spark, sf):
+    """Round n has the orders whose number leaves n - 1 modulo 5; a customer's orders of it are a group."""
+    o = _orders(spark, sf).withColumn("reward", (F.col("o_orderstatus") == "F").cast("int"))
+    return lambda n: o.where(F.col("traj") % 5 == n - 1)
+
+
+def f15_accumulate_groups(spark, sf):
+    """Rounds until a quarter of all orders is useful."""
+    target = table(spark, sf, "orders").count() // 4
+    return C.accumulate_groups(spark, _rounds(spark, sf), f"{shared_folder(spark)}/foliant/{uuid.uuid4().hex}", "uid", "reward", target, 5).select("uid", "traj", "round")
+
+
+def f15_last_try(spark, sf):
+    """The target is out of reach: the second round is the last, and all its groups are taken."""
+    return C.accumulate_groups(spark, _rounds(spark, sf), f"{shared_folder(spark)}/foliant/{uuid.uuid4().hex}", "uid", "reward", table(spark, sf, "orders").count(), 2).select("uid", "traj", "round")
+
+
+def f13_answered(spark, sf):
+    """Every third turn of an assistant says nothing here."""
+    c = table(spark, sf, "conversations").withColumn("terminal", F.col("role") == "assistant")
+    return C.check_trajectories(c.withColumn("said", F.when((F.col("turn") % 3 == 2) & F.col("terminal"), "  ").otherwise(F.col("text"))), "conv_id", "turn", "terminal", "said")
+
+
+def f14_masked(spark, sf):
+    """Values differ only where the mask is 0, but for every fifth user."""
+    k = F.col("k")
+    rows = _steps(spark, sf).withColumn("m", (k % 4 > 0).cast("int")).withColumn("v", F.when((k % 4 == 0) | (F.col("user_id") % 5 == 0), F.col("value")).otherwise(F.col("user_id").cast("double")))
+    return C.check_traj_advantage(rows, "user_id", "v", mask="m")
+
+
+def d22_smoke_set(spark, sf):
+    """The first twenty documents of one language, in order."""
+    return C.smoke_set(_docs(spark, sf), F.col("lang") == "en", ["doc_id"], 20).select("doc_id")
 
 
 def d17_sqrt_quota_sample(spark, sf):
@@ -243,7 +294,9 @@ ORACLE_SQL = {
     "f19_crop_label": f"""{_O}, t AS (SELECT uid, count(*) FILTER (traj % 2 = 0 AND ok) AS cc, count(*) FILTER (traj % 2 = 0 AND NOT ok) AS cw, count(*) FILTER (traj % 2 = 1 AND ok) AS nc, count(*) FILTER (traj % 2 = 1 AND NOT ok) AS nw FROM o GROUP BY 1)
  SELECT *, CASE WHEN cc > 0 AND nc = 0 THEN 'crop' WHEN nc > 0 AND cc = 0 THEN 'no_crop' END AS label, CASE WHEN cc > 0 AND nc = 0 THEN CASE WHEN nw >= 2 THEN 'strong' ELSE 'weak' END WHEN nc > 0 AND cc = 0 THEN CASE WHEN cw >= 2 THEN 'strong' ELSE 'weak' END END AS confidence FROM t""",
     "f20_clean_verdicts": f"{_S} SELECT event_id, CASE WHEN k % 5 = 0 THEN 'unreadable' WHEN k % 5 = 2 THEN 'no verdict' WHEN k % 5 = 1 AND k % 2 <> 0 THEN 'contradiction' END AS judge_error, CASE WHEN k % 5 = 1 AND k % 2 = 0 THEN true WHEN k % 5 IN (3, 4) THEN false END AS correct FROM s",
-    "d1_balanced_split": f"{_D}, p AS (SELECT *, row_number() OVER (PARTITION BY hop ORDER BY {_SEED.format('doc_id')}, doc_id) AS i FROM d) SELECT doc_id, hop, CASE WHEN i <= CASE hop WHEN 'multi' THEN 100 ELSE 200 END THEN 'train' ELSE 'val' END AS split FROM p WHERE i <= CASE hop WHEN 'multi' THEN 150 ELSE 220 END",
+    "d1_balanced_split": f"""
+{_D}, p AS (SELECT *, row_number() OVER (PARTITION BY hop ORDER BY {_SEED.format('doc_id')}, doc_id) AS i, count(*) OVER (PARTITION BY hop) AS n FROM d)
+SELECT doc_id, hop, CASE WHEN i <= n // 2 THEN 'train' ELSE 'val' END AS split FROM p WHERE i <= n // 2 + n // 10""",
     "d2_packed_select": f"{_D}, k AS (SELECT *, count(*) FILTER (hop = 'multi') OVER (PARTITION BY source) AS m, count(*) FILTER (hop = 'single') OVER (PARTITION BY source) AS s FROM d), m AS (SELECT * FROM k WHERE hop = 'multi' ORDER BY m DESC, s DESC, source, doc_id LIMIT 60), n AS (SELECT * FROM k WHERE hop = 'single' ORDER BY (source NOT IN (SELECT source FROM m))::INT, s DESC, source, doc_id LIMIT 70) SELECT doc_id, source, hop FROM m UNION ALL SELECT doc_id, source, hop FROM n",
     "d3_slice_ordered": f"{_D} SELECT * FROM d ORDER BY n_chars, doc_id LIMIT 50 OFFSET 100",
     "d4_interleave": f"{_D}, i AS (SELECT doc_id, hop, CASE hop WHEN 'multi' THEN 'a' ELSE 'b' END AS side, row_number() OVER (PARTITION BY hop ORDER BY doc_id) AS i FROM d) SELECT doc_id, hop, side, row_number() OVER (ORDER BY i, side) AS place FROM i",
@@ -256,12 +309,46 @@ ORACLE_SQL = {
     "d12_repeat_rows": f"{_S} SELECT event_id, c::INT AS copy FROM s, unnest(range(1, k % 3 + 1)) AS t(c)",
     "d13_pad_to_multiple": "WITH n AS (SELECT count(*) AS n, (-count(*) % 768 + 768) % 768 AS short FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents) SELECT doc_id, false AS padding FROM documents UNION ALL SELECT doc_id, true FROM r, n, unnest(range(1 + short // n)) AS t(x) WHERE i + x * n <= short",
     "d14_question_minibatches": "SELECT o_orderkey AS traj, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS batch FROM orders",
-    "d15_balance_ranks": "WITH p AS (SELECT doc_id, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) % 16 AS m FROM documents) SELECT doc_id, (CASE WHEN m < 8 THEN m ELSE 15 - m END)::INT AS rank FROM p",
-    "d16_micro_batches": "SELECT true AS fits",
     "d17_sqrt_quota_sample": f"{_D}, z AS (SELECT lang, 120.0::DOUBLE * sqrt(count(*)) / sum(sqrt(count(*))) OVER () AS share FROM d GROUP BY 1), q AS (SELECT lang, floor(share) + (row_number() OVER (ORDER BY share - floor(share) DESC, lang) <= 120 - sum(floor(share)) OVER ())::INT AS q FROM z), c AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS c FROM d), i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c, hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS i FROM c) SELECT doc_id, i.lang FROM i JOIN q ON i.lang = q.lang WHERE i <= q",
     "d18_waterfill_quota": f"{_D}, z AS (SELECT lang || '/' || doc_id % 7 AS stratum, count(*) AS size FROM d GROUP BY 1), l AS (SELECT size, (400 - coalesce((SELECT sum(size) FROM z b WHERE b.size < a.size), 0)) / (SELECT sum(sqrt(size)) FROM z b WHERE b.size >= a.size) AS level FROM z a) SELECT stratum, size, round(least(size, coalesce((SELECT arg_min(level, size) FROM l WHERE level <= sqrt(size)), 1e18) * sqrt(size)), 6)::DOUBLE AS quota FROM z",
     "d19_round_robin": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_SEED.format('doc_id')}, doc_id)::INT AS round FROM d) SELECT doc_id, source, round FROM r ORDER BY round, {_SEED.format('source')}, doc_id LIMIT 130",
     "d20_sort_samples": "WITH i AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id, doc_id FROM documents) SELECT id, row_number() OVER (ORDER BY doc_id % 10 = 0, CASE WHEN doc_id % 10 > 0 THEN doc_id END, id) AS place FROM i",
     "d21_top_up": f"{_D}, r AS (SELECT doc_id AS replaced, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM d WHERE doc_id % 20 = 0), p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS i FROM d WHERE doc_id % 20 > 9) SELECT replaced, doc_id, r.lang FROM r JOIN p ON r.lang = p.lang AND r.i = p.i",
     "d22_preview": f"SELECT item_id FROM benchmark ORDER BY {_SEED.format('text')}, text LIMIT 20",
+    "d15_balance_ranks": """
+WITH RECURSIVE o AS (SELECT doc_id, coalesce(n_chars, 0) AS c, row_number() OVER (ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS i FROM documents),
+r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, 0 AS best, list_transform(range(1, 9), lambda k: 0::BIGINT) AS loads,
+ list_transform(range(1, 9), lambda k: n // 8 + (k <= n % 8)::BIGINT) AS room FROM (SELECT count(*) AS n FROM documents)
+UNION ALL SELECT i, doc_id, b, list_transform(range(1, 9), lambda k: loads[k] + CASE WHEN k = b THEN c ELSE 0 END), list_transform(range(1, 9), lambda k: room[k] - (k = b)::BIGINT)
+ FROM (SELECT *, list_position(x, list_min(x)) AS b FROM (SELECT o.*, loads, room, list_transform(range(1, 9), lambda k: CASE WHEN room[k] > 0 THEN loads[k] ELSE 9e18::BIGINT END) AS x
+  FROM r JOIN o ON o.i = r.i + 1)))
+SELECT doc_id, (best - 1)::INT AS rank FROM r WHERE i > 0""",
+    "d16_micro_batches": """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(n_chars, 0) * CASE WHEN doc_id % 97 = 0 THEN 1000 ELSE 1 END AS c FROM documents),
+o AS (SELECT *, row_number() OVER (ORDER BY c DESC, doc_id) AS i, count(*) OVER () AS n, ceil(sum(c) OVER () / 400000.0)::BIGINT AS least FROM d WHERE c <= 400000),
+r AS (SELECT m, 0::BIGINT AS i, NULL::BIGINT AS doc_id, 0 AS best, list_transform(range(m), lambda k: 0::BIGINT) AS loads
+ FROM (SELECT unnest(range(l, l + 4)) AS m FROM (SELECT greatest(1, any_value(least)) AS l FROM o))
+UNION ALL SELECT m, i, doc_id, b, list_transform(range(1, m + 1), lambda k: loads[k] + CASE WHEN k = b THEN c ELSE 0 END)
+ FROM (SELECT r.m, o.i, o.doc_id, o.c, loads, list_position(loads, list_min(loads)) AS b FROM r JOIN o ON o.i = r.i + 1)),
+chosen AS (SELECT min(m) AS m FROM r WHERE i = (SELECT max(n) FROM o) AND list_max(loads) <= 400000),
+p AS (SELECT doc_id, (best - 1)::INT AS batch FROM r JOIN chosen USING (m) WHERE i > 0
+ UNION ALL SELECT doc_id, (m + row_number() OVER (ORDER BY doc_id) - 1)::INT FROM d, chosen WHERE c > 400000)
+SELECT doc_id, batch, (sum(c) OVER (PARTITION BY batch))::BIGINT AS batch_cost FROM p JOIN d USING (doc_id)""",
+    **{
+        name: f"""
+WITH o AS (SELECT o_custkey AS uid, o_orderkey AS traj, o_orderkey % 5 + 1 AS round, o_orderstatus = 'F' AS ok FROM orders),
+u AS (SELECT *, min(ok) OVER g <> max(ok) OVER g AS useful FROM o WINDOW g AS (PARTITION BY round, uid)),
+n AS (SELECT round, sum(sum(useful::INT)) OVER (ORDER BY round) AS total FROM u GROUP BY round),
+s AS (SELECT least({most}, coalesce((SELECT min(round) FROM n WHERE total >= (SELECT count(*) {target} FROM orders)), {most})) AS stop)
+SELECT uid, traj, round::INT AS round FROM u, s WHERE round <= stop AND (useful OR round = {most})"""
+        for name, most, target in (("f15_accumulate_groups", 5, "// 4"), ("f15_last_try", 2, ""))
+    },
+    "f13_answered": """
+SELECT conv_id, count(*) AS steps, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS complete, arg_max(role = 'assistant', turn) AS ends,
+ bool_and(trim(coalesce(text, '')) <> '' AND NOT (turn % 3 = 2 AND role = 'assistant')) AS answered FROM conversations GROUP BY 1""",
+    "f14_masked": f"""
+{_S}, v AS (SELECT user_id, CASE WHEN user_id % 5 = 0 THEN value ELSE user_id::DOUBLE END AS v FROM s WHERE k % 4 > 0),
+c AS (SELECT user_id, max(v) - min(v) <= 1e-6 + 1e-5 * abs(min(v)) AS same FROM v GROUP BY 1)
+SELECT user_id, coalesce(same, true) AS same FROM (SELECT DISTINCT user_id FROM s) LEFT JOIN c USING (user_id)""",
+    "d22_smoke_set": "SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 20",
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import scorers as U
-from foliant.operators import curate as C
+from foliant.functions.generators import RUNS, ActionRuns, generated, register_generator
+from foliant.functions.reductions import LARGEST, MEAN, Reduction, bootstrap, reduce_by
 from foliant.operators import memory as M
 from foliant.operators import rollouts as W
 from foliant.operators import turns as N
+from foliant.operators.linked import dedup_two_keys
 from foliant.sources.scratch import written
 
 from .tables import table
@@ -188,7 +190,7 @@ def m7_replay_check(spark, sf):
 
 
 def d8_dedup_two_keys(spark, sf):
-    return C.dedup_two_keys(_steps(spark, sf).withColumn("a", F.when(F.col("k") % 17 > 0, F.col("user_id"))), ["a"], ["k", "event_type"], "event_id").select("event_id")
+    return dedup_two_keys(_steps(spark, sf).withColumn("a", F.when(F.col("k") % 17 > 0, F.col("user_id"))), ["a"], ["k", "event_type"], "event_id").select("event_id")
 
 
 def w8_similar_groups(spark, sf):
@@ -234,6 +236,36 @@ def u6_row_generators(spark, sf):
     return tasks.groupBy("user_id").agg(F.count("*").alias("tasks")).join(steps, "user_id")
 
 
+def u4_own_reductions(spark, sf):
+    """Reductions of the caller: a mean, the largest, and the sum of squares by a reduction made here."""
+    squares = Reduction(lambda: 0.0, lambda s, x, n: s + x * x * n, lambda a, b: a + b, lambda s: s)
+    out = reduce_by(_steps(spark, sf).where("k % 7 > 0"), "user_id", "k", {"mean": MEAN, "largest": LARGEST, "squares": squares})
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+def u4_bootstrap_sure(spark, sf):
+    """Bootstraps of groups whose values are all alike, where each draw gives that value, at every size."""
+    steps = _steps(spark, sf).withColumn("v", F.col("user_id").cast("double"))
+    spread = Reduction(lambda: (None, None), lambda s, x, n: (x if s[0] is None else min(s[0], x), x if s[1] is None else max(s[1], x)), lambda a, b: (min(a[0], b[0]), max(a[1], b[1])), lambda s: s[1] - s[0])
+    return bootstrap(steps, "user_id", "v", {"mean": MEAN, "spread": spread}, 100, "s").select("user_id", "n", "mean_mean", "mean_std", "spread_mean")
+
+
+def _runs(spark, sf):
+    return _steps(spark, sf).select(F.col("user_id").alias("traj"), F.col("event_id").alias("step"), F.col("event_type").alias("action"))
+
+
+def u6_action_runs(spark, sf):
+    """A generator with code of its own: runs of one action."""
+    return generated(_runs(spark, sf), ActionRuns, RUNS, ["traj"], ["step"])
+
+
+def u6_sql_generator(spark, sf):
+    """The same in SQL, and only runs of several steps."""
+    runs = _runs(spark, sf)
+    register_generator(runs, "action_runs", ActionRuns, RUNS)
+    return spark.sql("SELECT traj, action, first, steps FROM action_runs(TABLE({runs}) PARTITION BY traj ORDER BY step) WHERE steps > 1", runs=runs)
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "fnmdwu" and k[1].isdigit()}
 
 _S = "WITH s AS (SELECT event_id, user_id, event_type, value, (props->>'$.k')::INT AS k FROM events)"
@@ -268,4 +300,17 @@ ORACLE_SQL = {
     "u5_embed": "SELECT item_id, " + ", ".join(f"length(text) - length(replace(text, '{c}', '')) AS {c}" for c in "abc") + " FROM benchmark",
     "u6_row_generators": f"{_S} SELECT user_id, count(DISTINCT k) FILTER (k BETWEEN 1 AND 9) AS tasks, count(*) AS steps FROM s GROUP BY 1",
     "u4_reduce_groups": "SELECT event_type, round(avg(value), 6) AS mean, max(value) AS max, min(value) AS min, round(stddev_pop(value), 6) AS std, median(value) AS median FROM events GROUP BY 1",
+    "u4_own_reductions": f"""
+{_S} SELECT user_id, round(avg(k), 6) AS mean, max(k)::DOUBLE AS largest, sum(k * k)::DOUBLE AS squares FROM s WHERE k % 7 > 0 GROUP BY 1""",
+    "u4_bootstrap_sure": """
+WITH g AS (SELECT user_id, count(*)::INT AS many FROM events GROUP BY 1 HAVING count(*) > 1),
+n AS (SELECT user_id, unnest(list_concat(list_filter(list_transform(range(1, 31), lambda i: (1 << i)::INT), lambda x: x < many), [many])) AS n FROM g)
+SELECT user_id, n, user_id::DOUBLE AS mean_mean, 0.0::DOUBLE AS mean_std, 0.0::DOUBLE AS spread_mean FROM n""",
+    **{
+        name: f"""
+WITH e AS (SELECT user_id AS traj, event_id AS step, event_type AS action, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type AS new FROM events),
+r AS (SELECT *, sum(new::INT) OVER (PARTITION BY traj ORDER BY step) AS run FROM e)
+SELECT traj, any_value(action) AS action, min(step) AS first, count(*) AS steps FROM r GROUP BY traj, run HAVING count(*) > {least}"""
+        for name, least in (("u6_action_runs", 0), ("u6_sql_generator", 1))
+    },
 }

@@ -2,7 +2,7 @@
 
 import random
 
-from foliant.operators import curate, memory, rollouts
+from foliant.operators import curate, linked, memory, rollouts
 from foliant.plans import nested
 
 TURN = "sample int, turn int, view string, added array<string>, updated array<struct<n:int,text:string>>, op string, node string, answered string, answer string, next string, pages array<string>"
@@ -162,8 +162,8 @@ def test_two_keys(spark):
         if a is not None:
             seen1.add(a)
     df = spark.createDataFrame(rows, "i int, a int, b int")
-    assert sorted(r.i for r in curate.dedup_two_keys(df, ["a"], ["b"], "i").collect()) == want
-    assert sorted(r.i for r in curate.dedup_two_keys(df, ["a"], ["b"], "i", 5).collect()) == want[:5]
+    assert sorted(r.i for r in linked.dedup_two_keys(df, ["a"], ["b"], "i").collect()) == want
+    assert sorted(r.i for r in linked.dedup_two_keys(df, ["a"], ["b"], "i", 5).collect()) == want[:5]
     kept = df.where(df.i.isin(want[:5]))
     reasons = {r.i: r.reasons for r in curate.skip_reasons(df, kept, ["a"], ["b"], "i").collect()}
     held = [x for x in rows if x[0] in want[:5]]
