@@ -234,10 +234,15 @@ def maxsim_topk(queries: DataFrame, pages: DataFrame, k: int, scope: Sequence[st
 
 
 def maxsim_long(query_tokens: DataFrame, page_tokens: DataFrame) -> DataFrame:
-    """R5 over exploded tokens: query_tokens (query, qtok, qv), page_tokens (label, tok, v) -> query, label, score."""
-    pairs = score_pairs(query_tokens, page_tokens).withColumn("_s", dot(F.col("qv"), F.col("v")))
-    best = pairs.groupBy("query", "label", "qtok").agg(F.max("_s").alias("_m"))
-    return best.groupBy("query", "label").agg(F.round(F.sum("_m"), 6).alias("score"))
+    """R5 over exploded tokens: query_tokens (query, qtok, qv), page_tokens (label, tok, v) -> query, label, score of all pairs.
+
+    Tokens are gathered by query and page, and blocks of both are scored by matrix products; pairs of tokens are never rows.
+    """
+    asked = query_tokens.groupBy("query").agg(F.collect_list("qv").alias("v"))
+    held = page_tokens.groupBy("label").agg(F.collect_list("v").alias("v"))
+    every = (1 << 31) - 1
+    scored = blocked_topk(asked, held, every, F.size(F.get("v", F.lit(0))), F.size(F.flatten("v")), lambda q, p: late_interactions(q, p, every)[0])
+    return scored.select("query", "label", "score")
 
 
 def first_unseen(ranked: DataFrame, seen: DataFrame, episodes: DataFrame) -> DataFrame:
