@@ -8,6 +8,8 @@ from foliant.operators import memory as M
 from foliant.operators import reports as R
 from foliant.operators import rollouts as W
 
+from foliant.sources.scratch import written
+
 from .rollouts import _RW, _rows
 from .tables import table
 
@@ -123,16 +125,28 @@ def m5_clean_counts(spark, sf):
     return R.clean_traces(_traces(spark, sf), "user_id", "event_id", "kind", "verdict", "page", "query", "summary")[1]
 
 
-def m3_fold_facts(spark, sf):
-    """Facts, updates and refused turns of each user: clicks note a fact of the page in view, purchases update its first one."""
+def _facts_folded(spark, sf):
+    """Clicks note a fact of the page in view, purchases update its first one."""
     s, empty = _steps(spark, sf), F.array().cast("array<string>")
     no_text = [F.lit(None).cast("string").alias(c) for c in ("op", "node", "answered", "answer", "next")]
     turns = s.select(
         "user_id", "event_id", F.concat(F.lit("P"), (F.col("event_id") % 3).cast("string")).alias("view"), F.when(F.col("event_type") == "click", F.array("event_type")).otherwise(empty).alias("added"),
         F.when(F.col("event_type") == "purchase", F.array(F.struct(F.lit(1).alias("n"), F.lit("u").alias("text")))).alias("updated"), *no_text, empty.alias("pages"),
     )
-    out = M.fold_memory(turns, "user_id", "event_id")
-    return out.select("user_id", F.size("facts").cast("long").alias("n_facts"), F.aggregate("facts", F.lit(0).cast("long"), lambda a, f: a + f["revision"]).alias("n_updates"), F.size("errors").cast("long").alias("n_refused"))
+    updates = F.aggregate("facts", F.lit(0).cast("long"), lambda a, f: a + f["revision"])
+    return M.fold_memory(turns, "user_id", "event_id").withColumn("n_updates", updates)
+
+
+def m3_fold_facts(spark, sf):
+    """Facts, updates and refused turns of each user."""
+    return _facts_folded(spark, sf).select("user_id", F.size("facts").cast("long").alias("n_facts"), "n_updates", F.size("errors").cast("long").alias("n_refused"))
+
+
+def m7_replay_facts(spark, sf):
+    """What was stored lost its facts where their updates are odd in number; the replay tells the others."""
+    folded = written(_facts_folded(spark, sf))
+    stored = folded.withColumn("facts", F.when(F.col("n_updates") % 2 == 1, F.slice("facts", 1, 0)).otherwise(F.col("facts")))
+    return M.replay_check(folded, stored, "user_id", ["nodes", "facts", "active"]).select("user_id")
 
 
 def m4_fold_accepts(spark, sf):
@@ -225,6 +239,9 @@ SELECT 'input' AS kind, kind AS name, count(*) AS n FROM t GROUP BY ALL UNION AL
 WITH {_S}, f AS (SELECT *, coalesce(sum((event_type = 'click')::INT) OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS facts FROM s)
 SELECT user_id, count(*) FILTER (event_type = 'click') AS n_facts, count(*) FILTER (event_type = 'purchase' AND facts > 0) AS n_updates,
  count(*) FILTER (event_type = 'purchase' AND facts = 0) AS n_refused FROM f GROUP BY 1""",
+    "m7_replay_facts": f"""
+WITH {_S}, f AS (SELECT *, coalesce(sum((event_type = 'click')::INT) OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS facts FROM s)
+SELECT user_id FROM f GROUP BY 1 HAVING count(*) FILTER (event_type = 'purchase' AND facts > 0) % 2 = 0""",
     "m4_fold_accepts": f"""
 WITH {_S}, a AS (SELECT * FROM s WHERE k % 3 > 0 AND k % 5 > 0), p AS (SELECT user_id, 'P' || k % 6 AS page, min(event_id) AS first FROM a GROUP BY 1, 2)
 SELECT user_id, 1 AS n_nodes, (SELECT count(*) FROM s t WHERE t.user_id = u.user_id AND k % 3 > 0 AND k % 5 = 0)::INT AS refused, (SELECT arg_max(k::VARCHAR, event_id) FROM a WHERE a.user_id = u.user_id) AS answer,
