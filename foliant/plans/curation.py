@@ -276,44 +276,98 @@ _SEED = "md5('s-' || {})"
 _ERR = "CASE WHEN k % 10 = 0 THEN 'act,search' WHEN k % 5 = 0 THEN 'search' END"
 ORACLE_SQL = {
     "f1_check_contiguous": "SELECT conv_id, count(DISTINCT turn) AS pages, min(turn) = 0 AND max(turn) = count(DISTINCT turn) - 1 AS contiguous FROM conversations GROUP BY 1",
-    "f2_check_evidence": f"{_S}, p AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT event_id, n AS num_pages FROM s LEFT JOIN p ON conv_id = k WHERE n IS NULL OR (event_id % 5 = 0 AND k % 3 = 0) OR event_id % 5 > n OR (k % 3 > 0 AND 2 > n)",
+    "f2_check_evidence": f"""
+{_S}, p AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT event_id, n AS num_pages FROM s LEFT JOIN p ON conv_id = k WHERE n IS NULL OR
+(event_id % 5 = 0 AND k % 3 = 0) OR event_id % 5 > n OR (k % 3 > 0 AND 2 > n)""",
     "f3_check_unique": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING n > 1",
-    "f4_expect": "SELECT 'quantity' AS rule, count(*) FILTER (NOT l_quantity BETWEEN 1 AND 49) AS violations FROM lineitem UNION ALL SELECT 'discount', count(*) FILTER (l_discount > 0.09) FROM lineitem UNION ALL SELECT 'flag', count(*) FILTER (l_returnflag NOT IN ('A', 'N', 'R')) FROM lineitem UNION ALL SELECT 'tax', count(*) FILTER (l_tax <= 0.01) FROM lineitem",
-    "f5_check_boxes": f"{_S}, p AS (SELECT page_id FROM pages WHERE page_id % 4 <> 0) SELECT event_id, CASE WHEN page_id IS NULL THEN 'page' ELSE 'box' END AS reason FROM s LEFT JOIN p ON page_id = k WHERE page_id IS NULL OR k < 5 OR k > 90 OR event_id % 90 > 80 OR event_id % 90 <= 2",
+    "f4_expect": """
+SELECT 'quantity' AS rule, count(*) FILTER (NOT l_quantity BETWEEN 1 AND 49) AS violations FROM lineitem UNION ALL SELECT 'discount', count(*) FILTER
+(l_discount > 0.09) FROM lineitem UNION ALL SELECT 'flag', count(*) FILTER (l_returnflag NOT IN ('A', 'N', 'R')) FROM lineitem UNION ALL SELECT 'tax', count(*)
+FILTER (l_tax <= 0.01) FROM lineitem""",
+    "f5_check_boxes": f"""
+{_S}, p AS (SELECT page_id FROM pages WHERE page_id % 4 <> 0) SELECT event_id, CASE WHEN page_id IS NULL THEN 'page' ELSE 'box' END AS reason FROM s LEFT JOIN p
+ON page_id = k WHERE page_id IS NULL OR k < 5 OR k > 90 OR event_id % 90 > 80 OR event_id % 90 <= 2""",
     "f6_leakage": f"{_S} SELECT count(*) AS rows, count(DISTINCT k) AS keys FROM s WHERE k IN (SELECT doc_id FROM labels)",
-    "f9_keep_filter": f"{_S}, r AS (SELECT event_id, list_filter([CASE WHEN event_type = 'error' THEN 'not ended by answer' END, 'error steps: ' || {_ERR}, CASE WHEN k % 7 = 0 THEN 'empty answer' END, CASE WHEN k % 4 = 0 THEN 'judge: missing' WHEN k % 4 <> 1 THEN 'judge: incorrect' END, CASE WHEN k % 9 = 0 THEN 'reference pages: missing' WHEN k % 6 = 0 THEN 'reference pages: not covered' END], lambda x: x IS NOT NULL) AS r FROM s) SELECT event_id, coalesce(array_to_string(r, '; '), '') AS reasons, len(r) = 0 AS kept FROM r",
+    "f9_keep_filter": f"""
+{_S}, r AS (SELECT event_id, list_filter([CASE WHEN event_type = 'error' THEN 'not ended by answer' END, 'error steps: ' || {_ERR}, CASE WHEN k % 7 = 0 THEN
+'empty answer' END, CASE WHEN k % 4 = 0 THEN 'judge: missing' WHEN k % 4 <> 1 THEN 'judge: incorrect' END, CASE WHEN k % 9 = 0 THEN 'reference pages: missing'
+WHEN k % 6 = 0 THEN 'reference pages: not covered' END], lambda x: x IS NOT NULL) AS r FROM s) SELECT event_id, coalesce(array_to_string(r, '; '), '') AS
+reasons, len(r) = 0 AS kept FROM r""",
     "f10_until_api_error": f"{_S} SELECT event_id FROM s WHERE event_id < coalesce((SELECT min(event_id) FROM s WHERE k = 99 AND user_id % 10 = 3), 1e18)",
-    "f11_audit_score": f"{_S} SELECT event_id, greatest(0, 100 - 80 * (k % 11 = 0)::INT - 15 * (k % 3 = 0)::INT - 20 * (k % 5 = 0)::INT - 60 * (k % 13 = 0)::INT - 10 * (k % 2 = 0 AND k > 50)::INT - CASE WHEN k % 4 >= 2 THEN 12 * (k % 4) ELSE 0 END - 8 * greatest(k % 7 - 3, 0))::BIGINT AS score, coalesce(array_to_string(list_filter([CASE WHEN k % 11 = 0 THEN 'not_answered' END, CASE WHEN k % 3 = 0 THEN 'judge_missing' END, CASE WHEN k % 5 = 0 THEN 'few_accepts' END, CASE WHEN k % 13 = 0 THEN 'trace_error' END, CASE WHEN k % 2 = 0 AND k > 50 THEN 'many_steps' END], lambda x: x IS NOT NULL), ','), '') AS flags FROM s",
+    "f11_audit_score": f"""
+{_S} SELECT event_id, greatest(0, 100 - 80 * (k % 11 = 0)::INT - 15 * (k % 3 = 0)::INT - 20 * (k % 5 = 0)::INT - 60 * (k % 13 = 0)::INT - 10 * (k % 2 = 0 AND k
+> 50)::INT - CASE WHEN k % 4 >= 2 THEN 12 * (k % 4) ELSE 0 END - 8 * greatest(k % 7 - 3, 0))::BIGINT AS score, coalesce(array_to_string(list_filter([CASE WHEN k
+% 11 = 0 THEN 'not_answered' END, CASE WHEN k % 3 = 0 THEN 'judge_missing' END, CASE WHEN k % 5 = 0 THEN 'few_accepts' END, CASE WHEN k % 13 = 0 THEN
+'trace_error' END, CASE WHEN k % 2 = 0 AND k > 50 THEN 'many_steps' END], lambda x: x IS NOT NULL), ','), '') AS flags FROM s""",
     "f12_trajectory_tags": f"{_S} SELECT user_id, count(*) FILTER (event_type = 'view') AS revisit, count(*) FILTER (k > 90) AS crop FROM s GROUP BY 1",
-    "f13_check_trajectories": "SELECT conv_id, count(*) AS steps, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS complete, arg_max(role = 'assistant', turn) AS ends FROM conversations GROUP BY 1",
-    "f14_check_traj_advantage": f"{_S}, v AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN value ELSE user_id + k * 1e-9::DOUBLE END AS v FROM s) SELECT user_id, max(v) - min(v) <= 1e-6 + 1e-5 * abs(min(v)) AS same FROM v GROUP BY 1",
+    "f13_check_trajectories": """
+SELECT conv_id, count(*) AS steps, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS complete, arg_max(role = 'assistant', turn)
+AS ends FROM conversations GROUP BY 1""",
+    "f14_check_traj_advantage": f"""
+{_S}, v AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN value ELSE user_id + k * 1e-9::DOUBLE END AS v FROM s) SELECT user_id, max(v) - min(v) <= 1e-6 + 1e-5
+* abs(min(v)) AS same FROM v GROUP BY 1""",
     "f15_drop_constant_groups": f"{_O} SELECT uid, traj FROM o WHERE uid IN (SELECT uid FROM o GROUP BY uid HAVING count(DISTINCT ok) > 1 ORDER BY uid LIMIT 500)",
     "f16_think_quality": r"WITH c AS (SELECT conv_id, text || chr(10) || ['Let me crop it.', 'I''ll zoom in.', 'I should search again.', 'Let me revisit it.', 'Done.'][(conv_id + turn) % 5 + 1] AS text, ['crop', 'search', 'revisit', 'answer'][turn % 4 + 1] AS role, ['crop', 'crop', 'search', 'revisit'][(conv_id + turn) % 5 + 1] AS v FROM conversations), t AS (SELECT conv_id, role, text, v, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda x: trim(x)), lambda x: length(x) >= 25) AS s, len(regexp_extract_all(lower(text), '\b(maybe|perhaps|might be|probably|i guess|not sure|actually|wait|hmm|alternatively)\b')) AS h FROM c) SELECT conv_id, bool_or(len(list_distinct(s)) < len(s)) AS repeats, bool_or(h >= 5) AS hedges, max(length(text)) > 1500 OR count(*) FILTER (role <> 'crop') >= 7 AS overlong, bool_or(coalesce(v <> role, false)) AS mismatch FROM t GROUP BY 1",
     "f17_grounded_filter": "SELECT p_partkey, p_partkey % 3 = p_partkey % 2 AS grounded FROM part",
-    "f18_rl_gate": f"{_O}, a AS (SELECT uid, answer, count(*) AS n, sum(ok::INT) AS c, sum((ok AND traj % 3 > 0)::INT) AS t FROM o GROUP BY 1, 2) SELECT uid, sum(c)::BIGINT AS k FROM a GROUP BY uid HAVING sum(c) BETWEEN 1 AND 6 AND sum(t) >= 1 AND 2 * sum(t) >= sum(c) AND uid % 10 <> 0 AND NOT bool_or(c > 0 AND c < n) AND uid % 12 <= 8",
+    "f18_rl_gate": f"""
+{_O}, a AS (SELECT uid, answer, count(*) AS n, sum(ok::INT) AS c, sum((ok AND traj % 3 > 0)::INT) AS t FROM o GROUP BY 1, 2) SELECT uid, sum(c)::BIGINT AS k
+FROM a GROUP BY uid HAVING sum(c) BETWEEN 1 AND 6 AND sum(t) >= 1 AND 2 * sum(t) >= sum(c) AND uid % 10 <> 0 AND NOT bool_or(c > 0 AND c < n) AND uid % 12 <= 8""",
     "f19_crop_label": f"""{_O}, t AS (SELECT uid, count(*) FILTER (traj % 2 = 0 AND ok) AS cc, count(*) FILTER (traj % 2 = 0 AND NOT ok) AS cw, count(*) FILTER (traj % 2 = 1 AND ok) AS nc, count(*) FILTER (traj % 2 = 1 AND NOT ok) AS nw FROM o GROUP BY 1)
  SELECT *, CASE WHEN cc > 0 AND nc = 0 THEN 'crop' WHEN nc > 0 AND cc = 0 THEN 'no_crop' END AS label, CASE WHEN cc > 0 AND nc = 0 THEN CASE WHEN nw >= 2 THEN 'strong' ELSE 'weak' END WHEN nc > 0 AND cc = 0 THEN CASE WHEN cw >= 2 THEN 'strong' ELSE 'weak' END END AS confidence FROM t""",
-    "f20_clean_verdicts": f"{_S} SELECT event_id, CASE WHEN k % 5 = 0 THEN 'unreadable' WHEN k % 5 = 2 THEN 'no verdict' WHEN k % 5 = 1 AND k % 2 <> 0 THEN 'contradiction' END AS judge_error, CASE WHEN k % 5 = 1 AND k % 2 = 0 THEN true WHEN k % 5 IN (3, 4) THEN false END AS correct FROM s",
+    "f20_clean_verdicts": f"""
+{_S} SELECT event_id, CASE WHEN k % 5 = 0 THEN 'unreadable' WHEN k % 5 = 2 THEN 'no verdict' WHEN k % 5 = 1 AND k % 2 <> 0 THEN 'contradiction' END AS
+judge_error, CASE WHEN k % 5 = 1 AND k % 2 = 0 THEN true WHEN k % 5 IN (3, 4) THEN false END AS correct FROM s""",
     "d1_balanced_split": f"""
 {_D}, p AS (SELECT *, row_number() OVER (PARTITION BY hop ORDER BY {_SEED.format('doc_id')}, doc_id) AS i, count(*) OVER (PARTITION BY hop) AS n FROM d)
 SELECT doc_id, hop, CASE WHEN i <= n // 2 THEN 'train' ELSE 'val' END AS split FROM p WHERE i <= n // 2 + n // 10""",
-    "d2_packed_select": f"{_D}, k AS (SELECT *, count(*) FILTER (hop = 'multi') OVER (PARTITION BY source) AS m, count(*) FILTER (hop = 'single') OVER (PARTITION BY source) AS s FROM d), m AS (SELECT * FROM k WHERE hop = 'multi' ORDER BY m DESC, s DESC, source, doc_id LIMIT 60), n AS (SELECT * FROM k WHERE hop = 'single' ORDER BY (source NOT IN (SELECT source FROM m))::INT, s DESC, source, doc_id LIMIT 70) SELECT doc_id, source, hop FROM m UNION ALL SELECT doc_id, source, hop FROM n",
+    "d2_packed_select": f"""
+{_D}, k AS (SELECT *, count(*) FILTER (hop = 'multi') OVER (PARTITION BY source) AS m, count(*) FILTER (hop = 'single') OVER (PARTITION BY source) AS s FROM d),
+m AS (SELECT * FROM k WHERE hop = 'multi' ORDER BY m DESC, s DESC, source, doc_id LIMIT 60), n AS (SELECT * FROM k WHERE hop = 'single' ORDER BY (source NOT IN
+(SELECT source FROM m))::INT, s DESC, source, doc_id LIMIT 70) SELECT doc_id, source, hop FROM m UNION ALL SELECT doc_id, source, hop FROM n""",
     "d3_slice_ordered": f"{_D} SELECT * FROM d ORDER BY n_chars, doc_id LIMIT 50 OFFSET 100",
-    "d4_interleave": f"{_D}, i AS (SELECT doc_id, hop, CASE hop WHEN 'multi' THEN 'a' ELSE 'b' END AS side, row_number() OVER (PARTITION BY hop ORDER BY doc_id) AS i FROM d) SELECT doc_id, hop, side, row_number() OVER (ORDER BY i, side) AS place FROM i",
-    "d5_shortest_select": f"{_D} (SELECT doc_id, hop, n_chars FROM d WHERE hop = 'multi' ORDER BY n_chars, doc_id LIMIT 40) UNION ALL (SELECT doc_id, hop, n_chars FROM d WHERE hop = 'single' ORDER BY n_chars, doc_id LIMIT 60)",
+    "d4_interleave": f"""
+{_D}, i AS (SELECT doc_id, hop, CASE hop WHEN 'multi' THEN 'a' ELSE 'b' END AS side, row_number() OVER (PARTITION BY hop ORDER BY doc_id) AS i FROM d) SELECT
+doc_id, hop, side, row_number() OVER (ORDER BY i, side) AS place FROM i""",
+    "d5_shortest_select": f"""
+{_D} (SELECT doc_id, hop, n_chars FROM d WHERE hop = 'multi' ORDER BY n_chars, doc_id LIMIT 40) UNION ALL (SELECT doc_id, hop, n_chars FROM d WHERE hop =
+'single' ORDER BY n_chars, doc_id LIMIT 60)""",
     "d6_dedup_best": "SELECT o_custkey AS uid, o_orderkey AS traj FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
-    "d7_dedup_latest": f"{_S}, x AS (SELECT *, CASE WHEN k % 50 > 0 THEN user_id || '-' || k % 10 ELSE '__missing_' || event_id END AS key FROM s) SELECT key, event_id FROM x QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC, event_id DESC) = 1",
+    "d7_dedup_latest": f"""
+{_S}, x AS (SELECT *, CASE WHEN k % 50 > 0 THEN user_id || '-' || k % 10 ELSE '__missing_' || event_id END AS key FROM s) SELECT key, event_id FROM x QUALIFY
+row_number() OVER (PARTITION BY key ORDER BY k DESC, event_id DESC) = 1""",
     "d9_merge_shards": "SELECT doc_id, lang, doc_id * 2 AS ordinal FROM documents",
-    "d10_stratified_sample": f"{_D}, a AS (SELECT doc_id, lang FROM d WHERE lang = 'de' ORDER BY {_SEED.format('doc_id')}, doc_id LIMIT 10) SELECT * FROM a UNION ALL (SELECT doc_id, lang FROM d WHERE lang <> 'de' ORDER BY {_SEED.format('doc_id')}, doc_id LIMIT 20)",
-    "d11_weighted_resample": "WITH p AS (SELECT doc_id, coalesce(sum(w) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER () AS lo FROM (SELECT doc_id, pow(abs(n_chars), 2) + 1e-8 AS w FROM documents)), u AS (SELECT draw, ('0x' || substr(md5('s-' || draw), 1, 12))::BIGINT / pow(16, 12) AS u FROM (SELECT unnest(range(3 * count(*))) AS draw FROM documents)) SELECT draw, doc_id FROM u ASOF JOIN p ON u.u >= p.lo",
+    "d10_stratified_sample": f"""
+{_D}, a AS (SELECT doc_id, lang FROM d WHERE lang = 'de' ORDER BY {_SEED.format('doc_id')}, doc_id LIMIT 10) SELECT * FROM a UNION ALL (SELECT doc_id, lang FROM
+d WHERE lang <> 'de' ORDER BY {_SEED.format('doc_id')}, doc_id LIMIT 20)""",
+    "d11_weighted_resample": """
+WITH p AS (SELECT doc_id, coalesce(sum(w) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER () AS lo FROM (SELECT
+doc_id, pow(abs(n_chars), 2) + 1e-8 AS w FROM documents)), u AS (SELECT draw, ('0x' || substr(md5('s-' || draw), 1, 12))::BIGINT / pow(16, 12) AS u FROM (SELECT
+unnest(range(3 * count(*))) AS draw FROM documents)) SELECT draw, doc_id FROM u ASOF JOIN p ON u.u >= p.lo""",
     "d12_repeat_rows": f"{_S} SELECT event_id, c::INT AS copy FROM s, unnest(range(1, k % 3 + 1)) AS t(c)",
-    "d13_pad_to_multiple": "WITH n AS (SELECT count(*) AS n, (-count(*) % 768 + 768) % 768 AS short FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents) SELECT doc_id, false AS padding FROM documents UNION ALL SELECT doc_id, true FROM r, n, unnest(range(1 + short // n)) AS t(x) WHERE i + x * n <= short",
+    "d13_pad_to_multiple": """
+WITH n AS (SELECT count(*) AS n, (-count(*) % 768 + 768) % 768 AS short FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM
+documents) SELECT doc_id, false AS padding FROM documents UNION ALL SELECT doc_id, true FROM r, n, unnest(range(1 + short // n)) AS t(x) WHERE i + x * n <=
+short""",
     "d14_question_minibatches": "SELECT o_orderkey AS traj, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS batch FROM orders",
-    "d17_sqrt_quota_sample": f"{_D}, z AS (SELECT lang, 120.0::DOUBLE * sqrt(count(*)) / sum(sqrt(count(*))) OVER () AS share FROM d GROUP BY 1), q AS (SELECT lang, floor(share) + (row_number() OVER (ORDER BY share - floor(share) DESC, lang) <= 120 - sum(floor(share)) OVER ())::INT AS q FROM z), c AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS c FROM d), i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c, hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS i FROM c) SELECT doc_id, i.lang FROM i JOIN q ON i.lang = q.lang WHERE i <= q",
-    "d18_waterfill_quota": f"{_D}, z AS (SELECT lang || '/' || doc_id % 7 AS stratum, count(*) AS size FROM d GROUP BY 1), l AS (SELECT size, (400 - coalesce((SELECT sum(size) FROM z b WHERE b.size < a.size), 0)) / (SELECT sum(sqrt(size)) FROM z b WHERE b.size >= a.size) AS level FROM z a) SELECT stratum, size, round(least(size, coalesce((SELECT arg_min(level, size) FROM l WHERE level <= sqrt(size)), 1e18) * sqrt(size)), 6)::DOUBLE AS quota FROM z",
-    "d19_round_robin": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_SEED.format('doc_id')}, doc_id)::INT AS round FROM d) SELECT doc_id, source, round FROM r ORDER BY round, {_SEED.format('source')}, doc_id LIMIT 130",
-    "d20_sort_samples": "WITH i AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id, doc_id FROM documents) SELECT id, row_number() OVER (ORDER BY doc_id % 10 = 0, CASE WHEN doc_id % 10 > 0 THEN doc_id END, id) AS place FROM i",
-    "d21_top_up": f"{_D}, r AS (SELECT doc_id AS replaced, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM d WHERE doc_id % 20 = 0), p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS i FROM d WHERE doc_id % 20 > 9) SELECT replaced, doc_id, r.lang FROM r JOIN p ON r.lang = p.lang AND r.i = p.i",
+    "d17_sqrt_quota_sample": f"""
+{_D}, z AS (SELECT lang, 120.0::DOUBLE * sqrt(count(*)) / sum(sqrt(count(*))) OVER () AS share FROM d GROUP BY 1), q AS (SELECT lang, floor(share) +
+(row_number() OVER (ORDER BY share - floor(share) DESC, lang) <= 120 - sum(floor(share)) OVER ())::INT AS q FROM z), c AS (SELECT *, row_number() OVER
+(PARTITION BY lang, source ORDER BY hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS c FROM d), i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER
+BY c, hop <> 'multi', {_SEED.format('doc_id')}, doc_id) AS i FROM c) SELECT doc_id, i.lang FROM i JOIN q ON i.lang = q.lang WHERE i <= q""",
+    "d18_waterfill_quota": f"""
+{_D}, z AS (SELECT lang || '/' || doc_id % 7 AS stratum, count(*) AS size FROM d GROUP BY 1), l AS (SELECT size, (400 - coalesce((SELECT sum(size) FROM z b
+WHERE b.size < a.size), 0)) / (SELECT sum(sqrt(size)) FROM z b WHERE b.size >= a.size) AS level FROM z a) SELECT stratum, size, round(least(size,
+coalesce((SELECT arg_min(level, size) FROM l WHERE level <= sqrt(size)), 1e18) * sqrt(size)), 6)::DOUBLE AS quota FROM z""",
+    "d19_round_robin": f"""
+{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_SEED.format('doc_id')}, doc_id)::INT AS round FROM d) SELECT doc_id, source, round FROM
+r ORDER BY round, {_SEED.format('source')}, doc_id LIMIT 130""",
+    "d20_sort_samples": """
+WITH i AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id, doc_id FROM documents) SELECT id, row_number() OVER (ORDER BY
+doc_id % 10 = 0, CASE WHEN doc_id % 10 > 0 THEN doc_id END, id) AS place FROM i""",
+    "d21_top_up": f"""
+{_D}, r AS (SELECT doc_id AS replaced, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM d WHERE doc_id % 20 = 0), p AS (SELECT doc_id,
+lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS i FROM d WHERE doc_id % 20 > 9) SELECT replaced, doc_id, r.lang FROM r JOIN p ON
+r.lang = p.lang AND r.i = p.i""",
     "d22_preview": f"SELECT item_id FROM benchmark ORDER BY {_SEED.format('text')}, text LIMIT 20",
     "d15_balance_ranks": """
 WITH RECURSIVE o AS (SELECT doc_id, coalesce(n_chars, 0) AS c, row_number() OVER (ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS i FROM documents),

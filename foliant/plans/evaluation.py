@@ -138,28 +138,62 @@ _S = "WITH s AS (SELECT event_id, user_id, event_type, value, (props->>'$.k')::B
 _ACC = "count(*) AS judged, sum(ok::INT)::BIGINT AS correct, round(avg(ok::INT), 9) AS accuracy FROM p WHERE ok IS NOT NULL GROUP BY 1"
 _ALL = "count(*) AS n, sum(coalesce(ok::INT, 0))::BIGINT AS correct, round(avg(coalesce(ok::INT, 0)), 9) AS accuracy"
 ORACLE_SQL = {
-    "a1_eval_summary": f"{_P} SELECT count(*) AS n, round(avg(doc_id % 9), 9) AS mean_turns, round(avg(doc_id % 3), 9) AS mean_crops, round(avg((doc_id % 9 > 0)::INT), 9) AS any_turns, round(avg((doc_id % 3 > 0)::INT), 9) AS any_crops, round(avg((doc_id % 6 = 0)::INT) FILTER (doc_id % 2 = 0), 9) AS coverage, round(avg(doc_id % 5) FILTER (doc_id % 2 = 0), 9) AS mean_non_gold, '{{\"answer\":' || count(*) FILTER (ended = 'answer') || ',\"limit\":' || count(*) FILTER (ended = 'limit') || '}}' AS ends FROM p",
+    "a1_eval_summary": f"""
+{_P} SELECT count(*) AS n, round(avg(doc_id % 9), 9) AS mean_turns, round(avg(doc_id % 3), 9) AS mean_crops, round(avg((doc_id % 9 > 0)::INT), 9) AS any_turns,
+round(avg((doc_id % 3 > 0)::INT), 9) AS any_crops, round(avg((doc_id % 6 = 0)::INT) FILTER (doc_id % 2 = 0), 9) AS coverage, round(avg(doc_id % 5) FILTER
+(doc_id % 2 = 0), 9) AS mean_non_gold, '{{\"answer\":' || count(*) FILTER (ended = 'answer') || ',\"limit\":' || count(*) FILTER (ended = 'limit') || '}}' AS
+ends FROM p""",
     "a2_accuracy_by_hop": f"{_P} SELECT coalesce(hop, 'None') AS hop, {_ACC}",
     "a3_judge_summary": f"{_P} SELECT count(ok) AS judged, sum(ok::INT)::BIGINT AS correct, count(*) FILTER (toxic = 1) AS errors, round(avg(ok::INT), 9) AS accuracy FROM p",
     "a4_accuracy_by_multilabel": f"{_P} SELECT category, {_ALL} FROM (SELECT ok, unnest([lang, 's' || doc_id % 3]) AS category FROM p) GROUP BY 1",
-    "a5_accuracy_splits": f"{_P}, s AS (SELECT lang AS split, count(*) AS n, sum(coalesce(ok::INT, 0)) AS c FROM p WHERE lang IN ('de', 'en') GROUP BY 1 UNION ALL SELECT 'it', 0, 0) SELECT split, n::BIGINT AS n, c::BIGINT AS correct, round(CASE WHEN n > 0 THEN c / n END, 9) AS accuracy FROM (SELECT * FROM s UNION ALL SELECT 'overall', sum(n), sum(c) FROM s)",
+    "a5_accuracy_splits": f"""
+{_P}, s AS (SELECT lang AS split, count(*) AS n, sum(coalesce(ok::INT, 0)) AS c FROM p WHERE lang IN ('de', 'en') GROUP BY 1 UNION ALL SELECT 'it', 0, 0) SELECT
+split, n::BIGINT AS n, c::BIGINT AS correct, round(CASE WHEN n > 0 THEN c / n END, 9) AS accuracy FROM (SELECT * FROM s UNION ALL SELECT 'overall', sum(n),
+sum(c) FROM s)""",
     "a6_crosstab": f"{_P} SELECT coalesce(hop, 'unknown') AS hop, source, {_ALL} FROM p GROUP BY 1, 2 UNION ALL SELECT coalesce(hop, 'unknown'), 'all', {_ALL} FROM p GROUP BY 1",
-    "a7_judge_totals": f"{_P} SELECT s AS source, count(*) AS seen, count(ok) FILTER (doc_id % 13 <> 0) AS judged, sum(ok::INT) FILTER (doc_id % 13 <> 0)::BIGINT AS correct, count(*) FILTER (doc_id % 13 = 0) AS torn FROM (SELECT *, unnest([source, 'all']) AS s FROM p) GROUP BY 1",
-    "a8_trace_stats": f"{_S}, l AS (SELECT count(*) AS n FROM s GROUP BY user_id), w AS (SELECT count(*) AS trajectories, round(avg(n), 9) AS mean_length, round(avg((n >= 70)::INT), 9) AS at_limit FROM l) SELECT event_type, count(*) AS steps, round(count(*) / sum(count(*)) OVER (), 9) AS share, any_value(trajectories) AS trajectories, any_value(mean_length) AS mean_length, any_value(at_limit) AS at_limit FROM s, w GROUP BY 1",
+    "a7_judge_totals": f"""
+{_P} SELECT s AS source, count(*) AS seen, count(ok) FILTER (doc_id % 13 <> 0) AS judged, sum(ok::INT) FILTER (doc_id % 13 <> 0)::BIGINT AS correct, count(*)
+FILTER (doc_id % 13 = 0) AS torn FROM (SELECT *, unnest([source, 'all']) AS s FROM p) GROUP BY 1""",
+    "a8_trace_stats": f"""
+{_S}, l AS (SELECT count(*) AS n FROM s GROUP BY user_id), w AS (SELECT count(*) AS trajectories, round(avg(n), 9) AS mean_length, round(avg((n >= 70)::INT), 9)
+AS at_limit FROM l) SELECT event_type, count(*) AS steps, round(count(*) / sum(count(*)) OVER (), 9) AS share, any_value(trajectories) AS trajectories,
+any_value(mean_length) AS mean_length, any_value(at_limit) AS at_limit FROM s, w GROUP BY 1""",
     "a9_accuracy_by_termination": f"{_P} SELECT ended, {_ACC}",
-    "a10_top_errors": f"{_S} SELECT event_type, 'm' || k % 30 AS message, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, 'm' || k % 30)::INT AS rank FROM s GROUP BY 1, 2 QUALIFY rank <= 10",
+    "a10_top_errors": f"""
+{_S} SELECT event_type, 'm' || k % 30 AS message, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, 'm' || k % 30)::INT AS rank
+FROM s GROUP BY 1, 2 QUALIFY rank <= 10""",
     "a11_examples": f"{_P} SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS rank FROM p QUALIFY rank <= 3",
-    "a12_summary_v1": f"{_P} SELECT d.decision, (SELECT count(*) FROM p WHERE ended = d.decision) AS n, (SELECT round(avg(n_chars), 9) FROM p) AS mean_iterations, (SELECT median(n_chars) FROM p) AS median_iterations FROM (VALUES ('answer'), ('limit'), ('error')) AS d(decision)",
-    "a13_summary_baseline": f"{_S}, p AS (SELECT count(*) AS n, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c FROM s GROUP BY user_id) SELECT count(*) AS trajectories, round(avg(n), 9) AS mean_steps, sum(v)::BIGINT AS search_total, sum(c)::BIGINT AS summarise_total, round(avg(v), 9) AS search_mean, round(avg(c), 9) AS summarise_mean FROM p",
-    "a14_corpus_stats": f"{_P} SELECT lang, count(*) AS questions, count(DISTINCT source) AS decks, count(*) FILTER (doc_id % 4 > 0) AS multi, count(*) FILTER (doc_id % 3 = 1) AS arithmetic, '{{' || (SELECT string_agg('\"' || e || '\":' || n, ',' ORDER BY e) FROM (SELECT doc_id % 4 + 1 AS e, count(*) AS n FROM p q WHERE q.lang = p.lang GROUP BY 1)) || '}}' AS evidence_sizes FROM p GROUP BY lang",
+    "a12_summary_v1": f"""
+{_P} SELECT d.decision, (SELECT count(*) FROM p WHERE ended = d.decision) AS n, (SELECT round(avg(n_chars), 9) FROM p) AS mean_iterations, (SELECT
+median(n_chars) FROM p) AS median_iterations FROM (VALUES ('answer'), ('limit'), ('error')) AS d(decision)""",
+    "a13_summary_baseline": f"""
+{_S}, p AS (SELECT count(*) AS n, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c FROM s GROUP BY user_id) SELECT
+count(*) AS trajectories, round(avg(n), 9) AS mean_steps, sum(v)::BIGINT AS search_total, sum(c)::BIGINT AS summarise_total, round(avg(v), 9) AS search_mean,
+round(avg(c), 9) AS summarise_mean FROM p""",
+    "a14_corpus_stats": f"""
+{_P} SELECT lang, count(*) AS questions, count(DISTINCT source) AS decks, count(*) FILTER (doc_id % 4 > 0) AS multi, count(*) FILTER (doc_id % 3 = 1) AS
+arithmetic, '{{' || (SELECT string_agg('\"' || e || '\":' || n, ',' ORDER BY e) FROM (SELECT doc_id % 4 + 1 AS e, count(*) AS n FROM p q WHERE q.lang = p.lang GROUP BY 1)) || '}}'
+AS evidence_sizes FROM p GROUP BY lang""",
     "a15_upper_median": f"{_P} SELECT lang, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS upper_median FROM p GROUP BY lang",
     "a17_run_totals": f"""{_P}, k AS (SELECT *, coalesce(ok, false) AS kept FROM p), x AS (SELECT 'processed' AS kind, 'all' AS name FROM k UNION ALL SELECT 'kept', 'all' FROM k WHERE kept UNION ALL SELECT 'kept_hop', lang FROM k WHERE kept UNION ALL SELECT 'reason', 'judge' FROM k WHERE ok IS NULL UNION ALL SELECT 'reason', 'short' FROM k WHERE NOT kept AND n_chars < 500 UNION ALL SELECT 'tag', 'crop' FROM k WHERE kept AND doc_id % 2 > 0 UNION ALL SELECT 'tag', 'revisit' FROM k WHERE kept AND doc_id % 3 > 0) SELECT kind, name, count(*) AS n FROM x GROUP BY 1, 2""",
-    "a18_subset_summary": f"{_P} SELECT w.lang, w.wanted, count(p.doc_id) AS available, coalesce(sum(n_chars), 0)::BIGINT AS calls, greatest(w.wanted - count(p.doc_id), 0) AS shortfall FROM (VALUES ('de', 10000), ('en', 100), ('it', 5)) AS w(lang, wanted) LEFT JOIN p ON p.lang = w.lang GROUP BY 1, 2",
+    "a18_subset_summary": f"""
+{_P} SELECT w.lang, w.wanted, count(p.doc_id) AS available, coalesce(sum(n_chars), 0)::BIGINT AS calls, greatest(w.wanted - count(p.doc_id), 0) AS shortfall
+FROM (VALUES ('de', 10000), ('en', 100), ('it', 5)) AS w(lang, wanted) LEFT JOIN p ON p.lang = w.lang GROUP BY 1, 2""",
     "a19_merge_summary": f"{_P} SELECT source, count(*) AS n, (SELECT count(*) - count(DISTINCT doc_id % 300) FROM p) AS duplicates FROM p GROUP BY 1",
-    "a25_validate_summary": f"{_S}, t AS (SELECT event_type, user_id, max(k) AS k FROM s GROUP BY 1, 2) SELECT event_type, round(avg(value), 9) AS mean_score, (SELECT round(avg(k), 9) FROM t WHERE t.event_type = s.event_type) AS tool_calls, (SELECT count(*) FROM t WHERE t.event_type = s.event_type) AS trajectories FROM s GROUP BY 1",
-    "a30_passk": "WITH q AS (SELECT o_custkey, sum((o_orderstatus = 'F')::INT) AS k, count(*) AS n FROM orders GROUP BY 1), w AS (SELECT count(*) AS questions, round(avg((k > 0)::INT), 9) AS pass_k, round(avg(k / n), 9) AS pass_1 FROM q) SELECT k::BIGINT AS k, count(*) AS n, any_value(questions) AS questions, any_value(pass_k) AS pass_k, any_value(pass_1) AS pass_1 FROM q, w GROUP BY 1",
-    "a31_paired_flips": f"{_P} SELECT lang, count(*) AS pairs, count(*) FILTER (NOT ok AND doc_id % 3 <> 0) AS fixed, count(*) FILTER (ok AND doc_id % 3 = 0) AS broken FROM p WHERE ok IS NOT NULL GROUP BY 1",
+    "a25_validate_summary": f"""
+{_S}, t AS (SELECT event_type, user_id, max(k) AS k FROM s GROUP BY 1, 2) SELECT event_type, round(avg(value), 9) AS mean_score, (SELECT round(avg(k), 9) FROM t
+WHERE t.event_type = s.event_type) AS tool_calls, (SELECT count(*) FROM t WHERE t.event_type = s.event_type) AS trajectories FROM s GROUP BY 1""",
+    "a30_passk": """
+WITH q AS (SELECT o_custkey, sum((o_orderstatus = 'F')::INT) AS k, count(*) AS n FROM orders GROUP BY 1), w AS (SELECT count(*) AS questions, round(avg((k >
+0)::INT), 9) AS pass_k, round(avg(k / n), 9) AS pass_1 FROM q) SELECT k::BIGINT AS k, count(*) AS n, any_value(questions) AS questions, any_value(pass_k) AS
+pass_k, any_value(pass_1) AS pass_1 FROM q, w GROUP BY 1""",
+    "a31_paired_flips": f"""
+{_P} SELECT lang, count(*) AS pairs, count(*) FILTER (NOT ok AND doc_id % 3 <> 0) AS fixed, count(*) FILTER (ok AND doc_id % 3 = 0) AS broken FROM p WHERE ok IS
+NOT NULL GROUP BY 1""",
     "a34_progress": "SELECT count(*) AS done, max(doc_id) AS last, round(100 * count(*) / (SELECT count(*) FROM documents), 9) AS percent FROM labels",
     "a35_pack_stats": "SELECT c::INT AS images, count(*) AS rows FROM (SELECT count(turn) AS c FROM conversations GROUP BY conv_id) GROUP BY 1",
-    "a36_episode_outcomes": f"{_S}, l AS (SELECT user_id % 4 AS src, arg_max(k, event_id) AS k, arg_max(CASE WHEN k % 5 <> 0 THEN value ELSE 0 END, event_id) AS v FROM s WHERE event_type <> 'error' GROUP BY user_id, 1) SELECT g AS src, count(*) AS episodes, round(avg((k % 2 = 0)::INT), 9) AS success, round(avg(v), 9) AS reward FROM (SELECT *, unnest([src::VARCHAR, 'all']) AS g FROM l) GROUP BY 1",
+    "a36_episode_outcomes": f"""
+{_S}, l AS (SELECT user_id % 4 AS src, arg_max(k, event_id) AS k, arg_max(CASE WHEN k % 5 <> 0 THEN value ELSE 0 END, event_id) AS v FROM s WHERE event_type <>
+'error' GROUP BY user_id, 1) SELECT g AS src, count(*) AS episodes, round(avg((k % 2 = 0)::INT), 9) AS success, round(avg(v), 9) AS reward FROM (SELECT *,
+unnest([src::VARCHAR, 'all']) AS g FROM l) GROUP BY 1""",
 }

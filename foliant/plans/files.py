@@ -238,6 +238,12 @@ ORACLE_SQL = {
     "x2_commit_scored": f"{_E} SELECT t AS sample_id, v OR answer = 'click' AS verdict, NULL::VARCHAR AS judge_error FROM e",
     "x3_stream_totals": f"{_E} SELECT answer, count(*) AS seen, count(*) FILTER (v) AS judged, nullif(count(*) FILTER (v), 0) AS correct FROM e GROUP BY 1",
     "x5_score_when_due": "SELECT event_id AS sample_id, event_type = 'click' AS verdict FROM events",
-    "x7_commit_until": "WITH c AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_type = 'click'), s AS (SELECT least(coalesce((SELECT min(event_id) FROM events WHERE event_type = 'error' AND user_id % 50 = 7), 1e18), coalesce((SELECT event_id FROM c WHERE i = (SELECT count(*) // 3 FROM c)), 1e18)) AS stop) SELECT event_id FROM events, s WHERE event_id <= stop",
-    "x4_pending": "WITH s AS (SELECT event_id % 1500 AS d, event_type = 'click' AS v FROM events WHERE event_type <> 'click' OR event_id % 1500 % 2 = 0), n AS (SELECT d, count(*) AS n, count(*) FILTER (v) AS v FROM s GROUP BY 1) SELECT doc_id FROM documents LEFT JOIN n ON d = doc_id WHERE doc_id % 4 <> 0 AND coalesce(n, 0) < 6 AND coalesce(v, 0) = 0",
+    "x7_commit_until": """
+WITH c AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_type = 'click'), s AS (SELECT least(coalesce((SELECT
+min(event_id) FROM events WHERE event_type = 'error' AND user_id % 50 = 7), 1e18), coalesce((SELECT event_id FROM c WHERE i = (SELECT count(*) // 3 FROM c)),
+1e18)) AS stop) SELECT event_id FROM events, s WHERE event_id <= stop""",
+    "x4_pending": """
+WITH s AS (SELECT event_id % 1500 AS d, event_type = 'click' AS v FROM events WHERE event_type <> 'click' OR event_id % 1500 % 2 = 0), n AS (SELECT d, count(*)
+AS n, count(*) FILTER (v) AS v FROM s GROUP BY 1) SELECT doc_id FROM documents LEFT JOIN n ON d = doc_id WHERE doc_id % 4 <> 0 AND coalesce(n, 0) < 6 AND
+coalesce(v, 0) = 0""",
 }

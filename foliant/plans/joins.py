@@ -133,14 +133,25 @@ QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "jta" and k[1].is
 _P = """p AS (SELECT event_id, user_id % 5 AS d, (props->>'$.k')::INT AS k FROM events),
 k AS (SELECT event_id, list_distinct([k % 3, k % 4]) AS g, list_distinct([k % 5, k % 3]) AS f FROM p)"""
 ORACLE_SQL = {
-    "j1_join_predictions": "WITH r AS (SELECT doc_id - doc_id % 2 AS id, arg_max(lang, doc_id) AS lang, arg_max(n_chars, doc_id) AS n_chars FROM documents GROUP BY 1) SELECT doc_id AS sample_id, quality, lang, n_chars FROM labels JOIN r ON r.id = doc_id",
+    "j1_join_predictions": """
+WITH r AS (SELECT doc_id - doc_id % 2 AS id, arg_max(lang, doc_id) AS lang, arg_max(n_chars, doc_id) AS n_chars FROM documents GROUP BY 1) SELECT doc_id AS
+sample_id, quality, lang, n_chars FROM labels JOIN r ON r.id = doc_id""",
     "j2_todo": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "j3_exclude": "WITH e AS (SELECT event_id, user_id AS deck, event_type || '-' || (props->>'$.k') AS question FROM events), b AS (SELECT CASE WHEN event_id % 2 = 0 THEN event_id END AS i, deck AS d, CASE WHEN event_id % 3 = 0 THEN question END AS q FROM e WHERE event_id % 97 = 0) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE i = event_id) AND NOT EXISTS (SELECT 1 FROM b WHERE q = question)",
-    "j4_index_coverage": "WITH e AS (SELECT user_id, (props->>'$.k')::BIGINT AS l FROM events), i AS (SELECT page_id FROM pages WHERE page_id % 3 <> 0) SELECT count(DISTINCT l) AS labels, count(DISTINCT l) FILTER (l IN (SELECT page_id FROM i)) AS covered, count(DISTINCT user_id) AS samples, count(DISTINCT user_id) FILTER (l IN (SELECT page_id FROM i)) AS samples_hit FROM e",
+    "j3_exclude": """
+WITH e AS (SELECT event_id, user_id AS deck, event_type || '-' || (props->>'$.k') AS question FROM events), b AS (SELECT CASE WHEN event_id % 2 = 0 THEN
+event_id END AS i, deck AS d, CASE WHEN event_id % 3 = 0 THEN question END AS q FROM e WHERE event_id % 97 = 0) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM
+b WHERE i = event_id) AND NOT EXISTS (SELECT 1 FROM b WHERE q = question)""",
+    "j4_index_coverage": """
+WITH e AS (SELECT user_id, (props->>'$.k')::BIGINT AS l FROM events), i AS (SELECT page_id FROM pages WHERE page_id % 3 <> 0) SELECT count(DISTINCT l) AS
+labels, count(DISTINCT l) FILTER (l IN (SELECT page_id FROM i)) AS covered, count(DISTINCT user_id) AS samples, count(DISTINCT user_id) FILTER (l IN (SELECT
+page_id FROM i)) AS samples_hit FROM e""",
     "j5_missing_refs": "SELECT doc_id AS label FROM documents EXCEPT SELECT doc_id FROM labels EXCEPT SELECT page_id FROM pages",
     "j6_materialize_pages": "SELECT page_id, url FROM pages WHERE page_id IN (SELECT conv_id * 3 + turn FROM conversations)",
     "j6_undelivered_pages": "SELECT DISTINCT conv_id * 3 + turn AS page_id FROM conversations WHERE conv_id * 3 + turn NOT IN (SELECT page_id FROM pages)",
-    "j7_merge_sidecar": "WITH s AS (SELECT event_id % 500 AS doc_id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1) SELECT l.doc_id, CASE WHEN t = 'click' THEN 1 WHEN l.doc_id % 2 = 0 THEN quality END AS verdict, CASE WHEN t = 'click' THEN NULL WHEN l.doc_id % 2 <> 0 THEN coalesce(t, CASE WHEN l.doc_id % 3 = 0 THEN 'old' END) WHEN l.doc_id % 3 = 0 THEN 'old' END AS error FROM labels l LEFT JOIN s ON l.doc_id = s.doc_id",
+    "j7_merge_sidecar": """
+WITH s AS (SELECT event_id % 500 AS doc_id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1) SELECT l.doc_id, CASE WHEN t = 'click' THEN 1 WHEN
+l.doc_id % 2 = 0 THEN quality END AS verdict, CASE WHEN t = 'click' THEN NULL WHEN l.doc_id % 2 <> 0 THEN coalesce(t, CASE WHEN l.doc_id % 3 = 0 THEN 'old' END)
+WHEN l.doc_id % 3 = 0 THEN 'old' END AS error FROM labels l LEFT JOIN s ON l.doc_id = s.doc_id""",
     "j8_missing_ids": "SELECT unnest(range(max(doc_id) + 1)) AS doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     "j9_evidence_overlap": f"WITH {_P} SELECT event_id, list_has_all(f, g) AS covered, len(list_filter(f, lambda x: NOT list_contains(g, x)))::INT AS non_gold FROM k",
     "j10_grounding": """WITH r AS (SELECT row_number() OVER () AS g, l_orderkey AS s, l_suppkey % 3 AS p, l_partkey % 50 AS x, l_suppkey % 50 AS y, l_linenumber AS n, l_returnflag AS f FROM lineitem),
@@ -151,10 +162,17 @@ ORACLE_SQL = {
     "j13_union_columns": "SELECT doc_id, lang, source, n_chars FROM documents",
     "j14_score_distinct": "SELECT doc_id, lang, source, (length(lang) + length(source))::INT AS score FROM documents",
     "t1_concat": "SELECT c_custkey AS id, c_name AS name, NULL::INT AS nation FROM customer UNION ALL SELECT s_suppkey, NULL, s_nationkey FROM supplier",
-    "t2_needed_labels": f"WITH {_P} SELECT DISTINCT unnest(['d' || d || '/page_0' || k % 3, 'd' || d || '/page_0' || k % 4, 'd' || d || '/page_0' || k % 5, 'd' || d || '/PAGE-' || k % 3, 'cover']) AS label FROM p",
+    "t2_needed_labels": f"""
+WITH {_P} SELECT DISTINCT unnest(['d' || d || '/page_0' || k % 3, 'd' || d || '/page_0' || k % 4, 'd' || d || '/page_0' || k % 5, 'd' || d || '/PAGE-' || k % 3,
+'cover']) AS label FROM p""",
     "t3_common": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",
     "t4_minus": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     "t5_same_rows": "SELECT true AS same, 'itself' AS what UNION ALL SELECT count(*) = (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)), 'distinct' FROM lineitem",
-    "t6_found_missing": f"WITH {_P} SELECT k.event_id, coalesce(array_to_string(list_transform(list_sort(list_filter(g, lambda x: x = p.k % 5)), lambda x: 'd' || p.d || '/page_0' || x), ','), '') AS found, coalesce(array_to_string(list_transform(list_sort(list_filter(g, lambda x: x <> p.k % 5)), lambda x: 'd' || p.d || '/page_0' || x), ','), '') AS missing FROM k JOIN p ON k.event_id = p.event_id",
-    "a16_split_overlap": "WITH e AS (SELECT DISTINCT event_type AS s, (user_id % 40)::VARCHAR || '/' || (props->>'$.k') AS d FROM events) SELECT a.s AS a, b.s AS b, count(*) AS shared FROM e a JOIN e b ON a.d = b.d AND a.s < b.s GROUP BY 1, 2",
+    "t6_found_missing": f"""
+WITH {_P} SELECT k.event_id, coalesce(array_to_string(list_transform(list_sort(list_filter(g, lambda x: x = p.k % 5)), lambda x: 'd' || p.d || '/page_0' || x),
+','), '') AS found, coalesce(array_to_string(list_transform(list_sort(list_filter(g, lambda x: x <> p.k % 5)), lambda x: 'd' || p.d || '/page_0' || x), ','),
+'') AS missing FROM k JOIN p ON k.event_id = p.event_id""",
+    "a16_split_overlap": """
+WITH e AS (SELECT DISTINCT event_type AS s, (user_id % 40)::VARCHAR || '/' || (props->>'$.k') AS d FROM events) SELECT a.s AS a, b.s AS b, count(*) AS shared
+FROM e a JOIN e b ON a.d = b.d AND a.s < b.s GROUP BY 1, 2""",
 }

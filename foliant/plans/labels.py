@@ -165,14 +165,22 @@ _SIDE = "(CASE WHEN nw * nh > 401408 THEN greatest(floor({0} / down / 28) * 28,
 _T = r"'[ \t\n\x0B\f\r]+'"
 ORACLE_SQL = {
     "p1_first_present": f"{_E} SELECT event_id, CASE WHEN k % 3 = 1 THEN event_type ELSE user_id::VARCHAR END AS x FROM e",
-    "p2_canonical_qa": f"{_E} SELECT event_id, CASE WHEN k > 50 THEN event_type END AS question, event_type || ' | ' || user_id AS answer, CASE WHEN k % 2 = 0 THEN k ELSE event_id END::VARCHAR AS sample_id FROM e",
+    "p2_canonical_qa": f"""
+{_E} SELECT event_id, CASE WHEN k > 50 THEN event_type END AS question, event_type || ' | ' || user_id AS answer, CASE WHEN k % 2 = 0 THEN k ELSE event_id
+END::VARCHAR AS sample_id FROM e""",
     "p3_reference_pages": r"SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(url, '\d+'), lambda x: x::INT))), ','), '') AS pages FROM pages",
     "p4_page_label": f"{_E} SELECT event_id, printf('%s/page_%02d', event_type, k) AS label FROM e",
     "p5_page_key": f"{_E} SELECT event_id, CASE k % 4 WHEN 0 THEN event_type || '/x' WHEN 1 THEN event_type WHEN 2 THEN '' END AS deck, CASE WHEN k % 4 < 3 THEN k END AS n FROM e",
-    "p6_normalize_pages": f"{_E}, x AS (SELECT event_id, unnest([k, k % 7, k % 5, k % 7 + 1, 3, 19]) AS p, generate_subscripts([1, 1, 1, 1, 1, 1], 1) AS i FROM e), f AS (SELECT event_id, p, min(i) AS i FROM x WHERE p BETWEEN 1 AND 20 GROUP BY 1, 2) SELECT event_id, array_to_string(list(p ORDER BY i)[:4], ',') AS pages FROM f GROUP BY 1",
-    "p7_normalize_reference_pages": f"{_E} SELECT event_id, CASE WHEN k = 1 THEN printf('%s/page_01', event_type) ELSE printf('%s/page_%02d,%s/page_01', event_type, k, event_type) END AS pages FROM e",
+    "p6_normalize_pages": f"""
+{_E}, x AS (SELECT event_id, unnest([k, k % 7, k % 5, k % 7 + 1, 3, 19]) AS p, generate_subscripts([1, 1, 1, 1, 1, 1], 1) AS i FROM e), f AS (SELECT event_id,
+p, min(i) AS i FROM x WHERE p BETWEEN 1 AND 20 GROUP BY 1, 2) SELECT event_id, array_to_string(list(p ORDER BY i)[:4], ',') AS pages FROM f GROUP BY 1""",
+    "p7_normalize_reference_pages": f"""
+{_E} SELECT event_id, CASE WHEN k = 1 THEN printf('%s/page_01', event_type) ELSE printf('%s/page_%02d,%s/page_01', event_type, k, event_type) END AS pages FROM
+e""",
     "p8_normalize_keyfacts": f"{_E} SELECT event_id, 1 AS n, printf('%s/page_%02d', event_type, k) AS page, k::DOUBLE AS x1 FROM e",
-    "p9_normalize_anchor": f"{_E} SELECT event_id, coalesce(array_to_string(list_sort(list_distinct(CASE k % 3 WHEN 0 THEN [k::VARCHAR, 'a', 'b'] WHEN 1 THEN ['z', 'a', event_type] END)), ','), '') AS anchor FROM e",
+    "p9_normalize_anchor": f"""
+{_E} SELECT event_id, coalesce(array_to_string(list_sort(list_distinct(CASE k % 3 WHEN 0 THEN [k::VARCHAR, 'a', 'b'] WHEN 1 THEN ['z', 'a', event_type] END)),
+','), '') AS anchor FROM e""",
     "p10_normalize_question": f"SELECT doc_id, md5(trim(regexp_replace(lower(text), {_T}, ' ', 'g'))) AS q FROM documents",
     "p11_question_from_turns": r"WITH t AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1) SELECT conv_id, nullif(regexp_extract(t, '([0-9A-Za-z_]+)[.?!]', 1), '') AS question FROM t",
     "p12_extract_final_answer": "SELECT event_id, event_type AS answer FROM events",
@@ -180,13 +188,21 @@ ORACLE_SQL = {
     "p14_hop": f"{_E} SELECT event_id, CASE WHEN k % 10 = 0 THEN 'given' WHEN k % 2 <> event_id % 2 THEN 'multi' ELSE 'single' END AS hop FROM e",
     "p15_safe_name": "SELECT page_id, substr(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), 1, 30) AS name FROM pages",
     "p16_image_ext": f"{_E} SELECT event_id, ['jpg', 'png', 'webp'][k % 3 + 1] AS ext FROM e",
-    "p17_compact_unique": f"{_E} SELECT event_id, event_type || ',' || upper(event_type) || ',  a  b ,A B, ,' || k % 3 || CASE WHEN k % 3 <> 1 THEN ',1' ELSE '' END AS same, event_type || ',a b,' || k % 3 || CASE WHEN k % 3 <> 1 THEN ',1' ELSE '' END AS alike FROM e",
-    "p18_cells_to_labels": f"{_E} SELECT event_id, (63 + CASE WHEN k % 9 < 8 AND (k % 8) * 8 + k % 9 <> 63 THEN (k % 8) * 8 + k % 9 ELSE 0 END)::DOUBLE AS weighted, CASE WHEN k % 9 < 8 THEN 1 ELSE 2 END AS bad FROM e",
+    "p17_compact_unique": f"""
+{_E} SELECT event_id, event_type || ',' || upper(event_type) || ',  a  b ,A B, ,' || k % 3 || CASE WHEN k % 3 <> 1 THEN ',1' ELSE '' END AS same, event_type ||
+',a b,' || k % 3 || CASE WHEN k % 3 <> 1 THEN ',1' ELSE '' END AS alike FROM e""",
+    "p18_cells_to_labels": f"""
+{_E} SELECT event_id, (63 + CASE WHEN k % 9 < 8 AND (k % 8) * 8 + k % 9 <> 63 THEN (k % 8) * 8 + k % 9 ELSE 0 END)::DOUBLE AS weighted, CASE WHEN k % 9 < 8 THEN
+1 ELSE 2 END AS bad FROM e""",
     "p19_compact_error": f"SELECT doc_id, substr(trim(regexp_replace(text, {_T}, ' ', 'g')), 1, 40) AS error FROM documents",
     "p20_api_error": f"{_E} SELECT event_id, CASE WHEN k % 4 = 0 THEN event_type || ' Rate Limit hit' WHEN k % 2 = 0 THEN NULL WHEN k % 3 = 0 THEN 'HTTP 503 x' END AS error FROM e",
     "p21_scrub": f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[a-m]+', ' ', 'g'), '[.,|]', ' ', 'g'), {_T}, ' ', 'g'))) AS scrubbed FROM documents",
-    "p22_to_conversations": "WITH m AS (SELECT conv_id, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS speaker, length(text) AS c FROM conversations UNION ALL SELECT DISTINCT conv_id, 'gpt', 4 FROM conversations) SELECT conv_id, speaker, count(*) AS n, sum(c)::BIGINT AS chars FROM m GROUP BY 1, 2",
-    "p23_to_rl_rows": f"{_E} SELECT 'own' AS data_source, 'doc_qa' AS ability, event_type AS content, k::VARCHAR AS ground_truth, event_id AS sample_id, 'multi' AS hop, '[' || k || ',' || k + 1 || ']' AS reference_pages FROM e",
+    "p22_to_conversations": """
+WITH m AS (SELECT conv_id, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS speaker, length(text) AS c FROM conversations UNION
+ALL SELECT DISTINCT conv_id, 'gpt', 4 FROM conversations) SELECT conv_id, speaker, count(*) AS n, sum(c)::BIGINT AS chars FROM m GROUP BY 1, 2""",
+    "p23_to_rl_rows": f"""
+{_E} SELECT 'own' AS data_source, 'doc_qa' AS ability, event_type AS content, k::VARCHAR AS ground_truth, event_id AS sample_id, 'multi' AS hop, '[' || k || ','
+|| k + 1 || ']' AS reference_pages FROM e""",
     "p24_rewrite_prefix": "SELECT event_id, '/corpus/' || event_type AS path FROM events",
     "p25_reframe_boxes": f"""{_E}, s AS (SELECT event_id, k, k * 20 + 200 AS w, event_id % 50 * 20 + 200 AS h FROM e),
  n AS (SELECT *, greatest(round_even(w / 28, 0) * 28, 28) AS nw, greatest(round_even(h / 28, 0) * 28, 28) AS nh, sqrt((w * h)::DOUBLE / 401408) AS down, sqrt(200704::DOUBLE / (w * h)) AS up FROM s),
@@ -197,5 +213,7 @@ ORACLE_SQL = {
     "p26_crop_region": f"""{_E}, b AS (SELECT event_id, greatest(floor(k * 10 + 0.5 - 28), 0)::BIGINT AS x1, greatest(floor(event_id % 700 + 0.25 - 28), 0)::BIGINT AS y1, least(ceil(k * 10 + 80.75 + 28), 1000)::BIGINT AS x2, least(ceil(event_id % 700 + 3.5 + 28), 600)::BIGINT AS y2 FROM e)
  SELECT event_id, CASE WHEN x2 > x1 AND y2 > y1 AND greatest(x2 - x1, y2 - y1) <= 180 * least(x2 - x1, y2 - y1) THEN x1 || ',' || y1 || ',' || x2 || ',' || y2 END AS crop FROM b""",
     "p27_index_path": "SELECT event_id, CASE event_type WHEN 'click' THEN '/c' WHEN 'view' THEN '/v/' || user_id WHEN 'purchase' THEN '/p' WHEN 'signup' THEN '/s' ELSE '/e' END AS path FROM events",
-    "p28_unfold_chunks": "SELECT vec_id, c::INT AS chunk, round(list_sum(list_transform(embedding[c * 16 + 1:c * 16 + 16], lambda x: x::DOUBLE)), 6) AS total FROM embeddings, unnest(range(4)) AS t(c)",
+    "p28_unfold_chunks": """
+SELECT vec_id, c::INT AS chunk, round(list_sum(list_transform(embedding[c * 16 + 1:c * 16 + 16], lambda x: x::DOUBLE)), 6) AS total FROM embeddings,
+unnest(range(4)) AS t(c)""",
 }

@@ -270,33 +270,70 @@ QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "fnmdwu" and k[1]
 
 _S = "WITH s AS (SELECT event_id, user_id, event_type, value, (props->>'$.k')::INT AS k FROM events)"
 ORACLE_SQL = {
-    "d8_dedup_two_keys": f"WITH RECURSIVE {_S[5:]}, r AS (SELECT event_id, CASE WHEN k % 17 > 0 THEN user_id ELSE -1 - event_id END AS k1, k || '/' || event_type AS k2, false AS done, false AS keep FROM s UNION ALL SELECT event_id, k1, k2, bool_or(now) OVER (PARTITION BY k1) OR bool_or(now) OVER (PARTITION BY k2), now FROM (SELECT event_id, k1, k2, event_id = min(event_id) OVER (PARTITION BY k1) AND event_id = min(event_id) OVER (PARTITION BY k2) AS now FROM r WHERE NOT done)) SELECT event_id FROM r WHERE keep",
+    "d8_dedup_two_keys": f"""
+WITH RECURSIVE {_S[5:]}, r AS (SELECT event_id, CASE WHEN k % 17 > 0 THEN user_id ELSE -1 - event_id END AS k1, k || '/' || event_type AS k2, false AS done,
+false AS keep FROM s UNION ALL SELECT event_id, k1, k2, bool_or(now) OVER (PARTITION BY k1) OR bool_or(now) OVER (PARTITION BY k2), now FROM (SELECT event_id,
+k1, k2, event_id = min(event_id) OVER (PARTITION BY k1) AND event_id = min(event_id) OVER (PARTITION BY k2) AS now FROM r WHERE NOT done)) SELECT event_id FROM
+r WHERE keep""",
     "f7_parse_turns": f"""{_S} SELECT event_id, CASE WHEN k % 7 = 4 THEN 'a <act>{{}}</act>' || chr(10) || 'b' ELSE 'a <act>{{}}</act>' END AS think, CASE WHEN k % 3 = 0 THEN '{{"desc": "d"}}' END AS page,
  CASE k % 7 WHEN 0 THEN '{{"type": "search", "query": "x"}} }}' WHEN 2 THEN '{{"type": "search"}}' WHEN 4 THEN '{{"type": "crop"}}' WHEN 5 THEN '{{"type": "answer", "text": "a"}}' END AS act,
  CASE k % 7 WHEN 1 THEN 'json' WHEN 2 THEN 'schema' WHEN 3 THEN 'unclosed' WHEN 6 THEN 'no_act' END AS error_kind, CASE k % 7 WHEN 1 THEN '<act> is not JSON' WHEN 2 THEN '<act> schema' WHEN 3 THEN '<act> is not closed' WHEN 6 THEN 'missing <act>' END AS error FROM s""",
-    "f8_check_rules": f"{_S}, t AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'none' WHEN k % 5 = 0 THEN 'zoom' ELSE 'page' END AS view FROM s WHERE k % 7 IN (0, 4, 5)) SELECT event_id, CASE WHEN k % 11 = 0 AND k % 7 <> 5 THEN 'budget' WHEN view = 'none' AND k % 3 = 0 THEN 'page edit without page' WHEN view = 'none' AND k % 7 = 4 THEN 'crop without page' WHEN view = 'zoom' AND k % 7 = 4 THEN 'second crop' END AS rule FROM t",
+    "f8_check_rules": f"""
+{_S}, t AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'none' WHEN k % 5 = 0 THEN 'zoom' ELSE 'page' END AS view FROM s WHERE k % 7 IN (0, 4, 5)) SELECT event_id, CASE
+WHEN k % 11 = 0 AND k % 7 <> 5 THEN 'budget' WHEN view = 'none' AND k % 3 = 0 THEN 'page edit without page' WHEN view = 'none' AND k % 7 = 4 THEN
+'crop without page' WHEN view = 'zoom' AND k % 7 = 4 THEN 'second crop' END AS rule FROM t""",
     "n1_explode_trace": f"{_S} SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS step, event_id, event_type, k FROM s",
     "n2_build_sft_rows": "SELECT conv_id || ':turn:' || turn AS id, 2 AS n, CASE role WHEN 'user' THEN 'human' ELSE 'gpt' END AS speaker FROM conversations WHERE role <> 'system' AND turn % 3 > 0",
-    "n3_pack_trajectories": f"{_S} SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS texts, string_agg(CASE k % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'a,b' END, ',' ORDER BY event_id) AS images FROM s WHERE user_id % 3 > 0 GROUP BY 1 HAVING count(*) FILTER (k % 3 > 0) > 0",
-    "n4_flatten_memory": f"{_S}, x AS (SELECT 'node' AS kind, unnest(['resolved', 'open']) AS what FROM s UNION ALL SELECT 'link', unnest(['P' || k % 3, 'P1', 'P' || (k + 1) % 3, 'P1']) FROM s UNION ALL SELECT 'fact', 'P' || k % 3 FROM s) SELECT kind, what, count(*) AS n FROM x GROUP BY 1, 2",
+    "n3_pack_trajectories": f"""
+{_S} SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS texts, string_agg(CASE k % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'a,b' END, ',' ORDER BY event_id)
+AS images FROM s WHERE user_id % 3 > 0 GROUP BY 1 HAVING count(*) FILTER (k % 3 > 0) > 0""",
+    "n4_flatten_memory": f"""
+{_S}, x AS (SELECT 'node' AS kind, unnest(['resolved', 'open']) AS what FROM s UNION ALL SELECT 'link', unnest(['P' || k % 3, 'P1', 'P' || (k + 1) % 3, 'P1'])
+FROM s UNION ALL SELECT 'fact', 'P' || k % 3 FROM s) SELECT kind, what, count(*) AS n FROM x GROUP BY 1, 2""",
     "n5_evidence_pages": f"{_S} SELECT event_id, CASE k % 3 WHEN 0 THEN 'd/page_00,d/page_01' WHEN 1 THEN 'd/page_01,d/page_02' ELSE 'd/page_02,d/page_01,d/page_00' END AS pages FROM s",
     "n6_linked": f"{_S} SELECT event_id, CASE k % 3 WHEN 2 THEN 'N0' WHEN 1 THEN 'N1' ELSE '' END AS nodes FROM s",
-    "n7_render_notes": f"{_S} SELECT event_id, 'N0 q' || CASE WHEN k % 2 = 0 THEN ' = a [P' || k % 3 || ', P1]' ELSE ' (open)' END || chr(10) || 'N1 q' || CASE WHEN k % 2 = 1 THEN ' = a [P' || (k + 1) % 3 || ', P1]' ELSE ' (open)' END AS notes FROM s",
-    "n8_relevance_rows": f"{_S}, v AS (SELECT *, ['no', 'partial', 'yes'][k % 3 + 1] AS v FROM s), w AS (SELECT *, coalesce(sum(length(v) + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0) AS e, max(CASE WHEN v <> 'no' THEN event_id END) OVER (PARTITION BY user_id) AS last FROM v) SELECT event_id, e::INT AS earlier, CASE WHEN user_id % 2 = 0 AND event_id = last THEN 'yes' ELSE v END AS target FROM w",
+    "n7_render_notes": f"""
+{_S} SELECT event_id, 'N0 q' || CASE WHEN k % 2 = 0 THEN ' = a [P' || k % 3 || ', P1]' ELSE ' (open)' END || chr(10) || 'N1 q' || CASE WHEN k % 2 = 1 THEN
+' = a [P' || (k + 1) % 3 || ', P1]' ELSE ' (open)' END AS notes FROM s""",
+    "n8_relevance_rows": f"""
+{_S}, v AS (SELECT *, ['no', 'partial', 'yes'][k % 3 + 1] AS v FROM s), w AS (SELECT *, coalesce(sum(length(v) + 1) OVER (PARTITION BY user_id ORDER BY event_id
+ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0) AS e, max(CASE WHEN v <> 'no' THEN event_id END) OVER (PARTITION BY user_id) AS last FROM v) SELECT
+event_id, e::INT AS earlier, CASE WHEN user_id % 2 = 0 AND event_id = last THEN 'yes' ELSE v END AS target FROM w""",
     "n9_page_tasks": f"{_S}, p AS (SELECT user_id, unnest([k, k % 30]) AS page FROM s) SELECT DISTINCT user_id, page, printf('%d_page_%02d', user_id, page) AS id FROM p WHERE page BETWEEN 1 AND 20",
     "n10_pick_labels": f"{_S} SELECT event_id, event_type || CASE WHEN event_type <> 'click' THEN ',click,' || k ELSE ',' || k || ',z' END AS labels FROM s",
-    "n11_rows_to_columns": f"{_S} SELECT user_id, nullif(count(*) FILTER (event_type = 'click'), 0) AS click, nullif(count(*) FILTER (event_type = 'view'), 0) AS view, NULL::BIGINT AS other FROM s GROUP BY 1",
-    "n12_collate_rollouts": f"{_S}, l AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS length, max(k) OVER (PARTITION BY user_id) AS best FROM s) SELECT event_id, length, best FROM l WHERE event_type <> 'error'",
+    "n11_rows_to_columns": f"""
+{_S} SELECT user_id, nullif(count(*) FILTER (event_type = 'click'), 0) AS click, nullif(count(*) FILTER (event_type = 'view'), 0) AS view, NULL::BIGINT AS other
+FROM s GROUP BY 1""",
+    "n12_collate_rollouts": f"""
+{_S}, l AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS length, max(k) OVER (PARTITION BY user_id) AS best FROM s) SELECT event_id, length, best FROM l
+WHERE event_type <> 'error'""",
     "n13_retrieved_pages": f"{_S} SELECT event_id, CASE WHEN k % 2 = 0 AND k % 3 <> 1 THEN CASE k % 3 WHEN 0 THEN 'd0,d1' ELSE 'd1,d2' END ELSE 'd' || k % 3 END AS pages FROM s",
-    "m1_page_aliases": f"{_S}, f AS (SELECT user_id, k, min(event_id) AS first_turn FROM s GROUP BY 1, 2) SELECT *, 'P' || row_number() OVER (PARTITION BY user_id ORDER BY first_turn) AS alias FROM f",
-    "m2_fact_versions_whole": f"{_S}, h AS (SELECT user_id || '/' || k % 5 AS fact, list(event_type ORDER BY event_id) AS t, list((k % 7) || ' ' || (k % 11) || ' ' || (k + 10) || ' ' || (k + 20) ORDER BY event_id) AS b, list(CASE WHEN k % 3 = 0 THEN 'crop' ELSE 'page' END ORDER BY event_id) AS c FROM s GROUP BY 1) SELECT fact, t[-1] AS text, b[-1] AS box, c[-1] AS src, (len(t) - 1)::INT AS revision, coalesce(array_to_string(list_transform(range(1, len(t)), lambda i: t[i] || '|' || b[i] || '|' || c[i]), ';'), '') AS history FROM h",
-    "m2_fact_versions": f"{_S} SELECT user_id || '/' || k % 5 AS fact, arg_max(event_type, event_id) AS text, (count(*) - 1)::INT AS revision, array_to_string(list(event_type ORDER BY event_id)[:-2], ',') AS history FROM s GROUP BY 1",
-    "m5_fold_findings": f"{_S}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM s) SELECT user_id, coalesce(string_agg(k::VARCHAR, ',' ORDER BY event_id) FILTER (event_type = 'click'), '') AS confirmed, coalesce(string_agg(k::VARCHAR, ',' ORDER BY event_id) FILTER (event_type = 'view' AND r <= 2), '') AS partials, count(*) FILTER (event_type = 'error') AS warnings, coalesce(string_agg(k::VARCHAR, chr(10) ORDER BY event_id) FILTER (event_type NOT IN ('click', 'view', 'error')), '') AS summaries FROM r GROUP BY 1",
-    "m6_evidence_states": f"{_S}, n AS (SELECT *, (k % 2 = 0 AND row_number() OVER (PARTITION BY user_id, k % 2, k % 20 ORDER BY event_id) = 1)::INT AS fresh FROM s) SELECT event_id, (sum(fresh) OVER w - fresh)::INT AS before, (sum(fresh) OVER w)::INT AS after FROM n WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
+    "m1_page_aliases": f"""
+{_S}, f AS (SELECT user_id, k, min(event_id) AS first_turn FROM s GROUP BY 1, 2) SELECT *, 'P' || row_number() OVER (PARTITION BY user_id ORDER BY first_turn)
+AS alias FROM f""",
+    "m2_fact_versions_whole": f"""
+{_S}, h AS (SELECT user_id || '/' || k % 5 AS fact, list(event_type ORDER BY event_id) AS t, list((k % 7) || ' ' || (k % 11) || ' ' || (k + 10) || ' ' || (k +
+20) ORDER BY event_id) AS b, list(CASE WHEN k % 3 = 0 THEN 'crop' ELSE 'page' END ORDER BY event_id) AS c FROM s GROUP BY 1) SELECT fact, t[-1] AS text, b[-1]
+AS box, c[-1] AS src, (len(t) - 1)::INT AS revision, coalesce(array_to_string(list_transform(range(1, len(t)), lambda i: t[i] || '|' || b[i] || '|' || c[i]),
+';'), '') AS history FROM h""",
+    "m2_fact_versions": f"""
+{_S} SELECT user_id || '/' || k % 5 AS fact, arg_max(event_type, event_id) AS text, (count(*) - 1)::INT AS revision, array_to_string(list(event_type ORDER BY
+event_id)[:-2], ',') AS history FROM s GROUP BY 1""",
+    "m5_fold_findings": f"""
+{_S}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM s) SELECT user_id, coalesce(string_agg(k::VARCHAR,
+',' ORDER BY event_id) FILTER (event_type = 'click'), '') AS confirmed, coalesce(string_agg(k::VARCHAR, ',' ORDER BY event_id) FILTER (event_type = 'view' AND r
+<= 2), '') AS partials, count(*) FILTER (event_type = 'error') AS warnings, coalesce(string_agg(k::VARCHAR, chr(10) ORDER BY event_id) FILTER (event_type NOT IN
+('click', 'view', 'error')), '') AS summaries FROM r GROUP BY 1""",
+    "m6_evidence_states": f"""
+{_S}, n AS (SELECT *, (k % 2 = 0 AND row_number() OVER (PARTITION BY user_id, k % 2, k % 20 ORDER BY event_id) = 1)::INT AS fresh FROM s) SELECT event_id,
+(sum(fresh) OVER w - fresh)::INT AS before, (sum(fresh) OVER w)::INT AS after FROM n WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
     "m7_replay_check": "SELECT DISTINCT user_id FROM events WHERE user_id % 5 <> 0",
     "u1_exact_match": f"{_S} SELECT event_id, CASE WHEN k % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS score FROM s",
     "u2_supported_match": f"{_S} SELECT event_id, k % 2 = 0 AS correct, event_type IN ('click', 'view') AS support, event_type = 'view' AS support_gold FROM s",
-    "u3_plugged_scorer": f"{_S}, t AS (SELECT event_id, CASE WHEN k % 3 = 0 THEN '' ELSE event_type END AS a, CASE WHEN k % 2 = 0 THEN '' ELSE event_type END AS b FROM s) SELECT event_id, round(CASE WHEN a = b THEN CASE WHEN b = '' THEN -1 ELSE 1 / length(b) END ELSE length(a) - length(b) END, 6)::DOUBLE AS score, CASE WHEN a = b AND b = '' THEN 'ZeroDivisionError' END AS error FROM t",
+    "u3_plugged_scorer": f"""
+{_S}, t AS (SELECT event_id, CASE WHEN k % 3 = 0 THEN '' ELSE event_type END AS a, CASE WHEN k % 2 = 0 THEN '' ELSE event_type END AS b FROM s) SELECT event_id,
+round(CASE WHEN a = b THEN CASE WHEN b = '' THEN -1 ELSE 1 / length(b) END ELSE length(a) - length(b) END, 6)::DOUBLE AS score, CASE WHEN a = b AND b = '' THEN
+'ZeroDivisionError' END AS error FROM t""",
     "u5_embed": "SELECT item_id, " + ", ".join(f"length(text) - length(replace(text, '{c}', '')) AS {c}" for c in "abc") + " FROM benchmark",
     "u6_row_generators": f"{_S} SELECT user_id, count(DISTINCT k) FILTER (k BETWEEN 1 AND 9) AS tasks, count(*) AS steps FROM s GROUP BY 1",
     "u4_reduce_groups": "SELECT event_type, round(avg(value), 6) AS mean, max(value) AS max, min(value) AS min, round(stddev_pop(value), 6) AS std, median(value) AS median FROM events GROUP BY 1",

@@ -138,17 +138,28 @@ s AS (SELECT query, label, round(sum(b), 6) AS score FROM best GROUP BY 1, 2)
 _R5 = f"WITH {_MULTI} SELECT query, label, score, {_TOP} FROM s QUALIFY rank <= 8"
 ORACLE_SQL = {
     "r1_l2_normalize": f"WITH {_E} SELECT label, round(list_inner_product(v, v), 6) AS norm2, round(list_sum(v), 6) AS total FROM u",
-    "r2_mean_pool": "SELECT deck, dim, round(sum(x * m) / greatest(sum(m), 1), 6) AS x FROM (SELECT label AS deck, (vec_id % 3 <> 0)::INT AS m, unnest(embedding)::DOUBLE AS x, (unnest(range(len(embedding))))::INT AS dim FROM embeddings) GROUP BY deck, dim",
+    "r2_mean_pool": """
+SELECT deck, dim, round(sum(x * m) / greatest(sum(m), 1), 6) AS x FROM (SELECT label AS deck, (vec_id % 3 <> 0)::INT AS m, unnest(embedding)::DOUBLE AS x,
+(unnest(range(len(embedding))))::INT AS dim FROM embeddings) GROUP BY deck, dim""",
     "r3_dense_topk": f"WITH {_E} SELECT query, label, score, {_TOP} FROM s QUALIFY rank <= 10",
     "r4_deck_topk": f"WITH {_E} SELECT query, label, deck, score, {_TOP} FROM s WHERE deck = qdeck QUALIFY rank <= 5",
     "r5_maxsim_topk": _R5,
     "r5_maxsim_long": _R5,
     "r6_existing_topk": f"WITH {_E} SELECT query, label, score, {_TOP} FROM s WHERE label IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) QUALIFY rank <= 5",
-    "r7_first_unseen": f"WITH {_E}, t AS (SELECT query, label, {_TOP} FROM s QUALIFY rank <= 3) SELECT q.label AS episode, (SELECT arg_min(t.label, t.rank) FROM t WHERE t.query = q.label AND t.rank > q.label // 100 % 4) AS label FROM e q WHERE q.label % 100 = 0",
+    "r7_first_unseen": f"""
+WITH {_E}, t AS (SELECT query, label, {_TOP} FROM s QUALIFY rank <= 3) SELECT q.label AS episode, (SELECT arg_min(t.label, t.rank) FROM t WHERE t.query =
+q.label AND t.rank > q.label // 100 % 4) AS label FROM e q WHERE q.label % 100 = 0""",
     "r8_recall_report": f"WITH {_E}, {_FLAT}, {_GOLD} {_REPORT.format(scope='flat', ranked='flat')} UNION ALL {_REPORT.format(scope='deck', ranked='decks')}",
-    "j11_score_pairs": "SELECT q.vec_id AS query, count(*) AS pages, sum(p.vec_id)::BIGINT AS labels, 'flat' AS scope FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0 GROUP BY 1 UNION ALL SELECT q.vec_id, count(*), sum(p.vec_id)::BIGINT, 'deck' FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id % 100 = 0 GROUP BY 1",
+    "j11_score_pairs": """
+SELECT q.vec_id AS query, count(*) AS pages, sum(p.vec_id)::BIGINT AS labels, 'flat' AS scope FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0 GROUP BY
+1 UNION ALL SELECT q.vec_id, count(*), sum(p.vec_id)::BIGINT, 'deck' FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id % 100 = 0 GROUP BY
+1""",
     "r9_index_stats": "SELECT count(*) AS pages, avg(n) AS mean_tokens, min(n) AS min_tokens, max(n) AS max_tokens FROM (SELECT vec_id // 4, count(*) AS n FROM embeddings GROUP BY 1)",
     "r10_augment_index": f"WITH {_E} SELECT label, CASE WHEN label % 3 <> 0 THEN 0 ELSE 1 END AS part, round(list_sum(v), 6) AS total FROM u WHERE label % 3 <> 0 OR label % 2 = 0",
-    "r11_check_index": "SELECT label AS deck, count(*) FILTER (vec_id % 7 <> 0) AS entries, count(*) FILTER (vec_id % 5 <> 0) AS vectors, count(*) FILTER ((vec_id % 7 <> 0) <> (vec_id % 5 <> 0)) AS unmatched FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 5 <> 0 GROUP BY 1",
-    "r12_gold_rank": f"WITH {_E}, {_FLAT}, {_GOLD} SELECT g.query, min(f.rank) AS best_rank, coalesce(min(f.rank) BETWEEN 2 AND 5, false) AS near_miss FROM gold g LEFT JOIN flat f ON f.query = g.query AND f.label = g.label AND f.label <> f.query GROUP BY g.query",
+    "r11_check_index": """
+SELECT label AS deck, count(*) FILTER (vec_id % 7 <> 0) AS entries, count(*) FILTER (vec_id % 5 <> 0) AS vectors, count(*) FILTER ((vec_id % 7 <> 0) <> (vec_id
+% 5 <> 0)) AS unmatched FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 5 <> 0 GROUP BY 1""",
+    "r12_gold_rank": f"""
+WITH {_E}, {_FLAT}, {_GOLD} SELECT g.query, min(f.rank) AS best_rank, coalesce(min(f.rank) BETWEEN 2 AND 5, false) AS near_miss FROM gold g LEFT JOIN flat f ON
+f.query = g.query AND f.label = g.label AND f.label <> f.query GROUP BY g.query""",
 }
