@@ -8,7 +8,7 @@ are merged: no group has to fit into one task.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from hashlib import md5
 from typing import Any
@@ -19,24 +19,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Distinct values of a block, and draws that are worked out at a time.
-BLOCK, DRAWS = 4096, 64
+BLOCK, DRAWS = 4096, 256
 
 
 @dataclass(frozen=True)
 class Reduction:
+    """`batch`, where it is given, makes the states of many draws at once, from sorted values and a matrix of how often each draw has each."""
+
     zero: Callable[[], Any]
     update: Callable[[Any, float, int], Any]
     merge: Callable[[Any, Any], Any]
     finish: Callable[[Any], float | None]
+    batch: Callable[[np.ndarray, np.ndarray], list] | None = None
+
+    def states(self, values: np.ndarray, times: np.ndarray) -> list:
+        if self.batch is not None:
+            return self.batch(values, times)
+        out = []
+        for row in times:
+            state = self.zero()
+            for i in np.flatnonzero(row):
+                state = self.update(state, float(values[i]), int(row[i]))
+            out.append(state)
+        return out
 
 
-def _either(pick: Callable[[float, float], float]) -> Reduction:
+def _either(pick: Callable[[float, float], float], last: bool) -> Reduction:
     both = lambda a, b: b if a is None else a if b is None else pick(a, b)
-    return Reduction(lambda: None, lambda s, x, _: both(s, x), both, lambda s: s)
 
+    def batch(values: np.ndarray, times: np.ndarray) -> list:
+        held = times[:, ::-1] > 0 if last else times > 0
+        at = held.argmax(axis=1)
+        return [x if any_ else None for x, any_ in zip(values[len(values) - 1 - at if last else at].tolist(), held.any(axis=1).tolist(), strict=True)]
+
+    return Reduction(lambda: None, lambda s, x, _: both(s, x), both, lambda s: s, batch)
 
-LARGEST, SMALLEST = _either(max), _either(min)
-MEAN = Reduction(lambda: (0.0, 0), lambda s, x, n: (s[0] + x * n, s[1] + n), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s[0] / s[1] if s[1] else None)
+
+LARGEST, SMALLEST = _either(max, True), _either(min, False)
+MEAN = Reduction(
+    lambda: (0.0, 0), lambda s, x, n: (s[0] + x * n, s[1] + n), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s[0] / s[1] if s[1] else None,
+    lambda values, times: list(zip((times @ values).tolist(), times.sum(axis=1).tolist(), strict=True)),
+)
 
 
 def _dealt(samples: DataFrame, group: str, value: str) -> DataFrame:
@@ -46,21 +69,14 @@ def _dealt(samples: DataFrame, group: str, value: str) -> DataFrame:
     return counts.join(sizes, "_g").withColumn("_b", F.pmod(F.xxhash64("_v"), F.col("_blocks")).cast("int")).drop("_blocks")
 
 
-def _over(reduction: Reduction, values: list[float], times: list[int]) -> Any:
-    state = reduction.zero()
-    for x, n in zip(values, times, strict=True):
-        if n:
-            state = reduction.update(state, x, n)
-    return state
-
-
 def reduce_by(samples: DataFrame, group: str, value: str, reductions: Mapping[str, Reduction]) -> DataFrame:
     """U4: per group the reductions of its values by name; a group without values has no row."""
     kind = dict(samples.dtypes)[group]
 
     def of_block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_v")
-        states = {name: pickle.dumps(_over(r, rows["_v"].tolist(), rows["_n"].tolist())) for name, r in reductions.items()}
+        values, times = rows["_v"].to_numpy(float), rows["_n"].to_numpy()[None, :]
+        states = {name: pickle.dumps(r.states(values, times)[0]) for name, r in reductions.items()}
         return pd.DataFrame([{"_g": rows["_g"].iloc[0], "_b": rows["_b"].iloc[0], **states}])
 
     def of_group(rows: pd.DataFrame) -> pd.DataFrame:
@@ -96,42 +112,63 @@ def bootstrap(samples: DataFrame, group: str, value: str, reductions: Mapping[st
     totals = dealt.groupBy("_g", "_b").agg(F.sum("_n").alias("_t")).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_b", "_t"))).alias("_totals"))  # a number a block
     asked = dealt.join(totals, "_g")
     names = [f"`{r}` binary" for r in reductions]
+    figures = [f"`{r}_{x}` double" for r in reductions for x in ("mean", "var")]
+
+    def rows_of(values: np.ndarray, share: np.ndarray, split: Callable[[int, int, int], np.ndarray], sizes: list[int], *name: Any) -> Iterator[tuple]:
+        """size, chunk, how many draws, states by reduction."""
+        for size in sizes:
+            for chunk in range(chunks):
+                many = min(DRAWS, draws - chunk * DRAWS)
+                own = _random(seed, *name[:1], size, chunk, *name[1:])
+                times = own.multinomial(split(size, chunk, many), share)
+                yield size, chunk, many, {r: f.states(values, times) for r, f in reductions.items()}
+
+    def figures_of(states: dict[str, list]) -> dict[str, float]:
+        out = {}
+        for r, held in states.items():
+            results = np.array([reductions[r].finish(s) for s in held], float)
+            out |= {f"{r}_mean": results.mean(), f"{r}_var": results.var()}
+        return out
+
+    def of_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups of one block, whose states need no merging."""
+        columns = ["_g", "n", "_many", *(f"{r}_{x}" for r in reductions for x in ("mean", "var"))]
+        for groups in batches:
+            out = []
+            for name, held in zip(groups["_g"], groups["_held"], strict=True):
+                values, counts = (np.array([x[c] for x in held], float) for c in ("_v", "_n"))
+                sizes = [n] if n is not None else sizes_of(int(counts.sum()))
+                for size, _, many, states in rows_of(values, counts / counts.sum(), lambda size, _, many: np.full(many, size), sizes, name, 0):
+                    out.append({"_g": name, "n": size, "_many": many, **figures_of(states)})
+            yield pd.DataFrame(out, columns=columns)
 
     def of_block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_v")
         name, block = rows["_g"].iloc[0], rows["_b"].iloc[0]
         totals = np.array([t["_t"] for t in rows["_totals"].iloc[0]], float)
         place = [t["_b"] for t in rows["_totals"].iloc[0]].index(block)
-        values, share = rows["_v"].tolist(), rows["_n"].to_numpy(float)
-        share /= share.sum()
-        out = []
-        for size in [n] if n is not None else sizes_of(int(totals.sum())):
-            for chunk in range(chunks):
-                many = min(DRAWS, draws - chunk * DRAWS)
-                split = _random(seed, name, size, chunk).multinomial(size, totals / totals.sum(), many)[:, place]
-                own = _random(seed, name, size, chunk, block)
-                times = [own.multinomial(k, share).tolist() if k else None for k in split]
-                states = {r: pickle.dumps([_over(f, values, t) if t else f.zero() for t in times]) for r, f in reductions.items()}
-                out.append({"_g": name, "_b": block, "n": size, "_chunk": chunk, **states})
+        share = rows["_n"].to_numpy(float)
+        split = lambda size, chunk, many: _random(seed, name, size, chunk).multinomial(size, totals / totals.sum(), many)[:, place]
+        found = rows_of(rows["_v"].to_numpy(float), share / share.sum(), split, [n] if n is not None else sizes_of(int(totals.sum())), name, block)
+        out = [{"_g": name, "_b": block, "n": size, "_chunk": chunk, **{r: pickle.dumps(s) for r, s in states.items()}} for size, chunk, _, states in found]
         return pd.DataFrame(out, columns=["_g", "_b", "n", "_chunk", *reductions])
 
     def of_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out = rows.sort_values("_b"), {}
+        rows, merged = rows.sort_values("_b"), {}
         for name, r in reductions.items():
-            states: list | None = None
             for other in map(pickle.loads, rows[name]):
-                states = other if states is None else [r.merge(a, b) for a, b in zip(states, other, strict=True)]
-            results = np.array([r.finish(s) for s in states], float)
-            out |= {f"{name}_mean": results.mean(), f"{name}_var": results.var()}
-        return pd.DataFrame([{"_g": rows["_g"].iloc[0], "n": rows["n"].iloc[0], "_many": min(DRAWS, draws - DRAWS * int(rows["_chunk"].iloc[0])), **out}])
+                merged[name] = other if name not in merged else [r.merge(a, b) for a, b in zip(merged[name], other, strict=True)]
+        return pd.DataFrame([{"_g": rows["_g"].iloc[0], "n": rows["n"].iloc[0], "_many": min(DRAWS, draws - DRAWS * int(rows["_chunk"].iloc[0])), **figures_of(merged)}])
 
-    of_blocks = asked.groupBy("_g", "_b").applyInPandas(of_block, f"_g {kind}, _b int, n int, _chunk int, " + ", ".join(names))
-    parts = of_blocks.groupBy("_g", "n", "_chunk").applyInPandas(of_chunk, f"_g {kind}, n int, _many int, " + ", ".join(f"`{r}_mean` double, `{r}_var` double" for r in reductions))
+    alone = asked.where(F.size("_totals") == 1).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_held"))  # about BLOCK values at most
+    schema = f"_g {kind}, n int, _many int, " + ", ".join(figures)
+    of_blocks = asked.where(F.size("_totals") > 1).groupBy("_g", "_b").applyInPandas(of_block, f"_g {kind}, _b int, n int, _chunk int, " + ", ".join(names))
+    parts = of_blocks.groupBy("_g", "n", "_chunk").applyInPandas(of_chunk, schema).unionByName(alone.mapInPandas(of_groups, schema))
     whole = Window.partitionBy("_g", "n")
     mean = lambda r: F.sum(F.col(f"{r}_mean") * F.col("_many")) / F.sum("_many")
     for r in reductions:  # the variance of all draws, from that inside chunks and that between them
         held = F.sum(F.col(f"{r}_mean") * F.col("_many")).over(whole) / F.sum("_many").over(whole)
         parts = parts.withColumn(f"{r}_all", F.col(f"{r}_var") + F.pow(F.col(f"{r}_mean") - held, F.lit(2)))
     spread = lambda r: F.sqrt(F.sum(F.col(f"{r}_all") * F.col("_many")) / F.sum("_many"))
-    figures = [x for r in reductions for x in (mean(r).alias(f"{r}_mean"), spread(r).alias(f"{r}_std"))]
-    return parts.groupBy("_g", "n").agg(*figures).withColumnRenamed("_g", group)
+    told = [x for r in reductions for x in (mean(r).alias(f"{r}_mean"), spread(r).alias(f"{r}_std"))]
+    return parts.groupBy("_g", "n").agg(*told).withColumnRenamed("_g", group)
