@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
@@ -24,26 +26,27 @@ def _grown(rows: DataFrame, root: str, step: int) -> None:
     step 1 the rest of the line and of the rows, or, where t is a multiple of five, a shorter file of the last quarter in its place.
     """
 
-    def write(group: pd.DataFrame) -> pd.DataFrame:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, folder = pafs.FileSystem.from_uri(root)
         system.create_dir(folder)
-        group = group.sort_values("event_id")
-        text = lambda part: "".join(f'{{"t": {i}}}\n' for i in part.event_id).encode()
-        path, early = f"{folder}/{group.file.iloc[0]}.jsonl", group[group.event_id * 2 < group.top]
-        first = text(early)[:-TORN]
-        if step == 0:
-            if len(first):
-                with system.open_output_stream(path) as out:
-                    out.write(first)
-        elif group.t.iloc[0] % 5 == 0:
-            with system.open_output_stream(path) as out:
-                out.write(text(group[group.event_id * 4 >= group.top * 3]))
-        else:
-            with system.open_append_stream(path) as out:
-                out.write(text(group)[len(first) :])
-        return pd.DataFrame({"n": [len(group)]})
-
-    rows.groupBy("file").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+        text = lambda part: "".join(f'{{"t": {i}}}\n' for i in part).encode()
+        for batch in batches:
+            for file, user, top, ids in zip(batch["file"], batch["user"], batch["top"], batch["ids"].map(lambda x: x.tolist()), strict=True):
+                path, first = f"{folder}/{file}.jsonl", text(i for i in ids if i * 2 < top)[:-TORN]
+                if step == 0:
+                    if first:
+                        with system.open_output_stream(path) as out:
+                            out.write(first)
+                elif user % 5 == 0:
+                    with system.open_output_stream(path) as out:
+                        out.write(text(i for i in ids if i * 4 >= top * 3))
+                else:
+                    with system.open_append_stream(path) as out:
+                        out.write(text(ids)[len(first) :])
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files = rows.groupBy("file").agg(F.first("t").alias("user"), F.first("top").alias("top"), F.array_sort(F.collect_list("event_id")).alias("ids"))
+    files.mapInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
 def x1_tail_growing(spark, sf):

@@ -47,6 +47,23 @@ def test_ranges_end_with_lines(tmp_path, monkeypatch):
     assert reader.partitions(end, reader.latestOffset()) == []
 
 
+def test_small_files_share_tasks(tmp_path):
+    for i in range(3000):
+        (tmp_path / f"{i}.jsonl").write_text(f"{i}\n" if i % 3 else f"{i}\nx\ntorn")
+    reader = tail.TailReader(str(tmp_path), ".jsonl")
+    start = reader.latestOffset()
+    parts = reader.partitions({}, start)
+    assert len(parts) <= 4
+    read = sorted((os.path.basename(r["file"]), r["line"], r["value"]) for p in parts for batch in reader.read(p) for r in batch.to_pylist())
+    assert read == sorted((f"{i}.jsonl", n, x) for i in range(3000) for n, x in enumerate([str(i)] if i % 3 else [str(i), "x"]))
+    with (tmp_path / "0.jsonl").open("a") as f:
+        f.write(" no more\n")
+    whole = {str(tmp_path / k): v for k, v in start.items()}  # offsets that name whole paths
+    for known in (start, whole):
+        parts = reader.partitions(known, reader.latestOffset())
+        assert [(r["line"], r["value"]) for p in parts for batch in reader.read(p) for r in batch.to_pylist()] == [(2, "torn no more")]
+
+
 def size(path):
     return sum(os.path.getsize(os.path.join(top, name)) for top, _, names in os.walk(path) for name in names)
 
