@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -96,18 +97,67 @@ def _committed(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def score_when_due(
     stream: DataFrame, path: str, checkpoint: str, key: str, score: Column, batch_size: int, every_poll: bool = False, expected: int | None = None, source: str | None = None,
 ) -> StreamingQuery:
-    """Rows wait in the stream's state (`keepers.release_when_due`) until they are due, and are then scored into path/scored.
+    """Rows wait until they are due, and are then scored into path/scored.
 
-    Without a source column all rows are one source, whose waiting rows one task holds; expected is for each source.
+    Without a source column all rows are one source, whose waiting rows are tables under path/waiting (`_release_one_source`). With
+    one they wait in the stream's state (`keepers.release_when_due`), and expected is for each source.
     """
     keep_in_rocksdb(stream.sparkSession)
-    marked = stream.dropDuplicates([key]).withColumns({"due_source": F.lit("all") if source is None else F.col(source).cast("string"), "due_expected": F.lit(expected).cast("long")})
-    due = release_when_due(marked, "due_source", key, batch_size, "due_expected", every_poll).drop("due_source", "batch")
+    first = stream.dropDuplicates([key])
 
     def commit(batch: DataFrame, number: int) -> None:
         score_rows(batch, score).select(*stream.columns).write.mode("overwrite").parquet(f"{path}/scored/poll={number}")
 
-    return due.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if source is None:
+        due = first
+        step = lambda batch, number: _release_one_source(batch, number, path, key, batch_size, every_poll, expected, commit)
+    else:
+        marked = first.withColumns({"due_source": F.col(source).cast("string"), "due_expected": F.lit(expected).cast("long")})
+        due = release_when_due(marked, "due_source", key, batch_size, "due_expected", every_poll).drop("due_source", "batch")
+        step = commit
+    return due.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _release_one_source(batch: DataFrame, number: int, path: str, key: str, batch_size: int, every_poll: bool, expected: int | None, commit: Callable[[DataFrame, int], None]) -> None:
+    """A poll's rows become a table under path/waiting; the first waiting rows, by poll and key, or all of them are committed if they are due.
+
+    One small row a poll says how many rows were seen and wait, in which poll's table the waiting ones begin, how many of that are gone and
+    the last one's key. A poll that brings nothing releases nothing. Polls that are repeated start from the row of the poll before.
+    """
+    spark = batch.sparkSession
+    shape = T.StructType([*T.StructType.fromDDL("poll long, seen long, waiting long, head long, gone long").fields, T.StructField("last", batch.schema[key].dataType)])
+    table = lambda poll: f"{path}/waiting/poll={poll}"
+    was = _committed(spark, f"{path}/progress", shape).select(*shape.names).where(F.col("poll") < number).orderBy(F.desc("poll")).first()
+    seen, waiting, head, gone, last = tuple(was)[1:] if was else (0, 0, number, 0, None)
+    batch.write.mode("overwrite").parquet(table(number))
+    held = lambda poll: spark.read.schema(batch.schema).parquet(table(poll))
+    fresh = held(number).count()
+    seen, waiting = seen + fresh, waiting + fresh
+
+    def left(poll: int) -> DataFrame:
+        if poll > head or not gone:
+            return held(poll)
+        return held(poll).where(F.col(key) > last if last is not None else F.col(key).isNotNull())  # keys are distinct, a null one comes first
+
+    polls = range(head, number + 1)
+    if fresh and (every_poll or (expected is not None and seen >= expected)):
+        rows = left(head)
+        later = spark.read.schema(batch.schema).parquet(*map(table, polls[1:])) if len(polls) > 1 else None
+        commit(rows if later is None else rows.unionByName(later), number)
+        waiting, head, gone, last = 0, number + 1, 0, None
+    elif fresh and waiting >= batch_size:
+        wanted, taken = batch_size, []
+        for poll in polls:
+            rows = left(poll).orderBy(key).limit(wanted)
+            n, top = rows.agg(F.count("*"), F.max(key)).first()
+            gone, last, head = (gone if poll == head else 0) + n, top if n else last if poll == head else None, poll
+            taken.append(rows)
+            wanted -= n
+            if not wanted:
+                break
+        commit(reduce(DataFrame.unionByName, taken), number)
+        waiting -= batch_size
+    spark.createDataFrame([(number, seen, waiting, head, gone, last)], shape).coalesce(1).write.mode("overwrite").parquet(f"{path}/progress/at={number}")
 
 
 def missing_count(snapshot: DataFrame, key: str, expected: int) -> DataFrame:
