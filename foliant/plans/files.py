@@ -117,7 +117,8 @@ def s12_discover_runs(spark, sf):
     """A run per user and kind of event, in folders of their users; those of every fourth user are merged ones and left out."""
     path = _new(spark)
     e = table(spark, sf, "events").select(F.concat(F.when(F.col("user_id") % 4 == 0, "merged_").otherwise("eval_"), F.col("user_id")).alias("owner"), F.col("event_type").alias("run"), F.to_json(F.struct("event_id", "value")).alias("value"))
-    e.groupBy("owner", "run").agg(F.max("value").alias("value")).repartition("owner", "run").selectExpr("owner", "run", "value").write.partitionBy("owner", "run").text(path)
+    place = F.concat(F.lit("owner="), "owner", F.lit("/run="), F.coalesce(F.url_encode("run"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("/run.txt"))
+    io.put_files(e.where("owner IS NOT NULL").groupBy("owner", "run").agg(F.max("value").alias("value")).select(place.alias("path"), F.concat("value", F.lit("\n")).alias("value")), path)
     tidied = io.discover_runs(spark, path, "*.txt").where(~F.col("path").rlike("/owner=merged_[^/]*/"))
     return tidied.groupBy(F.regexp_extract("parent", r"owner=(\w+)$", 1).alias("owner")).agg(F.count_distinct("run").alias("runs"), F.count(F.when(F.col("newest"), 1)).alias("newest"))
 

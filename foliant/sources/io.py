@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from fnmatch import fnmatchcase
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,9 +61,81 @@ def unpivot_pages(raw: DataFrame, deck: str) -> DataFrame:
     return long.withColumn("page", F.col("page").cast("int")).dropDuplicates([deck, "page"])
 
 
+#: Folders that the driver lists at least before tasks go on, and folders that one task gets.
+FOLDERS, FOLDERS_A_TASK = 64, 1000
+
+
+def list_files(spark: SparkSession, root: str, name: str = "*") -> DataFrame:
+    """path (with its scheme), length, modificationTime of the files under root at any depth whose name fits the pattern; names that
+    begin with a dot or an underscore are left out, as Spark leaves them out. root is a URI or an absolute path, which Arrow opens.
+
+    The driver lists the upper folders only, tasks list those below.
+    """
+    scheme, _, rest = root.rpartition("://")
+    prefix = f"{scheme}://{rest.split('/')[0]}" if scheme not in ("", "file") else "file:"
+
+    def opened(base: str) -> tuple[pafs.FileSystem, str]:
+        return pafs.FileSystem.from_uri(base.removeprefix("file:") if base.startswith("file:/") and not base.startswith("file://") else base)
+
+    def shown(x: pafs.FileInfo) -> bool:
+        return x.base_name[0] != "." and (x.base_name[0] != "_" or "=" in x.base_name)
+
+    def below(system: pafs.FileSystem, folders: list[str]) -> Iterator[pafs.FileInfo]:
+        for folder in folders:
+            yield from filter(shown, system.get_file_info(pafs.FileSelector(folder)))
+
+    def rows(found: list[pafs.FileInfo]) -> pa.RecordBatch:
+        times = pa.array([x.mtime_ns // 1000 if x.mtime_ns else None for x in found], pa.int64()).cast(pa.timestamp("us", "UTC"))
+        paths = [prefix + ("" if x.path.startswith("/") else "/") + (x.path if prefix == "file:" else x.path.removeprefix(rest.split("/")[0]).lstrip("/")) for x in found]
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([x.size for x in found], pa.int64()), times], ["path", "length", "modificationTime"])
+
+    def wanted(found: list[pafs.FileInfo]) -> list[pafs.FileInfo]:
+        return [x for x in found if x.is_file and fnmatchcase(x.base_name, name)]
+
+    system, top = opened(root)
+    if system.get_file_info(top).type == pafs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    upper, folders = [], [top]
+    while folders and len(folders) < FOLDERS:
+        found = list(below(system, folders))
+        upper += wanted(found)
+        folders = [x.path for x in found if x.type == pafs.FileType.Directory]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = opened(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                held = [folder]
+                while held:
+                    found = list(below(system, held))
+                    held = [x.path for x in found if x.type == pafs.FileType.Directory]
+                    yield rows(wanted(found))
+
+    schema = "path string, length long, modificationTime timestamp"
+    lower = spark.createDataFrame(pa.table({"folder": pa.array(folders, pa.string())}))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-len(folders) // FOLDERS_A_TASK))
+    here = spark.createDataFrame(pa.Table.from_batches([rows(upper)]), schema)
+    return here.unionByName(lower.repartition(tasks).mapInArrow(listed, schema))
+
+
+def put_files(files: DataFrame, root: str) -> None:
+    """Writes each row's text, `value`, as a file of its own at `path` under root, which is a URI or an absolute path."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                system.create_dir(f"{folder}/{path}".rpartition("/")[0])
+                with system.open_output_stream(f"{folder}/{path}") as out:
+                    out.write((value or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.select("path", "value").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def scan_page_files(spark: SparkSession, root: str, extensions: Sequence[str] = ("jpg", "jpeg", "png", "webp")) -> DataFrame:
     """Images under root at any depth: label (folder and stem), path, size; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    files = list_files(spark, root).select("path", "length")
     wanted = files.where(F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).isin(*extensions))
     return wanted.select(F.regexp_extract("path", r"([^/]+/[^/]+)\.[^.]+$", 1).alias("label"), "path", "length")
 
@@ -146,7 +221,7 @@ def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def discover_runs(spark: SparkSession, root: str, name: str = "predictions.jsonl") -> DataFrame:
     """Per folder that holds a file of that name, but no merged or sidecar tree: its file and time; `newest` marks the last per parent."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root).select("path", "modificationTime")
+    files = list_files(spark, root, name).select("path", "modificationTime")
     runs = files.where(~F.col("path").rlike(r"/(merged[^/]*|sidecar|judge_sidecar)/")).withColumn("run", F.regexp_extract("path", r"^(.*)/[^/]+$", 1))
     runs = runs.withColumn("parent", F.regexp_extract("run", r"^(.*)/[^/]+$", 1))
     order = Window.partitionBy("parent").orderBy(F.desc("modificationTime"), F.desc("run"))

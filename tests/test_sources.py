@@ -61,6 +61,26 @@ def test_page_files(spark, tmp_path):
     assert {r.path: r.error for r in io.verify_manifest(listed, off).collect()} == {"x/abc_1.jpg": "size", "x/abc_2.JPG": "sha256", "y/n.txt": "missing"}
 
 
+def test_tasks_list_the_lower_folders(spark, tmp_path, monkeypatch):
+    names = {f"a{i}/b{i % 3}/c/{i}.txt" for i in range(90)} | {"top.txt", "a1/up.txt", "a1/x.log", "_tmp/no.txt", "a2/.no.txt", "_k=1/yes.txt", "a3/b0/c/d/e/f.txt"}
+    io.put_files(spark.createDataFrame([(n, "x" * (1 + i % 5)) for i, n in enumerate(sorted(names))], "path string, value string"), str(tmp_path))
+    sizes = {n: 1 + i % 5 for i, n in enumerate(sorted(names))}
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(str(tmp_path)).select("path", "length", "modificationTime")
+    driver_lists = []
+    real = io.pafs.FileSelector
+    monkeypatch.setattr(io.pafs, "FileSelector", lambda *a, **k: driver_lists.append(a) or real(*a, **k))
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        got = io.list_files(spark, root, "*.txt").collect()
+        assert sorted((r.path, r.length) for r in got) == sorted((r.path, r.length) for r in whole.collect())
+        assert all(abs((r.modificationTime - w.modificationTime).total_seconds()) < 0.001 for r, w in zip(sorted(got), sorted(whole.collect()), strict=True))
+    assert len(driver_lists) == 3 and len(got) == len([n for n in names if n.endswith("txt") and "/." not in n and "_tmp" not in n])
+    assert all(sizes[r.path.removeprefix(f"file:{tmp_path}/")] == r.length for r in got)
+    (tmp_path / "a1/empty.txt").write_text("")
+    assert [r.path[-9:] for r in io.list_files(spark, str(tmp_path), "*.txt").where("length = 0").collect()] == ["empty.txt"]
+    with pytest.raises(FileNotFoundError):
+        io.list_files(spark, str(tmp_path / "none"))
+
+
 def test_unpivot_and_entries(spark, tmp_path):
     raw = spark.sql("SELECT 'd' AS deck, named_struct('bytes', X'01') AS page_1, CAST(NULL AS STRUCT<bytes: BINARY>) AS page_2, named_struct('bytes', X'03') AS page_3 UNION ALL SELECT 'd', named_struct('bytes', X'01'), NULL, NULL")
     assert sorted((r.deck, r.page) for r in io.unpivot_pages(raw, "deck").collect()) == [("d", 1), ("d", 3)]
