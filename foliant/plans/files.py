@@ -64,8 +64,8 @@ def s4_unpivot_pages(spark, sf):
 def _page_tree(spark, sf):
     """One file per page, fifty in a folder of its deck."""
     path = _new(spark)
-    p = table(spark, sf, "pages").select(F.expr("page_id div 50").alias("deck"), (F.col("page_id") % 50).alias("n"), F.col("url").alias("value"))
-    p.repartition("deck").write.partitionBy("deck", "n").text(path)
+    place = F.format_string("deck=%d/n=%d/page.txt", F.expr("page_id div 50"), F.col("page_id") % 50)
+    io.put_files(table(spark, sf, "pages").select("page_id", place.alias("path"), F.concat("url", F.lit("\n")).alias("value")).repartition(F.expr("page_id div 50")), path)
     return path
 
 
