@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 #: Queries that are paired with all pages are broadcast up to so many bytes, about; more are dealt in blocks of that size.
 MAX_BROADCAST_BYTES = 16 << 20
-#: Numbers of the vectors in a block, about.
-BLOCK_NUMBERS = 4_000_000
+#: Numbers of the vectors in a block, about, and scores of a block's pairs that are held at a time.
+BLOCK_NUMBERS, SCORES = 4_000_000, 1 << 21
+#: Pages of a scope from which it is searched by blocks.
+LARGE_SCOPE = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -86,38 +88,49 @@ def _blocks(df: DataFrame, key: str, numbers: Column, least: int = 1) -> tuple[C
     return F.pmod(F.xxhash64(key), F.lit(many)).cast("int"), many
 
 
-def blocked_topk(queries: DataFrame, pages: DataFrame, k: int, length: Column, numbers: Column, score: Callable[[pa.Array, pa.Array], np.ndarray]) -> DataFrame:
+def _best(values: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, places and values of the k largest of each row, ties to the smaller order."""
+    many = min(k, values.shape[1])
+    least = np.partition(values, values.shape[1] - many, axis=1)[:, values.shape[1] - many]
+    rows, places = np.nonzero(values >= least[:, None])
+    by = np.lexsort((order[places], -values[rows, places], rows))
+    rows, places = rows[by], places[by]
+    taken = np.arange(len(rows)) - np.searchsorted(rows, rows) < many
+    rows, places = rows[taken], places[taken]
+    return rows, places, values[rows, places]
+
+
+def blocked_topk(queries: DataFrame, pages: DataFrame, k: int, length: Column, numbers: Column, score: Callable[[pa.Array, pa.Array], np.ndarray], scope: Sequence[str] = ()) -> DataFrame:
     """query, label, score, rank from queries (query, v) and pages (label, v): the k pages with the largest scores, rounded to
     six digits, ties to the smaller label. score gives a matrix for the vectors of two blocks, minus infinity where a page can't be
-    among the k; only vectors of the same length meet. Vectors with a null, NaN or infinite number take no part.
+    among the k; only vectors of the same length meet, and of the same scope, which both sides then have and the result begins
+    with. Vectors with a null, NaN or infinite number take no part. A task holds the scores of a slice of a block's queries.
     """
     kinds = {**dict(queries.dtypes), **dict(pages.dtypes)}
     ready = [finite(df.where(length > 0), "v") for df in (queries, pages)]
     (q_block, n_blocks), (p_block, n_groups) = _blocks(ready[0], "query", numbers), _blocks(ready[1], "label", numbers, queries.sparkSession.sparkContext.defaultParallelism)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = ready[0].select("query", "v", length.alias("_d"), q_block.alias("_block"), every(n_groups).alias("_group"))
-    right = ready[1].select("label", "v", length.alias("_d"), every(n_blocks).alias("_block"), p_block.alias("_group"))
+    left = ready[0].select(*scope, "query", "v", length.alias("_d"), q_block.alias("_block"), every(n_groups).alias("_group"))
+    right = ready[1].select(*scope, "label", "v", length.alias("_d"), every(n_blocks).alias("_block"), p_block.alias("_group"))
 
     def best(asked: pa.Table, held: pa.Table) -> pa.Table:
-        rows, places, values = (np.zeros(0, t) for t in (np.int64, np.int64, float))
+        rows, places, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if asked.num_rows and held.num_rows:
-            values = np.rint(score(asked.column("v").combine_chunks(), held.column("v").combine_chunks()) * 1e6) / 1e6
-            labels = held.column("label").combine_chunks()
+            v, labels = held.column("v").combine_chunks(), held.column("label").combine_chunks()
             order = pc.rank(labels, sort_keys="ascending", tiebreaker="dense").to_numpy()
-            many = min(k, values.shape[1])
-            least = np.partition(values, values.shape[1] - many, axis=1)[:, values.shape[1] - many]
-            rows, places = np.nonzero(values >= least[:, None])
-            by = np.lexsort((order[places], -values[rows, places], rows))
-            rows, places = rows[by], places[by]
-            taken = np.arange(len(rows)) - np.searchsorted(rows, rows) < many
-            rows, places = rows[taken], places[taken]
-            values = values[rows, places]
-        taken_from = lambda t, name, at: t.column(name).take(pa.array(at, pa.int64()))
-        return pa.table({"query": taken_from(asked, "query", rows), "label": taken_from(held, "label", places), "score": pa.array(values, pa.float64())})
-
-    keys = ("_block", "_group", "_d")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"query {kinds['query']}, label {kinds['label']}, score double")
-    return top_k(found, "query", "score", "label", k).select("query", "label", "score", "rank")
+            step = max(1, SCORES // held.num_rows)
+            for first in range(0, asked.num_rows, step):
+                scores = np.rint(score(asked.column("v").slice(first, step).combine_chunks(), v) * 1e6) / 1e6
+                for all_, one in zip((rows, places, values), _best(scores, order, k), strict=True):
+                    all_.append(one + first if all_ is rows else one)
+        taken_from = lambda t, name, at: t.column(name).take(pa.array(np.concatenate(at), pa.int64()))
+        found = {**{c: taken_from(asked, c, rows) for c in scope}, "query": taken_from(asked, "query", rows), "label": taken_from(held, "label", places)}
+        return pa.table({**found, "score": pa.array(np.concatenate(values), pa.float64())})
+
+    keys = (*scope, "_block", "_group", "_d")
+    names = "".join(f"`{c}` {kinds[c]}, " for c in scope)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"{names}query {kinds['query']}, label {kinds['label']}, score double")
+    return top_k(found, "query", "score", "label", k).select(*scope, "query", "label", "score", "rank")
 
 
 def _numbers(vectors: pa.Array) -> np.ndarray:
@@ -203,7 +216,8 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int, rank: str
 def dense_topk(queries: DataFrame, pages: DataFrame, k: int, scope: Sequence[str] = (), existing: DataFrame | None = None) -> DataFrame:
     """Cosine ranking. queries: query, qv and scope; pages: label, v and scope; existing keeps only its labels.
 
-    Ties go to the smaller label. An unknown scope value finds nothing; vectors with a null, NaN or infinite number take no part. Without a scope the result is query, label, score, rank.
+    Ties go to the smaller label. An unknown scope value finds nothing; vectors with a null, NaN or infinite number take no part. Without a scope, and
+    where a scope has LARGE_SCOPE pages, the result is the scope's columns, query, label, score, rank.
     """
     if existing is not None:
         pages = pages.join(existing.select("label"), "label", "left_semi")
@@ -211,6 +225,9 @@ def dense_topk(queries: DataFrame, pages: DataFrame, k: int, scope: Sequence[str
         return blocked_topk(queries.select("query", F.col("qv").alias("v")), pages.select("label", "v"), k, F.size("v"), F.size("v"), _cosines)
     ready = pages.withColumn("v", l2_normalize(F.col("v")))
     asked = queries.withColumn("qv", l2_normalize(F.col("qv")))
+    if (pages.groupBy(*scope).count().agg(F.max("count")).first()[0] or 0) >= LARGE_SCOPE:  # more than one task should get
+        known = [df.dropna(subset=list(scope)) for df in (queries, pages)]
+        return blocked_topk(known[0].select(*scope, "query", F.col("qv").alias("v")), known[1].select(*scope, "label", "v"), k, F.size("v"), F.size("v"), _cosines, scope)
     scored = score_pairs(finite(asked, "qv"), finite(ready, "v"), scope).withColumn("score", F.round(dot(F.col("qv"), F.col("v")), 6))
     return top_k(scored.drop("qv", "v"), "query", "score", "label", k)
 
@@ -262,7 +279,7 @@ def recall_report(ranked: DataFrame, gold: DataFrame, ks: Sequence[int], group:
     """
     keys = ["query", *([group] if group else [])]
     sizes = gold.groupBy(*keys).agg(F.count_distinct("label").alias("_gold"))
-    hits = gold.select("query", "label").distinct().join(ranked.select("query", "label", "rank"), ["query", "label"])
+    hits = ranked.select("query", "label", "rank").join(gold.select("query", "label"), ["query", "label"], "left_semi")
     at = F.explode(F.array(*(F.lit(k) for k in ks))).alias("k")
     found = hits.select("query", "rank", at).where(F.col("rank") <= F.col("k")).groupBy("query", "k").agg(F.count("*").alias("_hits"))
     each = sizes.select("*", at).join(found, ["query", "k"], "left").withColumn("_hits", F.coalesce("_hits", F.lit(0)))

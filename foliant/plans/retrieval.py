@@ -8,7 +8,7 @@ from foliant.operators import retrieve as R
 
 from .tables import table
 
-EVERY = 100
+EVERY, SHARES = 100, 32
 
 
 def _pages(spark, sf):
@@ -72,8 +72,9 @@ def r7_first_unseen(spark, sf):
 
 
 def _gold(pages):
-    q = pages.where(f"label % {EVERY} = 0").select(F.col("label").alias("query"), "deck")
-    return q.join(pages.select("label", "deck"), "deck").select("query", "label", F.when(F.col("deck") < 5, "single").otherwise("multi").alias("hop"))
+    """Few decks hold all pages, so a deck's pages are dealt into SHARES, which each meet a copy of the queries."""
+    q = pages.where(f"label % {EVERY} = 0").select(F.col("label").alias("query"), "deck", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    return q.join(pages.select("label", "deck", F.pmod(F.xxhash64("label"), F.lit(SHARES)).cast("int").alias("share")), ["deck", "share"]).select("query", "label", F.when(F.col("deck") < 5, "single").otherwise("multi").alias("hop"))
 
 
 def r8_recall_report(spark, sf):

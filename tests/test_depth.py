@@ -198,3 +198,24 @@ def test_bootstrap_of_own_reductions(spark, monkeypatch):
         assert abs(r.mean_std - spread) < 0.1 * spread and abs(r.best_mean - best) < 5 * r.best_std / math.sqrt(2000) + 1e-9
     sums = reductions.reduce_by(df, "g", "v", {"mean": reductions.MEAN, "n": count}).collect()
     assert sorted((r.g, r["mean"], r.n) for r in sums) == [("g", 11.0, 10.0), ("one", 4.0, 1.0)]
+
+
+def test_slices_and_large_scopes_find_the_same(spark, monkeypatch):
+    rnd = random.Random(5)
+    pages = spark.createDataFrame([(i, i % 3 if i % 50 else None, [float(rnd.randrange(-3, 4)) for _ in range(4)]) for i in range(700)], "label long, deck long, v array<double>")
+    queries = pages.where("label % 10 = 0").select(F.col("label").alias("query"), "deck", F.col("v").alias("qv"))
+    rows = lambda df: sorted((r.query, r.rank, r.label, r.score) for r in df.collect())
+    flat, deck = rows(retrieve.dense_topk(queries.drop("deck"), pages.drop("deck"), 6)), retrieve.dense_topk(queries, pages, 6, scope=["deck"])
+    real = retrieve._cosines
+    monkeypatch.setattr(retrieve, "SCORES", 1500)
+
+    def small(asked, held):
+        assert len(asked) * len(held) <= 1500
+        return real(asked, held)
+
+    monkeypatch.setattr(retrieve, "_cosines", small)
+    assert rows(retrieve.dense_topk(queries.drop("deck"), pages.drop("deck"), 6)) == flat
+    monkeypatch.setattr(retrieve, "LARGE_SCOPE", 1)
+    large = retrieve.dense_topk(queries, pages, 6, scope=["deck"])
+    assert rows(large) == rows(deck) and large.columns == ["deck", "query", "label", "score", "rank"]
+    assert {(r.query, r.deck) for r in large.collect()} == {(r.query, r.deck) for r in queries.where("deck IS NOT NULL").collect()}
