@@ -24,13 +24,22 @@ BLOCK, DRAWS = 4096, 256
 
 @dataclass(frozen=True)
 class Reduction:
-    """`batch`, where it is given, makes the states of many draws at once, from sorted values and a matrix of how often each draw has each."""
+    """`batch`, where it is given, makes the states of many draws at once, from sorted values and a matrix of how often each draw has each;
+    `whole` their results, where these are all of a draw's values.
+    """
 
     zero: Callable[[], Any]
     update: Callable[[Any, float, int], Any]
     merge: Callable[[Any, Any], Any]
     finish: Callable[[Any], float | None]
     batch: Callable[[np.ndarray, np.ndarray], list] | None = None
+    whole: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+
+    def results(self, values: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Of draws that hold at least one value each."""
+        if self.whole is not None:
+            return self.whole(values, times)
+        return np.array([self.finish(s) for s in self.states(values, times)], float)
 
     def states(self, values: np.ndarray, times: np.ndarray) -> list:
         if self.batch is not None:
@@ -52,7 +61,10 @@ def _either(pick: Callable[[float, float], float], last: bool) -> Reduction:
         at = held.argmax(axis=1)
         return [x if any_ else None for x, any_ in zip(values[len(values) - 1 - at if last else at].tolist(), held.any(axis=1).tolist(), strict=True)]
 
-    return Reduction(lambda: None, lambda s, x, _: both(s, x), both, lambda s: s, batch)
+    def whole(values: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return values[len(values) - 1 - (times[:, ::-1] > 0).argmax(axis=1)] if last else values[(times > 0).argmax(axis=1)]
+
+    return Reduction(lambda: None, lambda s, x, _: both(s, x), both, lambda s: s, batch, whole)
 
 
 LARGEST, SMALLEST = _either(max, True), _either(min, False)
@@ -63,10 +75,19 @@ MEAN = Reduction(
 
 
 def _dealt(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """_g, _b, _v, _n: distinct values with their counts, in blocks of about BLOCK; null values are left out."""
+    """_g, _b, _v, _n: distinct values with their counts, in blocks of about BLOCK, of which the group has _blocks; null values are left out."""
     counts = samples.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").groupBy("_g", "_v").agg(F.count("*").alias("_n"))
     sizes = counts.groupBy("_g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    return counts.join(sizes, "_g").withColumn("_b", F.pmod(F.xxhash64("_v"), F.col("_blocks")).cast("int")).drop("_blocks")
+    return counts.join(sizes, "_g").withColumn("_b", F.pmod(F.xxhash64("_v"), F.col("_blocks")).cast("int"))
+
+
+def _held_whole(dealt: DataFrame) -> DataFrame:
+    """_g, _vs, _ns: values in order and their counts of each group, about BLOCK at most; the rows are few bytes and much work, so they
+    are dealt to a number of tasks that doesn't follow their size.
+    """
+    held = dealt.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_h"))
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return held.select("_g", F.transform("_h", lambda x: x["_v"]).alias("_vs"), F.transform("_h", lambda x: x["_n"]).alias("_ns")).repartition(tasks, "_g")
 
 
 def reduce_by(samples: DataFrame, group: str, value: str, reductions: Mapping[str, Reduction]) -> DataFrame:
@@ -88,8 +109,18 @@ def reduce_by(samples: DataFrame, group: str, value: str, reductions: Mapping[st
             out[name] = r.finish(state)
         return pd.DataFrame([{group: rows["_g"].iloc[0], **out}])
 
-    blocks = _dealt(samples, group, value).groupBy("_g", "_b").applyInPandas(of_block, f"_g {kind}, _b int, " + ", ".join(f"`{n}` binary" for n in reductions))
-    return blocks.groupBy("_g").applyInPandas(of_group, f"`{group}` {kind}, " + ", ".join(f"`{n}` double" for n in reductions))
+    def of_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in batches:
+            out = {name: [] for name in reductions}
+            for values, counts in zip(groups["_vs"], groups["_ns"], strict=True):
+                for name, r in reductions.items():
+                    out[name].append(r.finish(r.merge(r.zero(), r.states(np.asarray(values, float), np.asarray(counts)[None, :])[0])))
+            yield pd.DataFrame({group: groups["_g"], **{name: pd.Series(x, groups.index, float) for name, x in out.items()}})
+
+    schema = f"`{group}` {kind}, " + ", ".join(f"`{n}` double" for n in reductions)
+    dealt = _dealt(samples, group, value)
+    blocks = dealt.where("_blocks > 1").groupBy("_g", "_b").applyInPandas(of_block, f"_g {kind}, _b int, " + ", ".join(f"`{n}` binary" for n in reductions))
+    return blocks.groupBy("_g").applyInPandas(of_group, schema).unionByName(_held_whole(dealt.where("_blocks = 1")).mapInPandas(of_groups, schema))
 
 
 def sizes_of(many: int) -> list[int]:
@@ -108,7 +139,7 @@ def bootstrap(samples: DataFrame, group: str, value: str, reductions: Mapping[st
     block works out alike from the blocks' totals and a seed, and then over the block's values.
     """
     kind, chunks = dict(samples.dtypes)[group], -(-draws // DRAWS)
-    dealt = _dealt(samples, group, value)
+    dealt = _dealt(samples, group, value).drop("_blocks")
     totals = dealt.groupBy("_g", "_b").agg(F.sum("_n").alias("_t")).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_b", "_t"))).alias("_totals"))  # a number a block
     asked = dealt.join(totals, "_g")
     names = [f"`{r}` binary" for r in reductions]
@@ -123,23 +154,26 @@ def bootstrap(samples: DataFrame, group: str, value: str, reductions: Mapping[st
                 times = own.multinomial(split(size, chunk, many), share)
                 yield size, chunk, many, {r: f.states(values, times) for r, f in reductions.items()}
 
-    def figures_of(states: dict[str, list]) -> dict[str, float]:
-        out = {}
-        for r, held in states.items():
-            results = np.array([reductions[r].finish(s) for s in held], float)
-            out |= {f"{r}_mean": results.mean(), f"{r}_var": results.var()}
-        return out
+    def figures_of(results: Mapping[str, np.ndarray]) -> dict[str, float]:
+        return {f"{r}_{x}": figure for r, held in results.items() for x, figure in (("mean", held.mean()), ("var", held.var()))}
 
     def of_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Groups of one block, whose states need no merging."""
+        """Groups of one block, whose states need no merging; where all values are alike, so are all draws."""
         columns = ["_g", "n", "_many", *(f"{r}_{x}" for r in reductions for x in ("mean", "var"))]
         for groups in batches:
             out = []
-            for name, held in zip(groups["_g"], groups["_held"], strict=True):
-                values, counts = (np.array([x[c] for x in held], float) for c in ("_v", "_n"))
-                sizes = [n] if n is not None else sizes_of(int(counts.sum()))
-                for size, _, many, states in rows_of(values, counts / counts.sum(), lambda size, _, many: np.full(many, size), sizes, name, 0):
-                    out.append({"_g": name, "n": size, "_many": many, **figures_of(states)})
+            for name, values, counts in zip(groups["_g"], groups["_vs"], groups["_ns"], strict=True):
+                values, counts = np.asarray(values, float), np.asarray(counts, float)
+                for size in [n] if n is not None else sizes_of(int(counts.sum())):
+                    if len(values) == 1:
+                        only = [r.results(values, np.array([[size]]))[0] for r in reductions.values()]
+                        out.append((name, size, draws, *(figure for x in only for figure in (x, x - x))))
+                        continue
+                    for chunk in range(chunks):
+                        many = min(DRAWS, draws - chunk * DRAWS)
+                        times = _random(seed, name, size, chunk, 0).multinomial(np.full(many, size), counts / counts.sum())
+                        figures = figures_of({r: f.results(values, times) for r, f in reductions.items()})
+                        out.append((name, size, many, *figures.values()))
             yield pd.DataFrame(out, columns=columns)
 
     def of_block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -158,9 +192,9 @@ def bootstrap(samples: DataFrame, group: str, value: str, reductions: Mapping[st
         for name, r in reductions.items():
             for other in map(pickle.loads, rows[name]):
                 merged[name] = other if name not in merged else [r.merge(a, b) for a, b in zip(merged[name], other, strict=True)]
-        return pd.DataFrame([{"_g": rows["_g"].iloc[0], "n": rows["n"].iloc[0], "_many": min(DRAWS, draws - DRAWS * int(rows["_chunk"].iloc[0])), **figures_of(merged)}])
+        return pd.DataFrame([{"_g": rows["_g"].iloc[0], "n": rows["n"].iloc[0], "_many": min(DRAWS, draws - DRAWS * int(rows["_chunk"].iloc[0])), **figures_of({r: np.array([reductions[r].finish(s) for s in held], float) for r, held in merged.items()})}])
 
-    alone = asked.where(F.size("_totals") == 1).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_held"))  # about BLOCK values at most
+    alone = _held_whole(asked.where(F.size("_totals") == 1))
     schema = f"_g {kind}, n int, _many int, " + ", ".join(figures)
     of_blocks = asked.where(F.size("_totals") > 1).groupBy("_g", "_b").applyInPandas(of_block, f"_g {kind}, _b int, n int, _chunk int, " + ", ".join(names))
     parts = of_blocks.groupBy("_g", "n", "_chunk").applyInPandas(of_chunk, schema).unionByName(alone.mapInPandas(of_groups, schema))

@@ -219,3 +219,23 @@ def test_slices_and_large_scopes_find_the_same(spark, monkeypatch):
     large = retrieve.dense_topk(queries, pages, 6, scope=["deck"])
     assert rows(large) == rows(deck) and large.columns == ["deck", "query", "label", "score", "rank"]
     assert {(r.query, r.deck) for r in large.collect()} == {(r.query, r.deck) for r in queries.where("deck IS NOT NULL").collect()}
+
+
+def test_small_groups_meet_in_few_calls(spark):
+    """Groups of one block are reduced by batches; draws of a single value are worked out once; results of whole draws equal those of their states."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def update(s, x, n):
+        calls.add(1)
+        return s + x * n
+
+    total = reductions.Reduction(lambda: 0.0, update, lambda a, b: a + b, lambda s: s)
+    df = spark.createDataFrame([(g, float(g)) for g in range(20) for _ in range(9)], "g long, v double")
+    got = reductions.bootstrap(df, "g", "v", {"total": total}, 500, "s").collect()
+    assert sorted((r.g, r.n, r.total_mean, r.total_std) for r in got) == [(g, n, g * float(n), 0.0) for g in range(20) for n in (2, 4, 8, 9)]
+    assert calls.value == 20 * 4
+    plan = reductions.reduce_by(df, "g", "v", {"total": total})
+    assert sorted((r.g, r.total) for r in plan.collect()) == [(g, 9.0 * g) for g in range(20)]
+    values, times = np.sort(np.random.default_rng(1).random(12)), np.random.default_rng(2).multinomial(np.full(300, 5), np.full(12, 1 / 12))
+    for r in (reductions.LARGEST, reductions.SMALLEST):
+        assert r.results(values, times).tolist() == [r.finish(s) for s in r.states(values, times)]
