@@ -390,19 +390,25 @@ def similar_groups(steps: DataFrame, uid: str, order: str, text: str, least: flo
     """
     kind = dict(steps.dtypes)
 
-    def group(rows):
+    def group(batches):
         from difflib import SequenceMatcher
+        from functools import lru_cache
 
         import pandas as pd
 
-        heads, out = [], []
-        for value in rows.sort_values("_first")[text]:
-            at = next((i for i, head in enumerate(heads) if SequenceMatcher(None, head, value).ratio() >= least), len(heads))
-            if at == len(heads):
-                heads.append(value)
-            out.append(at)
-        return pd.DataFrame(rows.sort_values("_first")[[uid, text]].assign(group=out))
+        alike = lru_cache(1 << 16)(lambda head, value: SequenceMatcher(None, head, value).ratio() >= least)  # questions share texts
+        for batch in batches:
+            out = []
+            for question, values in zip(batch[uid], batch["_texts"], strict=True):
+                heads = []
+                for value in values:
+                    at = next((i for i, head in enumerate(heads) if alike(head, value)), len(heads))
+                    if at == len(heads):
+                        heads.append(value)
+                    out.append((question, value, at))
+            yield pd.DataFrame(out, columns=[uid, text, "group"])
 
     texts = steps.groupBy(uid, text).agg(F.min(order).alias("_first"))
-    grouped = texts.groupBy(uid).applyInPandas(group, f"{uid} {kind[uid]}, {text} {kind[text]}, group int")
+    held = texts.groupBy(uid).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", text))), lambda x: x[text]).alias("_texts"))
+    grouped = held.mapInPandas(group, f"{uid} {kind[uid]}, {text} {kind[text]}, group int")
     return steps.join(grouped, [uid, text]).select(uid, order, "group")

@@ -239,3 +239,15 @@ def test_small_groups_meet_in_few_calls(spark):
     values, times = np.sort(np.random.default_rng(1).random(12)), np.random.default_rng(2).multinomial(np.full(300, 5), np.full(12, 1 / 12))
     for r in (reductions.LARGEST, reductions.SMALLEST):
         assert r.results(values, times).tolist() == [r.finish(s) for s in r.states(values, times)]
+
+
+def test_similar_groups_take_questions_by_batches(spark):
+    """Many questions with the same texts go through one call for a batch."""
+    import difflib
+
+    rows = [(q, 10 * q + i, x) for q in range(30) for i, x in enumerate(("the first text here", "quite another one", "the first text hera", "the first text here"))]
+    df = spark.createDataFrame(rows, "q long, i long, x string").coalesce(1)
+    plan = rollouts.similar_groups(df, "q", "i", "x", 0.9)
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString() and "MapInPandas" in plan._jdf.queryExecution().toString()
+    alike = difflib.SequenceMatcher(None, rows[0][2], rows[2][2]).ratio() >= 0.9
+    assert sorted((r.q, r.i % 10, r.group) for r in plan.collect()) == [(q, i, (0, 1, 0 if alike else 2, 0)[i]) for q in range(30) for i in range(4)]
