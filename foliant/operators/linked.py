@@ -99,7 +99,8 @@ def dedup_two_keys(df: DataFrame, first: Sequence[str], second: Sequence[str], o
     alone = keyed.join(tangled.select("_order"), "_order", "left_anti").select("_order")
     of_node = components(tangled.select(F.col("_k1").alias("a"), F.col("_k2").alias("b")))
     placed = written(tangled.join(of_node.select(F.col("node").alias("_k1"), "component"), "_k1"))
-    large = placed.groupBy("component").count().where(F.col("count") > folded).select("component")
+    # few, as each has over `folded` rows; sent to all tasks, so that a component's rows needn't meet in one
+    large = F.broadcast(placed.groupBy("component").count().where(F.col("count") > folded).select("component"))
     small = placed.join(large, "component", "left_anti").groupBy("component").applyInPandas(_kept_in_pass, f"_order {dict(keyed.dtypes)['_order']}")
     kept = alone.unionByName(small).unionByName(_kept_in_rounds(written(placed.join(large, "component", "left_semi").select("_order", "_k1", "_k2"))))
     out = df.join(kept.select(F.col("_order").alias(order)), order, "left_semi").select(*df.columns)

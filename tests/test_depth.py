@@ -251,3 +251,17 @@ def test_similar_groups_take_questions_by_batches(spark):
     assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString() and "MapInPandas" in plan._jdf.queryExecution().toString()
     alike = difflib.SequenceMatcher(None, rows[0][2], rows[2][2]).ratio() >= 0.9
     assert sorted((r.q, r.i % 10, r.group) for r in plan.collect()) == [(q, i, (0, 1, 0 if alike else 2, 0)[i]) for q in range(30) for i in range(4)]
+
+
+def test_a_large_component_meets_in_no_task(spark, monkeypatch):
+    """Its rows are told from the others by a broadcast, even where joins are not broadcast by their size."""
+    seen, real = [], linked.written
+    monkeypatch.setattr(linked, "written", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, i % 5, i % 7 if i < 300 else i) for i in range(320)], "i long, a long, b long")
+        got = sorted(r.i for r in linked.dedup_two_keys(df, ["a"], ["b"], "i", folded=50).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(r.i for r in linked.dedup_two_keys(df, ["a"], ["b"], "i").collect()) == [0, 1, 2, 3, 4]
+    assert any("BroadcastHashJoin [component" in plan for plan in seen)
