@@ -53,16 +53,24 @@ def grpo(rollouts: DataFrame, uid: str, score: str, by_std: bool = True, traj: s
 
     Every row (step) has a vote in mean and deviation, or, where traj is named, the first row of each trajectory by order.
     """
-    w = Window.partitionBy(uid)
-    votes = F.col(score)
     if traj is not None:
-        votes = F.when(F.row_number().over(Window.partitionBy(uid, traj).orderBy(order)) == 1, F.col(score))
-    held = rollouts.withColumn("_vote", votes)
-    lone = F.count("_vote").over(w) == 1
-    mean = F.when(lone, 0.0).otherwise(F.avg("_vote").over(w))
-    std = F.when(lone, 1.0).otherwise(F.stddev_samp("_vote").over(w))
+        return _grpo_by_trajectory(rollouts, uid, score, by_std, traj, order)
+    w = Window.partitionBy(uid)
+    lone = F.count(score).over(w) == 1
+    mean = F.when(lone, 0.0).otherwise(F.avg(score).over(w))
+    std = F.when(lone, 1.0).otherwise(F.stddev_samp(score).over(w))
     centred = F.col(score) - mean
-    return held.withColumn("advantage", centred / (std + EPS) if by_std else centred).drop("_vote")
+    return rollouts.withColumn("advantage", centred / (std + EPS) if by_std else centred)
+
+
+def _grpo_by_trajectory(steps: DataFrame, uid: str, score: str, by_std: bool, traj: str, order: str) -> DataFrame:
+    """Votes are counted apart from the steps, and each step meets its question's one row of statistics: no step is sorted."""
+    votes = steps.groupBy(uid, traj).agg(F.min(F.struct(F.col(order).alias("o"), F.col(score).alias("x"))).alias("_first")).select(F.col(uid).alias("_uid"), F.col("_first.x").alias("_vote"))
+    lone = F.count("_vote") == 1
+    stats = votes.groupBy("_uid").agg(F.when(lone, 0.0).otherwise(F.avg("_vote")).alias("_mean"), F.when(lone, 1.0).otherwise(F.stddev_samp("_vote")).alias("_std"))
+    held = steps.join(stats.hint("shuffle_hash"), F.col(uid).eqNullSafe(F.col("_uid")))
+    centred = F.col(score) - F.col("_mean")
+    return held.withColumn("advantage", centred / (F.col("_std") + EPS) if by_std else centred).drop("_uid", "_mean", "_std")
 
 
 def grpo_passk(rollouts: DataFrame, uid: str, score: str, tie: str, by_std: bool = True) -> DataFrame:

@@ -47,7 +47,8 @@ def w2_grpo(spark, sf):
 def w2_grpo_trajectory_votes(spark, sf):
     """One vote per trajectory (an order) of a customer, whose steps are line items."""
     line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    steps = line.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").withColumn("first", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    steps = line.join(orders.hint("shuffle_hash"), "o_orderkey").withColumn("first", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     out = W.grpo(steps, "o_custkey", "l_extendedprice", traj="o_orderkey", order="first")
     return _six(out.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "advantage"), "advantage")
 
