@@ -23,33 +23,33 @@ def parse_turns(raw: DataFrame, text: str) -> DataFrame:
     """
     thinks = F.regexp_extract_all(text, F.lit(r"(?s)<think>(.*?)</think>"), 1)
     rest = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<think>.*?</think>", "")
-    found = raw.withColumn("think", F.array_join(F.filter(F.transform(thinks, lambda t: F.trim(t)), lambda t: t != ""), "\n"))
+    found = raw.withColumn("_think", F.array_join(F.filter(F.transform(thinks, lambda t: F.trim(t)), lambda t: t != ""), "\n"))
     found = found.withColumn("_rest", rest)
-    for t in TAGS:
-        hits = F.regexp_extract_all("_rest", F.lit(rf"(?s)<{t}>(.*?)</{t}>"), 1)
-        found = found.withColumn(f"_{t}", F.trim(F.get(hits, F.size(hits) - 1)))
-    for t in TAGS:
-        cut = F.nullif(F.regexp_extract(f"_{t}", r"(?s)^\s*(\{.*\})", 1), F.lit(""))
-        value = F.when(F.col(f"_{t}") == "null", None).otherwise(cut)
-        found = found.withColumn(t, value).withColumn(f"_bad_{t}", F.col(f"_{t}").isNotNull() & (F.col(f"_{t}") != ("" if t == "act" else "null")) & F.try_parse_json(value).isNull())
+    last = lambda t: F.try_element_at(F.regexp_extract_all("_rest", F.lit(rf"(?s)<{t}>(.*?)</{t}>"), 1), F.lit(-1))
+    found = found.withColumns({f"_{t}": F.trim(last(t)) for t in TAGS})
+    found = found.withColumns({f"_cut_{t}": F.when(F.col(f"_{t}") != "null", F.regexp_extract(f"_{t}", r"(?s)^\s*(\{.*\})", 1)) for t in TAGS})
+    found = found.withColumns({f"_value_{t}": F.nullif(F.col(f"_cut_{t}"), F.lit("")) for t in TAGS})
+    bad = lambda t: F.col(f"_{t}").isNotNull() & (F.col(f"_{t}") != ("" if t == "act" else "null")) & F.try_parse_json(f"_value_{t}").isNull()
     unclosed = F.array_compact(F.array(*(F.when(F.col(f"_{t}").isNull() & F.contains("_rest", F.lit(f"<{t}>")), t) for t in TAGS)))
-    broken = F.array_compact(F.array(*(F.when(F.col(f"_bad_{t}"), t) for t in TAGS)))
-    kind = F.get_json_object("act", "$.type")
+    broken = F.array_compact(F.array(*(F.when(bad(t), t) for t in TAGS)))
+    found = found.withColumn("_u", unclosed).withColumn("_b", broken).withColumn("_kind", F.get_json_object("_value_act", "$.type"))
     lacks = F.lit(False)
     for name, fields in ACTION_FIELDS.items():
         missing = F.lit(False)
         for f in fields:
-            missing = missing | (F.coalesce(F.trim(F.get_json_object("act", f"$.{f}")), F.lit("")) == "")
-        lacks = lacks | ((kind == name) & missing)
-    wrong = ~F.coalesce(kind.isin(*ACTION_FIELDS), F.lit(False)) | F.coalesce(lacks, F.lit(False))
-    found = found.withColumn("_u", unclosed).withColumn("_b", broken)
-    error_kind = F.when(F.size("_u") > 0, "unclosed").when(F.col("_act").isNull(), "no_act").when(F.size("_b") > 0, "json").when(wrong, "schema")
+            missing = missing | (F.coalesce(F.trim(F.get_json_object("_value_act", f"$.{f}")), F.lit("")) == "")
+        lacks = lacks | ((F.col("_kind") == name) & missing)
+    wrong = ~F.coalesce(F.col("_kind").isin(*ACTION_FIELDS), F.lit(False)) | F.coalesce(lacks, F.lit(False))
+    found = found.withColumn("_error_kind", F.when(F.size("_u") > 0, "unclosed").when(F.col("_act").isNull(), "no_act").when(F.size("_b") > 0, "json").when(wrong, "schema"))
+    kind = F.col("_error_kind")
     error = (
-        F.when(error_kind == "unclosed", F.concat(F.lit("<"), F.get("_u", F.lit(0)), F.lit("> is not closed"))).when(error_kind == "no_act", "missing <act>")
-        .when(error_kind == "json", F.concat(F.lit("<"), F.get("_b", F.lit(0)), F.lit("> is not JSON"))).when(error_kind == "schema", "<act> schema")
+        F.when(kind == "unclosed", F.concat(F.lit("<"), F.get("_u", F.lit(0)), F.lit("> is not closed"))).when(kind == "no_act", "missing <act>")
+        .when(kind == "json", F.concat(F.lit("<"), F.get("_b", F.lit(0)), F.lit("> is not JSON"))).when(kind == "schema", "<act> schema")
     )
-    out = found.withColumn("error_kind", error_kind).withColumn("error", error)
-    return out.drop("_rest", "_u", "_b", *(f"_{t}" for t in TAGS), *(f"_bad_{t}" for t in TAGS))
+    out = {"think": F.col("_think"), **{t: F.col(f"_value_{t}") for t in TAGS}, "error_kind": kind, "error": error}
+    # handed on as generated columns: a filter on them would else be pushed below, with the whole parse written out in it for each use
+    parsed = found.select(*(c for c in raw.columns if c not in out), F.inline(F.array(F.struct(*(v.alias(k) for k, v in out.items())))))
+    return parsed.select(*raw.columns, *(c for c in out if c not in raw.columns))
 
 
 def check_rules(turns: DataFrame, view: str, current: str, forced: str) -> DataFrame:

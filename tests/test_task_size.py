@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from foliant.operators import rollouts
+from foliant.operators import rollouts, turns
+from foliant.plans import nested
 from foliant.plans import rollouts as rollout_plans
 
 
@@ -18,3 +19,13 @@ def test_trajectory_votes_sort_no_step(spark, sf):
     got = {(r.uid, r.traj, r.at): r.advantage for r in got.withColumn("advantage", F.round("advantage", 4)).collect()}
     # votes of q are 1 and 3; a question without a name is one as well; a vote that is null gives no mean
     assert got == {("q", "a", 1): -0.7071, ("q", "a", 2): 4.9497, ("q", "b", 1): 0.7071, (None, "c", 1): 4.0, (None, "c", 2): 6.0, ("n", "d", 1): None, ("n", "d", 2): None}
+
+
+def test_filter_on_parsed_turns_parses_once(spark, sf):
+    said = plan(nested.f8_check_rules(spark, sf))
+    assert said.count("regexp_") < 20 and said.count("get_json_object") < 20
+    rows = [("<think>a</think><act>{\"type\": \"answer\", \"text\": \"x\"}</act>", 1), (None, 2), ("<act>{}</act>", 3), ("<page>null</page><act>{\"type\": \"crop\"}", 4)]
+    parsed = turns.parse_turns(spark.createDataFrame(rows, "page string, n int"), "page")  # the text may be in a column that is replaced
+    assert parsed.columns == ["page", "n", "think", "tree", "act", "error_kind", "error"]
+    assert [r.n for r in parsed.where("error_kind IS NULL").collect()] == [1]
+    assert {r.n: (r.think, r.page, r.error) for r in parsed.collect()} == {1: ("a", None, None), 2: (None, None, "missing <act>"), 3: ("", None, "<act> schema"), 4: ("", None, "<act> is not closed")}
