@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import namedtuple
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,19 @@ NODE = "struct<id:string,question:string,status:string,answer:string,pages:array
 FACT = "struct<page:string,n:int,text:string,revision:int>"
 MEMORY = f"nodes array<{NODE}>, facts array<{FACT}>, active string, errors array<int>"
 
+_TEXT, _TEXTS = pa.string(), pa.list_(pa.string())
+_MEMORY = [
+    pa.field("nodes", pa.list_(pa.struct({"id": _TEXT, "question": _TEXT, "status": _TEXT, "answer": _TEXT, "pages": _TEXTS}.items()))),
+    pa.field("facts", pa.list_(pa.struct({"page": _TEXT, "n": pa.int32(), "text": _TEXT, "revision": pa.int32()}.items()))),
+    pa.field("active", _TEXT), pa.field("errors", pa.list_(pa.int32())),
+]
+_CLUES = [
+    pa.field("nodes", pa.list_(pa.struct({
+        "id": pa.int32(), "parent": pa.int32(), "question": _TEXT, "answer": _TEXT, "open": pa.bool_(),
+        "facts": pa.list_(pa.struct({"text": _TEXT, "box": pa.list_(pa.float64()), "superseded": pa.bool_()}.items())), "refs": _TEXTS,
+    }.items()))), pa.field("next_id", pa.int32()), pa.field("refused", pa.int32()),
+]
+
 
 def page_aliases(visits: DataFrame, sample: str, turn: str, label: str) -> DataFrame:
     """M1: P1, P2, ... by first sight in each sample."""
@@ -88,22 +104,59 @@ def folded(memory: Memory, errors: list[int]) -> dict:
     }
 
 
+#: Samples that are handed on in one batch.
+HANDED = 256
+
+
+def fold_samples(rows: DataFrame, sample: str, order: str, columns: tuple[str, ...], start: Callable, step: Callable, finish: Callable, schema: str, types: list[pa.Field]) -> DataFrame:
+    """One row per sample: finish(state) after step(state, row, order) of its rows in order; rows have the columns named.
+
+    A task streams through its samples, sorted: it holds one sample's state and a batch of rows, whatever a sample's size.
+    The fold costs far more than the bytes of its rows tell, so tasks are not put together by their bytes.
+    """
+    Row = namedtuple("Row", columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every: list[pa.Field] = []
+
+        def stream():
+            for batch in batches:
+                every[:] = [pa.field(sample, batch.schema.field(0).type), *types]
+                keys, orders, *values = (c.to_pylist() for c in batch.columns)
+                yield from zip(keys, orders, map(Row._make, zip(*values, strict=True)), strict=True)
+
+        out = []
+        for key, group in groupby(stream(), key=lambda x: x[0]):
+            state = start()
+            for _, at, row in group:
+                step(state, row, at)
+            out.append({sample: key, **finish(state)})
+            if len(out) == HANDED:
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema(every))
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(every))
+
+    held = rows.select(F.col(sample).alias("_sample"), F.col(order).alias("_order"), *columns)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.repartition(tasks, "_sample").sortWithinPartitions("_sample", F.asc_nulls_last("_order"))
+    return dealt.mapInArrow(run, f"`{sample}` {dict(rows.dtypes)[sample]}, {schema}")
+
+
 def fold_memory(turns: DataFrame, sample: str, turn: str) -> DataFrame:
     """M3: per sample the memory after its turns in order, and the turns that were refused.
 
     turns: view (page alias or null), added (texts), updated (n, text), op (resolve, expand or null), node, answered,
-    answer, next, pages. A sample has a handful of turns; samples are dealt over the cluster.
+    answer, next, pages. Samples are dealt over the cluster.
     """
-    kind = dict(turns.dtypes)[sample]
+    columns = ("view", "added", "updated", "op", "node", "answered", "answer", "next", "pages")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        memory, errors = Memory(), []
-        for row in rows.sort_values(turn).itertuples(index=False):
-            if not memory.step(_plain(row)):
-                errors.append(int(getattr(row, turn)))
-        return pd.DataFrame([{sample: rows[sample].iloc[0], **folded(memory, errors)}])
+    def step(state: tuple[Memory, list[int]], row, at) -> None:
+        memory, errors = state
+        if not memory.step(_plain(row)):
+            errors.append(int(at))
 
-    return turns.groupBy(sample).applyInPandas(fold, f"{sample} {kind}, {MEMORY}")
+    return fold_samples(turns, sample, turn, columns, lambda: (Memory(), []), step, lambda state: folded(*state), MEMORY, _MEMORY)
 
 
 class ClueGraph:
@@ -180,20 +233,19 @@ def fold_graph(decisions: DataFrame, sample: str, order: str) -> DataFrame:
     overwritten, others more of them. EXPAND first takes in what older children knew, drops them, and opens an answered and
     a remaining question. A crop's facts go to the node that the last page's facts went to and supersede those inside it.
     """
-    kind = dict(decisions.dtypes)[sample]
     node = "struct<id:int,parent:int,question:string,answer:string,open:boolean,facts:array<struct<text:string,box:array<double>,superseded:boolean>>,refs:array<string>>"
+    columns = ("decision", "answer", "facts", "refs", "answered", "remaining", "region")
+    names = ("text", "box", "superseded")
+
+    def step(state: dict, row, at) -> None:
+        facts = [[f["text"], f["box"], False] for f in row.facts or ()]
+        state["refused"] += not state["graph"].step(row.decision, row.answer, facts, row.refs or [], row.answered, row.remaining, row.region)
+
+    def finish(state: dict) -> dict:
+        nodes = [{**n, "facts": [dict(zip(names, f, strict=True)) for f in n["facts"]]} for n in state["graph"].nodes.values()]
+        return {"nodes": nodes, "next_id": state["graph"].fresh, "refused": state["refused"]}
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        graph, refused = ClueGraph(), 0
-        as_list = lambda x: [] if x is None else list(x)
-        for row in rows.sort_values(order).itertuples(index=False):
-            facts = [[f["text"], None if f["box"] is None else list(f["box"]), False] for f in as_list(row.facts)]
-            refused += not graph.step(row.decision, row.answer, facts, as_list(row.refs), row.answered, row.remaining, None if row.region is None else list(row.region))
-        names = ("text", "box", "superseded")
-        nodes = [{**n, "facts": [dict(zip(names, f, strict=True)) for f in n["facts"]]} for n in graph.nodes.values()]
-        return pd.DataFrame([{sample: rows[sample].iloc[0], "nodes": nodes, "next_id": graph.fresh, "refused": int(refused)}])
-
-    return decisions.groupBy(sample).applyInPandas(fold, f"{sample} {kind}, nodes array<{node}>, next_id int, refused int")
+    return fold_samples(decisions, sample, order, columns, lambda: {"graph": ClueGraph(), "refused": 0}, step, finish, f"nodes array<{node}>, next_id int, refused int", _CLUES)
 
 
 def fold_findings(steps: DataFrame, sample: str, order: str, kind: str, text: str) -> DataFrame:

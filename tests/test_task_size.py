@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from foliant.operators import rollouts, turns
+from foliant.operators import memory, rollouts, turns
 from foliant.plans import nested
 from foliant.plans import rollouts as rollout_plans
 
@@ -29,3 +29,15 @@ def test_filter_on_parsed_turns_parses_once(spark, sf):
     assert parsed.columns == ["page", "n", "think", "tree", "act", "error_kind", "error"]
     assert [r.n for r in parsed.where("error_kind IS NULL").collect()] == [1]
     assert {r.n: (r.think, r.page, r.error) for r in parsed.collect()} == {1: ("a", None, None), 2: (None, None, "missing <act>"), 3: ("", None, "<act> schema"), 4: ("", None, "<act> is not closed")}
+
+
+def test_folds_stream_through_samples(spark, sf):
+    for df in (nested.m4_fold_graph(spark, sf), nested.m3_fold_memory(spark, sf)):
+        assert "FlatMapGroupsInPandas" not in plan(df)
+    # more samples than are handed on at once, one of them longer than an Arrow batch, and one without a name
+    many = spark.range(1500).selectExpr("nullif(id, 7) AS s", "id AS i").unionByName(spark.range(25000).selectExpr("3L AS s", "100000 - id AS i"))
+    kind = F.when(F.col("i") % 2 == 0, "REJECT").otherwise("CROP_ACCEPT")
+    turns_ = many.select("s", "i", kind.alias("decision"), F.lit("a").alias("answer"), F.lit(None).cast("array<struct<text:string,box:array<double>>>").alias("facts"), F.lit(None).cast("array<string>").alias("refs"), *(F.lit(None).cast(t).alias(c) for c, t in (("answered", "string"), ("remaining", "string"), ("region", "array<double>"))))
+    got = {r.s: (len(r.nodes), r.next_id, r.refused) for r in memory.fold_graph(turns_, "s", "i").collect()}
+    assert len(got) == 1500 and got[None] == (1, 1, 1) and got[3] == (1, 1, 12501)
+    assert all(got[s] == (1, 1, s % 2) for s in range(1500) if s not in (3, 7))
