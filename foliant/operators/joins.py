@@ -147,9 +147,15 @@ def minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """T5: one row: whether both hold the same rows as often, by one grouped count."""
+    """T5: one row: whether both hold the same rows as often, by one grouped count.
+
+    Rows are dealt by their values before they are counted, so that a task holds its share of the different rows only, not all
+    that its part of the input has.
+    """
     marked = a.withColumn("_d", F.lit(1)).unionByName(b.withColumn("_d", F.lit(-1)))
-    return marked.groupBy(*a.columns).agg(F.sum("_d").alias("_d")).agg(F.coalesce(F.max(F.abs("_d")), F.lit(0)).alias("_m")).select((F.col("_m") == 0).alias("same"))
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = marked.repartition(tasks, *a.columns).groupBy(*a.columns).agg(F.sum("_d").alias("_d"))
+    return counts.agg(F.coalesce(F.max(F.abs("_d")), F.lit(0)).alias("_m")).select((F.col("_m") == 0).alias("same"))
 
 
 def found_missing(rows: DataFrame, retrieved: str, reference: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from foliant.operators import memory, rollouts, turns
+from foliant.operators import joins, memory, rollouts, turns
+from foliant.plans import joins as join_plans
 from foliant.plans import nested
 from foliant.plans import rollouts as rollout_plans
 
@@ -41,3 +42,15 @@ def test_folds_stream_through_samples(spark, sf):
     got = {r.s: (len(r.nodes), r.next_id, r.refused) for r in memory.fold_graph(turns_, "s", "i").collect()}
     assert len(got) == 1500 and got[None] == (1, 1, 1) and got[3] == (1, 1, 12501)
     assert all(got[s] == (1, 1, s % 2) for s in range(1500) if s not in (3, 7))
+
+
+def test_same_rows_counts_after_dealing(spark, sf):
+    said = plan(join_plans.t5_same_rows(spark, sf))
+    assert "REPARTITION_BY_NUM" in said and ", 3), REPARTITION" not in said and "RoundRobin" not in said
+    deals = spark.range(0, 40000, 1, 1).selectExpr("id AS a", "nullif(id % 3, 2) AS b")
+    same = joins.same_rows(deals, deals.repartition(3))
+    said = plan(same)
+    assert said.rindex("partial_sum") < said.index("hashpartitioning(a")  # rows are dealt below the counts, not above them
+    assert same.first().same and not joins.same_rows(deals, deals.limit(39999)).first().same and not joins.same_rows(deals, deals.unionAll(deals.limit(1))).first().same
+    none = deals.where("a < 0")
+    assert joins.same_rows(none, none).first().same and not joins.same_rows(none, deals).first().same
