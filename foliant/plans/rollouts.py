@@ -18,9 +18,14 @@ def _events(spark, sf):
     return e.select(F.col("user_id").alias("traj"), "ts", "event_id", F.col("event_type").alias("action"), "value", F.get_json_object("props", "$.k").cast("long").alias("page"))
 
 
+def _lines(spark, sf):
+    """Line items dealt by order, in as many parts as a shuffle has: lists and sets of an order's lines are made there only."""
+    return table(spark, sf, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+
+
 def _rows(spark, sf):
     """Token-level rows: an order's lines as arrays in a fixed order."""
-    line = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("s"))
+    line = _lines(spark, sf).select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("s"))
     held = line.groupBy(F.col("l_orderkey").alias("traj")).agg(F.array_sort(F.collect_list("s")).alias("a"))
     return held.select("traj", F.transform("a", lambda s: s["l_discount"]).alias("x"), F.transform("a", lambda s: s["l_tax"]).alias("y"), F.transform("a", lambda s: (s["l_quantity"] > 10).cast("double")).alias("mask"))
 
@@ -120,7 +125,7 @@ def w9_ra_steps(spark, sf):
 
 def w10_scatter_spans(spark, sf):
     rows = _rows(spark, sf)
-    spans = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("traj"), F.col("l_partkey").alias("span"), F.pmod("l_suppkey", F.lit(3)).cast("int").alias("lo"), (F.pmod("l_suppkey", F.lit(3)) + F.pmod("l_partkey", F.lit(4))).cast("int").alias("hi"), (F.col("l_partkey") / 100).alias("advantage")).distinct()
+    spans = _lines(spark, sf).select(F.col("l_orderkey").alias("traj"), F.col("l_partkey").alias("span"), F.pmod("l_suppkey", F.lit(3)).cast("int").alias("lo"), (F.pmod("l_suppkey", F.lit(3)) + F.pmod("l_partkey", F.lit(4))).cast("int").alias("hi"), (F.col("l_partkey") / 100).alias("advantage")).distinct()
     return _six(W.scatter_spans(spans, rows, "traj"), "advantage")
 
 

@@ -54,3 +54,12 @@ def test_same_rows_counts_after_dealing(spark, sf):
     assert same.first().same and not joins.same_rows(deals, deals.limit(39999)).first().same and not joins.same_rows(deals, deals.unionAll(deals.limit(1))).first().same
     none = deals.where("a < 0")
     assert joins.same_rows(none, none).first().same and not joins.same_rows(none, deals).first().same
+
+
+def test_lines_are_dealt_before_they_are_listed(spark, sf):
+    said = plan(rollout_plans.w10_scatter_spans(spark, sf))
+    assert "SortMergeJoin" not in said and said.count("REPARTITION_BY_NUM") == 2  # below both the lists and the spans' distinct rows
+    rows = spark.createDataFrame([("t", [1.0, 0.0, 1.0]), ("none", [1.0]), ("void", [])], "traj string, mask array<double>")
+    spans = spark.createDataFrame([("t", 1, 0, 3, 5.0), ("t", 2, 2, 9, 7.0), ("t", 3, 1, 1, 9.0)], "traj string, span int, lo int, hi int, advantage double")
+    got = sorted(tuple(r) for r in rollouts.scatter_spans(spans, rows, "traj").collect())
+    assert got == [("none", 0, 0.0), ("t", 0, 5.0), ("t", 1, 0.0), ("t", 2, 7.0)]
